@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a Python worker's word cache may hold before it starts anew. It changes speed only, never results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ def tokenizer_of(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)  # a Python worker keeps it from task to task
 def word_ids(path: str) -> WordCache:
     """word -> its token ids as little-endian unsigned 32-bit integers.
 
