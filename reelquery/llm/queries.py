@@ -5,23 +5,97 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import table
+from reelquery.llm.common import fold, table
+from reelquery.llm.langid import identify
+from reelquery.llm.mixing import taken_words
 from reelquery.llm.packing import pack
+from reelquery.llm.quality import judge
 from reelquery.llm.topk import top_k
+from reelquery.llm.toxicity import score_toxicity
+from reelquery.llm.warc import archive_round_trip
+
+
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = identify(docs.select("doc_id", "text"), docs.where(fold("doc_id") != 0))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_exact_topk)}
+def op10_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_distribution_divergence,
+        op2_low_discrepancy_mix,
+        op3_best_fit_packing,
+        op4_warc_round_trip,
+        op6_word_first_backoff,
+        op8_exact_topk,
+        op10_maximum_segments,
+    )
+}
 
 ORACLES = {
+    "op2_low_discrepancy_mix": """
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('7:' || CAST(doc_id AS VARCHAR)) AS mark
+            FROM documents),
+        p AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1) AS DOUBLE) AS weight
+            FROM d GROUP BY source),
+        w AS (
+            SELECT *, CAST(2 * source_size AS DOUBLE) AS lim, CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE) AS total,
+                coalesce(sum(CAST(2 * source_size AS DOUBLE)) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                sum(weight) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+            FROM p),
+        f AS (SELECT *, lim * rest <= (total - before) * weight AS is_full FROM w),
+        t AS (
+            SELECT *, CASE WHEN is_full THEN lim ELSE (total - sum(CASE WHEN is_full THEN lim ELSE 0 END) OVER ()) / (sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ()) * weight END AS target
+            FROM f),
+        s AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 2 * t.source_size) AS words,
+                CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+            greatest(0, least(start + size, words) - start) + greatest(0, least(start + size, words - source_size) - start) AS taken
+        FROM s""",
+    "op4_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        b AS (
+            SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+                list_reduce(list_transform(range(8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    CAST((CAST('0x' || substr(hex, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest
+            FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM b""",
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, min(list_transform(embedding, lambda x: floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE)))) AS e
