@@ -118,8 +118,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted."""
     sources, placed, spans = mix(docs, **settings)
-    taken = spans.groupBy("sid", "start", "doc_id").agg(F.sum("n_words").alias("taken"))
-    rows = placed.where("size > 0").join(taken.withColumnRenamed("doc_id", "of"), (F.col("of").eqNullSafe(F.col("doc_id"))) & (placed["sid"] == taken["sid"]) & (placed["start"] == taken["start"]), "left").select("doc_id", "size", placed["sid"], F.coalesce("taken", F.lit(0)).alias("taken"))
+    taken = spans.groupBy("sid", "start").agg(F.sum("n_words").alias("taken"))  # a document with words has its start alone
+    rows = placed.where("size > 0").join(taken, ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0)).alias("taken"))
     rows = rows.unionByName(placed.where("size = 0").select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken")))
     return rows.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
