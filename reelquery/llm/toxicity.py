@@ -13,8 +13,8 @@ from reelquery.llm.common import WordCache, checkpoint, map_texts
 
 #: Labelled documents that the odds are fitted on, at most: those with the smallest hash of their id.
 SAMPLE_DOCS = 40_000
-#: Weight of the Dirichlet prior in tokens, and the z-score that a token's log-odds need to count.
-PRIOR_TOKENS, LEAST_Z = 1_000.0, 3.0
+#: Weight of the Dirichlet prior as a share of all counts, and the z-score that a token's log-odds need to count.
+PRIOR_SHARE, LEAST_Z = 0.1, 3.0
 #: Share of the toxic documents' counts that a counted token must have: the lexicon has at most 1 / share tokens.
 LEAST_SHARE = 1e-5
 #: What every other token costs a passage.
@@ -31,8 +31,7 @@ def tokens_of(text: bytes) -> list[bytes]:
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
-    """token, a and b: in how many toxic and other documents of labelled (toxic, text) a token stands. Counting documents
-    keeps one long document from making a token toxic."""
+    """token, a and b: in how many toxic and other documents of labelled (toxic, text) a token stands. Counting documents keeps one long document from making a token toxic."""
 
     def one():
         def work(labels, texts):
@@ -47,7 +46,7 @@ def token_counts(labelled: DataFrame) -> DataFrame:
     return map_texts(labelled, one, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def log_odds(labelled: DataFrame, prior_tokens: float = PRIOR_TOKENS, least_z: float = LEAST_Z) -> dict[str, tuple[float, float]]:
+def log_odds(labelled: DataFrame, prior_share: float = PRIOR_SHARE, least_z: float = LEAST_Z) -> dict[str, tuple[float, float]]:
     """token -> (log-odds of toxic against other documents, share of the tokens of other documents).
 
     The odds have an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008): each class's counts are smoothed by the
@@ -56,8 +55,8 @@ def log_odds(labelled: DataFrame, prior_tokens: float = PRIOR_TOKENS, least_z: f
     a_all, b_all = counted.agg(F.sum("a"), F.sum("b")).first()
     if not a_all or not b_all:
         return {}
-    prior = (F.col("a") + F.col("b")) * (prior_tokens / (a_all + b_all))
-    odds = lambda x, total: F.log((F.col(x) + prior) / (total + prior_tokens - F.col(x) - prior))
+    prior, whole = (F.col("a") + F.col("b")) * prior_share, (a_all + b_all) * prior_share
+    odds = lambda x, total: F.log((F.col(x) + prior) / (total + whole - F.col(x) - prior))
     z = F.col("odds") / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
     found = counted.withColumn("odds", odds("a", a_all) - odds("b", b_all)).where((z >= least_z) & (F.col("a") >= LEAST_SHARE * a_all))
     return {r["token"]: (r["odds"], r["b"] / b_all) for r in found.collect()}
@@ -109,7 +108,7 @@ def segment_features(docs: DataFrame, weights: dict[str, float], rate: float, dr
 
     A segment of score S is expected E = tokens * exp(-rate * S) times in a background text of that length; evidence adds
     up ln(1 / E) over the segments with E below significant, and is ln(1 / E) of the best where none is."""
-    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): s for w, s in weights.items()})
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): odds for w, odds in weights.items()})
 
     def one():
         known = shared.value
@@ -167,7 +166,9 @@ def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_
     ids = train.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = checkpoint(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
     labelled = train.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
-    lexicon = log_odds(labelled.select("toxic", "text"))
+    # copies of a text count once, or their every word would seem to go with their label
+    firsts = checkpoint(labelled.groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    lexicon = log_odds(labelled.join(F.broadcast(firsts), "doc_id", "left_semi").select("toxic", "text"))
     features = checkpoint(segment_features(docs, {w: odds for w, (odds, _) in lexicon.items()}, decay(lexicon)))
     slope, shift = platt(features, known)
     score = 1 / (1 + F.exp(-(F.least(F.greatest("evidence", F.lit(-30.0)), F.lit(60.0)) * slope + shift)))
