@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import WordCache, map_texts
+from reelquery.llm.common import WordCache, checkpoint, map_texts
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_DOCS = 8_000
@@ -68,7 +68,7 @@ def gram_counts(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
 
 def fit(train: DataFrame, orders: tuple[int, ...] = ORDERS) -> dict:
     """The model: languages, and per kind gram -> log probability per language (add-one smoothed)."""
-    counted = gram_counts(train, orders)
+    counted = checkpoint(gram_counts(train, orders))
     totals = {(r["lang"], r["kind"]): r["n"] for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in totals})
     whole = Counter()
