@@ -78,3 +78,24 @@ def map_texts(df: DataFrame, one: Callable[[], Callable[[list, list], dict]], sc
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(run, schema)
+
+
+def fold_texts(df: DataFrame, one: Callable[[], tuple[Callable, Callable, Callable]], schema: str, most: int = 300_000) -> DataFrame:
+    """mapInArrow over (id, text) that gathers: one() builds add(ids, texts), held() and rows() once per task. What is held
+    goes out as rows() at the task's end, and whenever it exceeds `most` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, held, rows = one()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                add(part.column(0).to_pylist(), text_bytes(part.column(1)))
+                if held() > most:
+                    yield pa.RecordBatch.from_pydict(rows(), schema=arrow)
+        yield pa.RecordBatch.from_pydict(rows(), schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return df.mapInArrow(run, schema)

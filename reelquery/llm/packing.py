@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -19,23 +21,19 @@ RANKED_AT_ONCE = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenizer_of(path: str):
-    """encode(list of words) -> token ids of each, by the tokenizers library, single-threaded inside a task."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 @lru_cache(maxsize=1)  # a Python worker keeps it from task to task
 def word_ids(path: str) -> WordCache:
     """word -> its token ids as little-endian unsigned 32-bit integers.
 
-    The vocabulary's pre-tokenizer drops white space, so a text's ids are the ids of its words one after another; it
-    also lowers case and parts letters from punctuation, so few distinct words remain to be encoded."""
-    tokenizer = tokenizer_of(path)
+    The vocabulary's pre-tokenizer drops white space, so a text's ids are the ids of its words one after another; it also
+    lowers case and parts letters from punctuation, so few distinct words remain to be encoded. For words of lower-case
+    Latin letters its normalizer and its splitting change nothing, so a copy without them encodes those."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def make(cache: WordCache, word: bytes) -> bytes:
         lower = word.lower()
@@ -43,7 +41,9 @@ def word_ids(path: str) -> WordCache:
             return cache[lower]
         if len(word) > 1 and word[-1:] in b".,!?;:" and 97 <= word[-2] <= 122:
             return cache[word[:-1]] + cache[word[-1:]]
-        return np.asarray(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        simple = text.isalpha() and text.islower() and max(text) < "\u0180" and text.lower() == text
+        return array("I", (plain if simple else whole).encode(text, add_special_tokens=False).ids).tobytes()
 
     return WordCache(make)
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import WordCache, map_texts
+from reelquery.llm.common import checkpoint, fold_texts, map_texts
 
 #: Base rules: fewest words, and the percentage of words in repeated three-word windows above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -47,9 +47,10 @@ def char_classes(text: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(text.translate(TABLE), np.uint8), minlength=CLASSES + 1)[:CLASSES]
 
 
-def normal(word: bytes) -> bytes:
-    """A word without ASCII punctuation around it, ASCII letters in lower case."""
-    return word.strip(b".,;:!?'\"()-").lower()
+#: ASCII letters in lower case, and punctuation that parts words; symbols and digits stay in their words, which makes those unusual.
+PLAIN = bytes(x + 32 if 65 <= x <= 90 else 32 if x in b".,;:!?'\"()-" else x for x in range(256))
+#: Odd multipliers that combine the hashes of a window's words.
+WINDOW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def base_counts(text: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int]]:
@@ -67,17 +68,11 @@ def base_counts(text: bytes) -> tuple[list[bytes], tuple[int, int, int, int, int
     n = len(words)
     repeated = 0
     if n > 3:
-        numbers: dict[bytes, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
-        if len(numbers) < n:  # else no window occurs twice
-            base = len(numbers)
-            pairs = ids[:-1] * base + ids[1:]
-            if base < 2_000_000:
-                windows = pairs[:-1] * base + ids[2:]
-            else:  # three ids don't fit in 64 bits: number the pairs first
-                windows = np.unique(pairs, return_inverse=True)[1][:-1] * base + ids[2:]
-            order = np.argsort(windows, kind="stable")
-            same = windows[order][1:] == windows[order][:-1]
+        h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)  # 64-bit hashes: equal words, equal windows
+        windows = h[:-2] * WINDOW[0] + h[1:-1] * WINDOW[1] + h[2:] * WINDOW[2]
+        order = np.argsort(windows, kind="stable")
+        same = windows[order][1:] == windows[order][:-1]
+        if same.any():
             twice = np.zeros(n - 2, bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
@@ -101,38 +96,43 @@ def distance(counts: np.ndarray, reference: np.ndarray) -> float:
 
 
 def reference_counts(docs: DataFrame) -> DataFrame:
-    """lang, kind (0: character class, 1: word), item, n over all texts with a language that pass the base rules."""
+    """lang, kind (0: character class, 1: word without punctuation, 2: all words), item, n over all texts with a language that pass the base rules."""
 
     def one():
-        cache = WordCache(lambda _, word: normal(word))
+        classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
+        by: dict[str, Counter] = defaultdict(Counter)
+        total: Counter = Counter()
 
-        def work(langs, texts):
-            classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
-            by: dict[str, Counter] = defaultdict(Counter)
+        def add(langs, texts):
             for lang, text in zip(langs, texts, strict=True):
-                words, (n, *_, repeated) = base_counts(text)
+                _, (n, *_, repeated) = base_counts(text)
                 if not base_failed(n, repeated):
                     classes[lang] += char_classes(text)
-                    by[lang].update(map(cache.__getitem__, words))
-            cache.trim()
-            rows = [(lang, 0, str(i), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
-            rows += [(lang, 1, w.decode("utf-8", "replace"), n) for lang, c in by.items() for w, n in c.items() if w]
-            return dict(zip(("lang", "kind", "item", "n"), map(list, zip(*rows)) if rows else [[]] * 4, strict=True))
+                    total[lang] += n
+                    by[lang].update(text.translate(PLAIN).split())
 
-        return work
+        def rows():
+            found = [(lang, 0, str(i), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
+            found += [(lang, 2, "", n) for lang, n in total.items()]
+            found += [(lang, 1, w.decode("utf-8", "replace"), n) for lang, c in by.items() for w, n in c.items()]
+            for held in (classes, total, by):
+                held.clear()
+            return dict(zip(("lang", "kind", "item", "n"), map(list, zip(*found)) if found else [[]] * 4, strict=True))
+
+        return add, lambda: sum(map(len, by.values())), rows
 
-    return map_texts(docs, one, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    return fold_texts(docs, one, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
 def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_share: float = LANGUAGE_SHARE) -> list[dict]:
     """Per language: its character classes, its common words, and their counts (last: all other words). Both shares bound
     what reaches the driver, whatever the size of the corpus."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counted = reference_counts(rows)
-    per_lang = counted.where("kind = 1").groupBy("lang").agg(F.sum("n").alias("words"))
+    counted = checkpoint(reference_counts(rows))
+    per_lang = counted.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("words"))
     every = per_lang.agg(F.sum("words").alias("every"))
     large = per_lang.join(F.broadcast(every)).where(F.col("words") >= F.lit(language_share) * F.col("every")).select("lang", "words")
-    found = counted.join(F.broadcast(large), "lang").where((F.col("kind") == 0) | (F.col("n") >= F.lit(common_share) * F.col("words"))).collect()
+    found = counted.join(F.broadcast(large), "lang").where((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("n") >= F.lit(common_share) * F.col("words"))).collect()
     out = []
     for lang in sorted({r["lang"] for r in found}):
         own = [r for r in found if r["lang"] == lang]
@@ -141,18 +141,19 @@ def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_sha
             if r["kind"] == 0:
                 classes[int(r["item"])] = r["n"]
         words = sorted((r["item"], r["n"]) for r in own if r["kind"] == 1)
-        counts = np.array([n for _, n in words] + [own[0]["words"] - sum(n for _, n in words)], float)
+        counts = np.array([n for _, n in words] + [max(0, own[0]["words"] - sum(n for _, n in words))], float)
         out.append({"lang": lang, "classes": classes.astype(float), "words": [w.encode() for w, _ in words], "counts": counts})
     return out
 
 
-def divergences(words: list[bytes], classes: np.ndarray, refs: list[dict]) -> list[tuple[str, float, float]]:
-    """(language, distance of character classes, distance of common words) for each reference."""
+def divergences(n_words: int, words: list[bytes], classes: np.ndarray, refs: list[dict]) -> list[tuple[str, float, float]]:
+    """(language, distance of character classes, distance of common words) for each reference. The last bin of the words'
+    histogram is what the n_words of the text have besides common words."""
     counts = Counter(words)
     out = []
     for ref in refs:
         common = np.array([counts.get(w, 0) for w in ref["words"]], float)
-        histogram = np.append(common, max(0.0, len(words) - common.sum()))
+        histogram = np.append(common, max(0.0, n_words - common.sum()))
         out.append((ref["lang"], distance(classes, ref["classes"]), distance(histogram, ref["counts"])))
     return out
 
@@ -171,23 +172,22 @@ def judge(docs: DataFrame, refs_from: DataFrame | None = None, limits: tuple = (
 
     def one():
         refs = shared.value
-        cache = WordCache(lambda _, word: normal(word))
 
         def work(ids, texts):
             rows = []
             for doc_id, text in zip(ids, texts, strict=True):
-                words, counts = base_counts(text or b"")
+                _, counts = base_counts(text or b"")
                 failed = base_failed(counts[0], counts[4])
                 kept, nearest = not failed, (None, None, None)
                 if not failed and refs:
                     classes = char_classes(text)
-                    found = divergences(list(map(cache.__getitem__, words)), classes, refs)
-                    words_limit = words_base + words_noise / len(words) ** 0.5
-                    chars, many = classes.sum() >= chars_guard, len(words) >= words_guard
+                    common = text.translate(PLAIN).split()
+                    found = divergences(counts[0], common, classes, refs)
+                    words_limit = words_base + words_noise / counts[0] ** 0.5
+                    chars, many = classes.sum() >= chars_guard, counts[0] >= words_guard
                     kept = any((not chars or c <= chars_limit) and (not many or w <= words_limit) for _, c, w in found)
                     nearest = min(found, key=lambda x: (x[1] / chars_limit + x[2] / words_limit, x[0]))
                 rows.append((doc_id, *counts, failed, kept, *nearest))
-            cache.trim()
             return dict(zip(names, map(list, zip(*rows)) if rows else [[]] * len(names), strict=True))
 
         return work

@@ -10,6 +10,7 @@ from reelquery.llm.langid import identify
 from reelquery.llm.mixing import taken_words
 from reelquery.llm.packing import pack
 from reelquery.llm.quality import judge
+from reelquery.llm.shinglejoin import near_duplicates
 from reelquery.llm.topk import top_k
 from reelquery.llm.toxicity import score_toxicity
 from reelquery.llm.warc import archive_round_trip
@@ -43,6 +44,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op9_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_toxicity(docs, docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -58,11 +63,29 @@ QUERIES = {
         op4_warc_round_trip,
         op6_word_first_backoff,
         op8_exact_topk,
+        op9_count_vector_rtree,
         op10_maximum_segments,
     )
 }
 
 ORACLES = {
+    "op9_count_vector_rtree": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+            FROM w),
+        e AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (
+            SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+            WHERE 100 * n >= 80 * (len(x.shingles) + len(y.shingles) - n)),
+        c AS (
+            SELECT doc_id AS id, doc_id AS reached FROM s
+            UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.reached)
+        SELECT s.doc_id, len(s.shingles) AS n_shingles, min(c.reached) AS component_id
+        FROM s JOIN c ON c.id = s.doc_id GROUP BY s.doc_id, len(s.shingles)""",
     "op2_low_discrepancy_mix": """
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('7:' || CAST(doc_id AS VARCHAR)) AS mark
