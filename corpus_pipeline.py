@@ -1,5 +1,54 @@
-"""Stages."""
-STAGES = []
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, mixing, packing, each on what the one before kept."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reelquery.llm.common import checkpoint_dir, fold, table
+from reelquery.llm.mixing import keep_mixed
+from reelquery.llm.packing import pack
+from reelquery.llm.quality import keep_good
+from reelquery.llm.shinglejoin import keep_one
+from reelquery.llm.toxicity import drop_toxic, fit
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_good(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic; learned from the labelled documents outside the held-out fold."""
+    return drop_toxic(docs, fit(docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: 0, 1 or 2 times."""
+    return keep_mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in packed sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+#: Trained models and a tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written as Parquet to the shared checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import checkpoint, fold_texts, map_texts
+from reelquery.llm.rowfilter import where_text
 
 #: Base rules: fewest words, and the percentage of words in repeated three-word windows above which a text fails.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -158,7 +159,26 @@ def divergences(n_words: int, words: list[bytes], classes: np.ndarray, refs: lis
     return out
 
 
-def judge(docs: DataFrame, refs_from: DataFrame | None = None, limits: tuple = (CHARS_DISTANCE, CHARS_GUARD, WORDS_DISTANCE, WORDS_NOISE, WORDS_GUARD)) -> DataFrame:
+LIMITS = (CHARS_DISTANCE, CHARS_GUARD, WORDS_DISTANCE, WORDS_NOISE, WORDS_GUARD)
+NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "chars_distance", "words_distance"]
+
+
+def verdict_on(text: bytes | None, refs: list[dict], limits: tuple = LIMITS) -> tuple:
+    """The values of NAMES after doc_id for one text."""
+    chars_limit, chars_guard, words_base, words_noise, words_guard = limits
+    _, counts = base_counts(text or b"")
+    failed = base_failed(counts[0], counts[4])
+    if failed or not refs:
+        return (*counts, failed, not failed, None, None, None)
+    classes = char_classes(text)
+    found = divergences(counts[0], text.translate(PLAIN).split(), classes, refs)
+    words_limit = words_base + words_noise / counts[0] ** 0.5
+    chars, many = classes.sum() >= chars_guard, counts[0] >= words_guard
+    kept = any((not chars or c <= chars_limit) and (not many or w <= words_limit) for _, c, w in found)
+    return (*counts, failed, kept, *min(found, key=lambda x: (x[1] / chars_limit + x[2] / words_limit, x[0])))
+
+
+def judge(docs: DataFrame, refs_from: DataFrame | None = None, limits: tuple = LIMITS) -> DataFrame:
     """doc_id, the counts of COUNTS, base_failed, kept, and the nearest language with its two distances.
 
     A text that passes the base rules is kept if some language has both its character classes and its common words within
@@ -166,36 +186,22 @@ def judge(docs: DataFrame, refs_from: DataFrame | None = None, limits: tuple = (
     refs_from (by default docs) that have a language and pass the base rules; without any, the base rules decide alone.
     lang is never read for the verdict on a document. A null text has no words and fails. Repeated rows are judged each;
     an empty table gives no rows; extra columns are ignored."""
-    chars_limit, chars_guard, words_base, words_noise, words_guard = limits
     shared = docs.sparkSession.sparkContext.broadcast(references(refs_from if refs_from is not None else docs))
-    names = [x.split()[0] for x in ("doc_id long, " + COUNTS + ", base_failed boolean, kept boolean, nearest string, chars_distance double, words_distance double").split(", ")]
 
     def one():
         refs = shared.value
 
         def work(ids, texts):
-            rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                _, counts = base_counts(text or b"")
-                failed = base_failed(counts[0], counts[4])
-                kept, nearest = not failed, (None, None, None)
-                if not failed and refs:
-                    classes = char_classes(text)
-                    common = text.translate(PLAIN).split()
-                    found = divergences(counts[0], common, classes, refs)
-                    words_limit = words_base + words_noise / counts[0] ** 0.5
-                    chars, many = classes.sum() >= chars_guard, counts[0] >= words_guard
-                    kept = any((not chars or c <= chars_limit) and (not many or w <= words_limit) for _, c, w in found)
-                    nearest = min(found, key=lambda x: (x[1] / chars_limit + x[2] / words_limit, x[0]))
-                rows.append((doc_id, *counts, failed, kept, *nearest))
-            return dict(zip(names, map(list, zip(*rows)) if rows else [[]] * len(names), strict=True))
+            rows = [(doc_id, *verdict_on(text, refs, limits)) for doc_id, text in zip(ids, texts, strict=True)]
+            return dict(zip(NAMES, map(list, zip(*rows)) if rows else [[]] * len(NAMES), strict=True))
 
         return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, "doc_id long, " + COUNTS + ", base_failed boolean, kept boolean, nearest string, chars_distance double, words_distance double")
+    schema = "doc_id long, " + COUNTS + ", base_failed boolean, kept boolean, nearest string, chars_distance double, words_distance double"
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that judge() does not keep."""
-    verdict = judge(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that judge() keeps, in one pass after the references, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+    return where_text(docs, lambda: lambda texts: [verdict_on(text, shared.value)[6] for text in texts])

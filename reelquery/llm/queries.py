@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from reelquery.llm.common import fold, table
 from reelquery.llm.langid import identify
+from reelquery.llm.licenses import scan
 from reelquery.llm.mixing import taken_words
 from reelquery.llm.packing import pack
 from reelquery.llm.quality import judge
+from reelquery.llm.sharding import shards_of
 from reelquery.llm.shinglejoin import near_duplicates
 from reelquery.llm.topk import top_k
-from reelquery.llm.toxicity import score_toxicity
+from reelquery.llm.toxicity import fit, score_toxicity
 from reelquery.llm.warc import archive_round_trip
 
 
@@ -33,12 +35,20 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_trained_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = identify(docs.select("doc_id", "text"), docs.where(fold("doc_id") != 0))
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
@@ -50,7 +60,8 @@ def op9_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score_toxicity(docs, docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = fit(docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    found = score_toxicity(docs, model)
     return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
@@ -61,7 +72,9 @@ QUERIES = {
         op2_low_discrepancy_mix,
         op3_best_fit_packing,
         op4_warc_round_trip,
+        op5_trained_license_classifier,
         op6_word_first_backoff,
+        op7_extendible_hashing,
         op8_exact_topk,
         op9_count_vector_rtree,
         op10_maximum_segments,
@@ -69,6 +82,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_extendible_hashing": """
+        WITH d AS (
+            SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS bytes FROM documents),
+        x AS (
+            SELECT d.*, CAST(depth AS INTEGER) AS depth, h >> CAST(60 - depth AS BIGINT) AS prefix FROM d, range(0, 61) r(depth)),
+        s AS (
+            SELECT *, CAST(sum(bytes) OVER w AS BIGINT) AS shard_bytes, min(h) OVER w AS low, max(h) OVER w AS high
+            FROM x WINDOW w AS (PARTITION BY depth, prefix)),
+        b AS (
+            SELECT doc_id, bytes, depth, prefix, shard_bytes, min(depth) OVER (PARTITION BY doc_id, h) AS least
+            FROM s WHERE shard_bytes <= 16777216 OR low = high)
+        SELECT doc_id, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, shard_bytes FROM b WHERE depth = least""",
     "op9_count_vector_rtree": """
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import WordCache, checkpoint, map_texts
+from reelquery.llm.rowfilter import where_text
 
 #: Labelled documents that the odds are fitted on, at most: those with the smallest hash of their id.
 SAMPLE_DOCS = 40_000
@@ -23,7 +24,9 @@ DRIFT = -0.25
 SIGNIFICANT = 0.05
 #: ASCII characters that are neither letters nor digits part tokens; bytes of other characters belong to tokens.
 TOKENS = bytes(x if x >= 128 or 97 <= x <= 122 or 48 <= x <= 57 else 32 for x in range(256))
-FEATURES = "doc_id long, tokens long, best double, evidence double, segments array<struct<first: int, last: int, score: double>>"
+#: Range of the evidence that calibration tells apart.
+EVIDENCE = (-30.0, 60.0)
+FEATURES = "doc_id long, tokens long, best double, evidence double, segments array<struct<first: int, last: int, score: double>>, score double"
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -103,73 +106,99 @@ def decay(lexicon: dict[str, tuple[float, float]], drift: float = DRIFT) -> floa
     return low
 
 
-def segment_features(docs: DataFrame, weights: dict[str, float], rate: float, drift: float = DRIFT, significant: float = SIGNIFICANT) -> DataFrame:
-    """Per document: tokens, best (its highest segment score), evidence, and its significant segments in token positions.
+def scorer(model: dict, significant: float = SIGNIFICANT):
+    """features(text) -> (tokens, best, evidence, segments, score) under a fitted model.
 
-    A segment of score S is expected E = tokens * exp(-rate * S) times in a background text of that length; evidence adds
+    A segment of score S is expected E = tokens * exp(-rate * S) times in a background text of that length. evidence adds
     up ln(1 / E) over the segments with E below significant, and is ln(1 / E) of the best where none is."""
-    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): odds for w, odds in weights.items()})
-
-    def one():
-        known = shared.value
-        cache = WordCache(lambda _, word: known.get(word, 0.0))
-
-        def work(ids, texts):
-            out: list[tuple] = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                words = tokens_of(text) if text else []
-                n = len(words)
-                score = np.fromiter(map(cache.__getitem__, words), float, n)
-                cache.trim()
-                at = np.flatnonzero(score)
-                segments = maximal_segments(at, score[at], drift)
-                best = max((s for *_, s in segments), default=0.0)
-                bits = [(a, b, s, rate * s - math.log(n)) for a, b, s in segments]
-                sure = [x for x in bits if x[3] > -math.log(significant)]
-                evidence = sum(x[3] for x in sure) if sure else max((x[3] for x in bits), default=-math.log(n + 1))
-                out.append((doc_id, n, best, evidence, [{"first": a, "last": b, "score": s} for a, b, s, _ in sure]))
-            return dict(zip(("doc_id", "tokens", "best", "evidence", "segments"), map(list, zip(*out)) if out else [[]] * 5, strict=True))
-
-        return work
-
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, FEATURES)
-
-
-def platt(features: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression of the label on the evidence, by Newton steps over evidence rounded to
-    tenths within -30 and 60: at most 901 groups reach the driver, however many rows are labelled."""
-    step = F.round(F.least(F.greatest("evidence", F.lit(-30.0)), F.lit(60.0)), 1).alias("x")
-    rows = features.join(labels, "doc_id").groupBy(step).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).orderBy("x").collect()
+    known = {w.encode(): odds for w, odds in model["odds"].items()}
+    rate, slope, shift = model["rate"], model["slope"], model["shift"]
+    cache = WordCache(lambda _, word: known.get(word, 0.0))
+
+    def features(text: bytes | None) -> tuple:
+        words = tokens_of(text) if text else []
+        n = len(words)
+        score = np.fromiter(map(cache.__getitem__, words), float, n)
+        cache.trim()
+        at = np.flatnonzero(score)
+        found = [(a, b, s, rate * s - math.log(n)) for a, b, s in maximal_segments(at, score[at], DRIFT)]
+        sure = [x for x in found if x[3] > -math.log(significant)]
+        evidence = sum(x[3] for x in sure) if sure else max((x[3] for x in found), default=-math.log(n + 1))
+        x = min(max(evidence, EVIDENCE[0]), EVIDENCE[1]) * slope + shift
+        return n, max((x[2] for x in found), default=0.0), evidence, [{"first": a, "last": b, "score": s} for a, b, s, _ in sure], 1 / (1 + math.exp(-x))
+
+    return features
+
+
+def platt(evidence: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression of toxic on evidence, by Newton steps over evidence rounded to tenths
+    within EVIDENCE: at most 901 groups reach the driver, however many rows are labelled."""
+    step = F.round(F.least(F.greatest("evidence", F.lit(EVIDENCE[0])), F.lit(EVIDENCE[1])), 1).alias("x")
+    rows = evidence.groupBy(step).agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).orderBy("x").collect()
     if not rows or not 0 < sum(r["toxic"] for r in rows) < sum(r["n"] for r in rows):
         return 0.0, -20.0
     x, n, y = (np.array([r[k] for r in rows], float) for k in ("x", "n", "toxic"))
     design, beta = np.stack([x, np.ones_like(x)]), np.array([0.0, math.log(y.sum() / (n - y).sum())])
+    ridge = np.array([1e-2, 1e-4])  # a little: classes may be separable
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(beta @ design, -40, 40)))
-        hessian = (design * (n * p * (1 - p))) @ design.T + np.diag([1e-2, 1e-4])  # a little ridge: classes may be separable
-        move = np.linalg.solve(hessian, design @ (y - n * p) - np.array([1e-2, 1e-4]) * beta)
+        move = np.linalg.solve((design * (n * p * (1 - p))) @ design.T + np.diag(ridge), design @ (y - n * p) - ridge * beta)
         beta += np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-9:
             break
     return float(beta[0]), float(beta[1])
 
 
-def score_toxicity(docs: DataFrame, train: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (score >= 0.5), and what the score rests on: tokens, best, evidence, segments.
+def fit(train: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """The model: odds of the lexicon's tokens, rate of the extreme-value law, slope and shift of the calibration.
 
     train holds the documents (doc_id, text) whose labels may be learned, labels has doc_id and toxic (0 or 1; other rows
     and nulls are ignored; a document labelled both ways counts as toxic). Learning uses the labelled documents with the
-    smallest hash of their id, sample_docs at most, so their labels are a bounded broadcast. Null and empty texts have no
-    segment and score as such texts do. Without labels of both kinds every score is nearly 0. Repeated rows are scored
-    each; extra columns are ignored."""
+    smallest hash of their id, sample_docs at most, so their labels are a bounded broadcast. Copies of a text count once
+    for the odds, or their every word would seem to go with their label. Without labels of both kinds every score is
+    nearly 0."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = train.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = checkpoint(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    labelled = train.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
-    # copies of a text count once, or their every word would seem to go with their label
-    firsts = checkpoint(labelled.groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    labelled = checkpoint(train.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id"))
+    firsts = labelled.groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     lexicon = log_odds(labelled.join(F.broadcast(firsts), "doc_id", "left_semi").select("toxic", "text"))
-    features = checkpoint(segment_features(docs, {w: odds for w, (odds, _) in lexicon.items()}, decay(lexicon)))
-    slope, shift = platt(features, known)
-    score = 1 / (1 + F.exp(-(F.least(F.greatest("evidence", F.lit(-30.0)), F.lit(60.0)) * slope + shift)))
-    return features.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = {"odds": {w: odds for w, (odds, _) in lexicon.items()}, "rate": decay(lexicon), "slope": 0.0, "shift": 0.0}
+
+    def one():
+        features = scorer(model)
+        return lambda toxic, texts: {"toxic": toxic, "evidence": [features(text)[2] for text in texts]}
+
+    model["slope"], model["shift"] = platt(map_texts(labelled.select("toxic", "text"), one, "toxic int, evidence double"))
+    return model
+
+
+def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, score (0 to 1), predicted (score >= 0.5), and what the score rests on: tokens, best (the highest segment
+    score), evidence, and the significant segments in token positions.
+
+    Null and empty texts have no segment and score as such texts do. Repeated rows are scored each; an empty table gives no
+    rows; extra columns are ignored."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def one():
+        features = scorer(shared.value)
+
+        def work(ids, texts):
+            rows = [(doc_id, *features(text)) for doc_id, text in zip(ids, texts, strict=True)]
+            return dict(zip(("doc_id", "tokens", "best", "evidence", "segments", "score"), map(list, zip(*rows)) if rows else [[]] * 6, strict=True))
+
+        return work
+
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, FEATURES).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that are not predicted toxic, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def one():
+        features = scorer(shared.value)
+        return lambda texts: [features(text)[4] < 0.5 for text in texts]
+
+    return where_text(docs, one)
