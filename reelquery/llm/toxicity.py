@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import WordCache, checkpoint, map_texts
+from reelquery.llm.common import checkpoint, map_texts
 from reelquery.llm.rowfilter import where_text
 
 #: Labelled documents that the odds are fitted on, at most: those with the smallest hash of their id.
@@ -113,13 +113,10 @@ def scorer(model: dict, significant: float = SIGNIFICANT):
     up ln(1 / E) over the segments with E below significant, and is ln(1 / E) of the best where none is."""
     known = {w.encode(): odds for w, odds in model["odds"].items()}
     rate, slope, shift = model["rate"], model["slope"], model["shift"]
-    cache = WordCache(lambda _, word: known.get(word, 0.0))
-
     def features(text: bytes | None) -> tuple:
         words = tokens_of(text) if text else []
         n = len(words)
-        score = np.fromiter(map(cache.__getitem__, words), float, n)
-        cache.trim()
+        score = np.fromiter((known.get(word, 0.0) for word in words), float, n)
         at = np.flatnonzero(score)
         found = [(a, b, s, rate * s - math.log(n)) for a, b, s in maximal_segments(at, score[at], DRIFT)]
         sure = [x for x in found if x[3] > -math.log(significant)]
