@@ -1 +1 @@
-
+"""Reading and writing manifests, annotations and inventories."""
