@@ -2,45 +2,51 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import os
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import WordCache, checkpoint, map_texts
+from reelquery.llm.common import checkpoint, map_texts, text_bytes
 
 WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 #: Groups that shingles are hashed into: the dimensions of a count vector.
-GROUPS = 64
+GROUPS = 256
 #: Cells of the sketch of frequent shingles (log2): a broadcast of that many 32-bit counters, whatever the input.
-SKETCH_BITS = 20
+SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Sets that share an indexed shingle: up to so many are paired at once, more go through the R-tree.
 PAIRED_AT_ONCE = 16
+#: Rounds of the R-tree: at first only the best pairs of each group so far, which mostly joins what belongs together; the
+#: last round (None) checks every pair between groups that may link.
+ROUNDS = (2, None)
 #: Postings of an index partition, points of an R-tree leaf, points of a tree, partners of a set that one task checks.
 POSTINGS, LEAF, POINTS, PARTNERS = 1_000_000, 32, 2_048, 256
-#: Bits of the bitmap of documents whose sets are needed again.
-BITMAP_BITS = 24
+#: Bits of the bitmap of documents whose sets are needed again; rows up to which a small side is broadcast (16 bytes each).
+BITMAP_BITS, BROADCAST_ROWS = 24, 500_000
 #: Odd 64-bit multipliers of the shingle hash.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordCache:
-    return WordCache(lambda _, word: xxhash.xxh3_64_intdigest(word))
+def word_hash():
+    """A 64-bit hash of words that all workers share: Python's own where its seed is fixed, as Spark fixes it for workers."""
+    if os.environ.get("PYTHONHASHSEED", "random") != "random":
+        return hash
+    return lambda word: xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def shingles(text: bytes | None, cache: WordCache) -> np.ndarray:
+def shingles(text: bytes | None, hashed) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct WIDTH-word shingles; of its whole sequence if it has fewer words."""
     words = text.lower().split() if text else []  # bytes.lower() lowers A-Z alone
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    cache.trim()
+    h = np.fromiter(map(hashed, words), np.int64, len(words)).view(np.uint64)
     width = min(WIDTH, len(h))
     n = len(h) - width + 1
     x = np.full(n, width, np.uint64)
@@ -65,38 +71,62 @@ def key_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, key (of the whole set; null if empty) and its count vector; kind 1: cell and n of the sketch.
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in the narrowest unsigned integers that hold it."""
+    top = counts.max()
+    return counts.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
-    The sketch counts shingles by hash cell; a task reports the cells that stand out among its own."""
 
-    def one():
-        cache, cells = word_hashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+def vectors(column) -> np.ndarray:
+    kinds = {GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}
+    return np.stack([np.frombuffer(x, kinds[len(x)]).astype(np.int64) for x in column]) if len(column) else np.empty((0, GROUPS), np.int64)
 
-        def work(ids, texts):
-            cells[:] = 0
-            rows: dict[str, list] = {"kind": [], "doc_id": [], "n": [], "key": [], "vec": []}
-            total = 0
-            for doc_id, text in zip(ids, texts, strict=True):
-                found = shingles(text, cache)
-                n = len(found)
-                np.add.at(cells, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                total += n
-                vec = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() if n else None
-                for name, value in zip(rows, (0, doc_id, n, key_of(found) if n else None, vec), strict=True):
-                    rows[name].append(value)
-            mean = total / len(cells)
-            high = np.flatnonzero(cells > 8 + 2 * mean + 6 * mean**0.5)
-            rows["kind"] += [1] * len(high)
-            rows["doc_id"] += [None] * len(high)
-            rows["n"] += cells[high].tolist()
-            rows["key"] += high.tolist()
-            rows["vec"] += [None] * len(high)
-            return rows
 
-        return work
+SETS = "kind int, doc_id long, n long, key long, vec binary"
 
-    return map_texts(docs, one, "kind int, doc_id long, n long, key long, vec binary")
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """kind 0: doc_id, n, key (of the whole set; null if empty) and its count vector; kind 1: parts of the task's sketch, the
+    counts of its shingles by hash cell (key: which part, vec: its packed counts)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = to_arrow_schema(_parse_datatype_string(SETS))
+
+    def run(batches):
+        hashed, cells = word_hash(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows: list[tuple] = []
+                for doc_id, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
+                    found = shingles(text, hashed)
+                    if len(found):
+                        np.add.at(cells, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                        rows.append((0, doc_id, len(found), key_of(found), packed(np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS))))
+                    else:
+                        rows.append((0, doc_id, 0, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+        packs = [zlib.compress(x.tobytes(), 1) for x in np.split(cells, SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([1] * SKETCH_PARTS, [None] * SKETCH_PARTS, [0] * SKETCH_PARTS, range(SKETCH_PARTS), packs), schema, strict=True)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+
+
+def sketch_of(made: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches, part by part."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+        for x in part["vec"]:
+            total += np.frombuffer(zlib.decompress(x), np.uint32)
+        return pd.DataFrame({"key": [part["key"].iloc[0]], "vec": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    parts = made.where("kind = 1").select("key", "vec").groupBy("key").applyInPandas(add, "key long, vec binary").toPandas()
+    sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int32)
+    for key, vec in zip(parts["key"], parts["vec"], strict=True):
+        sketch[key] = np.frombuffer(vec, np.int32)
+    return sketch.ravel()
 
 
 def postings_of(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
@@ -107,23 +137,23 @@ def postings_of(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def one():
-        cache, frequent = word_hashes(), shared.value
+        hashed, frequent = word_hash(), shared.value
 
         def work(_, texts):
             seen: set[int] = set()
             hashes, keys, sizes = [], [], []
             for text in texts:
-                found = shingles(text, cache)
+                found = shingles(text, hashed)
                 n = len(found)
                 key = key_of(found)
                 if not n or key in seen:
                     continue
                 seen.add(key)
                 often = frequent[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = found[np.lexsort((found, often))[: indexed(n)]]
+                first = found[np.argsort(often, kind="stable")[: indexed(n)]]  # found is in the order of the hashes
                 hashes.append(first)
                 keys.append(np.full(len(first), key, np.int64))
-                sizes.append(np.full(len(first), n, np.int64))
+                sizes.append(np.full(len(first), n, np.uint32))
             if not hashes:
                 return {"part": [], "hashes": [], "keys": [], "sizes": []}
             h, k, s = map(np.concatenate, (hashes, keys, sizes))
@@ -131,6 +161,7 @@ def postings_of(docs: DataFrame, sketch: np.ndarray, parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             at, starts = np.unique(part[order], return_index=True)
             cut = lambda x: [y.tobytes() for y in np.split(x[order], starts[1:])]
+            h = (h >> np.uint64(32)).astype(np.uint32)  # with the part, enough to tell shingles apart; a clash is one more candidate
             return {"part": at.tolist(), "hashes": cut(h), "keys": cut(k), "sizes": cut(s)}
 
         return work
@@ -142,7 +173,7 @@ def pairs_in_part(group: pd.DataFrame) -> pd.DataFrame:
     """Candidates of an index partition: pairs (run null) of sets that share an indexed shingle and may link by size, and
     for runs of more than PAIRED_AT_ONCE sets, pairs with the run's smallest set of a size class and its members (b null)."""
     join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group[name]])
-    h, k, s = join("hashes", np.uint64), join("keys", np.int64), join("sizes", np.int64)
+    h, k, s = join("hashes", np.uint32).astype(np.int64) << 31 | int(group["part"].iloc[0]), join("keys", np.int64), join("sizes", np.uint32).astype(np.int64)
     order = np.lexsort((k, s, h))
     h, k, s = h[order], k[order], s[order]
     fresh = np.ones(len(h), bool)
@@ -164,7 +195,7 @@ def pairs_in_part(group: pd.DataFrame) -> pd.DataFrame:
             a.append(np.full(to - at - 1, k[at]))
             b.append(k[at + 1 : to])
             at = to
-        runs.append(np.full(n, h[start]).view(np.int64))
+        runs.append(np.full(n, h[start]))
         members.append(k[start:end])
     a, b = np.concatenate(a), np.concatenate(b)
     pairs = pd.DataFrame({"run": pd.array([None] * len(a), "Int64"), "a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64")}).drop_duplicates(["a", "b"])
@@ -174,10 +205,6 @@ def pairs_in_part(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([pairs, pd.DataFrame({"run": pd.array(r, "Int64"), "a": m, "b": pd.array([None] * len(m), "Int64")})])
 
 
-def vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u4").reshape(-1, GROUPS).astype(np.int64)
-
-
 def bounded(pairs: DataFrame) -> DataFrame:
     """The pairs (with na, nb, va, vb) whose overlap can suffice: it is at most the sum of their coordinate minima."""
 
@@ -194,47 +221,68 @@ class Tree:
     def __init__(self, points: pd.DataFrame):
         points = points.sort_values(["label", "n", "id"], ignore_index=True)
         self.ids, self.labels, self.n = (points[x].to_numpy() for x in ("id", "label", "n"))
-        self.vec = vectors(points["vec"])
+        vec = vectors(points["vec"])
+        self.vec = vec.astype(np.uint16) if vec.max() < 1 << 16 else vec  # narrow integers are compared faster
         cuts = np.arange(0, len(points), LEAF)
         self.leaves = [slice(c, c + LEAF) for c in cuts]
-        self.high = np.maximum.reduceat(self.vec, cuts)
-        self.least = np.minimum.reduceat(self.n, cuts)
+        self.high = np.maximum.reduceat(vec, cuts)
+        self.least, self.most = np.minimum.reduceat(self.n, cuts), np.maximum.reduceat(self.n, cuts)
         self.label = [self.labels[x][0] if (self.labels[x] == self.labels[x][0]).all() else None for x in self.leaves]
 
-    def pairs(self, other: Tree) -> list[tuple[int, int]]:
-        """Ids of points of different labels whose overlap can suffice; boxes that can't reach it are never opened."""
+    def pairs(self, other: Tree) -> pd.DataFrame:
+        """Points (a, b) of different labels (la, lb) whose overlap can suffice, and by what factor it may (room); boxes that
+        can't reach it are never opened. With itself, a tree gives each pair once."""
         found = []
         for i, leaf in enumerate(self.leaves):
             reach = np.minimum(self.high[i], other.high).sum(1) >= needed(self.least[i], other.least)
+            reach &= (NUM * self.least[i] <= DEN * other.most) & (NUM * other.least <= DEN * self.most[i])
             for j in np.flatnonzero(reach):
-                if self.label[i] is not None and self.label[i] == other.label[j]:
+                if (self is other and j < i) or (self.label[i] is not None and self.label[i] == other.label[j]):
                     continue
-                to = other.leaves[j]
-                overlap = np.minimum(self.vec[leaf][:, None, :], other.vec[to][None, :, :]).sum(2)
-                good = (overlap >= needed(self.n[leaf][:, None], other.n[to][None, :])) & (self.labels[leaf][:, None] != other.labels[to][None, :])
-                x, y = np.nonzero(good)
-                found += zip(self.ids[leaf][x].tolist(), other.ids[to][y].tolist(), strict=True)
-        return found
-
-
-def tree_pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a < b) of one group of a run: points of block `one` against those of block `two`."""
-    left, right = group[group["block"] == group["one"]], group[group["block"] == group["two"]]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    found = np.array(Tree(left).pairs(Tree(right)), np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": found.min(1), "b": found.max(1)}).drop_duplicates()
-
-
-def run_candidates(members: DataFrame) -> DataFrame:
-    """Pairs of sets of different labels that share a large run (members: run, id, label, n, vec) and may link. Runs that
-    are one group already are skipped; others are cut into blocks of about POINTS points, each two of which meet in a task."""
-    size = members.groupBy("run").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+                n, m = self.n[leaf][:, None], other.n[other.leaves[j]][None, :]
+                x, y = np.nonzero((NUM * n <= DEN * m) & (NUM * m <= DEN * n) & (self.labels[leaf][:, None] != other.labels[other.leaves[j]][None, :]))
+                x, y = x + leaf.start, y + other.leaves[j].start
+                if self is other and j == i:
+                    x, y = x[x < y], y[x < y]
+                overlap = np.minimum(self.vec[x], other.vec[y]).sum(1, dtype=np.int64)
+                good = overlap >= needed(self.n[x], other.n[y])
+                x, y, room = x[good], y[good], overlap[good] / needed(self.n[x[good]], other.n[y[good]])
+                found.append(pd.DataFrame({"a": self.ids[x], "b": other.ids[y], "la": self.labels[x], "lb": other.labels[y], "room": room}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "la": [], "lb": [], "room": []}).astype("int64")
+
+
+def tree_pairs(best: int | None):
+    """Pairs (a < b) of one group of a run: points of block `one` against those of block `two`. With best, only those that
+    are among the best pairs of one of their labels."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["block"] == group["one"]], group[group["block"] == group["two"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        tree = Tree(left)
+        found = tree.pairs(tree if group["one"].iloc[0] == group["two"].iloc[0] else Tree(right))
+        if best is not None and len(found):
+            found = found.sort_values(["room", "a", "b"], ascending=[False, True, True], ignore_index=True)
+            sides = pd.DataFrame({"label": np.concatenate([found["la"], found["lb"]]), "at": np.tile(np.arange(len(found)), 2)}).sort_values("at", kind="stable")
+            found = found.loc[np.unique(sides[sides.groupby("label").cumcount() < best]["at"])]
+        a, b = found["a"].to_numpy(np.int64), found["b"].to_numpy(np.int64)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return pairs
+
+
+def run_candidates(members: DataFrame, nodes: DataFrame, best: int | None = None) -> DataFrame:
+    """Pairs of sets of different labels that share a large run (members: run, id, label) and may link. Runs that are one
+    group already are skipped, and of runs with the same members one is taken; the others are cut into blocks of about
+    POINTS points, each two of which meet in a task with their count vectors (nodes: id, n, vec). With best, a task gives
+    only the best pairs of each label."""
+    facts = members.groupBy("run").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("mark"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = facts.where("low < high").groupBy("size", "mark").agg(F.min("run").alias("run"))
     blocks = F.ceil(F.col("size") / POINTS).cast("int")
-    open_ = members.join(size.where("low < high").select("run", blocks.alias("blocks")), "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = open_.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("run", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "id", "label", "n", "vec")
-    return dealt.groupBy("run", "one", "two").applyInPandas(tree_pairs, "a long, b long").distinct()
+    rows = members.join(open_.select("run", blocks.alias("blocks")), "run").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = other.select("run", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "id", "label")
+    return dealt.join(nodes.select("id", "n", "vec"), "id").groupBy("run", "one", "two").applyInPandas(tree_pairs(best), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -247,7 +295,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     tiled = pairs.join(many, "a").select("a", "b", F.struct("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")).alias("tile"))
     tiles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     tiled = checkpoint(tiled.select("a", "b", F.pmod(F.xxhash64("tile.a", "tile.chunk"), F.lit(tiles)).alias("tile")))
-    wanted = tiled.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = checkpoint(tiled.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct())
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     words = wanted.select(bit.cast("int").alias("at")).selectExpr("at div 32 AS word", "shiftleft(1L, at % 32) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
@@ -255,7 +303,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap)
 
     def one():
-        cache, bits = word_hashes(), shared.value
+        hashed, bits = word_hash(), shared.value
 
         def work(ids, texts):
             out = {"id": [], "hashes": []}
@@ -263,15 +311,15 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 doc_id, at = (int(x) for x in packed.split(":"))
                 if bits[at >> 5] >> (at & 31) & 1:
                     out["id"].append(doc_id)
-                    out["hashes"].append(shingles(text, cache).tobytes())
+                    out["hashes"].append(shingles(text, hashed).tobytes())
             return out
 
         return work
 
     of = F.concat_ws(":", F.col("doc_id").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).cast("string"))
     found = map_texts(docs.where("doc_id IS NOT NULL").select(of, "text"), one, "id long, hashes binary")
-    # rows that repeat an id have one text in common use; were they to differ, the smallest set stands for the id
-    sets = wanted.join(found, "id").select(F.col("tile").alias("of_tile"), "id", "hashes")
+    few = wanted.count() <= BROADCAST_ROWS
+    sets = found.join(F.broadcast(wanted) if few else wanted, "id").select(F.col("tile").alias("of_tile"), "id", "hashes")
 
     def check(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         of = {i: np.frombuffer(h, np.uint64) for i, h in zip(sets["id"], sets["hashes"], strict=True)}
@@ -309,13 +357,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one point. Linked sets share one of their first shingles in a common order (rare ones first), so an
     index of these finds every candidate; the count vectors bound its overlap before the sets are compared. Where many sets
-    share an indexed shingle, only the smallest is paired with the others at first; the R-tree then finds what may link
-    beyond the groups so formed. No pair that may link is left out, and none of a group's pairs is needed twice."""
+    share an indexed shingle, only the smallest of a size class is paired with the others at first; the R-tree then finds
+    what may link beyond the groups so formed. No pair that may link is left out, and none of a group's pairs is needed twice."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = checkpoint(sets_of(texts))
-    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-    cells = made.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    sketch[cells["key"].to_numpy(np.int64)] = np.minimum(cells["n"].to_numpy(np.int64), 2**31 - 1)
+    sketch = sketch_of(made)
     sets = made.where("kind = 0").select("doc_id", "n", "key", "vec")
     nodes = checkpoint(sets.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec")))
     total = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
@@ -326,10 +372,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")))
     links = checkpoint(verified(pairs, texts))
     labels = components(links)
-    members = found.where("run IS NOT NULL").select("run", F.col("a").alias("key")).join(nodes, "key").join(labels, "id", "left").select("run", "id", F.coalesce("label", "id").alias("label"), "n", "vec")
-    more = checkpoint(run_candidates(members).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(links.unionByName(verified(more, texts)))
+    for best in ROUNDS:
+        named = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        members = checkpoint(found.where("run IS NOT NULL").select("run", F.col("a").alias("key")).join(named, "key").select("run", "id", "label"))
+        more = checkpoint(run_candidates(members, nodes, best).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = checkpoint(links.unionByName(verified(more, texts)))
+            labels, pairs = components(links), pairs.unionByName(more)
     named = nodes.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component"))
     rows = sets.where("doc_id IS NOT NULL AND key IS NOT NULL").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return rows.unionByName(sets.where("doc_id IS NULL OR key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

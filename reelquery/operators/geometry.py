@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -69,25 +70,28 @@ def match_boxes(boxes: DataFrame, threshold: float = 0.5, key: str = "scene_id")
     rivals = pairs.groupBy(key).agg((F.count("*") > F.least(F.countDistinct("gt_id"), F.countDistinct("det_id"))).alias("_rivals"))
     pairs = pairs.join(rivals, key)
 
-    def solve(scene: pd.DataFrame) -> pd.DataFrame:
-        gt, row = np.unique(scene["gt_id"], return_inverse=True)
-        det, column = np.unique(scene["det_id"], return_inverse=True)
+    def keep(gt: np.ndarray, det: np.ndarray, iou: np.ndarray) -> np.ndarray:
+        gt, row = np.unique(gt, return_inverse=True)
+        det, column = np.unique(det, return_inverse=True)
         gain = np.zeros((len(gt), len(det)))
-        gain[row, column] = min(gain.shape) + 1 + scene["iou"]
-        chosen = {pair for pair in assignment(gain) if gain[pair] > 0}
-        return scene[[pair in chosen for pair in zip(row, column, strict=True)]]
+        gain[row, column] = min(gain.shape) + 1 + iou
+        chosen = np.zeros(gain.shape, bool)
+        chosen[tuple(zip(*assignment(gain), strict=True))] = True
+        return chosen[row, column]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the last scene of a batch may go on in the next one
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            scene = batch[key].to_numpy()
-            cuts = np.flatnonzero(scene[1:] != scene[:-1]) + 1
-            last = cuts[-1] if len(cuts) else 0
-            held = batch.iloc[last:]
-            yield from (solve(batch.iloc[i:j]) for i, j in zip([0, *cuts[:-1]], cuts))
-        if held is not None and len(held):
-            yield solve(held)
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            scene, gt, det, iou = (rows[x].to_numpy() for x in (key, "gt_id", "det_id", "iou"))
+            cuts = [0, *(np.flatnonzero(scene[1:] != scene[:-1]) + 1).tolist(), len(rows)]
+            ends = cuts if batch is None else cuts[:-1]
+            kept = [keep(gt[i:j], det[i:j], iou[i:j]) for i, j in zip(ends, ends[1:])]
+            held = None if batch is None else rows.iloc[ends[-1] :]
+            if kept:
+                yield rows.iloc[: ends[-1]][np.concatenate(kept)]
 
     # a scene whose boxes have one partner each is matched already
     alone, contested = pairs.where(~F.col("_rivals")).drop("_rivals"), pairs.where("_rivals").drop("_rivals")
