@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window as W
 
 from reelquery.llm.common import checkpoint, text_bytes
@@ -21,7 +22,7 @@ CELLS = 1_024
 GOLDEN = 0.6180339887498949
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
     return pa.array([0 if b is None else len(b.split()) for b in text_bytes(text)], pa.int64())
 
