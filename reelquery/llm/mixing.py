@@ -132,6 +132,6 @@ def keep_mixed(docs: DataFrame, **settings) -> DataFrame:
     per_pass = spans.groupBy("sid", "start", "doc_id", "pass").agg(F.sum("n_words").alias("n"), F.first("size").alias("size"))
     copies = per_pass.where("2 * n >= size").groupBy("doc_id").agg(F.count("*").alias("copies"))
     copies = copies.unionByName(placed.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("copies")).distinct())
-    copies = checkpoint(copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies")))
-    rows = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return rows.select(*docs.columns)
+    copies = copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    of = checkpoint(copies.select(F.col("doc_id").alias("of"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("of"))
+    return docs.alias("d").join(of.alias("c"), F.col("d.doc_id") == F.col("c.of")).select("d.*")
