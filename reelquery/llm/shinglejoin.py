@@ -296,6 +296,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     tiles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     tiled = checkpoint(tiled.select("a", "b", F.pmod(F.xxhash64("tile.a", "tile.chunk"), F.lit(tiles)).alias("tile")))
     wanted = checkpoint(tiled.select("tile", F.explode(F.array("a", "b")).alias("id")).distinct())
+    rows = wanted.count()
+    if not rows:
+        return tiled.select("a", "b")
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     words = wanted.select(bit.cast("int").alias("at")).selectExpr("at div 32 AS word", "shiftleft(1L, at % 32) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.int64)
@@ -318,7 +321,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     of = F.concat_ws(":", F.col("doc_id").cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).cast("string"))
     found = map_texts(docs.where("doc_id IS NOT NULL").select(of, "text"), one, "id long, hashes binary")
-    few = wanted.count() <= BROADCAST_ROWS
+    few = rows <= BROADCAST_ROWS
     sets = found.join(F.broadcast(wanted) if few else wanted, "id").select(F.col("tile").alias("of_tile"), "id", "hashes")
 
     def check(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -330,13 +333,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep.append(both >= needed(len(x), len(y)))
         return pairs.loc[keep, ["a", "b"]]
 
-    return tiled.groupBy("tile").cogroup(sets.groupBy("of_tile")).applyInPandas(check, "a long, b long")
+    return checkpoint(tiled.groupBy("tile").cogroup(sets.groupBy("of_tile")).applyInPandas(check, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, label: the smallest id that links reach, for every id in links (a, b). Each round takes the smallest label among
     the neighbours, then the label of the label, so the rounds grow with the logarithm of a group's diameter."""
-    edges = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpoint(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"))
     while True:
         near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -344,7 +347,7 @@ def components(links: DataFrame) -> DataFrame:
         up = step.select(F.col("id").alias("at"), F.col("to").alias("top"))
         moved = checkpoint(step.join(up, step["to"] == up["at"], "left").select("id", F.least("to", F.coalesce("top", "to")).alias("label"), "old"))
         labels = moved.select("id", "label")
-        if moved.where("label < old").isEmpty():
+        if not moved.where("label < old").agg(F.count("*")).first()[0]:
             return labels
 
 
@@ -370,15 +373,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = lambda x: nodes.select(F.col("key").alias(x), F.col("id").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"))
     pairs = bounded(found.where("run IS NULL").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b"))
     pairs = checkpoint(pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")))
-    links = checkpoint(verified(pairs, texts))
+    links = verified(pairs, texts)
     labels = components(links)
     for best in ROUNDS:
         named = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         members = checkpoint(found.where("run IS NOT NULL").select("run", F.col("a").alias("key")).join(named, "key").select("run", "id", "label"))
         more = checkpoint(run_candidates(members, nodes, best).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = checkpoint(links.unionByName(verified(more, texts)))
-            labels, pairs = components(links), pairs.unionByName(more)
+        new = verified(more, texts)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
+        pairs = pairs.unionByName(more)
     named = nodes.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("component"))
     rows = sets.where("doc_id IS NOT NULL AND key IS NOT NULL").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return rows.unionByName(sets.where("doc_id IS NULL OR key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
