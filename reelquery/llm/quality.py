@@ -131,8 +131,8 @@ def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_sha
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = checkpoint(reference_counts(rows))
     per_lang = counted.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("words"))
-    every = per_lang.agg(F.sum("words").alias("every"))
-    large = per_lang.join(F.broadcast(every)).where(F.col("words") >= F.lit(language_share) * F.col("every")).select("lang", "words")
+    every = per_lang.agg(F.sum("words")).first()[0] or 0
+    large = per_lang.where(F.col("words") >= language_share * every).select("lang", "words")
     found = counted.join(F.broadcast(large), "lang").where((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("n") >= F.lit(common_share) * F.col("words"))).collect()
     out = []
     for lang in sorted({r["lang"] for r in found}):
