@@ -123,3 +123,38 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
         raise ValueError("expected offset >= 0 and 0 < limit <= 1000")
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
+
+
+def job_details(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs with their state, progress and ordered items."""
+    own = items.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("item_seq", "clip_id", "status", "attempts"))).alias("item_list"))
+    return jobs.join(job_states(items), "job_id").join(own, "job_id")
+
+
+def current_revisions(events: DataFrame) -> DataFrame:
+    """The result of each session's latest revision; stale ones are left out (session, revision, result)."""
+    return events.groupBy("session").agg(F.max("revision").alias("revision"), F.max_by("result", "revision").alias("result"))
+
+
+def delete_uploads(uploads: DataFrame, requested: DataFrame, items: DataFrame) -> DataFrame:
+    """uploads after deleting the bytes of owned clips without open items; identity and results stay, as status deleted."""
+    active = items.where(F.col("status").isin(*ACTIVE)).select("clip_id").distinct()
+    hit = requested.select("clip_id").distinct().join(active, "clip_id", "left_anti").withColumn("_hit", F.lit(True))
+    rows = uploads.join(hit, "clip_id", "left")
+    gone = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("owned")
+    return rows.withColumn("status", F.when(gone, "deleted").otherwise(F.col("status"))).select(*uploads.columns)
+
+
+def new_reviews(existing: DataFrame, proposals: DataFrame, items: DataFrame) -> DataFrame:
+    """Reviews (job_id, item_seq, decision) that may be appended, with their seq: only of completed items, after those there."""
+    done = items.where("status = 'completed'").select("job_id", "item_seq")
+    last = existing.groupBy("job_id", "item_seq").agg(F.max("seq").alias("_last"))
+    rows = proposals.join(done, ["job_id", "item_seq"], "left_semi").join(last, ["job_id", "item_seq"], "left")
+    turn = F.row_number().over(W.partitionBy("job_id", "item_seq").orderBy("decision"))
+    return rows.select("job_id", "item_seq", "decision", (F.coalesce("_last", F.lit(0)) + turn).alias("seq"))
+
+
+def snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """Copy tables to a new folder; an existing target is an error."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
