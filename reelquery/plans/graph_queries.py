@@ -14,7 +14,7 @@ RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
 def clip_edges(s, d):
     """Links by equal content, and between some neighbouring ids."""
     clips = view(s, d, "v_clips")
-    near = clips.where("clip_id % 5 = 0").select(F.col("clip_id").alias("a"), (F.col("clip_id") + 7).alias("b"))
+    near = clips.where("collection = 'es'").select(F.col("clip_id").alias("a"), (F.col("clip_id") + 7).alias("b"))
     return g.token_edges(clips, "clip_id", "sha256").unionByName(near.join(clips.select(F.col("clip_id").alias("b")), "b").select("a", "b"))
 
 
@@ -33,7 +33,7 @@ def hashes(s, d):
 def inheritance(s, d):
     clips = view(s, d, "v_clips").groupBy(F.col("source_video_id").alias("ref")).agg(F.first("split").alias("split"))
     sources = view(s, d, "v_truth").groupBy(F.col("source_video_id").alias("source")).agg(F.lit("train").alias("split"))
-    links = view(s, d, "v_truth").where("video_id % 3 = 0").select(F.col("source_video_id").alias("source"), F.concat(F.lit("src"), (F.col("video_id") % 17).cast("string")).alias("ref")).distinct()
+    links = view(s, d, "v_truth").where("group_label < 2").select(F.col("source_video_id").alias("source"), F.concat(F.lit("src"), (F.col("video_id") % 17).cast("string")).alias("ref")).distinct()
     return g.inherited_split(sources, links, clips)
 
 
@@ -51,14 +51,14 @@ def assessed(s, d):
 
 def reconciled(s, d):
     clips = view(s, d, "v_clips").select("clip_id", "collection", "duration")
-    left = clips.where("clip_id % 11 <> 0")
-    right = clips.where("clip_id % 7 <> 0").select("clip_id", F.expr("CASE WHEN clip_id % 13 = 0 THEN 'xx' ELSE collection END").alias("collection"), F.expr("CASE WHEN clip_id % 9 = 0 THEN NULL ELSE duration END").alias("duration"))
+    left = clips.where("duration < 150")
+    right = clips.where("duration > 20").select("clip_id", F.expr("CASE WHEN clip_id % 13 = 0 THEN 'xx' ELSE collection END").alias("collection"), F.expr("CASE WHEN clip_id % 9 = 0 THEN NULL ELSE duration END").alias("duration"))
     return i.reconcile(left, right, "clip_id", ["collection", "duration"]).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 def historical(s, d):
     clips = view(s, d, "v_clips")
-    return i.exclude_historical(clips, clips.where("source_video_id IN ('src1', 'src2')"), clips.where("clip_id % 10 = 3")).select("clip_id", "source_video_id", "sha256")
+    return i.exclude_historical(clips, clips.where("source_video_id IN ('src1', 'src2')"), clips.where("collection = 'es'")).select("clip_id", "source_video_id", "sha256")
 
 
 def leaking(s, d):
@@ -79,7 +79,7 @@ QUERIES = {
     "hamming_pairs": lambda s, d: g.hamming_pairs(hashes(s, d), hashes(s, d), 16, 62).where("a < b"),
     "near_duplicate_pairs": lambda s, d: g.near_duplicates(frames(s, d), 20, 62),
     "reference_link_counts": lambda s, d: g.frame_matches(frames(s, d), 20, 62).where("matches >= 1"),
-    "adjacent_time_links": lambda s, d: g.adjacent_links(view(s, d, "v_jobs").unionByName(view(s, d, "v_jobs").where("1 = 0")).withColumn("kind", F.col("cancel_requested")), "job_id", "created_at", "kind", 86400.0),
+    "adjacent_time_links": lambda s, d: g.adjacent_links(view(s, d, "v_jobs").withColumn("kind", F.col("cancel_requested")), "job_id", "created_at", "kind", 86400.0),
     "connected_components": components,
     "split_inheritance": inheritance,
     "leakage_check": leaking,
@@ -123,12 +123,12 @@ ORACLES = {
     "adjacent_time_links": oracle(""", l AS (SELECT job_id AS b, lag(job_id) OVER w AS a, epoch_us(created_at) / CAST(1000000 AS DOUBLE) - epoch_us(lag(created_at) OVER w) / CAST(1000000 AS DOUBLE) AS gap,
         cancel_requested = lag(cancel_requested) OVER w AS same FROM v_jobs WINDOW w AS (ORDER BY created_at, job_id)) SELECT a, b, gap FROM l WHERE same AND gap <= 86400"""),
     "connected_components": oracle(""", e0 AS (SELECT a.clip_id AS a, b.clip_id AS b FROM v_clips a JOIN v_clips b ON a.sha256 = b.sha256 AND a.clip_id <> b.clip_id
-            UNION SELECT a.clip_id, b.clip_id FROM v_clips a JOIN v_clips b ON a.clip_id % 5 = 0 AND b.clip_id = a.clip_id + 7),
+            UNION SELECT a.clip_id, b.clip_id FROM v_clips a JOIN v_clips b ON a.collection = 'es' AND b.clip_id = a.clip_id + 7),
         e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
         c AS (SELECT clip_id AS id, clip_id AS reached FROM v_clips UNION SELECT c.id, e.b FROM c JOIN e ON e.a = c.reached)
         SELECT id, min(reached) AS root FROM c GROUP BY id"""),
     "split_inheritance": oracle(""", ref AS (SELECT source_video_id AS ref, min(split) AS split FROM v_clips GROUP BY 1),
-        l AS (SELECT DISTINCT source_video_id AS source, 'src' || CAST(video_id % 17 AS VARCHAR) AS ref FROM v_truth WHERE video_id % 3 = 0),
+        l AS (SELECT DISTINCT source_video_id AS source, 'src' || CAST(video_id % 17 AS VARCHAR) AS ref FROM v_truth WHERE group_label < 2),
         s AS (SELECT DISTINCT source_video_id AS source FROM v_truth),
         n AS (SELECT source, count(DISTINCT split) AS n, max(split) AS split, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS test FROM l JOIN ref USING (ref) GROUP BY source)
         SELECT s.source, CASE WHEN test = 1 OR n > 1 THEN NULL WHEN n = 1 THEN n.split ELSE 'train' END AS split,
@@ -144,12 +144,12 @@ ORACLES = {
     "assess_annotation_issues": oracle(f", {ASSESS} SELECT clip_id, nl AS normalized_label, du AS duration_s, start_s, end_s, coalesce(array_to_string(issues, ','), '') AS issues, CASE WHEN end_s IS NOT NULL THEN greatest(end_s - du, 0) END AS end_excess FROM y"),
     "import_quarantine": oracle(f", {ASSESS}, z AS (SELECT unnest(issues) AS issue FROM y) SELECT issue, count(*) AS n FROM z GROUP BY issue"),
     "accepted_annotations": oracle(f", {ASSESS} SELECT clip_id, nl AS normalized_label, start_s, end_s FROM y WHERE len(issues) = 0"),
-    "reconcile_sources": oracle(""", l AS (SELECT clip_id, collection, duration FROM v_clips WHERE clip_id % 11 <> 0),
-        r AS (SELECT clip_id, CASE WHEN clip_id % 13 = 0 THEN 'xx' ELSE collection END AS collection, CASE WHEN clip_id % 9 <> 0 THEN duration END AS duration FROM v_clips WHERE clip_id % 7 <> 0),
+    "reconcile_sources": oracle(""", l AS (SELECT clip_id, collection, duration FROM v_clips WHERE duration < 150),
+        r AS (SELECT clip_id, CASE WHEN clip_id % 13 = 0 THEN 'xx' ELSE collection END AS collection, CASE WHEN clip_id % 9 <> 0 THEN duration END AS duration FROM v_clips WHERE duration > 20),
         j AS (SELECT l.clip_id AS li, r.clip_id AS ri, l.collection AS lc, r.collection AS rc, l.duration AS ld, r.duration AS rd FROM l FULL JOIN r ON l.clip_id = r.clip_id),
         k AS (SELECT coalesce(li, ri) AS clip_id, li, ri, CASE WHEN li IS NOT NULL AND ri IS NOT NULL THEN concat_ws(',', CASE WHEN lc IS DISTINCT FROM rc THEN 'collection' END, CASE WHEN ld IS DISTINCT FROM rd THEN 'duration' END) ELSE '' END AS conflicts FROM j)
         SELECT clip_id, CASE WHEN ri IS NULL THEN 'left_only' WHEN li IS NULL THEN 'right_only' WHEN conflicts <> '' THEN 'conflict' ELSE 'equal' END AS state, conflicts FROM k"""),
-    "historical_anti_join": oracle(" SELECT clip_id, source_video_id, sha256 FROM v_clips WHERE source_video_id NOT IN ('src1', 'src2') AND sha256 NOT IN (SELECT sha256 FROM v_clips WHERE clip_id % 10 = 3)"),
+    "historical_anti_join": oracle(" SELECT clip_id, source_video_id, sha256 FROM v_clips WHERE source_video_id NOT IN ('src1', 'src2') AND sha256 NOT IN (SELECT sha256 FROM v_clips WHERE collection = 'es')"),
     "timing_observations": oracle(""", t AS (SELECT clip_id, duration, CAST(floor(duration * 25 + clip_id % 5) AS BIGINT) AS frames FROM v_clips WHERE clip_id % 17 <> 0 AND floor(duration * 25 + clip_id % 5) > 0)
         SELECT clip_id, frames / CAST(25 AS DOUBLE) AS frame_clock, duration - frames / CAST(25 AS DOUBLE) AS difference, abs(duration - frames / CAST(25 AS DOUBLE)) > CAST(1 AS DOUBLE) / 25 + CAST(0.001 AS DOUBLE) AS flagged FROM t"""),
 }

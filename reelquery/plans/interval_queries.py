@@ -14,36 +14,35 @@ def videos(s, d):
 
 
 def events_of(s, d):
-    """Intervals of each video on a small clock."""
-    rows = view(s, d, "v_intervals")
-    start = F.col("start_s") % 40
-    return rows.select("video_id", start.alias("start_s"), (start + (F.col("end_s") - F.col("start_s")) / 16).alias("end_s"))
+    """The events of each video: its quiet segments, on a clock of half the speed and a little longer."""
+    start = F.col("start_s") / 2 + F.lit(0.125)
+    return view(s, d, "v_segments").where("score < 0.15").select("video_id", start.alias("start_s"), (start + F.lit(0.75)).alias("end_s"))
 
 
 def painted(s, d):
-    return t.frame_labels(videos(s, d), events_of(s, d).where("start_s % 4 < 1"), "frames", "fps")
+    return t.frame_labels(videos(s, d), events_of(s, d), "frames", "fps")
 
 
 def false_alert(s, d):
     segments = view(s, d, "v_segments")
     rows = segments.groupBy("video_id").agg(F.max("end_s").alias("duration"))
-    return t.temporal_false_alert(segments.where("score >= 0.5"), events_of(s, d).where("start_s % 4 < 1"), rows)
+    return t.temporal_false_alert(segments.where("score >= 0.5"), events_of(s, d), rows)
 
 
 def bags(s, d):
-    vectors = view(s, d, "v_segments").where("seg < 20").withColumn("unit", (F.row_number().over(t.W.partitionBy("video_id").orderBy("seg")) - 1).cast("long"))
+    vectors = view(s, d, "v_segments").withColumn("unit", (F.row_number().over(t.W.partitionBy("video_id").orderBy("seg")) - 1).cast("long"))
     return t.segment_bag(vectors.select("video_id", "unit", F.array("score", F.col("score") * F.col("score"), F.lit(1.0) - F.col("score")).alias("vector")), 4)
 
 
 def paired(s, d):
-    rows = view(s, d, "v_segments").where("seg < 32")
+    rows = view(s, d, "v_segments")
     return rows.select(F.expr("video_id div 2").alias("pair"), "seg", F.col("video_id") % 2, "score").groupBy("pair", "seg").agg(F.max(F.expr("CASE WHEN `(video_id % 2)` = 0 THEN score END")).alias("abnormal"), F.max(F.expr("CASE WHEN `(video_id % 2)` = 1 THEN score END")).alias("normal")).where("abnormal IS NOT NULL AND normal IS NOT NULL")
 
 
 def arrays(s, d):
-    """Frames, and a short array of segment scores."""
-    rows = view(s, d, "v_segments").where("seg < 9").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "score"))), lambda x: x["score"]).alias("scores"))
-    return rows.withColumn("frames", F.col("video_id") % 30 + 3)
+    """Frames, and an array of segment scores."""
+    rows = view(s, d, "v_segments").groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "score"))), lambda x: x["score"]).alias("scores"))
+    return rows.withColumn("frames", F.col("video_id") % 150 + 3)
 
 
 QUERIES = {
@@ -66,14 +65,14 @@ QUERIES = {
 }
 
 VIDEOS = "videos AS (SELECT video_id, count(*) AS frames, CAST(2 AS DOUBLE) AS fps FROM v_segments GROUP BY video_id)"
-EVENTS = "e AS (SELECT video_id, start_s % 40 AS start_s, start_s % 40 + (end_s - start_s) / 16 AS end_s FROM v_intervals)"
+EVENTS = "e AS (SELECT video_id, start_s / 2 + CAST(0.125 AS DOUBLE) AS start_s, start_s / 2 + CAST(0.875 AS DOUBLE) AS end_s FROM v_segments WHERE score < CAST(0.15 AS DOUBLE))"
 PAINTED = f"""{VIDEOS}, {EVENTS}, fr AS (SELECT video_id, f AS frame, fps FROM videos, unnest(range(0, frames)) u(f)),
     lab AS (SELECT fr.video_id, fr.frame, max(CASE WHEN e.video_id IS NULL THEN 0 ELSE 1 END) AS label
-        FROM fr LEFT JOIN e ON e.video_id = fr.video_id AND e.start_s % 4 < 1 AND fr.frame / fr.fps >= e.start_s AND fr.frame / fr.fps < e.end_s GROUP BY ALL)"""
+        FROM fr LEFT JOIN e ON e.video_id = fr.video_id AND fr.frame / fr.fps >= e.start_s AND fr.frame / fr.fps < e.end_s GROUP BY ALL)"""
 MERGED = """{out}_w AS (SELECT video_id, start_s, end_s, max(end_s) OVER (PARTITION BY video_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {rows}),
     {out}_i AS (SELECT *, max(CASE WHEN reach IS NULL OR start_s > reach THEN start_s END) OVER (PARTITION BY video_id ORDER BY start_s RANGE UNBOUNDED PRECEDING) AS island FROM {out}_w),
     {out} AS (SELECT video_id, min(start_s) AS start_s, max(end_s) AS end_s FROM {out}_i GROUP BY video_id, island)"""
-ARRAYS = "ar AS (SELECT video_id, list(score ORDER BY seg) AS scores, video_id % 30 + 3 AS n, count(*) AS s FROM v_segments WHERE seg < 9 GROUP BY video_id), ff AS (SELECT ar.*, f AS frame FROM ar, unnest(range(0, n)) u(f))"
+ARRAYS = "ar AS (SELECT video_id, list(score ORDER BY seg) AS scores, video_id % 150 + 3 AS n, count(*) AS s FROM v_segments GROUP BY video_id), ff AS (SELECT ar.*, f AS frame FROM ar, unnest(range(0, n)) u(f))"
 
 ORACLES = {
     "segment_bounds": oracle(f""", {VIDEOS} SELECT video_id, CAST(i AS INTEGER) AS seg, i * frames // 32 AS first, CASE WHEN frames < 32 THEN i * frames // 32 + 1 ELSE (i + 1) * frames // 32 END AS last FROM videos, range(0, 32) r(i)"""),
@@ -88,7 +87,7 @@ ORACLES = {
     "merge_intervals": oracle(f", {MERGED.format(out='m', rows='v_intervals')} SELECT * FROM m"),
     "interval_overlap_join": oracle(""" SELECT a.video_id, a.start_s AS a_start, a.end_s AS a_end, b.start_s * 50 AS b_start, b.end_s * 50 AS b_end, least(a.end_s, b.end_s * 50) - greatest(a.start_s, b.start_s * 50) AS overlap
         FROM v_intervals a JOIN v_segments b ON a.video_id = b.video_id AND a.start_s < b.end_s * 50 AND b.start_s * 50 < a.end_s"""),
-    "temporal_false_alert": oracle(f""", {EVENTS}, ee AS (SELECT * FROM e WHERE start_s % 4 < 1), aa AS (SELECT * FROM v_segments WHERE score >= 0.5), {MERGED.format(out='ev', rows='ee')}, {MERGED.format(out='al', rows='aa')},
+    "temporal_false_alert": oracle(f""", {EVENTS}, ee AS (SELECT * FROM e), aa AS (SELECT * FROM v_segments WHERE score >= 0.5), {MERGED.format(out='ev', rows='ee')}, {MERGED.format(out='al', rows='aa')},
         o AS (SELECT al.video_id, sum(least(al.end_s, ev.end_s) - greatest(al.start_s, ev.start_s)) AS shared FROM al JOIN ev ON al.video_id = ev.video_id AND al.start_s < ev.end_s AND ev.start_s < al.end_s GROUP BY 1),
         a AS (SELECT video_id, sum(end_s - start_s) AS x FROM al GROUP BY 1), b AS (SELECT video_id, sum(end_s - start_s) AS x FROM ev GROUP BY 1), v AS (SELECT video_id, max(end_s) AS duration FROM v_segments GROUP BY 1)
         SELECT v.video_id, coalesce(a.x, 0) - coalesce(shared, 0) AS false_seconds, greatest(duration - coalesce(b.x, 0), 0) AS negative_seconds FROM v LEFT JOIN a USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN o USING (video_id)"""),
@@ -121,12 +120,12 @@ ORACLES = {
                         FROM st JOIN q ON q.video_id = st.video_id AND q.i = st.i + 1))))
         SELECT video_id, c_start AS start_s, c_end AS end_s, c_decision AS decision_time FROM st WHERE c_start IS NOT NULL
         UNION ALL SELECT video_id, start, previous, decision FROM st WHERE i = n AND decision IS NOT NULL"""),
-    "segment_l2_bag": oracle(""", u AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seg) - 1 AS unit, score FROM v_segments WHERE seg < 20),
+    "segment_l2_bag": oracle(""", u AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY seg) - 1 AS unit, score FROM v_segments),
         n AS (SELECT video_id, count(*) AS n FROM u GROUP BY 1), b AS (SELECT video_id, CAST(i AS INTEGER) AS seg, i * n // 4 AS low, CASE WHEN n < 4 THEN i * n // 4 + 1 ELSE (i + 1) * n // 4 END AS high FROM n, range(0, 4) r(i)),
         m AS (SELECT b.video_id, b.seg, avg(score) AS x0, avg(score * score) AS x1, avg(1 - score) AS x2 FROM b JOIN u ON u.video_id = b.video_id AND unit >= low AND unit < high GROUP BY 1, 2),
         z AS (SELECT *, greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-12) AS norm FROM m)
         SELECT video_id, seg, CAST(i AS INTEGER) AS dim, (CASE i WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END) / norm AS x FROM z, range(0, 3) r(i)"""),
-    "mil_objective": oracle(""", p AS (SELECT video_id // 2 AS pair, seg, max(CASE WHEN video_id % 2 = 0 THEN score END) AS abnormal, max(CASE WHEN video_id % 2 = 1 THEN score END) AS normal FROM v_segments WHERE seg < 32 GROUP BY 1, 2),
+    "mil_objective": oracle(""", p AS (SELECT video_id // 2 AS pair, seg, max(CASE WHEN video_id % 2 = 0 THEN score END) AS abnormal, max(CASE WHEN video_id % 2 = 1 THEN score END) AS normal FROM v_segments GROUP BY 1, 2),
         d AS (SELECT *, abnormal - lag(abnormal) OVER (PARTITION BY pair ORDER BY seg) AS step FROM p WHERE abnormal IS NOT NULL AND normal IS NOT NULL),
         g AS (SELECT pair, greatest(1 - max(abnormal) + max(normal), 0) AS hinge, sum(abnormal) AS total_score, coalesce(sum(step * step), 0) AS rough FROM d GROUP BY pair),
         m AS (SELECT avg(hinge) AS ranking, avg(total_score) AS sparsity, avg(rough) AS smoothness FROM g)

@@ -38,12 +38,12 @@ def clips(s, d):
 
 
 def reviews(s, d):
-    rows = view(s, d, "v_items").where("item_seq % 3 = 0").select("job_id", "item_seq", F.expr("explode(array(1, 2))").alias("seq"))
+    rows = view(s, d, "v_items").where("attempts >= 2").select("job_id", "item_seq", F.expr("explode(array(1, 2))").alias("seq"))
     return rows.withColumn("decision", F.expr("CASE WHEN (job_id + seq) % 2 = 0 THEN 'confirm' ELSE 'reject' END"))
 
 
 def references(s, d):
-    rows = clips(s, d).where("clip_id % 5 <> 0").select("clip_id", F.expr("explode(sequence(1, CAST(1 + clip_id % 3 AS INT)))").alias("version"))
+    rows = clips(s, d).where("assignment = 'test'").select("clip_id", F.expr("explode(sequence(1, CAST(1 + clip_id % 3 AS INT)))").alias("version"))
     return rows.withColumn("payload", F.expr("CAST((clip_id + version) % 6 AS INT)"))
 
 
@@ -63,19 +63,19 @@ def population_pairs(s, d):
 
 def exported(s, d):
     rows = joined(s, d).withColumn("notes", F.expr("CASE item_seq % 4 WHEN 0 THEN '=1+1' WHEN 1 THEN '  -x' WHEN 2 THEN '@a' ELSE 'fine - really' END"))
-    return k.export_rows(rows, F.expr("clip_id % 2 = 0"), ["job_id", "item_seq", "clip_id", "status", "latest_review", "notes"], ["notes"])
+    return k.export_rows(rows, F.expr("attempts < 2"), ["job_id", "item_seq", "clip_id", "status", "latest_review", "notes"], ["notes"])
 
 
 def submissions(s, d):
     rows = view(s, d, "v_items").select(F.expr("job_id div 3").alias("key"), F.expr("CAST(clip_id % 2 AS STRING)").alias("request_hash"), F.expr("job_id * 100 + item_seq").alias("seq"))
-    existing = view(s, d, "v_jobs").where("job_id % 9 = 0").select(F.expr("job_id div 3").alias("key"), F.lit("0").alias("request_hash")).distinct()
+    existing = view(s, d, "v_jobs").where("cancel_requested = 1").select(F.expr("job_id div 3").alias("key"), F.lit("0").alias("request_hash")).distinct()
     return k.submit(existing, rows)
 
 
 def imports(s, d):
     rows = view(s, d, "v_clips").select("clip_id", "sha256", "source_video_id", "split")
-    incoming = rows.where("clip_id % 3 <> 0").select("clip_id", F.expr("CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END").alias("sha256"), "source_video_id", F.expr("CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END").alias("split"))
-    return k.import_outcomes(rows.where("clip_id % 2 = 0"), incoming)
+    incoming = rows.where("source_video_id <> 'src4'").select("clip_id", F.expr("CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END").alias("sha256"), "source_video_id", F.expr("CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END").alias("split"))
+    return k.import_outcomes(rows.where("source_video_id < 'src2'"), incoming)
 
 
 def proposals(s, d):
@@ -107,7 +107,7 @@ QUERIES = {
     "dashboard_counts": lambda s, d: k.dashboard(items(s, d), reviews(s, d)),
     "claim_order": lambda s, d: k.claim(items(s, d), view(s, d, "v_jobs"), 25).select("job_id", "item_seq", "created_at"),
     "recover_transition": lambda s, d: k.recover(items(s, d), view(s, d, "v_jobs"), 1).groupBy("job_id", "status").agg(F.count("*").alias("n")),
-    "cancel_transition": lambda s, d: k.cancel(items(s, d), view(s, d, "v_jobs").where("job_id % 2 = 0")).groupBy("job_id", "status").agg(F.count("*").alias("n")),
+    "cancel_transition": lambda s, d: k.cancel(items(s, d), view(s, d, "v_jobs").where("cancel_requested = 1")).groupBy("job_id", "status").agg(F.count("*").alias("n")),
     "retry_requests": lambda s, d: k.retry_requests(items(s, d)),
     "submit_outcomes": submissions,
     "import_outcomes": imports,
@@ -134,8 +134,8 @@ TAGGED = """tg AS (SELECT r.*, t.group_label, t.source_video_id, unnest(list_fil
         CASE WHEN covered > 0 AND covered < windows THEN 'mixed_actor_coverage' END, CASE WHEN covered > 0 AND votes > 1 THEN 'cross_window_behavior_disagreement' END], lambda z: z IS NOT NULL)) AS outcome
         FROM r JOIN v_truth t ON t.video_id = r.video_id)"""
 JOINED = """cl AS (SELECT DISTINCT clip_id, CASE WHEN clip_id % 4 = 0 THEN 'library' ELSE 'evaluation' END AS population, CASE WHEN clip_id % 3 = 0 THEN 'train' ELSE 'test' END AS assignment FROM v_items),
-    rv AS (SELECT job_id, item_seq, 2 AS reviews, CASE WHEN (job_id + 2) % 2 = 0 THEN 'confirm' ELSE 'reject' END AS latest_review FROM v_items WHERE item_seq % 3 = 0),
-    rf AS (SELECT clip_id, CAST(1 + clip_id % 3 AS INTEGER) AS version, CAST((clip_id + 1 + clip_id % 3) % 6 AS INTEGER) AS reference FROM cl WHERE clip_id % 5 <> 0),
+    rv AS (SELECT job_id, item_seq, 2 AS reviews, CASE WHEN (job_id + 2) % 2 = 0 THEN 'confirm' ELSE 'reject' END AS latest_review FROM v_items WHERE attempts >= 2),
+    rf AS (SELECT clip_id, CAST(1 + clip_id % 3 AS INTEGER) AS version, CAST((clip_id + 1 + clip_id % 3) % 6 AS INTEGER) AS reference FROM cl WHERE assignment = 'test'),
     jn AS (SELECT i.*, j.created_at, j.cancel_requested, cl.population, cl.assignment, coalesce(rv.reviews, 0) AS reviews, rv.latest_review, rf.version, rf.reference
         FROM v_items i JOIN v_jobs j USING (job_id) JOIN cl USING (clip_id) LEFT JOIN rv ON rv.job_id = i.job_id AND rv.item_seq = i.item_seq LEFT JOIN rf ON rf.clip_id = i.clip_id)"""
 LATEST = f"lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY created_at DESC, job_id DESC, item_seq DESC) AS last FROM jn WHERE {GATE}) WHERE last = 1)"
@@ -164,23 +164,23 @@ ORACLES = {
         SELECT *, coalesce(correct / CAST(nullif(predicted, 0) AS DOUBLE), 0) AS precision, coalesce(correct / CAST(nullif(support, 0) AS DOUBLE), 0) AS recall,
             coalesce(2 * correct / CAST(nullif(predicted + support, 0) AS DOUBLE), 0) AS f1, correct / CAST(nullif(support, 0) AS DOUBLE) AS accuracy FROM q"""),
     "excluded_items": oracle(f", {JOINED} SELECT population || ':' || status AS reason, count(*) AS n FROM jn WHERE NOT ({GATE}) GROUP BY 1"),
-    "export_rows_csv_safe": oracle(f""", {JOINED}, n AS (SELECT *, CASE item_seq % 4 WHEN 0 THEN '=1+1' WHEN 1 THEN '  -x' WHEN 2 THEN '@a' ELSE 'fine - really' END AS notes FROM jn WHERE clip_id % 2 = 0)
+    "export_rows_csv_safe": oracle(f""", {JOINED}, n AS (SELECT *, CASE item_seq % 4 WHEN 0 THEN '=1+1' WHEN 1 THEN '  -x' WHEN 2 THEN '@a' ELSE 'fine - really' END AS notes FROM jn WHERE attempts < 2)
         SELECT job_id, item_seq, clip_id, status, latest_review, CASE WHEN substr(ltrim(notes), 1, 1) IN ('=', '+', '-', '@') THEN '''' || notes ELSE notes END AS notes FROM n"""),
     "job_state_rollup": oracle(f", {STATES} SELECT * FROM js"),
-    "dashboard_counts": oracle(f", {STATES}, p AS (SELECT job_id, count(*) AS n FROM v_items WHERE status = 'completed' AND item_seq % 3 <> 0 GROUP BY 1) SELECT state, count(*) AS jobs, CAST(coalesce(sum(n), 0) AS BIGINT) AS pending FROM js LEFT JOIN p USING (job_id) GROUP BY state"),
+    "dashboard_counts": oracle(f", {STATES}, p AS (SELECT job_id, count(*) AS n FROM v_items WHERE status = 'completed' AND attempts < 2 GROUP BY 1) SELECT state, count(*) AS jobs, CAST(coalesce(sum(n), 0) AS BIGINT) AS pending FROM js LEFT JOIN p USING (job_id) GROUP BY state"),
     "claim_order": oracle(" SELECT i.job_id, item_seq, created_at FROM v_items i JOIN v_jobs j USING (job_id) WHERE status = 'queued' AND cancel_requested = 0 ORDER BY created_at, i.job_id, item_seq LIMIT 25"),
     "recover_transition": oracle(""", a AS (SELECT i.job_id, cancel_requested, CASE WHEN status <> 'running' THEN status WHEN attempts <= 1 THEN 'queued' ELSE 'failed' END AS status FROM v_items i JOIN v_jobs j USING (job_id)),
         b AS (SELECT job_id, CASE WHEN status = 'queued' AND cancel_requested = 1 THEN 'cancelled' ELSE status END AS status FROM a) SELECT job_id, status, count(*) AS n FROM b GROUP BY ALL"""),
-    "cancel_transition": oracle(", b AS (SELECT job_id, CASE WHEN status = 'queued' AND job_id % 2 = 0 AND job_id IN (SELECT job_id FROM v_jobs) THEN 'cancelled' ELSE status END AS status FROM v_items) SELECT job_id, status, count(*) AS n FROM b GROUP BY ALL"),
+    "cancel_transition": oracle(", b AS (SELECT job_id, CASE WHEN status = 'queued' AND job_id IN (SELECT job_id FROM v_jobs WHERE cancel_requested = 1) THEN 'cancelled' ELSE status END AS status FROM v_items) SELECT job_id, status, count(*) AS n FROM b GROUP BY ALL"),
     "retry_requests": oracle(" SELECT DISTINCT job_id, clip_id FROM v_items WHERE status IN ('failed', 'cancelled')"),
-    "submit_outcomes": oracle(""", q AS (SELECT job_id // 3 AS key, CAST(clip_id % 2 AS VARCHAR) AS request_hash, job_id * 100 + item_seq AS seq FROM v_items), e AS (SELECT DISTINCT job_id // 3 AS key FROM v_jobs WHERE job_id % 9 = 0),
+    "submit_outcomes": oracle(""", q AS (SELECT job_id // 3 AS key, CAST(clip_id % 2 AS VARCHAR) AS request_hash, job_id * 100 + item_seq AS seq FROM v_items), e AS (SELECT DISTINCT job_id // 3 AS key FROM v_jobs WHERE cancel_requested = 1),
         f AS (SELECT q.*, e.key IS NOT NULL AS known, CASE WHEN e.key IS NOT NULL THEN '0' ELSE first_value(request_hash) OVER (PARTITION BY q.key ORDER BY seq) END AS owner, row_number() OVER (PARTITION BY q.key ORDER BY seq) AS turn FROM q LEFT JOIN e ON e.key = q.key)
         SELECT key, request_hash, seq, CASE WHEN request_hash <> owner THEN 'conflict' WHEN NOT known AND turn = 1 THEN 'created' ELSE 'replayed' END AS outcome FROM f"""),
-    "import_outcomes": oracle(""", e AS (SELECT * FROM v_clips WHERE clip_id % 2 = 0), h AS (SELECT source_video_id, min(split) AS low, max(split) AS high FROM e GROUP BY 1),
-        n AS (SELECT clip_id, CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END AS sha256, source_video_id, CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END AS split FROM v_clips WHERE clip_id % 3 <> 0)
+    "import_outcomes": oracle(""", e AS (SELECT * FROM v_clips WHERE source_video_id < 'src2'), h AS (SELECT source_video_id, min(split) AS low, max(split) AS high FROM e GROUP BY 1),
+        n AS (SELECT clip_id, CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END AS sha256, source_video_id, CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END AS split FROM v_clips WHERE source_video_id <> 'src4')
         SELECT n.clip_id, CASE WHEN e.sha256 = n.sha256 THEN 'duplicate' WHEN e.sha256 IS NOT NULL THEN 'identity_conflict' WHEN low <> n.split OR high <> n.split THEN 'split_conflict' ELSE 'new' END AS outcome
         FROM n LEFT JOIN e ON e.clip_id = n.clip_id LEFT JOIN h ON h.source_video_id = n.source_video_id"""),
-    "append_versions": oracle(""", cl AS (SELECT DISTINCT clip_id FROM v_items), p AS (SELECT clip_id, CAST(s AS INTEGER) AS seq, CAST((clip_id + s) % 4 AS INTEGER) AS expected_version, CASE WHEN clip_id % 5 <> 0 THEN CAST(1 + clip_id % 3 AS INTEGER) ELSE 0 END AS latest FROM cl, range(0, 4) r(s)),
+    "append_versions": oracle(""", cl AS (SELECT DISTINCT clip_id FROM v_items), p AS (SELECT clip_id, CAST(s AS INTEGER) AS seq, CAST((clip_id + s) % 4 AS INTEGER) AS expected_version, CASE WHEN clip_id % 3 <> 0 THEN CAST(1 + clip_id % 3 AS INTEGER) ELSE 0 END AS latest FROM cl, range(0, 4) r(s)),
         t AS (SELECT *, expected_version = latest AND row_number() OVER (PARTITION BY clip_id, expected_version = latest ORDER BY seq) = 1 AS accepted FROM p)
         SELECT clip_id, seq, expected_version, accepted, CASE WHEN accepted THEN latest + 1 END AS version FROM t"""),
     "retention_cutoff": oracle(" SELECT job_id, created_at AS imported_at FROM v_jobs WHERE created_at < TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 365 DAY"),
