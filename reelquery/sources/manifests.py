@@ -60,14 +60,18 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, broken): all-string rows of a CSV with a header of unique names, and lines that do not fit it, as they are."""
-    header = spark.read.option("header", True).csv(path)
-    names = [n.lstrip("﻿") for n in header.columns]
+    """(rows, broken): all-string rows of a CSV with a header of unique names, and lines that do not fit it, as they are.
+    A record is a line; every file starts with the header, after a byte order mark or not."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line")).where(F.trim("line") != "")
+    first = lines.head()
+    if first is None:
+        raise ManifestError("the file is empty")
+    names = [n.lstrip("\ufeff") for n in spark.read.option("header", True).csv(path).columns]
     if any(not n.strip() for n in names) or len(set(names)) != len(names):
         raise ManifestError("the header needs unique names that are not blank")
     schema = ", ".join(f"`{n}` string" for n in names) + ", _broken string"
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path)
-    return df.where(F.col("_broken").isNull()).drop("_broken"), df.where(F.col("_broken").isNotNull()).select(F.col("_broken").alias("line"))
+    parsed = lines.where(F.col("line") != first["line"]).select("line", F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("_row"))
+    return parsed.where("_row._broken IS NULL").select("_row.*").drop("_broken"), parsed.where("_row._broken IS NOT NULL").select("line")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
