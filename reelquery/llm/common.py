@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a Python worker's word cache may hold before it starts anew. It changes speed only, never results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,18 +47,23 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 class WordCache(dict):
-    """word -> make(word), computed once; dropped as a whole when it holds CACHE_ENTRIES words (see trim)."""
+    """word -> make(self, word), computed once. Above CACHE_ENTRIES words (see trim) it starts anew and keeps the words so far
+    aside; of those, what is asked for again moves over, the rest goes with the next start."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.aside = make, {}
 
     def __missing__(self, word: bytes):
-        value = self[word] = self.make(self, word)
+        value = self.aside.get(word)
+        if value is None:
+            value = self.make(self, word)
+        self[word] = value
         return value
 
     def trim(self) -> None:
         if len(self) > CACHE_ENTRIES:
+            self.aside = dict(self)
             self.clear()
 
 

@@ -115,7 +115,9 @@ def identify(docs: DataFrame, train: DataFrame, sample_docs: int = SAMPLE_DOCS,
     the predicted language; ties go to the language first by code point. Repeated rows are scored each; extra columns are
     ignored. The model has a bounded number of entries (LEAST_SHARE), so it is broadcast."""
     usable = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    model = fit(sampled(usable, sample_docs).select(F.col("lang").cast("string"), F.col("text").cast("string")), orders)
+    # a small sample may lie in few files: deal it out
+    sample = sampled(usable, sample_docs).select(F.col("lang").cast("string"), F.col("text").cast("string")).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    model = fit(sample, orders)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one():

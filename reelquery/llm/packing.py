@@ -17,7 +17,7 @@ from reelquery.llm.common import WordCache, checkpoint, map_texts
 
 LENGTH, TOKENIZER, END = 2048, "word_bpe_49k.json", b"\0\0\0\0"
 #: Pieces of one length that one task ranks, on average; a length with more pieces is dealt over several tasks.
-RANKED_AT_ONCE = 1_000
+RANKED_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
