@@ -20,8 +20,8 @@ SYMBOLS = b"#*$%&|<>"
 CHARS_DISTANCE, CHARS_GUARD = 0.28, 200
 WORDS_DISTANCE, WORDS_NOISE, WORDS_GUARD = 0.2, 2.2, 50
 #: A word is common in a language if it makes up this share of its words (so at most 1 / share are); a language has a
-#: reference if it has this share of all words.
-COMMON_SHARE, LANGUAGE_SHARE = 0.002, 0.005
+#: reference if it has this many words, whatever its share of the corpus.
+COMMON_SHARE, LANGUAGE_WORDS = 0.002, 20_000
 #: Character classes: upper-case, other ASCII vowels, other ASCII consonants, digits, white space, ending and joining
 #: punctuation, other ASCII, other characters (by their first UTF-8 byte).
 CLASSES = 8
@@ -125,14 +125,13 @@ def reference_counts(docs: DataFrame) -> DataFrame:
     return fold_texts(docs, one, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_share: float = LANGUAGE_SHARE) -> list[dict]:
-    """Per language: its character classes, its common words, and their counts (last: all other words). Both shares bound
-    what reaches the driver, whatever the size of the corpus."""
+def references(docs: DataFrame, common_share: float = COMMON_SHARE, language_words: int = LANGUAGE_WORDS) -> list[dict]:
+    """Per language of at least language_words words: its character classes, its common words, and their counts (last: all
+    other words). At most CLASSES + 1 / common_share rows a language reach the driver, whatever the size of the corpus."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = checkpoint(reference_counts(rows))
     per_lang = counted.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("words"))
-    every = per_lang.agg(F.sum("words")).first()[0] or 0
-    large = per_lang.where(F.col("words") >= language_share * every).select("lang", "words")
+    large = per_lang.where(F.col("words") >= language_words).select("lang", "words")
     found = counted.join(F.broadcast(large), "lang").where((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("n") >= F.lit(common_share) * F.col("words"))).collect()
     out = []
     for lang in sorted({r["lang"] for r in found}):
@@ -163,8 +162,8 @@ LIMITS = (CHARS_DISTANCE, CHARS_GUARD, WORDS_DISTANCE, WORDS_NOISE, WORDS_GUARD)
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "nearest", "chars_distance", "words_distance"]
 
 
-def verdict_on(text: bytes | None, refs: list[dict], limits: tuple = LIMITS) -> tuple:
-    """The values of NAMES after doc_id for one text."""
+def verdict_on(text: bytes | None, lang: str | None, refs: list[dict], limits: tuple = LIMITS) -> tuple:
+    """The values of NAMES after doc_id for one text, said to be in lang."""
     chars_limit, chars_guard, words_base, words_noise, words_guard = limits
     _, counts = base_counts(text or b"")
     failed = base_failed(counts[0], counts[4])
@@ -174,7 +173,8 @@ def verdict_on(text: bytes | None, refs: list[dict], limits: tuple = LIMITS) ->
     found = divergences(counts[0], text.translate(PLAIN).split(), classes, refs)
     words_limit = words_base + words_noise / counts[0] ** 0.5
     chars, many = classes.sum() >= chars_guard, counts[0] >= words_guard
-    kept = any((not chars or c <= chars_limit) and (not many or w <= words_limit) for _, c, w in found)
+    near = any((not chars or c <= chars_limit) and (not many or w <= words_limit) for _, c, w in found)
+    kept = near or all(ref["lang"] != lang for ref in refs)  # no reference of its own language: not judged
     return (*counts, failed, kept, *min(found, key=lambda x: (x[1] / chars_limit + x[2] / words_limit, x[0])))
 
 
@@ -183,25 +183,28 @@ def judge(docs: DataFrame, refs_from: DataFrame | None = None, limits: tuple = L
 
     A text that passes the base rules is kept if some language has both its character classes and its common words within
     the limits; a histogram of fewer characters or words than its guard is not judged. References come from all texts of
-    refs_from (by default docs) that have a language and pass the base rules; without any, the base rules decide alone.
-    lang is never read for the verdict on a document. A null text has no words and fails. Repeated rows are judged each;
-    an empty table gives no rows; extra columns are ignored."""
+    refs_from (by default docs) that have a language and pass the base rules. Where the document's own language has no
+    reference, or lang is null or missing, being far from the other languages says nothing: the base rules decide alone,
+    and the nearest language and its distances are information only. A null text has no words and fails. Repeated rows are
+    judged each; an empty table gives no rows; extra columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(references(refs_from if refs_from is not None else docs))
 
     def one():
         refs = shared.value
 
-        def work(ids, texts):
-            rows = [(doc_id, *verdict_on(text, refs, limits)) for doc_id, text in zip(ids, texts, strict=True)]
+        def work(keys, texts):
+            rows = [(key["doc_id"], *verdict_on(text, key["lang"], refs, limits)) for key, text in zip(keys, texts, strict=True)]
             return dict(zip(NAMES, map(list, zip(*rows)) if rows else [[]] * len(NAMES), strict=True))
 
         return work
 
     schema = "doc_id long, " + COUNTS + ", base_failed boolean, kept boolean, nearest string, chars_distance double, words_distance double"
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, schema)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"))
+    return map_texts(docs.select(key.alias("key"), F.col("text").cast("string")), one, schema)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, in one pass after the references, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
-    return where_text(docs, lambda: lambda texts: [verdict_on(text, shared.value)[6] for text in texts])
+    return where_text(docs, lambda: lambda texts, langs: [verdict_on(text, lang, shared.value)[6] for text, lang in zip(texts, langs, strict=True)], "lang")

@@ -63,6 +63,32 @@ def test_quality_edge_tables(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in quality.judge(table).where("kept").select("doc_id").collect()}
 
 
+def test_documents_of_languages_without_reference_are_not_judged(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    english, french = table.where("lang = 'en'"), table.where("lang = 'fr' AND quality = 1")
+    good = {r[0] for r in quality.judge(french).where("NOT base_failed").select("doc_id").collect()}
+    junk = english.where("quality = 0").select("doc_id")
+    rare, unknown = french.where("doc_id % 20 = 0").withColumn("lang", F.lit("fr")), french.where("doc_id % 20 <> 0").withColumn("lang", F.lit(None).cast("string"))
+    for other in (rare, unknown):
+        docs = english.unionByName(other)
+        assert [r["lang"] for r in quality.references(docs)] == ["en"]
+        want = {r[0] for r in other.select("doc_id").collect()} & good
+        assert want and want <= {r[0] for r in quality.keep_good(docs).select("doc_id").collect()}
+        found = quality.judge(docs)
+        assert want == {r[0] for r in found.join(other.select("doc_id"), "doc_id").where("kept").select("doc_id").collect()}
+        assert found.join(junk, "doc_id").where("NOT base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.1
+
+
+def test_a_small_share_of_the_corpus_is_enough_for_a_reference(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    english, french = table.where("lang = 'en'").select("lang", "text"), table.where("lang = 'fr'").select("lang", "text")
+    docs = english.unionByName(french)
+    for _ in range(4):
+        english = english.unionByName(english)
+    many = english.unionByName(french)
+    assert [r["lang"] for r in quality.references(many)] == [r["lang"] for r in quality.references(docs)] == ["en", "fr"]
+
+
 def test_distance_is_a_distance():
     a, b = np.array([1.0, 2, 3]), np.array([3.0, 0, 1])
     assert quality.distance(a, a) == 0 and quality.distance(a, b) == pytest.approx(quality.distance(b, a))
