@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,12 +100,19 @@ def candidates_in(archive: str, data: bytes) -> list[tuple]:
     return rows
 
 
+def inflated(content: bytes) -> bytes:
+    """The bytes of all gzip members of an archive file. Zero bytes may pad its end; other bytes there, and a member that is
+    cut off, are errors."""
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        return members.read()
+
+
 def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in CANDIDATE.split(", ")]
     whole = [x.split()[0] for x in CANDIDATE.split(", ") if x.endswith(" long")]
     for batch in batches:
         for archive, content in zip(batch["path"], batch["content"], strict=True):
-            data = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
+            data = inflated(content) if content[:2] == b"\x1f\x8b" else content
             rows = pd.DataFrame(candidates_in(archive, data), columns=names)
             yield rows.astype(dict.fromkeys(whole, "Int64"))
 
@@ -128,11 +136,12 @@ def reachable(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives under folder, with their archive and offset.
+    """The records of all archives (*.gz, of one or more members, and plain *.warc) under folder, with their archive and
+    offset in the uncompressed bytes.
 
     Tasks scan the archives and emit a candidate for each magic; per archive, only what the chain of successors reaches
     from offset 0 is a record, so a magic inside a payload never is. A chain stops at the first broken record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder).select("path", "content")
     found = files.mapInPandas(scan, CANDIDATE)
     return found.groupBy("archive").applyInPandas(reachable, CANDIDATE)
 

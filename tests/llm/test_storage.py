@@ -151,6 +151,19 @@ def test_chain_stops_at_a_broken_record(spark, tmp_path):
     assert found == {"a.warc.gz": 5, "c.warc.gz": 4}
 
 
+def test_archives_of_many_members_and_plain_ones(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n"
+    own = [head % (i, 3, b"abc") for i in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, own)) + bytes(100))
+    (tmp_path / "b.warc").write_bytes(b"".join(own))
+    (tmp_path / "c.txt").write_bytes(b"".join(own))
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r["archive"].rsplit("/")[-1], r["page_id"]) for r in rows) == [(x, i) for x in ("a.warc.gz", "b.warc") for i in range(5)]
+    for bad in (gzip.compress(own[0]) + b"junk", gzip.compress(own[0]) + gzip.compress(own[1])[:-9]):
+        with pytest.raises((EOFError, gzip.BadGzipFile)):
+            warc.inflated(bad)
+
+
 def brute_shards(rows, limit):
     marks = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i, _ in rows}
 
