@@ -18,6 +18,8 @@ BLOCK = 512
 RANKED_AT_ONCE = 512
 #: Cells of the unit interval in which slots look for their source; a source lies in as many cells as it covers.
 CELLS = 1_024
+#: The column by which keep_mixed tells its rows apart.
+ROW = "_row_of_mix"
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 
@@ -84,24 +86,29 @@ def schedule(sources: DataFrame, n_sources: int, n_slots: int) -> DataFrame:
 
 
 def positions(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """doc_id, size, sid, start: where each document begins in its source's shuffled stream of words. The shuffle is the
-    order of md5(seed:doc_id); a large source is cut into chunks of that order, so no task holds a whole source."""
+    """row, doc_id, size, sid, start: where each document begins in its source's shuffled stream of words. The shuffle is the
+    order of md5(seed:doc_id), or of the text's md5 for rows without doc_id; a large source is cut into chunks of that
+    order, so no task holds a whole source."""
     known = sources.select("sid", F.col("source").alias("of"), "docs")
-    rows = sized.withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    rows = sized.withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("digest"), F.lit(""))).cast("binary")))
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("of")))
     share = F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") / float(2**32)
     rows = rows.withColumn("chunk", F.floor(share * F.ceil(F.col("docs") / RANKED_AT_ONCE)))
-    inside = F.sum("size").over(W.partitionBy("sid", "chunk").orderBy("mark", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    return rows.withColumn("inside", inside).join(prefix(rows, ["sid", "chunk"], F.col("size")), ["sid", "chunk"]).select("doc_id", "size", "sid", (F.col("before") + F.col("inside")).alias("start"))
+    inside = F.sum("size").over(W.partitionBy("sid", "chunk").orderBy("mark", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    return rows.withColumn("inside", inside).join(prefix(rows, ["sid", "chunk"], F.col("size")), ["sid", "chunk"]).select("row", "doc_id", "size", "sid", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sources, placed documents, mix). The mix has slot, sid, pass, doc_id, start, size, from_word, n_words: read in order
-    of slot, then start, it is the mixed stream. Words are [^\\x20\\x09-\\x0D]+; a null text has none.
+    """(sources, placed documents, mix). The mix has slot, sid, pass, row, doc_id, start, size, from_word, n_words: read in
+    order of slot, then start, it is the mixed stream. Words are [^\\x20\\x09-\\x0D]+; a null text has none.
+
+    row is a key of each row of docs: its column ROW, or else a number given here.
 
     A null source is a source of its own, after all others. Documents without words are in no slot. Repeated rows are
     documents of their own. Empty tables give empty results; extra columns are ignored."""
-    sized = checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size")))
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    digest = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("string").cast("binary")))
+    sized = checkpoint(docs.select(row.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), digest.alias("digest"), n_words(F.col("text").cast("string")).alias("size")))
     sources = checkpoint(sources_of(sized, weights, share, passes, block))
     totals = sources.agg(F.count("*").alias("n"), F.sum("slots").alias("slots")).first()
     placed = checkpoint(positions(sized, sources, seed))
@@ -113,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     first, last = F.greatest("low", "start"), F.least("high", F.col("start") + F.col("size"))
     spans = parts.join(slots, ["sid", "block"]).where(last > first)
-    return sources, placed, spans.select("slot", "sid", "pass", "doc_id", "start", "size", (first - F.col("start")).alias("from_word"), (last - first).alias("n_words"))
+    return sources, placed, spans.select("slot", "sid", "pass", "row", "doc_id", "start", "size", (first - F.col("start")).alias("from_word"), (last - first).alias("n_words"))
 
 
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
@@ -126,12 +133,13 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix: each as often as a pass takes at least half of its words (0, 1, ... times). Documents
-    without words are kept once, as no weight concerns them."""
-    _, placed, spans = mix(docs, **settings)
-    per_pass = spans.groupBy("sid", "start", "doc_id", "pass").agg(F.sum("n_words").alias("n"), F.first("size").alias("size"))
-    copies = per_pass.where("2 * n >= size").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    copies = copies.unionByName(placed.where("size = 0").select("doc_id", F.lit(1).cast("long").alias("copies")).distinct())
-    copies = copies.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    of = checkpoint(copies.select(F.col("doc_id").alias("of"), F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("of"))
-    return docs.alias("d").join(of.alias("c"), F.col("d.doc_id") == F.col("c.of")).select("d.*")
+    """The rows of the mix: each as often as a pass takes at least half of its words (0, 1, ... times). Rows without words
+    are kept once, as no weight concerns them. Rows without doc_id and rows of equal doc_id are documents of their own."""
+    # kept with their keys, which must not change between uses
+    rows = checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    _, placed, spans = mix(rows, **settings)
+    per_pass = spans.groupBy("row", "pass").agg(F.sum("n_words").alias("n"), F.first("size").alias("size"))
+    copies = per_pass.where("2 * n >= size").groupBy("row").agg(F.count("*").alias("copies"))
+    copies = copies.unionByName(placed.where("size = 0").select("row", F.lit(1).cast("long").alias("copies")))
+    of = checkpoint(copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row"))
+    return rows.alias("d").join(of.alias("c"), F.col(f"d.{ROW}") == F.col("c.row")).select("d.*").drop(ROW)

@@ -64,6 +64,22 @@ def test_mix_edge_tables(spark):
     assert max(counts.values()) <= 2 and counts[7_000] == 1
 
 
+def test_mix_keeps_rows_without_and_with_repeated_ids(spark):
+    df, rows = sample(spark)
+    blank = df.withColumn("n", F.col("doc_id")).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    counts = Counter(r[0] for r in mixing.keep_mixed(blank).select("n").collect())
+    words = {i: len((t or "").split()) for i, t, _ in [*rows, (7_000, None, "a"), (7_001, "only one", "z")]}
+    assert all(counts[i] == 1 for i, n in words.items() if n == 0) and max(counts.values()) <= 2
+    taken = lambda odd: sum(words[i] * k for i, k in counts.items() if i % 2 == odd)
+    # half of the words have no id, and the mix takes 1.5 times all words, here as far as two passes reach
+    assert taken(1) > 0.5 * sum(n for i, n in words.items() if i % 2) and 1.3 < (taken(0) + taken(1)) / sum(words.values()) < 1.7
+    all_null = df.withColumn("n", F.col("doc_id")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert {r[0] for r in mixing.keep_mixed(all_null, share=2.0).select("n").collect()} == set(words)
+    # an id on two rows, each taken twice
+    twice = spark.createDataFrame([(1, "w " * 700, "a"), (1, "v " * 700, "a")], DOCS)
+    assert Counter(r[0][0] for r in mixing.keep_mixed(twice, share=2.0).select("text").collect()) == {"w": 2, "v": 2}
+
+
 def test_packed_counts_are_whole_and_tight():
     rng = random.Random(2)
     stock = Counter(rng.choice([rng.randint(1, 2048), rng.randint(1, 300)]) for _ in range(5_000))
