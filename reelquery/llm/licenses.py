@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from reelquery.llm.common import checkpoint
 
@@ -29,6 +33,9 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under GPLv3.",
+        "Licensed under GPLv2 or later.",
+        "LGPL-2.1-or-later",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -81,8 +88,14 @@ OTHERS = (
     "Version 2.0 of the program was released in May.",
     "The creative writing course is for the common reader.",
 )
-#: A paragraph without any of these is of unknown licence, whatever else it says (Java regular expression, lower case).
-ANCHORS = r"licen[cs]e|spdx|copyright|all rights|permission|redistribut|public domain|\bgpl\b|\bcc0\b|creative commons"
+#: A paragraph without any of these is of unknown licence, whatever else it says (in lower case): parts of words, and a Java
+#: regular expression that is tried at word starts alone, as it is slow. Every notice has one; bare mit is left out, as it is
+#: a common German word.
+ANCHORS = ("licenc", "licens", "spdx", "copyright", "copyleft", "\xa9", "(c)", "redistribut", "gpl", "permission")
+ANCHOR_WORDS = (
+    r"\b(?:all\s+rights|permitted\s+provided|public[\s-]+domain|warrant(?:y|ies)|free\s+software|open\s+source"
+    r"|gfdl\b|mpl\b|gnu\b|apache\b|mozilla\b|bsd\b|under\s+(?:the\s+)?mit\b|mit-style\b|cc0|cc[\s-]+(?:by|0|zero)\b|creative\s+commons)"
+)
 #: Longest n-gram; regularization; least probability of a family; least share of a notice's words that the paragraph has.
 NGRAM, PENALTY, LEAST_PROBABILITY, LEAST_SIMILARITY = 3, 0.002, 0.5, 0.5
 
@@ -98,6 +111,11 @@ def ngrams(words: Column, longest: int = NGRAM) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
 
 
+def anchored(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [low.contains(x) for x in ANCHORS]) | low.rlike(ANCHOR_WORDS)
+
+
 def literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -131,11 +149,29 @@ def notice_tokens(spark: SparkSession) -> DataFrame:
     return own.groupBy("family").agg(F.collect_list(F.array_distinct(tokens(F.col("text")))).alias("notices"))
 
 
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """text_id, run, doc_id, paragraph, line, n_lines: every line, and every run of lines of one wrapped paragraph as one line.
+
+    Between blank lines, a line goes on in the next one if that one's first word would not have fitted on it, in a block as
+    wide as its longest line. Comment marks at a line's begin do not count; a line of nothing else is blank."""
+    bare = F.regexp_replace("line", r"^[\s#*/;%!>|-]+|\s+$", "")
+    rows = lines.withColumn("bare", bare).withColumn("size", F.length("bare"))
+    rows = rows.withColumn("block", F.sum((F.col("size") == 0).cast("int")).over(W.partitionBy("text_id").orderBy("paragraph"))).where("size > 0")
+    block = W.partitionBy("text_id", "block")
+    before = F.lag("size").over(block.orderBy("paragraph"))
+    rows = rows.withColumn("wrapped", F.coalesce(before + 1 + F.length(F.regexp_extract("bare", r"^\S+", 0)) > F.max("size").over(block), F.lit(False)))
+    rows = rows.withColumn("run", F.sum((~F.col("wrapped")).cast("int")).over(W.partitionBy("text_id").orderBy("paragraph")))
+    joined = rows.groupBy("text_id", "run").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("paragraph", "bare"))).alias("own")).where(F.size("own") > 1)
+    joined = joined.select("text_id", "run", "doc_id", F.col("own")[0]["paragraph"].alias("paragraph"), F.array_join("own.bare", " ").alias("line"), F.size("own").alias("n_lines"))
+    return rows.select("text_id", "run", "doc_id", "paragraph", F.col("bare").alias("line"), F.lit(1).alias("n_lines")).unionByName(joined)
+
+
 def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
-    """A row per paragraph (line) with a licence: doc_id, paragraph (from 0), family, probability, similarity, confirmed.
+    """A row per paragraph with a licence: doc_id, paragraph (its first line, from 0), family, probability, similarity, confirmed.
+    A paragraph is a line, or the lines of a wrapped one where these together are more similar to a notice than each alone.
 
-    The classifier adds up the weights of a paragraph's distinct word n-grams; softmax gives the family's probability, and
-    paragraphs that are likelier unknown, or below least_probability, are left out. similarity is the largest share of a
+    The classifier adds up the weights of a paragraph's distinct word n-grams; softmax gives the family's probability (it is not
+    calibrated), and paragraphs that are likelier unknown, or below least_probability, are left out. similarity is the largest share of a
     notice of that family whose words the paragraph has; confirmed says that it reaches least_similarity.
 
     Paragraphs without an anchor are unknown by definition and never taken apart. Null and empty texts have no paragraphs;
@@ -143,10 +179,11 @@ def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_si
     rows; extra columns are ignored."""
     spark = docs.sparkSession
     table, classes, shifts = model_table(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(ANCHORS))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.lower("line").rlike(ANCHORS))
-    # each row has a mark of its own, so that repeated rows stay apart; kept, as it must not change between uses
-    lines = checkpoint(lines.select(F.monotonically_increasing_id().alias("mark"), "doc_id", "paragraph", tokens(F.col("line")).alias("words")))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(anchored(F.col("text")))
+    # each text has a mark of its own, so that repeated rows stay apart; kept, as it must not change between uses
+    lines = texts.withColumn("text_id", F.monotonically_increasing_id()).select("text_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    units = paragraphs(checkpoint(lines)).where(anchored(F.col("line")))
+    lines = checkpoint(units.select(F.monotonically_increasing_id().alias("mark"), "text_id", "run", "doc_id", "paragraph", "n_lines", tokens(F.col("line")).alias("words")))
     hits = lines.select("mark", F.explode(ngrams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
     logits = hits.groupBy("mark").agg(*[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(classes))])
     shifted = F.array(*[F.col(f"w{i}") + F.lit(float(x)) for i, x in enumerate(shifts)])
@@ -156,4 +193,8 @@ def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_si
     found = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability))
     rows = lines.join(found, "mark").join(F.broadcast(notice_tokens(spark)), "family")
     share = F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
-    return rows.select("doc_id", "paragraph", "family", "probability", share.alias("similarity"), (share >= least_similarity).alias("confirmed"))
+    rows = rows.withColumn("similarity", share)
+    run = W.partitionBy("text_id", "run")
+    alone, together = (F.max(F.when(x, F.col("similarity"))).over(run) for x in (F.col("n_lines") == 1, F.col("n_lines") > 1))
+    rows = rows.withColumn("better", F.coalesce(together > F.coalesce(alone, F.lit(-1.0)), F.lit(False))).where((F.col("n_lines") > 1) == F.col("better"))
+    return rows.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= least_similarity).alias("confirmed"))

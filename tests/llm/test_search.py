@@ -1,6 +1,7 @@
 """Exact top-k search, near-duplicate groups, licence scans and the pipeline."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -152,6 +153,20 @@ def test_all_license_lines_of_the_table_are_found(spark):
     assert licenses.scan(df).where("confirmed").count() == want
 
 
+def test_every_notice_is_found_alone_and_wrapped(spark):
+    own = [(family, text) for family, texts in licenses.NOTICES.items() for text in texts] + [("cc-by", "Released under CC BY 4.0."), ("gpl", "Licensed under LGPL-2.1-or-later.")]
+    shapes = [
+        lambda t: (t, 0),
+        lambda t: (textwrap.fill(t, 72, break_on_hyphens=False), 0),
+        lambda t: ("Title\n\n" + textwrap.fill(t, 40, initial_indent="# ", subsequent_indent="# ", break_on_hyphens=False) + "\n\nsome words\nmore", 2),
+    ]
+    made = [(family, *shape(text)) for family, text in own for shape in shapes]
+    found = {}
+    for r in licenses.scan(spark.createDataFrame([(i, text) for i, (_, text, _) in enumerate(made)], "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append((r["family"], r["paragraph"], r["confirmed"]))
+    assert {i: found.get(i) for i in range(len(made))} == {i: [(family, line, True)] for i, (family, _, line) in enumerate(made)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
