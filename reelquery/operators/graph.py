@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reelquery.functions.lineage import checkpoint, settled
 
+#: Edges of a graph that one task solves at once (16 bytes each).
+EDGES_AT_ONCE = 500_000
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder (spark.checkpoint.dir; a local one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="reelquery-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, root for every node: the smallest id that edges (a, b) reach. Each round takes the smallest root among the
+def roots_at_once(edges: pd.DataFrame) -> pd.DataFrame:
+    """id, root of every id in edges: roots pass along edges and are then followed to their own roots, until none moves."""
+    ids, ends = np.unique(np.concatenate([edges["a"], edges["b"]]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        for side in (root[a], root[b]):  # a root that meets a smaller one gives way with all that hangs on it
+            np.minimum.at(after, side, low)
+        while (after[after] != after).any():
+            after = after[after]
+        after = after[root]
+        if (after == root).all():
+            return pd.DataFrame({"id": ids, "root": ids[root]})
+        root = after
+
+
+def linked_roots(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """id, root for every id in edges (a, b; longs): the smallest id that edges reach.
+
+    A graph of up to at_once edges is solved in one task. A larger one takes rounds: each takes the smallest root among the
     neighbours and then that root's root, so rounds grow with the logarithm of a component's diameter."""
-    both = checkpoint(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    apart, n = settled(edges.where("a <> b").select("a", "b").distinct())
+    if n <= at_once:
+        return checkpoint(apart.coalesce(1).mapInPandas(lambda parts: [roots_at_once(pd.concat(list(parts)))] if n else [], "id long, root long"))
+    both = checkpoint(apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     roots = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(roots, both["b"] == roots["id"]).groupBy("a").agg(F.min("root").alias("near"))
@@ -30,7 +48,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = checkpoint(step.join(up, step["to"] == up["at"], "left").select("id", F.least("to", F.coalesce("top", "to")).alias("root"), "old"))
         roots = moved.select("id", "root")
         if moved.where("root < old").isEmpty():
-            return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+            return roots
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, root for every node: the smallest id that edges (a, b) reach; a node without edges is its own root."""
+    return nodes.select("id").distinct().join(linked_roots(edges), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def token_edges(df: DataFrame, id_col: str, token: str) -> DataFrame:
