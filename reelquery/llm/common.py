@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelquery.functions.lineage import checkpoint, checkpoint_dir  # noqa: F401  shared with the operators here
+
 #: Entries that a Python worker's word cache may hold before it starts anew. It changes speed only, never results.
 CACHE_ENTRIES = 400_000
 
@@ -18,20 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local folder only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="reelquery-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column | str) -> Column:
     """The fold 0 to 4 of a document: crc32 of its id as text, modulo 5. Fold 0 is held out."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5

@@ -97,19 +97,29 @@ def test_groups_against_all_pairs(spark, seed):
     rows = list(enumerate(rows))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("key", F.lit(1)).repartition(5)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.near_duplicates(df).collect()}
-    assert found == brute_groups(rows)
+    want = brute_groups(rows)
+    for settings in ({}, {"hot": -(10**9)}):  # as usual, and with every shingle dealt by the set
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.near_duplicates(df, **settings).collect()} == want
 
 
 def test_group_edge_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, "x" * 100_000)], "doc_id long, text string")
     rows = sorted(((r["doc_id"] or -1), r["component_id"]) for r in j.near_duplicates(df).collect())
     assert rows == [(-1, None), (1, 1), (1, 1), (2, 1), (3, 3)]
-    assert j.near_duplicates(df.limit(0)).count() == 0
+    assert j.near_duplicates(df.limit(0)).count() == 0 and j.keep_one(df.limit(0)).count() == 0
     kept = j.keep_one(df.withColumn("label", F.lit(0)))
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3] and kept.columns == ["doc_id", "text", "label"]
 
 
+def test_one_text_of_a_repeated_id_stays(spark):
+    rows = [(5, "b b b b b b", 1), (5, "a a a a a a", 2), (5, "a a a a a a", 1), (3, "b b b b b b", 1), (4, None, 1), (4, "z", 1), (None, None, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label long").withColumn("m", F.create_map(F.lit("x"), F.col("label")))
+    for parts in (1, 3):
+        kept = j.keep_one(df.repartition(parts))
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "", r["label"]) for r in kept.collect()) == [(0, "", 1), (0, "", 1), (3, "b b b b b b", 1), (4, "", 1), (5, "a a a a a a", 1)]
+
+
 def test_bounds_never_cut_off_a_link():
     rng = np.random.default_rng(0)
     for _ in range(300):
