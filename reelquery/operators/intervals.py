@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -133,42 +135,63 @@ def top_windows(segments: DataFrame, threshold: float, k: int = 3, key: str = "v
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).drop("_first")
 
 
-ALERT_STATE = "STRUCT<smooth: DOUBLE, start: DOUBLE, decision: DOUBLE, previous: DOUBLE, alerts: ARRAY<STRUCT<start_s: DOUBLE, end_s: DOUBLE, decision_time: DOUBLE>>>"
+#: Scores whose moving average one array folds; longer stretches are folded piece by piece.
+FOLDED_AT_ONCE = 256
+
+
+def levels(values: Column, initial: Column, following: Callable[[Column, Column], Column]) -> Column:
+    """initial, and for each value what it makes of the level before."""
+    return F.aggregate(values, F.array(initial), lambda out, x: F.array_append(out, following(F.element_at(out, -1), x)))
+
+
+def moving_average(rows: DataFrame, alpha: float, keys: list[str], at: str, score: str, piece: int = FOLDED_AT_ONCE) -> DataFrame:
+    """rows and level: alpha * score + (1 - alpha) * the level before, in the order of at (0, 1, ... within keys); the first
+    level is the first score.
+
+    Averaging over n scores maps the level before them to (1 - alpha)**n times it plus a shift, and such maps chain. So each
+    piece of a stretch is folded to its map, the maps before a piece give the level that it begins with, and the pieces are
+    then folded on their own: no array holds a long stretch."""
+    cut, first = [*keys, "_piece"], F.col("_piece") == 0
+    step = lambda level, x: alpha * x + (1 - alpha) * level
+    pieces = rows.withColumn("_piece", F.expr(f"{at} div {piece}")).groupBy(*cut).agg(F.array_sort(F.collect_list(F.struct(at, score))).alias("_own"))
+    scores = F.transform("_own", lambda x: x[score])
+    # the first piece begins with its own first score, as if that had been the level already
+    start = F.when(first, F.get(scores, F.lit(0))).otherwise(0.0)
+    mapped = F.struct("_piece", F.when(first, 0.0).otherwise(F.pow(F.lit(1 - alpha), F.size("_own"))).alias("scale"), F.aggregate(scores, start, step).alias("shift"))
+    maps = pieces.select(*keys, mapped.alias("_map")).groupBy(*keys).agg(F.array_sort(F.collect_list("_map")).alias("_maps"))
+    begins = maps.select(*keys, F.posexplode(levels(F.col("_maps"), F.lit(0.0), lambda level, m: m["scale"] * level + m["shift"])).alias("_n", "_begin"))
+    begun = pieces.join(begins.select(*keys, F.col("_n").cast("long").alias("_piece"), "_begin"), cut)
+    found = F.slice(levels(scores, F.when(first, F.get(scores, F.lit(0))).otherwise(F.col("_begin")), step), 2, piece)
+    back = begun.select(*keys, F.inline(F.arrays_zip(F.transform("_own", lambda x: x[at]).alias(at), found.alias("level"))))
+    return rows.join(back, [*keys, at])
 
 
 def hysteresis_alerts(segments: DataFrame, on: float = 0.5, off: float = 0.5, min_duration: float = 0.0, alpha: float = 1.0, key: str = "video_id") -> DataFrame:
     """key, start_s, end_s, decision_time: alerts of a causal moving average with on and off levels and persistence.
 
     A gap between intervals closes an alert and restarts the average. An alert starts where the average reaches on, ends
-    where it falls below off, and is decided at the end of the first interval by which it has lasted min_duration. The
-    fold runs inside one aggregate over each key's intervals in order of start; a key's intervals are the unit of work."""
+    where it falls below off, and is decided at the end of the first interval by which it has lasted min_duration. Gaps cut
+    a key's intervals into stretches; in a stretch an interval is on if the last average at or above on, or below off, up
+    to it was at or above on, and a run of intervals that are on is an alert."""
     if not 0 <= off <= on <= 1 or min_duration < 0 or not 0 < alpha <= 1:
         raise ValueError("expected 0 <= off <= on <= 1, min_duration >= 0 and 0 < alpha <= 1")
-    none = F.lit(None).cast("double")
-    empty = F.array().cast("ARRAY<STRUCT<start_s: DOUBLE, end_s: DOUBLE, decision_time: DOUBLE>>")
-    zero = F.struct(none.alias("smooth"), none.alias("start"), none.alias("decision"), none.alias("previous"), empty.alias("alerts")).cast(ALERT_STATE)
-
-    def closed(state: Column, end: Column) -> Column:
-        return F.array_append(state["alerts"], F.struct(state["start"].alias("start_s"), end.alias("end_s"), state["decision"].alias("decision_time")))
-
-    def step(state: Column, x: Column) -> Column:
-        gap = state["previous"].isNotNull() & (x["start_s"] > state["previous"])
-        alerts = F.when(gap & state["decision"].isNotNull(), closed(state, state["previous"])).otherwise(state["alerts"])
-        start, decision, smooth = (F.when(gap, none).otherwise(state[k]) for k in ("start", "decision", "smooth"))
-        level = F.when(smooth.isNull(), x["score"]).otherwise(alpha * x["score"] + (1 - alpha) * smooth)
-        ends = start.isNotNull() & (level < off)
-        alerts = F.when(ends & decision.isNotNull(), F.array_append(alerts, F.struct(start.alias("start_s"), x["start_s"].alias("end_s"), decision.alias("decision_time")))).otherwise(alerts)
-        begins = start.isNull() & (level >= on)
-        start = F.when(begins, x["start_s"]).when(ends, none).otherwise(start)
-        decision = F.when(ends, none).otherwise(decision)
-        decided = start.isNotNull() & decision.isNull() & (x["end_s"] - start >= min_duration)
-        decision = F.when(decided, x["end_s"]).otherwise(decision)
-        return F.struct(level.alias("smooth"), start.alias("start"), decision.alias("decision"), x["end_s"].alias("previous"), alerts.alias("alerts")).cast(ALERT_STATE)
-
-    rows = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s", "score"))).alias("_rows"))
-    state = rows.select(key, F.aggregate("_rows", zero, step).alias("_state"))
-    last = F.when(F.col("_state.decision").isNotNull(), closed(F.col("_state"), F.col("_state.previous"))).otherwise(F.col("_state.alerts"))
-    return state.select(key, F.explode(last).alias("_alert")).select(key, "_alert.*")
+    stretch = [key, "_stretch"]
+    whole = W.partitionBy(key).orderBy("start_s", "end_s", "score")
+    rows = segments.select(key, "start_s", "end_s", "score").withColumn("_gap", F.coalesce(F.col("start_s") > F.lag("end_s").over(whole), F.lit(True)))
+    rows = rows.withColumn("_stretch", F.sum(F.col("_gap").cast("long")).over(whole.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_at", (F.row_number().over(W.partitionBy(*stretch).orderBy("start_s", "end_s", "score")) - 1).cast("long"))
+    rows = rows.withColumn("level", F.col("score")) if alpha == 1 else moving_average(rows, alpha, stretch, "_at", "score")
+    order = W.partitionBy(*stretch).orderBy("_at")
+    decisive = F.when(F.col("level") >= on, True).when(F.col("level") < off, False)
+    rows = rows.withColumn("_on", F.coalesce(F.last(decisive, ignorenulls=True).over(order), F.lit(False)))
+    turns = F.coalesce(F.col("_on") != F.lag("_on").over(order), F.lit(True))
+    rows = rows.withColumn("_run", F.sum(turns.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_since", F.first("start_s").over(W.partitionBy(*stretch, "_run").orderBy("_at")))
+    lasted = F.when(F.col("end_s") - F.col("_since") >= min_duration, F.struct("_at", "end_s"))
+    runs = rows.groupBy(*stretch, "_run", "_on", "_since").agg(F.max(F.struct("_at", "end_s")).alias("_last"), F.min(lasted).alias("_decided"))
+    runs = runs.withColumn("_next", F.lead("_since").over(W.partitionBy(*stretch).orderBy("_run")))
+    alerts = runs.where("_on AND _decided IS NOT NULL")
+    return alerts.select(key, F.col("_since").alias("start_s"), F.coalesce("_next", "_last.end_s").alias("end_s"), F.col("_decided.end_s").alias("decision_time"))
 
 
 def segment_bag(units: DataFrame, segments: int, key: str = "video_id") -> DataFrame:

@@ -13,14 +13,15 @@ def scored(spark, labels, scores, source=None):
 
 
 def test_golden_binary_metrics(spark):
-    row = m.binary_metrics(scored(spark, [0, 0, 1, 1], [0.1, 0.6, 0.4, 0.9])).first()
-    assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (1, 1, 1, 1)
-    assert row["roc_auc"] == 0.75 and row["precision"] == row["recall"] == row["f1"] == 0.5 and row["fpr"] == 0.5
+    # of 3 x 2 pairs, 0.2 against 0.3 is out of order and 0.2 against 0.2 a tie
+    row = m.binary_metrics(scored(spark, [0, 1, 0, 1, 1], [0.2, 0.2, 0.3, 0.8, 0.55])).first()
+    assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (2, 0, 1, 2)
+    assert row["roc_auc"] == 4.5 / 6 and row["precision"] == 1 and row["recall"] == 2 / 3 and row["f1"] == 0.8 and row["fpr"] == 0
 
 
 def test_golden_calibration(spark):
-    row = m.calibrate_threshold(scored(spark, [0, 0, 1, 1], [0.1, 0.6, 0.4, 0.9]), [0.4, 0.5, 0.9], 1.0).first()
-    assert row["threshold"] == 0.4 and row["recall"] == 1.0
+    row = m.calibrate_threshold(scored(spark, [1, 0, 1, 0, 0], [0.35, 0.3, 0.75, 0.7, 0.2]), [0.3, 0.35, 0.6, 0.8], 1.0).first()
+    assert row["threshold"] == 0.35 and row["recall"] == 1.0
 
 
 def test_calibration_needs_both_classes_and_recall(spark):

@@ -1,7 +1,39 @@
+import random
+
 import pandas as pd
 
-from reelquery.operators.intervals import hysteresis_alerts
-from reelquery.streaming.alerts import alert_counts, fold_segments
+from reelquery.operators.intervals import hysteresis_alerts, moving_average
+from reelquery.streaming.alerts import NOTHING_OPEN, alert_counts, fold_segments
+
+
+def test_fold_equals_the_batch_however_it_is_cut(spark):
+    rng = random.Random(1)
+    for alpha, lasting in ((1.0, 0.0), (0.5, 2.0), (0.3, 1.5)):
+        low, rows = 0.0, []
+        for _ in range(60):
+            low += rng.choice([0.0, 0.0, 0.0, 0.5])
+            rows.append((1, low, low + 1, round(rng.random(), 3)))
+            low += 1
+        frame = pd.DataFrame(rows, columns=["video_id", "start_s", "end_s", "score"])
+        df = spark.createDataFrame(rows, "video_id long, start_s double, end_s double, score double")
+        batch = sorted(tuple(r)[1:] for r in hysteresis_alerts(df, 0.6, 0.4, lasting, alpha).collect())
+        for size in (60, 7, 1):
+            state, parts = NOTHING_OPEN, []
+            for at in range(0, 60, size):
+                closed, state = fold_segments(frame.iloc[at : at + size], state, 0.6, 0.4, lasting, alpha)
+                parts += closed
+            parts += [(state[1], state[3], state[2])] if state[2] is not None else []
+            assert sorted(parts) == batch and batch
+
+
+def test_average_by_pieces(spark):
+    rng = random.Random(2)
+    rows = [(k, i, rng.random()) for k in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, i long, score double")
+    found = {(r["k"], r["i"]): r["level"] for r in moving_average(df, 0.25, ["k"], "i", "score", 8).collect()}
+    for k, i, score in rows:
+        level = score if i == 0 else 0.25 * score + 0.75 * level
+        assert abs(found[k, i] - level) < 1e-12
 
 
 def test_fold_goes_on_from_batch_to_batch():
