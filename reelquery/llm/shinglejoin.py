@@ -22,7 +22,7 @@ NUM, DEN = 80, 100
 #: Groups that shingles are hashed into: the dimensions of a count vector.
 GROUPS = 256
 #: Cells of the sketch of frequent shingles (log2): a broadcast of that many 32-bit counters, whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_BITS, SKETCH_PARTS, SUMMED_AT_ONCE = 20, 64, 256
 #: Sets that share an indexed shingle: up to so many are paired at once, more go through the R-tree.
 PAIRED_AT_ONCE = 16
 #: Rounds of the R-tree: at first only the best pairs of each group so far, which mostly joins what belongs together; the
@@ -120,18 +120,23 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def sketch_of(made: DataFrame) -> tuple[np.ndarray, int]:
-    """The sum of all tasks' sketches, part by part, and how many postings the sets have at most."""
+    """The sum of all tasks' sketches, and how many postings the sets have at most. Each part is summed in a tree, so a task
+    reads at most SUMMED_AT_ONCE of them."""
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
         for x in part["vec"]:
             total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"key": [part["key"].iloc[0]], "n": [part["n"].sum()], "vec": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+        vec = zlib.compress(np.minimum(total, 2**31 - 1).astype(np.uint32).tobytes(), 1)
+        return pd.DataFrame({"at": [part["at"].iloc[0]], "key": [part["key"].iloc[0]], "n": [part["n"].sum()], "vec": [vec]})
 
-    parts = made.where("kind = 1").select("key", "n", "vec").groupBy("key").applyInPandas(add, "key long, n long, vec binary").collect()
+    rows, many = made.where("kind = 1").select(F.spark_partition_id().alias("at"), "key", "n", "vec"), made.rdd.getNumPartitions()
+    while many > 1:
+        rows, many = rows.withColumn("at", F.expr(f"CAST(at div {SUMMED_AT_ONCE} AS INT)")).groupBy("at", "key").applyInPandas(add, "at int, key long, n long, vec binary"), -(-many // SUMMED_AT_ONCE)
+    parts = rows.collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int32)
     for part in parts:
-        sketch[part["key"]] = np.frombuffer(part["vec"], np.int32)
+        sketch[part["key"]] = np.frombuffer(zlib.decompress(part["vec"]), np.int32)
     return sketch.ravel(), sum(part["n"] for part in parts)
 
 
