@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import fold, table
@@ -18,6 +18,11 @@ from reelquery.llm.toxicity import fit, score_toxicity
 from reelquery.llm.warc import archive_round_trip
 
 
+def held_out() -> Column:
+    """Whether a document is in fold 0; false for rows without doc_id."""
+    return F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out")
+
+
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,7 +47,7 @@ def op5_trained_license_classifier(spark: SparkSession, sf_dir: str) -> DataFram
 def op6_word_first_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = identify(docs.select("doc_id", "text"), docs.where(fold("doc_id") != 0))
-    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(), "lang_pred", "score")
 
 
 def op7_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def op10_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs.where(fold("doc_id") != 0), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     found = score_toxicity(docs, model)
-    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(), "score", "predicted", F.size("segments").alias("n_passages"), F.col("segments").alias("passages"))
 
 
 QUERIES = {

@@ -14,11 +14,11 @@ from reelquery.llm.rowfilter import where_text
 
 #: Labelled documents that the odds are fitted on, at most: those with the smallest hash of their id.
 SAMPLE_DOCS = 40_000
-#: Weight of the Dirichlet prior as a share of all counts, and the z-score that a token's log-odds need to count.
+#: Weight of the Dirichlet prior as a share of all counts, and the z-score that a token's log-odds need, above or below zero.
 PRIOR_SHARE, LEAST_Z = 0.1, 3.0
-#: Share of the toxic documents' counts that a counted token must have: the lexicon has at most 1 / share tokens.
+#: Share of all counts that a counted token must have: the lexicon has at most 1 / share tokens.
 LEAST_SHARE = 1e-5
-#: What every other token costs a passage.
+#: What a token costs a passage whose log-odds are not known to differ from zero.
 DRIFT = -0.25
 #: Expected number of background segments of that score or more (E-value) below which a segment is significant.
 SIGNIFICANT = 0.05
@@ -53,7 +53,7 @@ def log_odds(labelled: DataFrame, prior_share: float = PRIOR_SHARE, least_z: flo
     """token -> (log-odds of toxic against other documents, share of the tokens of other documents).
 
     The odds have an informative Dirichlet prior (Monroe, Colaresi and Quinn 2008): each class's counts are smoothed by the
-    token's share of all tokens. Tokens whose log-odds are not least_z standard errors above zero are left out."""
+    token's share of all tokens. Tokens whose log-odds are within least_z standard errors of zero are left out."""
     counted = checkpoint(token_counts(labelled))
     a_all, b_all = counted.agg(F.sum("a"), F.sum("b")).first()
     if not a_all or not b_all:
@@ -61,20 +61,19 @@ def log_odds(labelled: DataFrame, prior_share: float = PRIOR_SHARE, least_z: flo
     prior, whole = (F.col("a") + F.col("b")) * prior_share, (a_all + b_all) * prior_share
     odds = lambda x, total: F.log((F.col(x) + prior) / (total + whole - F.col(x) - prior))
     z = F.col("odds") / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior))
-    found = counted.withColumn("odds", odds("a", a_all) - odds("b", b_all)).where((z >= least_z) & (F.col("a") >= LEAST_SHARE * a_all))
+    common = F.col("a") + F.col("b") >= LEAST_SHARE * (a_all + b_all)
+    found = counted.withColumn("odds", odds("a", a_all) - odds("b", b_all)).where((F.abs(z) >= least_z) & common)
     return {r["token"]: (r["odds"], r["b"] / b_all) for r in found.collect()}
 
 
-def maximal_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (Ruzzo and Tompa 1999) of a sequence that scores score[i] at position at[i] and drift
-    everywhere else, as (first, last, score). Linear in len(at): segments begin and end at positive scores."""
+def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (Ruzzo and Tompa 1999) of a sequence of scores, as (first, last, sum). Linear: sums are
+    running, and segments begin and end at positive scores."""
+    at = np.flatnonzero(score > 0)
+    after = np.cumsum(score)[at]
     found: list[list] = []  # [first, last, sum before, sum after]
-    total, previous = 0.0, -1
-    for position, value in zip(at.tolist(), score.tolist(), strict=True):
-        total += drift * (position - previous - 1)
-        previous = position
-        new = [position, position, total, total + value]
-        total += value
+    for position, low, high in zip(at.tolist(), (after - score[at]).tolist(), after.tolist(), strict=True):
+        new = [position, position, low, high]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
@@ -106,23 +105,40 @@ def decay(lexicon: dict[str, tuple[float, float]], drift: float = DRIFT) -> floa
     return low
 
 
-def scorer(model: dict, significant: float = SIGNIFICANT):
-    """features(text) -> (tokens, best, evidence, segments, score) under a fitted model.
+def segment_finder(odds: dict[str, float]):
+    """find(text) -> (number of tokens, its maximal segments). A token scores its log-odds, or DRIFT if it has none."""
+    known = {w.encode(): x for w, x in odds.items()}
 
-    A segment of score S is expected E = tokens * exp(-rate * S) times in a background text of that length. evidence adds
-    up ln(1 / E) over the segments with E below significant, and is ln(1 / E) of the best where none is."""
-    known = {w.encode(): odds for w, odds in model["odds"].items()}
-    rate, slope, shift = model["rate"], model["slope"], model["shift"]
-    def features(text: bytes | None) -> tuple:
+    def find(text: bytes | None) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens_of(text) if text else []
-        n = len(words)
-        score = np.fromiter((known.get(word, 0.0) for word in words), float, n)
-        at = np.flatnonzero(score)
-        found = [(a, b, s, rate * s - math.log(n)) for a, b, s in maximal_segments(at, score[at], DRIFT)]
-        sure = [x for x in found if x[3] > -math.log(significant)]
-        evidence = sum(x[3] for x in sure) if sure else max((x[3] for x in found), default=-math.log(n + 1))
+        score = np.fromiter((known.get(word, DRIFT) for word in words), float, len(words))
+        return len(words), maximal_segments(score)
+
+    return find
+
+
+def evidence_of(n: int, scores: list[float], rate: float, factor: float, significant: float = SIGNIFICANT) -> tuple[float, list[bool]]:
+    """Evidence of a text of n tokens with segments of these scores, and which segments are significant.
+
+    A segment of score S is expected E = factor * n * exp(-rate * S) times in a background text of that length. evidence
+    adds up ln(1 / E) over the segments with E below significant, and is ln(1 / E) of the best where none is (of a score
+    of zero where there is no segment)."""
+    space = math.log(factor * max(n, 1))
+    values = [rate * s - space for s in scores]
+    sure = [x > -math.log(significant) for x in values]
+    return (sum(x for x, yes in zip(values, sure, strict=True) if yes) if any(sure) else max(values, default=-space)), sure
+
+
+def scorer(model: dict):
+    """features(text) -> (tokens, best, evidence, significant segments, score) under a fitted model."""
+    find, slope, shift = segment_finder(model["odds"]), model["slope"], model["shift"]
+
+    def features(text: bytes | None) -> tuple:
+        n, found = find(text)
+        evidence, sure = evidence_of(n, [x[2] for x in found], model["rate"], model["factor"])
         x = min(max(evidence, EVIDENCE[0]), EVIDENCE[1]) * slope + shift
-        return n, max((x[2] for x in found), default=0.0), evidence, [{"first": a, "last": b, "score": s} for a, b, s, _ in sure], 1 / (1 + math.exp(-x))
+        passages = [{"first": a, "last": b, "score": s} for (a, b, s), yes in zip(found, sure, strict=True) if yes]
+        return n, max((x[2] for x in found), default=0.0), evidence, passages, 1 / (1 + math.exp(min(max(-x, -700.0), 700.0)))
 
     return features
 
@@ -147,35 +163,50 @@ def platt(evidence: DataFrame) -> tuple[float, float]:
 
 
 def fit(train: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """The model: odds of the lexicon's tokens, rate of the extreme-value law, slope and shift of the calibration.
+    """The model: odds of the lexicon's tokens, rate and factor of the extreme-value law, slope and shift of the calibration.
 
     train holds the documents (doc_id, text) whose labels may be learned, labels has doc_id and toxic (0 or 1; other rows
     and nulls are ignored; a document labelled both ways counts as toxic). Learning uses the labelled documents with the
-    smallest hash of their id, sample_docs at most, so their labels are a bounded broadcast. Copies of a text count once
-    for the odds, or their every word would seem to go with their label. Without labels of both kinds every score is
-    nearly 0."""
+    smallest hash of their id (ties by id), sample_docs at most, so their labels are a bounded broadcast. Copies of a text
+    count once for the odds, or their every word would seem to go with their label. The factor is the likeliest one for
+    the best segments of the documents that are not toxic: n * exp(-rate * best) of a background text is exponential with
+    that rate. Without labels of both kinds every score is nearly 0."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = train.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     known = checkpoint(known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
     labelled = checkpoint(train.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id"))
     firsts = labelled.groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     lexicon = log_odds(labelled.join(F.broadcast(firsts), "doc_id", "left_semi").select("toxic", "text"))
-    model = {"odds": {w: odds for w, (odds, _) in lexicon.items()}, "rate": decay(lexicon), "slope": 0.0, "shift": 0.0}
+    odds, rate = {w: x for w, (x, _) in lexicon.items()}, decay(lexicon)
 
     def one():
-        features = scorer(model)
-        return lambda toxic, texts: {"toxic": toxic, "evidence": [features(text)[2] for text in texts]}
+        find = segment_finder(odds)
+
+        def work(toxic, texts):
+            rows = [find(text) for text in texts]
+            return {"toxic": toxic, "tokens": [n for n, _ in rows], "scores": [[x[2] for x in found] for _, found in rows]}
+
+        return work
 
-    model["slope"], model["shift"] = platt(map_texts(labelled.select("toxic", "text"), one, "toxic int, evidence double"))
-    return model
+    cut = checkpoint(map_texts(labelled.select("toxic", "text"), one, "toxic int, tokens long, scores array<double>"))
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    background = cut.where("toxic = 0 AND tokens > 0").agg(F.count("*").alias("n"), F.sum(F.col("tokens") * F.exp(-rate * best)).alias("x")).first()
+    factor = background["n"] / background["x"] if background["n"] else 1.0
+    values = F.transform("scores", lambda s: rate * s - F.log(factor * F.greatest("tokens", F.lit(1))))
+    sure = F.filter(values, lambda x: x > -math.log(SIGNIFICANT))
+    alone = F.coalesce(F.array_max(values), -F.log(factor * F.greatest("tokens", F.lit(1))))
+    evidence = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, x: a + x)).otherwise(alone)
+    slope, shift = platt(cut.select("toxic", evidence.alias("evidence")))
+    return {"odds": odds, "rate": rate, "factor": factor, "slope": slope, "shift": shift}
 
 
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5), and what the score rests on: tokens, best (the highest segment
     score), evidence, and the significant segments in token positions.
 
-    Null and empty texts have no segment and score as such texts do. Repeated rows are scored each; an empty table gives no
-    rows; extra columns are ignored."""
+    Null and empty texts have no segment and score as such texts do; a text of any length is scored whole, in one linear
+    scan. Touching segments of equal sums stay apart. Repeated rows are scored each; an empty table gives no rows; extra
+    columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one():
@@ -191,7 +222,8 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs that are not predicted toxic, in one pass without a shuffle."""
+    """The rows of docs that are not predicted toxic, in one pass without a shuffle. Null and empty texts are judged as
+    score_toxicity scores them; repeated rows stay each; an empty table gives no rows; all columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one():

@@ -1,5 +1,6 @@
 """Quality rules, language identification and toxicity."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -53,6 +54,43 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert good == 1.0 and junk < 0.1
 
 
+def test_verdicts_against_naive_ones(spark):
+    """kept of every document, from references and distances by their definitions."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    joined = str.maketrans({c: " " for c in ".,;:!?'\"()-"} | {chr(x): chr(x + 32) for x in range(65, 91)})
+
+    def classes(text):
+        found = Counter()
+        for c in text:
+            found[0 if "A" <= c <= "Z" else 1 if c in "aeiouy" else 2 if "a" <= c <= "z" else 3 if c in "0123456789" else 4 if c in " \t\n\x0b\x0c\r" else 5 if c in ".,;:!?'\"()-" else 6 if c.isascii() else 7] += 1
+        return [found[k] for k in range(8)]
+
+    def far(x, y):
+        p, q = [[v / sum(z) for v in z] for z in (x, y)]
+        half = lambda u: sum(v * math.log2(v / ((a + b) / 2)) for v, a, b in zip(u, p, q, strict=True) if v > 0)
+        return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+    base = {r["doc_id"]: naive_counts(r["text"]) for r in rows}
+    fine = {i for i, n in base.items() if n[0] >= 50 and 100 * n[4] <= 50 * n[0]}
+    refs = {}
+    for lang in {r["lang"] for r in rows} - {None}:
+        own = [r for r in rows if r["lang"] == lang and r["doc_id"] in fine]
+        total, words = sum(base[r["doc_id"]][0] for r in own), Counter(w for r in own for w in r["text"].translate(joined).split())
+        if total >= quality.LANGUAGE_WORDS:
+            common = [w for w, n in words.items() if n >= quality.COMMON_SHARE * total]
+            refs[lang] = [sum(x) for x in zip(*(classes(r["text"]) for r in own), strict=True)], common, [words[w] for w in common] + [max(0, total - sum(words[w] for w in common))]
+    assert len(refs) == 4
+    for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        text, lang = next((x["text"], x["lang"]) for x in rows if x["doc_id"] == r["doc_id"])
+        want = r["doc_id"] in fine
+        if want and lang in refs:
+            n, counts, chars = base[r["doc_id"]][0], Counter(text.translate(joined).split()), classes(text)
+            limit = 0.2 + 2.2 / math.sqrt(n)
+            hist = lambda common: [counts[w] for w in common] + [max(0, n - sum(counts[w] for w in common))]  # noqa: E731, B023
+            want = any((len(text) < 200 or far(chars, c) <= 0.28) and far(hist(common), k) <= limit for c, common, k in refs.values())
+        assert r["kept"] == want, r["doc_id"]
+
+
 def test_quality_edge_tables(spark):
     assert quality.judge(docs(spark, []).withColumn("kept", F.lit(1)).withColumn("nearest", F.lit("x"))).count() == 0
     twice = docs(spark, ["a"]).unionByName(docs(spark, ["a"]))
@@ -101,6 +139,42 @@ def test_languages_of_held_out_documents(spark):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_language_scores_against_python(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["tha", "teh", "cat"] if lang == "aa" else ["les", "tes", "chat"]) + rng.choice(["", "s", "é"]) for _ in range(12)), lang, "s", 0) for i in range(30) for lang in ("aa", "bb")]
+    train = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], DOCS)
+    counts = {kind: {"aa": Counter(), "bb": Counter()} for kind in (0, *langid.ORDERS)}
+    for _, text, lang, *_ in rows:
+        for word in text.split():
+            counts[0][lang][word] += 1
+            for order in langid.ORDERS:
+                framed = word if order == 1 else f"^{word}$"
+                counts[order][lang].update(framed[k : k + order] for k in range(len(framed) - order + 1))
+    tables = {}
+    for kind, by in counts.items():
+        entries = {g for g in by["aa"].keys() | by["bb"].keys() if by["aa"][g] + by["bb"][g] >= langid.LEAST_COUNT}
+        tables[kind] = {g: [math.log((by[x][g] + 1) / (sum(by[x].values()) + len(entries) + 1)) for x in ("aa", "bb")] for g in entries}
+    words = [sum(counts[0][x].values()) + 1 for x in ("aa", "bb")]
+
+    def score(text):
+        total = [math.log(w / sum(words)) for w in words]
+        for word in text.split():
+            found = [tables[0][word]] if word in tables[0] else []
+            for order in () if found else langid.ORDERS:
+                framed = word if order == 1 else f"^{word}$"
+                found = [tables[order][g] for g in (framed[k : k + order] for k in range(len(framed) - order + 1)) if g in tables[order]]
+                if found:
+                    break
+            total = [t + (sum(f[x] for f in found) / len(found) if found else 0) for x, t in enumerate(total)]
+        odds = [math.exp(t - max(total)) for t in total]
+        return "ab"[odds[1] > odds[0]] * 2, max(odds) / sum(odds)
+
+    texts = ["that", "lest chat", "tehé cats zzz", "xyz", "chatte", "q t"]
+    for r in langid.identify(docs(spark, texts), train).collect():
+        lang, value = score(texts[r["doc_id"]])
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(value, rel=1e-4))
+
+
 def test_language_edge_cases(spark):
     train = docs(spark, ["the cat and the dog and the bird", "the house and the tree"] * 3).unionByName(docs(spark, ["le chat et le chien et la maison"] * 5, "fr")).unionByName(docs(spark, [None, "x"], None))
     rows = langid.identify(docs(spark, [None, "", "123 !?", "the", "le chiennes", "中文", "the " * 20_000]).withColumn("score", F.lit(1)), train).orderBy("doc_id").collect()
@@ -122,7 +196,7 @@ def test_maximal_segments_against_the_definition(seed):
     """Recursively: the best segment is maximal, then those of what is left of it and right of it."""
     rng = random.Random(seed)
     n = rng.randint(1, 30)
-    scores = [rng.choice([1, 2, 3]) if rng.random() < 0.35 else -1 for _ in range(n)]
+    scores = [rng.choice([1, 2, 3]) if rng.random() < 0.35 else rng.choice([-1, -2, 0]) for _ in range(n)]
 
     def best(low, high):
         found = None
@@ -133,9 +207,60 @@ def test_maximal_segments_against_the_definition(seed):
                     found = (s, i, j)
         return [] if found is None else best(low, found[1]) + [found] + best(found[2], high)
 
-    at = np.array([i for i, s in enumerate(scores) if s > 0], int)
-    got = toxicity.maximal_segments(at, np.array([scores[i] for i in at], float), -1.0)
+    got = toxicity.maximal_segments(np.array(scores, float))
     assert sorted(s for *_, s in got) == sorted(s for s, *_ in best(0, n))
+    assert all(sum(scores[a : b + 1]) == s for a, b, s in got)
+
+
+def test_toxicity_against_python(spark):
+    """Odds, extreme-value law and scores, each from its definition."""
+    rng = random.Random(4)
+    bad, good, plain = ["idiot", "stupid", "moron"], ["kind", "thanks", "lovely"], [f"w{i}" for i in range(40)]
+
+    def text(toxic):
+        words = rng.choices(plain, k=rng.randint(5, 60))
+        for _ in range(rng.randint(1, 4)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad if toxic or rng.random() < 0.02 else good))
+        return " ".join(words)
+
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    texts = [text(y) for y in toxic]
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    a, b = (Counter(w for t, y in zip(texts, toxic, strict=True) if y == want for w in set(t.split())) for want in (1, 0))
+    all_a, all_b = sum(a.values()), sum(b.values())
+    odds = {}
+    for w in a.keys() | b.keys():
+        prior, whole = 0.1 * (a[w] + b[w]), 0.1 * (all_a + all_b)
+        x = math.log((a[w] + prior) / (all_a + whole - a[w] - prior)) - math.log((b[w] + prior) / (all_b + whole - b[w] - prior))
+        if abs(x) >= 3 * math.sqrt(1 / (a[w] + prior) + 1 / (b[w] + prior)):
+            odds[w] = x
+    assert model["odds"].keys() == odds.keys() >= set(bad + good) and all(abs(model["odds"][w] - x) < 1e-9 for w, x in odds.items())
+    shares = {w: b[w] / all_b for w in odds}
+    law = sum(p * math.exp(model["rate"] * odds[w]) for w, p in shares.items()) + (1 - sum(shares.values())) * math.exp(model["rate"] * toxicity.DRIFT)
+    assert abs(law - 1) < 1e-6
+
+    def best_of(words):
+        scores = [odds.get(w, toxicity.DRIFT) for w in words]
+        return max([0.0] + [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)])
+
+    clean = [t.split() for t, y in zip(texts, toxic, strict=True) if not y]
+    assert model["factor"] == pytest.approx(len(clean) / sum(len(w) * math.exp(-model["rate"] * best_of(w)) for w in clean))
+    rows = toxicity.score_toxicity(docs(spark, texts), model).orderBy("doc_id").collect()
+    assert sum(r["predicted"] == y for r, y in zip(rows, toxic, strict=True)) > 0.95 * len(rows)
+    for r, t in zip(rows, texts, strict=True):
+        words = t.split()
+        space = math.log(model["factor"] * len(words))
+        assert r["best"] == pytest.approx(best_of(words))
+        passages = [sum(odds.get(w, toxicity.DRIFT) for w in words[p["first"] : p["last"] + 1]) for p in r["segments"]]
+        assert passages == pytest.approx([p["score"] for p in r["segments"]]) and all(model["rate"] * s - space > -math.log(0.05) for s in passages)
+        evidence = sum(model["rate"] * s - space for s in passages) if passages else model["rate"] * best_of(words) - space
+        assert r["evidence"] == pytest.approx(evidence)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(min(max(evidence, -30), 60) * model["slope"] + model["shift"]))))
+
+
+def test_long_clean_text_has_a_score():
+    model = {"odds": {"bad": 3.0}, "rate": 1.0, "factor": 1.0, "slope": 50.0, "shift": -20.0}
+    assert toxicity.scorer(model)(b"word " * 100_000)[4] == pytest.approx(0.0)
 
 
 def test_toxicity_of_held_out_documents(spark):
