@@ -36,3 +36,9 @@ def settled(df: DataFrame) -> tuple[DataFrame, int]:
     kept = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     rows = seen.get["rows"]
     return kept.coalesce(max(1, -(-rows // ROWS_AT_ONCE))), rows
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

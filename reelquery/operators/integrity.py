@@ -15,8 +15,18 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+#: Types whose JSON Spark and the canonical form write alike.
+EXACT = ("string", "boolean", "tinyint", "smallint", "int", "bigint")
+
+
 def content_hash(df: DataFrame, columns: list[str], name: str = "content_hash") -> DataFrame:
-    """df and the SHA-256 of the canonical JSON of its columns."""
+    """df and the SHA-256 of the canonical JSON of its columns: sorted names, no white space, nulls written out.
+
+    Rows of texts, whole numbers and booleans are hashed in the JVM. Other types, such as doubles, whose digits Spark
+    writes in its own way, go through Python in batches."""
+    kinds = dict(df.select(*columns).dtypes)
+    if all(k in EXACT for k in kinds.values()):
+        return df.withColumn(name, F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256))
 
     @F.pandas_udf("string")
     def digest(rows: pd.DataFrame) -> pd.Series:
@@ -44,8 +54,16 @@ def receipt(identity: dict, artifacts: DataFrame) -> dict:
 
 
 def receipt_violations(frozen: dict, artifacts: DataFrame) -> list[str]:
-    """What differs from a receipt: the receipt itself, missing, added or changed artifacts."""
+    """What differs from a receipt: the receipt itself, missing, added or changed artifacts. Receipts name few artifacts;
+    artifact_changes() compares whole tables of them."""
     body = {k: frozen[k] for k in ("identity", "artifacts")}
     found = [] if hashlib.sha256(canonical(body).encode()).hexdigest() == frozen["freeze_hash"] else ["receipt"]
     now = {r["name"]: r["sha256"] for r in artifacts.select("name", "sha256").collect()}
     return found + sorted(n for n in now.keys() | frozen["artifacts"].keys() if now.get(n) != frozen["artifacts"].get(n))
+
+
+def artifact_changes(frozen: DataFrame, current: DataFrame) -> DataFrame:
+    """name, code (missing, added, changed) of artifacts (name, sha256) that differ from the frozen ones."""
+    old, new = frozen.select("name", F.col("sha256").alias("_old")), current.select("name", F.col("sha256").alias("_new"))
+    code = F.when(F.col("_new").isNull(), "missing").when(F.col("_old").isNull(), "added").when(F.col("_old") != F.col("_new"), "changed")
+    return old.join(new, "name", "full_outer").select("name", code.alias("code")).where("code IS NOT NULL")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reelquery.functions.lineage import checkpoint
+
 #: A video manifest row. temporal_annotations null means unknown, an empty list means annotated as empty.
 RECORD = (
     "dataset string, video_id string, source_video_id string, path string, split string, label int, anomaly_type string, duration_sec double, fps double, num_frames long, "
@@ -60,23 +63,25 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, broken): all-string rows of a CSV with a header of unique names, and lines that do not fit it, as they are.
-    A record is a line; every file starts with the header, after a byte order mark or not."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line")).where(F.trim("line") != "")
-    first = lines.head()
+    """(rows, broken): all-string rows of a CSV with a header of unique names, and records that do not fit it, as they are in
+    the column line. Quoted fields may hold line breaks, so a file is the unit of work. Every file starts with the header,
+    after a byte order mark or not; a data row that equals it is a row."""
+    first = spark.read.text(path).head()
     if first is None:
         raise ManifestError("the file is empty")
-    names = [n.lstrip("\ufeff") for n in spark.read.option("header", True).csv(path).columns]
+    names = next(csv.reader([first["value"].lstrip("\ufeff")]))
     if any(not n.strip() for n in names) or len(set(names)) != len(names):
         raise ManifestError("the header needs unique names that are not blank")
     schema = ", ".join(f"`{n}` string" for n in names) + ", _broken string"
-    parsed = lines.where(F.col("line") != first["line"]).select("line", F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("_row"))
-    return parsed.where("_row._broken IS NULL").select("_row.*").drop("_broken"), parsed.where("_row._broken IS NOT NULL").select("line")
+    options = {"header": True, "enforceSchema": False, "multiLine": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = spark.read.schema(schema).options(**options).csv(path)
+    broken = checkpoint(parsed.where("_broken IS NOT NULL"))  # Spark reads no corrupt records alone
+    return parsed.where("_broken IS NULL").drop("_broken"), broken.select(F.col("_broken").alias("line"))
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Columns in that order; an existing target is an error."""
-    df.select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+    """Columns in that order, quotes doubled as read_csv() expects them; an existing target is an error."""
+    df.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -119,14 +124,17 @@ def official_splits(records: DataFrame, train: DataFrame, test: DataFrame, name:
 
 def frame_annotations(lines: DataFrame, records: DataFrame, tolerance: int = 0) -> DataFrame:
     """video_id, start_s, end_s from lines `file category start end [start end ..]` of 1-based inclusive frames (-1 -1: none).
-    Ends beyond the last frame by at most tolerance frames are clipped; others are left out of the result and found by
-    start_s >= end_s or a missing record upstream. records: video_id, file (lower case), fps, num_frames."""
+    Ends beyond the last frame by at most tolerance frames are clipped. Pairs that are broken, reversed or further beyond
+    it, and files without a record, raise. records: video_id, file (lower case), fps, num_frames."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines.where(F.trim("value") != "").select(F.lower(parts[0]).alias("file"), F.slice(parts, 3, F.size(parts)).alias("_n"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.expr("size(_n) div 2") - 1, F.lit(0))), lambda i: F.struct(F.get("_n", 2 * i).cast("long").alias("start"), F.get("_n", 2 * i + 1).cast("long").alias("end")))
-    each = rows.select("file", F.explode(pairs).alias("_p")).where("_p.start >= 1 AND _p.end >= _p.start").join(records, "file")
-    end = F.when(F.col("_p.end") <= F.col("num_frames") + tolerance, F.least(F.col("_p.end"), F.col("num_frames")))
-    return each.select("video_id", ((F.col("_p.start") - 1) / F.col("fps")).alias("start_s"), (end / F.col("fps")).alias("end_s")).where("end_s IS NOT NULL AND start_s < end_s")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.expr("(size(_n) + 1) div 2") - 1, F.lit(0))), lambda i: F.struct(F.get("_n", 2 * i).try_cast("long").alias("start"), F.get("_n", 2 * i + 1).try_cast("long").alias("end")))
+    each = rows.select("file", F.explode(pairs).alias("_p")).join(records, "file", "left")
+    none = F.coalesce((F.col("_p.start") == -1) & (F.col("_p.end") == -1), F.lit(False))
+    fits = (F.col("_p.start") >= 1) & (F.col("_p.start") <= F.col("_p.end")) & (F.col("_p.start") <= F.col("num_frames")) & (F.col("_p.end") <= F.col("num_frames") + tolerance)
+    require_none(each.where(F.col("video_id").isNull() | ~(none | F.coalesce(fits, F.lit(False)))).select("file", "_p"), "annotations that fit no record")
+    end = F.least(F.col("_p.end"), F.col("num_frames"))
+    return each.where(~none).select("video_id", ((F.col("_p.start") - 1) / F.col("fps")).alias("start_s"), (end / F.col("fps")).alias("end_s"))
 
 
 def scenes(rows: DataFrame, width: int, height: int, every: int = 10) -> DataFrame:

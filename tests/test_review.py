@@ -71,6 +71,8 @@ def test_components_of_a_chain_and_a_star(spark):
     nodes = spark.createDataFrame([(j,) for j in [*range(31), *range(100, 120), 500]], "id long")
     roots = {x["id"]: x["root"] for x in graph.connected_components(nodes, df).collect()}
     assert all(roots[j] == 0 for j in range(31)) and all(roots[j] == 100 for j in range(100, 120)) and roots[500] == 500
+    assert {(x["id"], x["root"]) for x in graph.linked_roots(df, at_once=0).collect()} == {(x["id"], x["root"]) for x in graph.linked_roots(df).collect()} == {(j, roots[j]) for j in roots if j != 500}
+    assert graph.linked_roots(df.limit(0)).count() == 0
 
 
 def test_hamming_pairs_against_all_pairs(spark):
@@ -150,6 +152,13 @@ def test_strict_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("clip,label\nx,1\ny,0,extra\nz,0\n")
     rows, broken = s.read_csv(spark, str(tmp_path / "a.csv"))
     assert sorted(x["clip"] for x in rows.collect()) == ["x", "z"] and [x["line"] for x in broken.collect()] == ["y,0,extra"]
+    (tmp_path / "b.csv").write_text('\ufeffclip,label\n"a\nb",1\n"say ""hi""",0\nclip,label\n')
+    rows, broken = s.read_csv(spark, str(tmp_path / "b.csv"))
+    assert sorted((x["clip"], x["label"]) for x in rows.collect()) == [("a\nb", "1"), ("clip", "label"), ('say "hi"', "0")] and broken.count() == 0
+    for text in ("clip,clip\n", "clip,\nx,1\n", ""):
+        (tmp_path / "c.csv").write_text(text)
+        with pytest.raises(s.ManifestError):
+            s.read_csv(spark, str(tmp_path / "c.csv"))
 
 
 def test_settled_labels(spark):
@@ -164,6 +173,9 @@ def test_frame_annotation_lines(spark):
     records = spark.createDataFrame([("v1", "abuse01.mp4", 10.0, 100), ("v2", "normal.mp4", 10.0, 100), ("v3", "b.mp4", 10.0, 30)], "video_id string, file string, fps double, num_frames long")
     rows = sorted(tuple(x) for x in s.frame_annotations(lines, records, 3).collect())
     assert rows == [("v1", 1.0, 2.0), ("v3", 0.0, 1.0), ("v3", 2.0, 3.0)]
+    for bad in ("b.mp4 Fight 21 40", "b.mp4 Fight 5 4", "b.mp4 Fight 5", "b.mp4 Fight x 9", "other.mp4 Fight 1 2"):
+        with pytest.raises(s.ManifestError):
+            s.frame_annotations(spark.createDataFrame([(bad,)], "value string"), records, 3)
 
 
 def test_receipts(spark):
