@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reelquery.functions.prefix import ratio
+from reelquery.operators.geometry import match_boxes
 from reelquery.operators.intervals import evenly
 from reelquery.operators.metrics import count_if, rates
 
@@ -92,20 +95,26 @@ def demo_examples(df: DataFrame, classes: int, key: str = "clip_id") -> DataFram
     return chosen.unionByName(mistake)
 
 
-def ordered_matches(a: Column, b: Column, most: int) -> Column:
-    """Length of the longest common subsequence of two arrays of hashes, where hashes within `most` bits are equal: the
-    dynamic program's rows are folded over a, and each row over b."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def common_length(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Length of the longest common subsequence, a row of the table at a time: a cell is the best of its upper neighbour,
+    its upper left one plus a match, and all cells left of it in the row, which is a running maximum."""
+    if not len(a) or not len(b):
+        return 0
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (np.bitwise_count(b ^ x) <= most)))
+    return int(row[-1])
+
 
-    def row(previous: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            left, up = F.coalesce(F.get(done, j - 1), F.lit(0)), F.get(previous, j)
-            corner = F.coalesce(F.get(previous, j - 1), F.lit(0)) + F.when(F.bit_count(x.bitwiseXOR(F.get(b, j))) <= most, 1).otherwise(0)
-            return F.array_append(done, F.greatest(left, up, corner))
+def ordered_matches(a: Column, b: Column, most: int) -> Column:
+    """Length of the longest common subsequence of two arrays of hashes, where hashes within `most` bits are equal."""
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array().cast("array<int>"), cell)
+    @F.pandas_udf("int")
+    def length(left: pd.Series, right: pd.Series) -> pd.Series:
+        words = lambda x: np.asarray(x, np.int64).view(np.uint64)
+        return pd.Series([common_length(words(x), words(y), most) for x, y in zip(left, right, strict=True)], dtype="int32")
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0)))
+    return length(a, b)
 
 
 def frame_range(start: Column, end: Column, fps: Column, frames: Column) -> Column:
@@ -143,20 +152,23 @@ def coverage_by_class(df: DataFrame, label: str = "label", actors: str = "actors
     return df.groupBy(label).agg(F.count("*").alias("total"), count_if(F.col(actors) > 0).alias("covered"), ratio(count_if(F.col(actors) == 0), F.count("*")).alias("no_actor_rate"))
 
 
-def tune_threshold(pairs: DataFrame, boxes: DataFrame, candidates: list[float], min_recall: float, iou: float) -> DataFrame:
-    """The confidence with the best f1 of greedy one-to-one matching among those that reach min_recall; ties go to higher
-    recall, then confidence. pairs: scene_id, gt_id, det_id, iou, score; boxes: scene_id, side, score.
-
-    A detection counts as matched if it is the best-scoring detection that overlaps its best ground truth at least iou, so
-    every candidate is a count over rows that are ranked once."""
-    best = F.row_number().over(W.partitionBy("scene_id", "det_id").orderBy(F.col("iou").desc(), "gt_id"))
-    own = pairs.where(F.col("iou") >= iou).withColumn("_best", best).where("_best = 1")
-    first = F.row_number().over(W.partitionBy("scene_id", "gt_id").orderBy(F.col("score").desc(), "det_id"))
-    matched = own.withColumn("_first", first).where("_first = 1").select("score")
-    levels = F.array(*map(F.lit, sorted(candidates)))
-    reach = lambda df, name: df.select(F.explode(F.filter(levels, lambda t: t <= F.col("score"))).alias("threshold")).groupBy("threshold").agg(F.count("*").alias(name))
+def tune_threshold(boxes: DataFrame, candidates: list[float], min_recall: float, iou: float, key: str = "scene_id") -> DataFrame:
+    """The confidence with the best f1 among those that reach min_recall; ties go to higher recall, then confidence. boxes:
+    scene_id, box_id, side, x1 .. y2, score.
+
+    Every candidate has its own optimal matching of what it keeps. Most candidates keep the same detections of a scene, so a
+    scene is matched once for each number of kept detections that occurs."""
+    levels = F.array(*[F.lit(float(t)) for t in sorted(set(candidates))])
+    scenes = boxes.select(key).distinct().select(key, F.explode(levels).alias("threshold"))
+    detections = boxes.where("side = 'det'")
+    kept = detections.select(key, F.explode(F.filter(levels, lambda t: t <= F.col("score"))).alias("threshold")).groupBy(key, "threshold").agg(F.count("*").alias("det"))
+    cuts = kept.groupBy(key, "det").agg(F.min("threshold").alias("_least"))
+    named = F.struct(key, "det").alias("_cut")
+    own = boxes.join(cuts, key).where((F.col("side") == "gt") | (F.col("score") >= F.col("_least"))).select(named, "box_id", "side", "x1", "y1", "x2", "y2")
+    matched = match_boxes(own, iou, "_cut").groupBy("_cut").agg(F.count("*").alias("tp")).select(f"_cut.{key}", "_cut.det", "tp")
+    rows = scenes.join(kept, [key, "threshold"], "left").join(matched, [key, "det"], "left").groupBy("threshold").agg(F.coalesce(F.sum("det"), F.lit(0)).alias("det"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
     truth = boxes.where("side = 'gt'").agg(F.count("*").alias("gt"))
-    rows = reach(boxes.where("side = 'det'"), "det").join(reach(matched, "tp"), "threshold", "left").fillna(0, ["tp"]).join(F.broadcast(truth))
+    rows = rows.join(F.broadcast(truth))
     rows = rates(rows.select("threshold", "tp", (F.col("det") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"), F.lit(0).cast("long").alias("tn")))
     return rows.where(F.col("recall") >= min_recall).orderBy(F.col("f1").desc(), F.col("recall").desc(), F.col("threshold").desc()).limit(1).select("threshold", "tp", "fp", "fn", "precision", "recall", "f1")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelquery.operators import cascade as c
-from reelquery.operators import geometry as g
 from reelquery.operators import studies as e
-from reelquery.plans.interval_queries import painted
-from reelquery.plans.review_queries import THRESHOLD
+from reelquery.plans.box_queries import NEAR
+from reelquery.plans.interval_queries import PAINTED, painted
+from reelquery.plans.review_queries import REASON, THRESHOLD, WINDOWS
 from reelquery.plans.views import oracle, view
 
 CLASSES, EXCLUDED = ["Normal", "click", "error", "purchase"], ["signup"]
@@ -54,9 +54,7 @@ def actors(s, d):
 
 
 def tuned(s, d):
-    boxes = view(s, d, "v_boxes")
-    pairs = g.pairwise_iou(boxes).join(boxes.where("side = 'det'").select("scene_id", F.col("box_id").alias("det_id"), "score"), ["scene_id", "det_id"])
-    return e.tune_threshold(pairs, boxes, [0.1, 0.25, 0.45, 0.75], 0.05, 0.3)
+    return e.tune_threshold(view(s, d, "v_boxes"), [0.1, 0.25, 0.45, 0.75], 0.05, 0.3)
 
 
 QUERIES = {
@@ -80,6 +78,7 @@ QUERIES = {
 RATES = """coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) AS recall,
     coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0) AS f1"""
 
+#: The SQL follows the definitions; it repeats no shortcut of the operators.
 ORACLES = {
     "behavior_class": oracle(""", k AS (SELECT clip_id, CASE truth WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'Normal' WHEN 3 THEN 'signup' ELSE 'other' END AS category, clip_id % 2 AS b FROM v_multiclass)
         SELECT clip_id, CAST(CASE WHEN category IN ('signup', 'other') OR (category = 'Normal' AND b = 1) THEN NULL WHEN b = 0 THEN 0 WHEN category = 'click' THEN 1 ELSE 2 END AS INTEGER) AS class FROM k"""),
@@ -101,13 +100,27 @@ ORACLES = {
         62 AS window, CAST(CAST(floor(end_s) AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(end_s) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM v_intervals"""),
     "masked_max": oracle(""" SELECT scene_id, CAST(i AS INTEGER) AS dim, max(CASE i WHEN 0 THEN x1 WHEN 1 THEN y1 ELSE score END) AS x FROM v_boxes, range(0, 3) r(i) WHERE side = 'gt' GROUP BY scene_id, i"""),
     "coverage_report": oracle(" SELECT CAST(video_id % 6 AS INTEGER) AS label, count(*) AS total, CAST(sum(CASE WHEN actors > 0 THEN 1 ELSE 0 END) AS BIGINT) AS covered, sum(CASE WHEN actors = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS no_actor_rate FROM v_windows GROUP BY 1"),
-    "tune_detector_threshold": oracle(f""", pr AS (SELECT a.scene_id, a.box_id AS gt_id, b.box_id AS det_id, b.score, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
-            (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM v_boxes a JOIN v_boxes b ON a.scene_id = b.scene_id AND a.side = 'gt' AND b.side = 'det'),
-        o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, det_id ORDER BY i / (u - i) DESC, gt_id) AS best FROM pr WHERE i / (u - i) >= CAST(0.3 AS DOUBLE)),
-        m AS (SELECT *, row_number() OVER (PARTITION BY scene_id, gt_id ORDER BY score DESC, det_id) AS first FROM o WHERE best = 1),
-        t AS (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.45 AS DOUBLE), CAST(0.75 AS DOUBLE)]) AS threshold),
-        n AS (SELECT threshold, (SELECT count(*) FROM m WHERE first = 1 AND m.score >= threshold) AS tp, (SELECT count(*) FROM v_boxes WHERE side = 'det' AND score >= threshold) AS det, (SELECT count(*) FROM v_boxes WHERE side = 'gt') AS gt FROM t),
+    # the largest matching of what a threshold keeps, over all ways to give each detection a free ground truth or none
+    "tune_detector_threshold": oracle(f""", t AS (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(0.25 AS DOUBLE), CAST(0.45 AS DOUBLE), CAST(0.75 AS DOUBLE)]) AS threshold), {NEAR},
+        kd AS (SELECT threshold, o.*, dense_rank() OVER (PARTITION BY threshold, o.scene_id ORDER BY det_id) AS i FROM o JOIN v_boxes x ON x.scene_id = o.scene_id AND x.box_id = det_id JOIN t ON x.score >= threshold),
+        st AS (SELECT DISTINCT threshold, scene_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used FROM kd
+            UNION SELECT st.threshold, st.scene_id, st.i + 1, st.used | g.bit FROM st JOIN (SELECT threshold, scene_id, i, CAST(1 AS BIGINT) << gt_id AS bit FROM kd UNION SELECT threshold, scene_id, i, 0 FROM kd) g
+                ON g.threshold = st.threshold AND g.scene_id = st.scene_id AND g.i = st.i + 1 AND st.used & g.bit = 0),
+        b AS (SELECT threshold, scene_id, max(bit_count(used)) AS tp FROM st GROUP BY 1, 2),
+        n AS (SELECT threshold, (SELECT coalesce(CAST(sum(b.tp) AS BIGINT), 0) FROM b WHERE b.threshold = t.threshold) AS tp, (SELECT count(*) FROM v_boxes WHERE side = 'det' AND score >= t.threshold) AS det, (SELECT count(*) FROM v_boxes WHERE side = 'gt') AS gt FROM t),
         k AS (SELECT threshold, tp, det - tp AS fp, gt - tp AS fn FROM n), x AS (SELECT *, {RATES} FROM k)
         SELECT * FROM x WHERE recall >= 0.05 ORDER BY f1 DESC, recall DESC, threshold DESC LIMIT 1"""),
+    "ordered_fingerprint_matches": oracle(""", f AS (SELECT vec_id // 8 AS clip, vec_id % 8 AS i, h FROM v_hash), pr AS (SELECT DISTINCT a.clip AS a FROM f a JOIN f b ON b.clip = a.clip + 1),
+        mt AS (SELECT a.clip AS a, a.i, b.i AS j FROM f a JOIN f b ON b.clip = a.clip + 1 AND bit_count(xor(a.h, b.h)) <= 26),
+        ch AS (SELECT a, i, j, 1 AS n FROM mt UNION SELECT mt.a, mt.i, mt.j, ch.n + 1 FROM ch JOIN mt ON mt.a = ch.a AND mt.i > ch.i AND mt.j > ch.j)
+        SELECT pr.a, coalesce(max(n), 0) AS ordered FROM pr LEFT JOIN ch ON ch.a = pr.a GROUP BY pr.a"""),
+    "clip_plan": oracle(f""", {PAINTED}, gs AS (SELECT video_id, frame // 5 * 5 AS start, min(label) AS least FROM lab GROUP BY 1, 2 HAVING count(*) = 5),
+        gn AS (SELECT gs.*, (SELECT max(label) FROM lab WHERE lab.video_id = gs.video_id AND frame >= start - 2 AND frame < start + 7) AS near FROM gs),
+        gk AS (SELECT video_id, start, CASE WHEN least = 1 THEN 'violent' ELSE 'normal' END AS kind FROM gn WHERE least = 1 OR near = 0),
+        gi AS (SELECT *, row_number() OVER (PARTITION BY video_id, kind ORDER BY start) - 1 AS i, count(*) OVER (PARTITION BY video_id, kind) AS n, CASE kind WHEN 'violent' THEN 2 ELSE 3 END AS most FROM gk)
+        SELECT video_id, start, kind, CAST(CASE kind WHEN 'violent' THEN 1 ELSE 0 END AS INTEGER) AS label FROM gi WHERE n <= most OR i IN (n // (2 * most), 3 * n // (2 * most), CASE WHEN most = 3 THEN 5 * n // 6 ELSE -1 END)"""),
+    "review_mode_confusion": oracle(f""", {WINDOWS}, a AS (SELECT 'coverage' AS mode, video_id, {REASON.format(more='')} AS reason, chosen FROM r UNION ALL SELECT 'coverage_consistency', video_id, {REASON.format(more="WHEN votes > 1 THEN 'cross_window_class_disagreement'")}, chosen FROM r),
+        p AS (SELECT mode, group_label AS truth, CASE WHEN reason LIKE 'covered_%' THEN chosen END AS prediction FROM a JOIN v_truth t ON t.video_id = a.video_id)
+        SELECT mode, truth, {', '.join(f"count(*) FILTER (WHERE prediction = {i}) AS predicted_{i}" for i in range(6))}, count(*) FILTER (WHERE prediction IS NULL) AS abstained FROM p GROUP BY mode, truth"""),
     "catalog_search": oracle(""" SELECT clip_id, source_video_id, collection, split FROM v_clips WHERE split = 'train' AND contains(lower(source_video_id), 'src1')"""),
 }

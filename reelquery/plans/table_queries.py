@@ -316,8 +316,8 @@ ORACLES = {
     "paired_predictions": oracle(""", a AS (SELECT * FROM v_multiclass WHERE clip_id % 9 <> 4), b AS (SELECT clip_id, CASE WHEN clip_id % 10 = 0 THEN NULL WHEN clip_id % 4 = 0 THEN truth ELSE prediction END AS q FROM v_multiclass WHERE clip_id % 8 <> 5),
         j AS (SELECT a.clip_id AS x, b.clip_id AS y, coalesce(prediction = truth, FALSE) AS p1, coalesce(q = truth, FALSE) AS p2, prediction IS NOT DISTINCT FROM q AS same FROM a FULL JOIN b ON a.clip_id = b.clip_id),
         k AS (SELECT *, x IS NOT NULL AND y IS NOT NULL AS met FROM j)
-        SELECT count_if(met) AS pairs, count_if(met AND p1 AND p2) AS both_right, count_if(met AND p1 AND NOT p2) AS only_first, count_if(met AND NOT p1 AND p2) AS only_second, count_if(met AND NOT p1 AND NOT p2) AS both_wrong,
-            count_if(met AND same) / CAST(count_if(met) AS DOUBLE) AS agreement, count_if(NOT met) AS unpaired FROM k"""),
+        SELECT count(*) FILTER (WHERE met) AS pairs, count(*) FILTER (WHERE met AND p1 AND p2) AS both_right, count(*) FILTER (WHERE met AND p1 AND NOT p2) AS only_first, count(*) FILTER (WHERE met AND NOT p1 AND p2) AS only_second, count(*) FILTER (WHERE met AND NOT p1 AND NOT p2) AS both_wrong,
+            count(*) FILTER (WHERE met AND same) / CAST(count(*) FILTER (WHERE met) AS DOUBLE) AS agreement, count(*) FILTER (WHERE NOT met) AS unpaired FROM k"""),
     "group_and_actor_metrics": oracle(f""", ac AS (SELECT truth, prediction FROM v_multiclass WHERE clip_id % 3 <> 0 UNION ALL SELECT 1, CAST(clip_id % 3 AS INTEGER) FROM v_multiclass WHERE clip_id % 5 <> 0)
         {SUMMARY.format(level='group', rows='v_multiclass')} UNION ALL {SUMMARY.format(level='actor', rows='ac')}"""),
     "bag_evaluation": oracle(f", pop AS (SELECT video_id, max(score) AS score, video_id % 6 % 2 AS label FROM v_segments GROUP BY video_id), {BINARY.format(t='0.95')}"),
@@ -339,7 +339,7 @@ ORACLES = {
     "deleted_uploads": oracle(""", a AS (SELECT DISTINCT clip_id FROM v_items WHERE item_seq < 3 AND status IN ('queued', 'running'))
         SELECT DISTINCT clip_id, clip_id % 3 <> 0 AS owned, CASE WHEN clip_id % 2 = 0 AND clip_id % 3 <> 0 AND clip_id NOT IN (SELECT clip_id FROM a) THEN 'deleted' ELSE 'ready' END AS status FROM v_items"""),
     "job_details": oracle(""" SELECT job_id, CASE WHEN bool_or(status = 'running') THEN 'running' WHEN bool_or(status = 'queued') THEN 'queued' WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'cancelled') THEN 'cancelled' ELSE 'completed' END AS state,
-        count_if(status NOT IN ('queued', 'running')) / CAST(count(*) AS DOUBLE) AS progress, string_agg(CAST(item_seq AS VARCHAR) || ':' || status, ',' ORDER BY item_seq) AS item_list FROM v_items WHERE job_id IN (SELECT job_id FROM v_jobs) GROUP BY job_id"""),
+        count(*) FILTER (WHERE status NOT IN ('queued', 'running')) / CAST(count(*) AS DOUBLE) AS progress, string_agg(CAST(item_seq AS VARCHAR) || ':' || status, ',' ORDER BY item_seq) AS item_list FROM v_items WHERE job_id IN (SELECT job_id FROM v_jobs) GROUP BY job_id"""),
     "table_backup": oracle(" SELECT 'jobs' AS name, job_id AS id FROM v_jobs UNION ALL SELECT 'truth', video_id FROM v_truth"),
     "report_lines": oracle(" SELECT '| ' || CAST(clip_id % 4 AS VARCHAR) || ' | ' || printf('%.4f ± %.4f (n=%d)', avg(score), stddev_pop(score), count(score)) || ' |' AS line FROM v_scored GROUP BY clip_id % 4"),
     "box_fingerprints": oracle(""" SELECT scene_id, box_id, sha256('{"box_id":' || CAST(box_id AS VARCHAR) || ',"scene_id":' || CAST(scene_id AS VARCHAR) || ',"score":' || CAST(CAST(round_even(score * 100, 0) AS INTEGER) AS VARCHAR) || ',"side":"' || side || '"}') AS fingerprint FROM v_boxes"""),

@@ -46,3 +46,13 @@ def test_sample_spans_before_it_fills(spark, most):
     rows = e.spanning_sample(df, most).collect()
     assert len(rows) == min(most, 20) and all(r["split"] != "test" for r in rows)
     assert len({(r["split"], r["label"]) for r in rows}) == min(most, 4)
+
+
+def test_threshold_rematches_what_it_keeps(spark):
+    """Detection 1 overlaps both truths, detection 2 only the one that 1 likes best: both can be matched all the same."""
+    rows = [(1, 1, "gt", 0.0, 0.0, 10.0, 10.0, 0.0), (1, 2, "gt", 3.0, 0.0, 13.0, 10.0, 0.0), (1, 3, "det", 1.0, 0.0, 11.0, 10.0, 0.9), (1, 4, "det", -2.0, 0.0, 8.0, 10.0, 0.8), (2, 1, "det", 0.0, 0.0, 1.0, 1.0, 0.85)]
+    df = spark.createDataFrame(rows, "scene_id long, box_id int, side string, x1 double, y1 double, x2 double, y2 double, score double")
+    row = e.tune_threshold(df, [0.5, 0.87], 0.0, 0.5).first()
+    assert (row["threshold"], row["tp"], row["fp"], row["fn"]) == (0.5, 2, 1, 0)
+    assert e.tune_threshold(df, [0.87, 0.95], 0.4, 0.5).first()["threshold"] == 0.87
+    assert e.tune_threshold(df, [0.95], 0.1, 0.5).count() == 0
