@@ -1,200 +1,206 @@
-"""Licence scans: a trained paragraph classifier with an unknown class, confirmed by templates. DataFrame operations alone."""
+"""Licence scans: a trained paragraph classifier with a calibrated unknown class, checked by templates. DataFrame operations alone."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import json
+import math
+from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reelquery.llm.common import checkpoint
+from reelquery.llm import licence_texts as given
+
+if TYPE_CHECKING:
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.feature import CountVectorizerModel
 
 UNKNOWN = "unknown"
-#: Notices by which the licence families are known.
-NOTICES = {
-    "apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "This project is released under the Apache 2.0 license.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "mit": (
-        "Released under the MIT License.",
-        "This software is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "SPDX-License-Identifier: MIT",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
-        "Released under the GNU GPL version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "Released under GPLv3.",
-        "Licensed under GPLv2 or later.",
-        "LGPL-2.1-or-later",
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Licensed under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ),
-    "mpl": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ),
-    "cc-by": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
-        "Available under CC BY-SA 4.0.",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Available under CC BY-NC-SA 4.0 for non-commercial use.",
-    ),
-    "public-domain": (
-        "This work has been dedicated to the public domain under CC0 1.0 Universal.",
-        "Released into the public domain.",
-    ),
-    "proprietary": (
-        "All rights reserved.",
-        "Copyright by the author. All rights reserved.",
-        "No part of this publication may be reproduced without the prior written permission of the publisher.",
-    ),
-}
-#: Paragraphs that speak of licences and the like without granting one.
-OTHERS = (
-    "The driver lost his license after the accident.",
-    "You need a fishing license to fish in this lake.",
-    "The general said the public would be informed about the version of events.",
-    "Permission to enter the building is granted by the office.",
-    "The warranty on this car covers three years.",
-    "Public transport is free of charge on Sunday.",
-    "The terms of the agreement were published by the foundation.",
-    "He reserved a table, and all the others were reserved too.",
-    "Copies of the documentation may be obtained from any person at the desk.",
-    "The software was used without restriction in the following years.",
-    "A common licence fee is paid for television.",
-    "The source of the river is subject to dispute.",
-    "Human rights are the subject of this work.",
-    "The Apache helicopter flew over the city.",
-    "MIT is a university in Cambridge.",
-    "Version 2.0 of the program was released in May.",
-    "The creative writing course is for the common reader.",
-)
-#: A paragraph without any of these is of unknown licence, whatever else it says (in lower case): parts of words, and a Java
-#: regular expression that is tried at word starts alone, as it is slow. Every notice has one; bare mit is left out, as it is
-#: a common German word.
-ANCHORS = ("licenc", "licens", "spdx", "copyright", "copyleft", "\xa9", "(c)", "redistribut", "gpl", "permission")
-ANCHOR_WORDS = (
-    r"\b(?:all\s+rights|permitted\s+provided|public[\s-]+domain|warrant(?:y|ies)|free\s+software|open\s+source"
-    r"|gfdl\b|mpl\b|gnu\b|apache\b|mozilla\b|bsd\b|under\s+(?:the\s+)?mit\b|mit-style\b|cc0|cc[\s-]+(?:by|0|zero)\b|creative\s+commons)"
-)
-#: Longest n-gram; regularization; least probability of a family; least share of a notice's words that the paragraph has.
-NGRAM, PENALTY, LEAST_PROBABILITY, LEAST_SIMILARITY = 3, 0.002, 0.5, 0.5
+FAMILIES = list(given.TEXTS)
+#: Longest n-gram; L1 regularization, which keeps few n-grams; every how many-th pair of a name and a wording is an example; words of a text's windows.
+NGRAM, PENALTY, EVERY, WINDOW = 2, 0.0003, 2, 24
+#: Least probability of a reported paragraph; least share of a template's words that confirms a family, and that lets
+#: another family's template overturn it.
+LEAST_PROBABILITY, LEAST_SIMILARITY, OVERTURNING = 0.5, 0.5, 0.9
+#: Control characters that mark joined lines and line numbers inside a text; a text's own ones become spaces first.
+JOINT, MARK = "\x01", "\x02"
+#: What does not count at a line's ends: white space, and comment signs at its beginning.
+WHITE, SIGNS = " \t\r\f\x0b", "#*/;%!>|-"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"), F.lit(0))
-
-
-def ngrams(words: Column, longest: int = NGRAM) -> Column:
-    """The distinct n-grams of 1 to longest words."""
-    n = F.size(words)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
+    """Runs of letters and runs of digits, so that GPL-3.0-only, GPLv3 and GPL 3 share theirs."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+"), F.lit(0))
 
 
-def anchored(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(or_, [low.contains(x) for x in ANCHORS]) | low.rlike(ANCHOR_WORDS)
+def windows(text: str) -> list[str]:
+    """A text, and its windows of WINDOW words, half overlapping: notices are quoted in part, or wrapped."""
+    words = text.split()
+    return [text] + [" ".join(words[i : i + WINDOW]) for i in range(0, len(words) - WINDOW // 2, WINDOW // 2) if len(words) > WINDOW]
 
 
-def literal(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
+def examples() -> list[tuple[str, str, float]]:
+    """(family, paragraph, weight) for the fit. Known families and the unknown class weigh the same in sum."""
+    known = [(family, text) for family, texts in given.TEXTS.items() for whole in texts for text in windows(whole)]
+    known += [(family, w.format(name)) for family, names in given.NAMES.items() for i, name in enumerate(names) for j, w in enumerate(given.WORDINGS) if (i + j) % EVERY == 0]
+    other = [*given.OTHERS, *(a.format(t) for a in given.AROUND for t in given.THINGS), *(u.format(p) for u in given.UNDER for p in given.PLACES)]
+    other += [w.format(name) for i, name in enumerate(given.INVENTED) for j, w in enumerate(given.WORDINGS) if (i + j) % EVERY == 0]
+    sizes = {f: sum(family == f for family, _ in known) for f in FAMILIES}
+    return [(f, text, 1 / sizes[f]) for f, text in known] + [(UNKNOWN, text, len(FAMILIES) / len(other)) for text in other]
 
-def examples(spark: SparkSession) -> DataFrame:
-    """family, text: all notices, and the other paragraphs as unknown."""
-    rows = [(family, text) for family, texts in NOTICES.items() for text in texts] + [(UNKNOWN, text) for text in OTHERS]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({literal(f)}, {literal(t)})" for f, t in rows) + " AS t(family, text)")
 
+def calibration_examples() -> list[tuple[str, str, float]]:
+    """The same for calibration, from wordings, licences and sentences that the fit has not seen."""
+    known = [(family, w.format(name)) for family, names in given.NAMES.items() for name in names for w in given.CALIBRATION_WORDINGS]
+    other = [*given.CALIBRATION_OTHERS, *(w.format(name) for name in given.UNSEEN for w in (*given.WORDINGS, *given.CALIBRATION_WORDINGS))]
+    return [(f, text, 1 / len(known)) for f, text in known] + [(UNKNOWN, text, 1 / len(other)) for text in other]
 
-def train(spark: SparkSession) -> tuple[list[str], list[str], list[list[float]], list[float]]:
-    """Classes, n-grams, weights per n-gram and class, and intercepts of a multinomial logistic regression on the examples."""
-    classes = [*NOTICES, UNKNOWN]
-    label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double") - 1
-    rows = examples(spark).select(label.alias("label"), ngrams(tokens(F.col("text"))).alias("grams")).coalesce(1)
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows)
-    fitted = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial").fit(counter.transform(rows))
-    weights = fitted.coefficientMatrix.toArray()
-    return classes, counter.vocabulary, weights.T.tolist(), list(fitted.interceptVector)
 
-
-def model_table(spark: SparkSession) -> tuple[DataFrame, list[str], list[float]]:
-    """gram and its weights by class: as many rows as the notices have n-grams, so it is a bounded broadcast."""
-    classes, vocabulary, weights, shifts = train(spark)
-    rows = ", ".join(f"({literal(g)}, array({', '.join(f'{x!r}D' for x in w)}))" for g, w in zip(vocabulary, weights, strict=True))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(gram, weights)"), classes, shifts
-
-
-def notice_tokens(spark: SparkSession) -> DataFrame:
-    own = examples(spark).where(F.col("family") != UNKNOWN)
-    return own.groupBy("family").agg(F.collect_list(F.array_distinct(tokens(F.col("text")))).alias("notices"))
+def literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """text_id, run, doc_id, paragraph, line, n_lines: every line, and every run of lines of one wrapped paragraph as one line.
+def table_of(spark: SparkSession, rows: list[tuple[str, str, float]]) -> DataFrame:
+    values = ", ".join(f"({literal(f)}, {literal(t)}, {w!r}D)" for f, t, w in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(family, text, weight)").coalesce(1)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Vocabulary and weights of the classifier, and slope and shift of its calibration."""
+
+    counter: CountVectorizerModel
+    regression: LogisticRegressionModel
+    slope: float = 1.0
+    shift: float = 0.0
+
+def telling_words(model: Model, least_probability: float) -> tuple[str, ...]:
+    """Words that every n-gram with a weight for some family above that for unknown holds one of. A paragraph without them
+    has the margin of an empty one at most; they are all words if that could be enough."""
+    weights, shifts = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    if 1 / (1 + math.exp(-((shifts[:-1] - shifts[-1]).max() * model.slope + model.shift))) >= least_probability:
+        return ()
+    lifting = [g.split(" ") for g, up in zip(model.counter.vocabulary, (weights[:-1] - weights[-1]).max(0) > 0, strict=True) if up]
+    found = {words[0] for words in lifting if len(words) == 1}
+    for words in sorted(lifting):
+        if not found.intersection(words):
+            found.add(max(set(words) - {*given.FUNCTION_WORDS}, key=lambda w: (w.isalpha(), len(w), w)))
+    return tuple(sorted(found))
+
+
+def grams(df: DataFrame) -> DataFrame:
+    """df with grams: the n-grams of 1 to NGRAM of its words."""
+    from pyspark.ml.feature import NGram
+
+    names = ["words"]
+    for n in range(2, NGRAM + 1):
+        names.append(f"_grams_{n}")
+        df = NGram(n=n, inputCol="words", outputCol=names[-1]).transform(df)
+    return df.withColumn("grams", F.concat(*names)).drop(*names[1:])
+
+
+def scored(df: DataFrame, model: Model) -> DataFrame:
+    """df (words) with family, the likeliest of FAMILIES, and probability, that it is this family and not unknown.
+
+    The margin between the best family and unknown is calibrated on paragraphs kept out of the fit; what another family
+    may claim of it is the softmax among families."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model.regression.transform(model.counter.transform(grams(df)))
+    # through a generator, so that filters on what follows don't repeat the classifier
+    rows = rows.select(*df.columns, F.explode(F.array(vector_to_array("rawPrediction"))).alias("_z"))
+    known = F.slice("_z", 1, len(FAMILIES))
+    rows = rows.withColumn("_top", F.array_max(known)).withColumn("_margin", F.col("_top") - F.element_at("_z", -1))
+    share = 1 / F.aggregate(known, F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
+    family = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position(known, F.col("_top")).cast("int"))
+    probability = share / (1 + F.exp(-(F.col("_margin") * model.slope + model.shift)))
+    return rows.select(*df.columns, family.alias("family"), probability.alias("probability"), F.col("_margin").alias("margin"))
+
+
+def train(spark: SparkSession) -> Model:
+    """A multinomial logistic regression on binary n-grams, and the Platt step of its margin: what was right of the
+    calibration examples against what was wrong or is of unknown licence."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, VectorAssembler
+
+    label = F.array_position(F.array(*map(F.lit, [*FAMILIES, UNKNOWN])), F.col("family")).cast("double") - 1
+    rows = grams(table_of(spark, examples()).select(label.alias("label"), "weight", tokens(F.col("text")).alias("words")))
+    empty = f"^(?:(?:{'|'.join(given.FUNCTION_WORDS)}|[0-9]+)(?: |$))+$"
+    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows.withColumn("grams", F.filter("grams", lambda g: ~g.rlike(empty))))
+    settings = {"labelCol": "label", "weightCol": "weight", "standardization": False}
+    fitted = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=60, family="multinomial", **settings).fit(counter.transform(rows)).setProbabilityCol("")
+    model = Model(counter, fitted)
+    held = scored(table_of(spark, calibration_examples()).select(F.col("family").alias("truth"), "weight", tokens(F.col("text")).alias("words")), model)
+    held = held.select((F.col("family") == F.col("truth")).cast("double").alias("label"), "weight", "margin")
+    held = VectorAssembler(inputCols=["margin"], outputCol="features").transform(held)
+    step = LogisticRegression(regParam=1e-4, maxIter=60, **settings).fit(held)
+    return Model(counter, fitted, float(step.coefficients[0]), float(step.intercept))
+
+
+def templates() -> Column:
+    """Names and texts of all families as sorted distinct words, in an array: a constant."""
+    rows = [(family, text) for table in (given.NAMES, given.TEXTS) for family, texts in table.items() for text in texts]
+    raw = F.from_json(F.lit(json.dumps([{"family": f, "text": t} for f, t in rows])), "array<struct<family: string, text: string>>")
+    return F.transform(raw, lambda t: F.struct(t["family"].alias("family"), F.array_distinct(tokens(t["text"])).alias("words")))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """text_id, doc_id, run, paragraph, n_lines, line: every line, and every run of lines of one wrapped paragraph as one.
 
     Between blank lines, a line goes on in the next one if that one's first word would not have fitted on it, in a block as
-    wide as its longest line. Comment marks at a line's begin do not count; a line of nothing else is blank."""
-    bare = F.regexp_replace("line", r"^[\s#*/;%!>|-]+|\s+$", "")
-    rows = lines.withColumn("bare", bare).withColumn("size", F.length("bare"))
-    rows = rows.withColumn("block", F.sum((F.col("size") == 0).cast("int")).over(W.partitionBy("text_id").orderBy("paragraph"))).where("size > 0")
-    block = W.partitionBy("text_id", "block")
-    before = F.lag("size").over(block.orderBy("paragraph"))
-    rows = rows.withColumn("wrapped", F.coalesce(before + 1 + F.length(F.regexp_extract("bare", r"^\S+", 0)) > F.max("size").over(block), F.lit(False)))
-    rows = rows.withColumn("run", F.sum((~F.col("wrapped")).cast("int")).over(W.partitionBy("text_id").orderBy("paragraph")))
-    joined = rows.groupBy("text_id", "run").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("paragraph", "bare"))).alias("own")).where(F.size("own") > 1)
-    joined = joined.select("text_id", "run", "doc_id", F.col("own")[0]["paragraph"].alias("paragraph"), F.array_join("own.bare", " ").alias("line"), F.size("own").alias("n_lines"))
-    return rows.select("text_id", "run", "doc_id", "paragraph", F.col("bare").alias("line"), F.lit(1).alias("n_lines")).unionByName(joined)
+    wide as its longest line. Comment marks at a line's begin do not count; a line of nothing else is blank. All of it stays
+    within a row: nothing is shuffled."""
+    plain = F.translate(F.col("text"), JOINT + MARK, "  ")
+    numbered = F.transform(F.split(plain, "\n"), lambda x, i: F.concat(i.cast("string"), F.lit(MARK), F.rtrim(F.ltrim(x, F.lit(WHITE + SIGNS)), F.lit(WHITE))))
+    blocks = F.split(F.array_join(numbered, "\n"), f"(?:^|\n)[0-9]+{MARK}(?=\n|$)")
+    rows = docs.select(F.monotonically_increasing_id().alias("text_id"), "doc_id", F.explode(blocks).alias("block")).where("block <> ''")
+    rows = rows.withColumn("own", F.filter(F.split("block", "\n"), lambda x: x != ""))
+    rows = rows.withColumn("sizes", F.transform("own", lambda x: F.length(x) - F.instr(x, MARK)))
+    rows = rows.withColumn("wide", F.array_max("sizes"))
+
+    def following(x: Column, i: Column) -> Column:
+        first = F.length(F.substring_index(x, " ", 1)) - F.instr(x, MARK)
+        return F.when((i > 0) & (F.get("sizes", i - 1) + 1 + first > F.col("wide")), JOINT).otherwise("\n")
+
+    runs = F.split(F.array_join(F.transform("own", lambda x, i: F.concat(following(x, i), x)), ""), "\n")
+    rows = rows.select("text_id", "doc_id", F.explode(F.filter(runs, lambda x: x != "")).alias("run"))
+    lines = F.split("run", JOINT)
+    units = F.when(F.size(lines) > 1, F.array_append(lines, F.col("run"))).otherwise(lines)
+    rows = rows.select("text_id", "doc_id", F.substring_index("run", MARK, 1).cast("int").alias("run"), F.explode(units).alias("unit"))
+    number = F.substring_index("unit", MARK, 1).cast("int").alias("paragraph")
+    return rows.select("text_id", "doc_id", "run", number, F.size(F.split("unit", JOINT)).alias("n_lines"), F.regexp_replace("unit", f"(?:^|{JOINT})[0-9]+{MARK}", " ").alias("line"))
 
 
 def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_similarity: float = LEAST_SIMILARITY) -> DataFrame:
     """A row per paragraph with a licence: doc_id, paragraph (its first line, from 0), family, probability, similarity, confirmed.
-    A paragraph is a line, or the lines of a wrapped one where these together are more similar to a notice than each alone.
-
-    The classifier adds up the weights of a paragraph's distinct word n-grams; softmax gives the family's probability (it is not
-    calibrated), and paragraphs that are likelier unknown, or below least_probability, are left out. similarity is the largest share of a
-    notice of that family whose words the paragraph has; confirmed says that it reaches least_similarity.
-
-    Paragraphs without an anchor are unknown by definition and never taken apart. Null and empty texts have no paragraphs;
-    rows without doc_id or repeated rows are scanned each; ties go to the family first in NOTICES; an empty table gives no
-    rows; extra columns are ignored."""
-    spark = docs.sparkSession
-    table, classes, shifts = model_table(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(anchored(F.col("text")))
-    # each text has a mark of its own, so that repeated rows stay apart; kept, as it must not change between uses
-    lines = texts.withColumn("text_id", F.monotonically_increasing_id()).select("text_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    units = paragraphs(checkpoint(lines)).where(anchored(F.col("line")))
-    lines = checkpoint(units.select(F.monotonically_increasing_id().alias("mark"), "text_id", "run", "doc_id", "paragraph", "n_lines", tokens(F.col("line")).alias("words")))
-    hits = lines.select("mark", F.explode(ngrams(F.col("words"))).alias("gram")).join(F.broadcast(table), "gram")
-    logits = hits.groupBy("mark").agg(*[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(classes))])
-    shifted = F.array(*[F.col(f"w{i}") + F.lit(float(x)) for i, x in enumerate(shifts)])
-    scored = logits.select("mark", shifted.alias("z")).withColumn("top", F.array_max("z"))
-    best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select("mark", best.alias("family"), (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)).alias("probability"))
-    found = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least_probability))
-    rows = lines.join(found, "mark").join(F.broadcast(notice_tokens(spark)), "family")
-    share = F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(t)))
-    rows = rows.withColumn("similarity", share)
+    A paragraph is a line, or the lines of a wrapped one where these together match more of a template than each alone.
+
+    Every line of every text is classified; the weights themselves say which words a paragraph needs one of to be of a known
+    family, so only paragraphs with such a word are taken apart further. Paragraphs whose calibrated probability is below least_probability are of
+    unknown licence and left out. The predicted family is then compared with the templates (names and texts of all
+    families): similarity is the largest share of a template of the family whose words the paragraph has, and confirmed says
+    that it reaches least_similarity. A template of another family overturns the prediction if the paragraph has nearly
+    all its words and these are more than any such template of the predicted family has.
+
+    Null and empty texts have no paragraphs; a text of any length is scanned whole; rows without doc_id and repeated rows
+    are scanned each; ties go to the family first in FAMILIES; an empty table gives no rows; extra columns are ignored."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    units = paragraphs(texts).withColumn("words", tokens(F.col("line"))).drop("line")
+    model = train(docs.sparkSession)
+    telling = telling_words(model, least_probability)
+    found = scored(units.where(F.arrays_overlap("words", F.array(*map(F.lit, telling)))) if telling else units, model).where(F.col("probability") >= least_probability)
+    hit = lambda t: F.size(F.array_intersect(t["words"], F.col("words")))
+    compared = F.transform(templates(), lambda t: F.struct((hit(t) / F.size(t["words"])).alias("share"), hit(t).alias("hits"), (t["family"] == F.col("family")).alias("own"), t["family"].alias("family")))
+    found = found.withColumn("_all", compared)
+    best = lambda rows: F.array_max(F.transform(rows, lambda t: F.struct(t["hits"], t["own"], -F.array_position(F.array(*map(F.lit, FAMILIES)), t["family"]), t["family"].alias("family"))))
+    found = found.withColumn("_best", best(F.filter("_all", lambda t: t["share"] >= OVERTURNING)))
+    family = F.coalesce("_best.family", "family")
+    share = F.array_max(F.transform(F.filter("_all", lambda t: t["family"] == family), lambda t: F.struct(t["share"], t["hits"])))
+    found = found.select("text_id", "run", "doc_id", "paragraph", "n_lines", family.alias("family"), "probability", share["share"].alias("similarity"), F.coalesce("_best.hits", share["hits"]).alias("hits"))
     run = W.partitionBy("text_id", "run")
-    alone, together = (F.max(F.when(x, F.col("similarity"))).over(run) for x in (F.col("n_lines") == 1, F.col("n_lines") > 1))
-    rows = rows.withColumn("better", F.coalesce(together > F.coalesce(alone, F.lit(-1.0)), F.lit(False))).where((F.col("n_lines") > 1) == F.col("better"))
+    alone, together = (F.max(F.when(x, F.struct("similarity", "hits"))).over(run) for x in (F.col("n_lines") == 1, F.col("n_lines") > 1))
+    better = F.coalesce(together > alone, together.isNotNull())
+    rows = found.withColumn("better", better).where((F.col("n_lines") > 1) == F.col("better"))
     return rows.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= least_similarity).alias("confirmed"))
