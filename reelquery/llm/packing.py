@@ -16,36 +16,70 @@ from pyspark.sql.window import Window as W
 from reelquery.llm.common import WordCache, checkpoint, map_texts
 
 LENGTH, TOKENIZER, END = 2048, "word_bpe_49k.json", b"\0\0\0\0"
+#: Words that one call of the tokenizer encodes; ASCII marks but the apostrophe, which may begin a contraction.
+WORDS_AT_ONCE, MARKS = 200, "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Pieces of one length that one task ranks, on average; a length with more pieces is dealt over several tasks.
 RANKED_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(maxsize=1)  # a Python worker keeps it from task to task
-def word_ids(path: str) -> WordCache:
+def parts_of(word: bytes) -> tuple[bytes, bytes, bytes] | None:
+    """Marks, lower-case Latin letters, marks of a word that consists of these; else None. The pre-tokenizer parts them, and
+    its normalizer changes no such letters."""
+    if word.isalpha() and word.islower():  # as bytes: ASCII letters alone
+        return b"", word, b""
+    low = word.decode("utf-8", "replace").lower()
+    rest = low.lstrip(MARKS)
+    body = rest.rstrip(MARKS)
+    if not (body.isalpha() and body.islower() and max(body) < "\u0180"):
+        return None
+    return low[: len(low) - len(rest)].encode(), body.encode(), rest[len(body) :].encode()
+
+
+class WordIds(WordCache):
     """word -> its token ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's pre-tokenizer drops white space, so a text's ids are the ids of its words one after another; it also
-    lowers case and parts letters from punctuation, so few distinct words remain to be encoded. For words of lower-case
-    Latin letters its normalizer and its splitting change nothing, so a copy without them encodes those."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = normalizers.Sequence([])
-    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    lowers case and parts letters from punctuation, so few distinct words remain to be encoded. Those of Latin letters are
+    encoded many at a time by a copy without normalizer: each ends with its own end-of-word token."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        super().__init__(WordIds.encoded)
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.plain.get_vocab(), getattr(self.plain.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def encoded(self, word: bytes) -> bytes:
+        parts = parts_of(word)
+        if parts is not None and parts[1] != word:
+            return b"".join(self[x] for x in parts if x)
+        return array("I", self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode what words are unknown and have such letters, WORDS_AT_ONCE at a time."""
+        found = [(word, parts) for word in words if word not in self and word not in self.aside and (parts := parts_of(word)) is not None]
+        unknown = [x for x in {parts[1] for _, parts in found} if x not in self and x not in self.aside]
+        for at in range(0, len(unknown), WORDS_AT_ONCE):
+            own = unknown[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(own):  # else a word has no end of its own: each is encoded when it is asked for
+                packed, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.update(zip(own, map(packed.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        for word, (head, body, tail) in found:
+            if head or tail or body != word:
+                self[word] = (self[head] if head else b"") + self[body] + (self[tail] if tail else b"")
 
-    def make(cache: WordCache, word: bytes) -> bytes:
-        lower = word.lower()
-        if lower != word:
-            return cache[lower]
-        if len(word) > 1 and word[-1:] in b".,!?;:" and 97 <= word[-2] <= 122:
-            return cache[word[:-1]] + cache[word[-1:]]
-        text = word.decode("utf-8", "replace")
-        simple = text.isalpha() and text.islower() and max(text) < "\u0180" and text.lower() == text
-        return array("I", (plain if simple else whole).encode(text, add_special_tokens=False).ids).tobytes()
 
-    return WordCache(make)
+@lru_cache(maxsize=1)  # a Python worker keeps it from task to task
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,9 +95,10 @@ def tokenized_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOK
         cache = word_ids(tokenizer_path(tokenizer))
 
         def work(ids, texts):
-            rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                packed = b"".join(map(cache.__getitem__, (text or b"").split())) + END
+            rows, words = [], [(text or b"").split() for text in texts]
+            cache.learn(set().union(*words))
+            for doc_id, own in zip(ids, words, strict=True):
+                packed = b"".join(map(cache.__getitem__, own)) + END
                 cache.trim()
                 for piece, at in enumerate(range(0, len(packed), 4 * length)):
                     part = packed[at : at + 4 * length]
