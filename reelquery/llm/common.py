@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.functions.lineage import checkpoint, checkpoint_dir  # noqa: F401  shared with the operators here
+from reelquery.functions.lineage import checkpoint, checkpoint_dir, remove, settled  # noqa: F401  shared with the operators here
 
 #: Entries that a Python worker's word cache may hold before it starts anew. It changes speed only, never results.
 CACHE_ENTRIES = 400_000

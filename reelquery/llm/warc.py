@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import checkpoint_dir
+from reelquery.llm.common import checkpoint, checkpoint_dir, remove, settled
 
-#: Records of an archive file, at most: it bounds what a reading task holds.
-RECORDS_PER_ARCHIVE = 2_048
+#: Bytes of a payload from which a page has an archive file of its own, and records of the other files: together they bound
+#: what a reading task holds of an archive (and binaryFile reads files up to 2 GiB).
+LARGE_BYTES, RECORDS_PER_ARCHIVE = 2**18, 512
+#: Revisits up to which they are broadcast (some 60 bytes each).
+BROADCAST_REVISITS = 300_000
 #: The RFC 4648 base32 alphabet and the date that all records carry, so that reruns write equal archives.
 BASE32, DATE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "2020-01-01T00:00:00Z"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -35,6 +38,14 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*letters)
 
 
+def revisits(digests: DataFrame) -> tuple[DataFrame, int]:
+    """of_digest, of_page, first: the pages (page_id, digest) that repeat the payload of the page with the smallest id, first; and
+    how many there are. Bodies take no part, so a payload that many pages share is only many small rows."""
+    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 AND first IS NOT NULL")
+    again = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    return settled(again.select(F.col("digest").alias("of_digest"), F.col("page_id").alias("of_page"), "first").distinct())
+
+
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """A WARC record per page as one text column, without the line end that the text sink adds.
 
@@ -44,9 +55,10 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first.hint("shuffle_hash"), "digest")
-    again = (F.col("bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    again, n = revisits(rows.where(F.col("bytes") >= least_bytes).select("page_id", "digest"))
+    again = F.broadcast(again) if n <= BROADCAST_REVISITS else again
+    rows = rows.join(again, (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left")
+    again = F.col("first").isNotNull()
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     length = F.when(again, F.lit(len(HTTP_HEAD))).otherwise(F.col("bytes") + len(HTTP_HEAD))
@@ -61,9 +73,12 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head.cast("binary"), F.when(again, F.lit("").cast("binary")).otherwise(F.col("payload")), F.lit("\r\n").cast("binary")).cast("string").alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write pages as gzip-compressed WARC files of at most records_per_archive records each."""
-    records(pages, least_bytes).write.option("maxRecordsPerFile", records_per_archive).option("lineSep", "\r\n").option("compression", "gzip").text(folder)
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, large_bytes: int = LARGE_BYTES, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+    """Write pages as gzip-compressed WARC files under folder: of at most records_per_archive records, or of one record for
+    payloads of large_bytes or more. Equal payloads are of equal size, so each kind has its revisits to itself."""
+    large = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) >= large_bytes
+    for kind, rows, most in (("small", ~large, records_per_archive), ("large", large, 1)):
+        records(pages.where(rows), least_bytes).write.option("maxRecordsPerFile", most).option("lineSep", "\r\n").option("compression", "gzip").text(f"{folder}/{kind}")
 
 
 def page_of(field: bytes | None) -> int | None:
@@ -136,19 +151,25 @@ def reachable(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives (*.gz, of one or more members, and plain *.warc) under folder, with their archive and
-    offset in the uncompressed bytes.
+    """The records of all archives (*.gz, of one or more members, and plain *.warc) under folder and its subfolders, with their
+    archive and offset in the uncompressed bytes.
 
     Tasks scan the archives and emit a candidate for each magic; per archive, only what the chain of successors reaches
     from offset 0 is a record, so a magic inside a payload never is. A chain stops at the first broken record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     found = files.mapInPandas(scan, CANDIDATE)
     return found.groupBy("archive").applyInPandas(reachable, CANDIDATE)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from archives written to a
-    new folder under the shared checkpoint folder. An empty table gives no rows; extra columns are ignored."""
-    folder = f"{checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder, least_bytes)
-    return read_archives(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    new folder under the shared checkpoint folder, which is deleted afterwards. Repeated rows are records each; of equal
+    smallest page_ids each is a response. Payloads may be of any length that a file can hold. An empty table gives no rows;
+    extra columns are ignored."""
+    spark = pages.sparkSession
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    try:
+        write_archives(pages, folder, least_bytes)
+        return checkpoint(read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        remove(spark, folder)
