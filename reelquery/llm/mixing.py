@@ -133,8 +133,10 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of the mix: each as often as a pass takes at least half of its words (0, 1, ... times). Rows without words
-    are kept once, as no weight concerns them. Rows without doc_id and rows of equal doc_id are documents of their own."""
+    """The rows of the mix: each as often as a pass takes at least half of its words (0, 1, ... times). A source's last pass
+    takes the beginning of its shuffled stream, so it cuts one document at most: a source's kept words miss its target by
+    no more than half of one document. Rows without words are kept once, as no weight concerns them. Rows without doc_id and
+    rows of equal doc_id are documents of their own. An empty table gives no rows; all columns are kept."""
     # kept with their keys, which must not change between uses
     rows = checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
     _, placed, spans = mix(rows, **settings)

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sides of a tile: what one task multiplies at once.
-SHARD_ROWS, QUERY_ROWS, SHARDS_AT_LEAST = 16_384, 2_048, 64
+#: Candidates of a shard and queries of a tile, which one task multiplies, queries by queries at once.
+SHARD_ROWS, QUERY_ROWS, SHARDS_AT_LEAST, AT_ONCE = 65_536, 65_536, 64, 256
 #: Partial lists that one step of the merging tree joins.
 FAN_IN = 16
 EXACT_FLOAT = float(2**53)
@@ -16,13 +16,13 @@ EXACT_FLOAT = float(2**53)
 
 def usable(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, vec): floor(scale * component) as double. Rows whose id or vector is null, or whose vector holds a null or
-    non-finite component or none at all, take no part. Rows that repeat an id count once, with their smallest vector."""
+    non-finite component or none at all, take no part."""
     x = F.col(vec_col)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = df.where(F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite)
     # floor stays a double: components beyond the longs can't overflow here
     ints = F.transform(x, lambda v: F.lit(float(scale)) * v.cast("double"))
-    return rows.select(F.col(id_col).cast("long").alias("id"), ints.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), ints.alias("vec"))
 
 
 def scores_of(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -33,6 +33,33 @@ def scores_of(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
+BLOCK = "dim int, block long, n long, ids binary, vecs binary"
+
+
+def packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """A row per block of vectors (id, vec) of one length: their ids, and their whole numbers in the narrowest type."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        again = part[part["id"].duplicated(keep=False)]
+        if len(again):
+            least = again.groupby("id")["vec"].apply(lambda own: min(own, key=tuple))
+            part = part.drop_duplicates("id").set_index("id").assign(vec=lambda x: [least.get(i, v) for i, v in x["vec"].items()]).reset_index()
+        values = np.floor(np.stack(part["vec"].to_numpy()))
+        kind = next((k for k in ("<i2", "<i4") if np.abs(values).max() <= np.iinfo(k).max), "<f8")
+        own = pd.DataFrame({"dim": [part["dim"].iloc[0]], "block": [part["block"].iloc[0]], "n": [len(part)]})
+        return own.assign(ids=[part["id"].to_numpy(np.int64).tobytes()], vecs=[values.astype(kind).tobytes()])
+
+    dealt = rows.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("dim", "block").applyInPandas(pack, BLOCK)
+
+
+def unpacked(block: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    n, dim, raw = int(block["n"]), int(block["dim"]), block["vecs"]
+    kind = {2: "<i2", 4: "<i4", 8: "<f8"}[len(raw) // (n * dim)]
+    return np.frombuffer(block["ids"], np.int64), np.frombuffer(raw, kind).reshape(n, dim).astype(np.float64)
+
+
 def tile_best(k: int):
     """The best k of a shard for each query of a tile, by (score descending, id ascending)."""
 
@@ -40,18 +67,17 @@ def tile_best(k: int):
         out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "shard": pd.Series(dtype="int64"), "hits": pd.Series(dtype="object")})
         if queries.empty or shard.empty:
             return out
-        shard = shard.sort_values("id")  # then a stable order by score breaks ties by id
-        ids = shard["id"].to_numpy()
-        scores = scores_of(np.floor(np.stack(queries["vec"].to_numpy())), np.floor(np.stack(shard["vec"].to_numpy())))
+        (own_ids, asked), (ids, vecs) = unpacked(queries.iloc[0]), unpacked(shard.iloc[0])
         take = min(k + 1, len(ids))  # one more: the query's own row may be among them
         rows = []
-        for own, line in zip(queries["id"].to_numpy(), scores, strict=True):
-            floor = np.partition(line, len(line) - take)[len(line) - take]
-            at = np.flatnonzero(line >= floor)
-            at = at[ids[at] != own]
-            at = at[np.argsort(-line[at], kind="stable")][:k]
-            if len(at):
-                rows.append((own, key[1], [{"low": -int(line[i]), "vec_id": int(ids[i])} for i in at]))
+        for at in range(0, len(asked), AT_ONCE):
+            for own, line in zip(own_ids[at : at + AT_ONCE], scores_of(asked[at : at + AT_ONCE], vecs), strict=True):
+                floor = np.partition(line, len(line) - take)[len(line) - take]
+                hits = np.flatnonzero(line >= floor)
+                hits = hits[ids[hits] != own]
+                hits = hits[np.argsort(-line[hits], kind="stable")][:k]  # a block is in order of ids, so ties are too
+                if len(hits):
+                    rows.append((own, key[1], [{"low": -int(line[i]), "vec_id": int(ids[i])} for i in hits]))
         return pd.DataFrame(rows, columns=["query_id", "shard", "hits"]) if rows else out
 
     return best
@@ -61,20 +87,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vec
     """The k candidates with the highest integer inner products for each query.
 
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer candidates. Ties go to the
-    smaller id. A query never finds rows with its own id. Vectors of different lengths are never compared. Empty tables
-    give no rows; extra columns are ignored.
+    smaller id. A query never finds rows with its own id. Rows that repeat an id (with vectors of one length) count once,
+    with the smallest vector. Vectors of different lengths are never compared. Empty tables give no rows; extra columns
+    are ignored.
 
-    Both sides are dealt into bounded tiles by a hash of the id: a task multiplies one tile of queries with one shard
-    and keeps k rows per query; the partial lists then meet in a tree of FAN_IN lists a step, so no task ever sees all
-    partial results of a query, however many shards there are.
-    """
+    Both sides are packed into blocks by a hash of the id: a task multiplies one tile of queries with one shard and keeps k
+    rows per query; the partial lists then meet in a tree of FAN_IN lists a step, so no task ever sees all partial results
+    of a query, however many shards there are. A vector is shuffled once as an array, and then in packed blocks (two
+    bytes a component) once for every 65,536 rows of the other side."""
     cand, asked = usable(candidates, id_col, vec_col, scale), usable(queries, id_col, vec_col, scale)
     n, m = candidates.count(), queries.count()
     shards = max(1, -(-n // min(SHARD_ROWS, max(256, -(-n // SHARDS_AT_LEAST)))))
     tiles = max(1, -(-m // QUERY_ROWS))
-    dim, of = F.size("vec").alias("dim"), F.xxhash64("id")
-    c = cand.select("id", "vec", dim, F.pmod(of, F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    q = asked.select("id", "vec", dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(of, F.lit(tiles)).cast("int").alias("tile"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    c = packed(cand, shards).select(F.col("dim"), F.col("block").alias("shard"), every(tiles).alias("tile"), "n", "ids", "vecs")
+    q = packed(asked, tiles).select(F.col("dim"), every(shards).alias("shard"), F.col("block").alias("tile"), "n", "ids", "vecs")
     keys = ["dim", "shard", "tile"]
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(tile_best(k), "query_id long, shard long, hits array<struct<low: long, vec_id: long>>")
     while shards > 1:

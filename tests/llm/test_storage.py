@@ -80,6 +80,16 @@ def test_mix_keeps_rows_without_and_with_repeated_ids(spark):
     assert Counter(r[0][0] for r in mixing.keep_mixed(twice, share=2.0).select("text").collect()) == {"w": 2, "v": 2}
 
 
+def test_kept_words_meet_the_targets_but_for_half_a_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).alias("size")
+    largest = {r["source"]: r["n"] for r in docs.select("source", size).groupBy("source").agg(F.max("size").alias("n")).collect()}
+    kept = {r["source"]: r["n"] for r in mixing.keep_mixed(docs).select("source", size).groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    targets = mixing.taken_words(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.first("target").alias("target")).collect()
+    for r in targets:
+        assert abs(kept.get(r["source"], 0) - r["target"]) <= largest[r["source"]] / 2 + 1
+
+
 def test_packed_counts_are_whole_and_tight():
     rng = random.Random(2)
     stock = Counter(rng.choice([rng.randint(1, 2048), rng.randint(1, 300)]) for _ in range(5_000))
@@ -94,6 +104,59 @@ def test_packed_counts_are_whole_and_tight():
     assert sum(times for _, times in bins) <= least * 1.01 + 1
 
 
+def naive_best_two(stock, length):
+    """Best-two-fit piece by piece over plain lists: [sizes of a bin], bin after bin."""
+    left, bins = sorted(stock, reverse=True), []
+    while left:
+        own = []
+        while True:
+            gap = length - sum(own)
+            fit = next((x for x in left if x <= gap), None)
+            if fit is not None:
+                own.append(fit)
+                left.remove(fit)
+                continue
+            room = gap + min(own)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if min(own) < a + b <= room] if gap else []
+            if not pairs:
+                break
+            _, a, b = max(pairs, key=lambda p: (p[0], -min(p[1:])))
+            left.remove(a)
+            left.remove(b)
+            left.append(min(own))
+            left.sort(reverse=True)
+            own.remove(min(own))
+            own += [a, b]
+        bins.append(sorted(own, reverse=True))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_against_a_naive_packer(seed):
+    rng = random.Random(seed)
+    length = rng.choice([20, 50])
+    stock = [rng.randint(1, length if seed % 2 else length // 2) for _ in range(rng.randint(1, 60))]
+    got = [sizes for sizes, times in packing.pack_counts(dict(Counter(stock)), length) for _ in range(times)]
+    want = naive_best_two(stock, length)
+    assert sorted(x for b in got for x in b) == sorted(stock) and all(sum(b) <= length for b in got)
+    assert got == want
+
+
+def test_ids_of_odd_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, cache = Tokenizer.from_file(path), packing.WordIds(path)
+    words = ["(été)", "don't,", "'tis", "x's", "a'b", "--", "a.b", "naïve%%%", "ÉCOLE,", "É", "É", "x1,", "…x", "x…,", "“q”", "ß.", "ſ", "µ,", "ª", "İstanbul", "ﬁ,", "<|endoftext|>", "w" * 300, "中文,", "a\u00a0b", "a\u0301", "(a\u0301)", "q,'s"]
+    for learned in (True, False):
+        if learned:
+            cache.learn({w.encode() for w in words})
+        for word in words:
+            assert np.frombuffer(cache[word.encode()], "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, word
+        cache.clear()
+
+
 def test_two_replace_the_smallest():
     counts = np.zeros(11, np.int64)
     counts[[3, 4]] = 1
@@ -152,6 +215,10 @@ def test_archives_round_trip(spark):
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == i else ("revisit", first))
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    before = {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows.values()}
+    warc.BROADCAST_REVISITS, kept = -1, warc.BROADCAST_REVISITS
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(df).collect()} == before
+    warc.BROADCAST_REVISITS = kept
     assert warc.archive_round_trip(pages(spark, [(1, "u", "a"), (1, "u", "a"), (None, None, "a")])).count() == 3
 
 
