@@ -23,25 +23,13 @@ RANKED_AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def parts_of(word: bytes) -> tuple[bytes, bytes, bytes] | None:
-    """Marks, lower-case Latin letters, marks of a word that consists of these; else None. The pre-tokenizer parts them, and
-    its normalizer changes no such letters."""
-    if word.isalpha() and word.islower():  # as bytes: ASCII letters alone
-        return b"", word, b""
-    low = word.decode("utf-8", "replace").lower()
-    rest = low.lstrip(MARKS)
-    body = rest.rstrip(MARKS)
-    if not (body.isalpha() and body.islower() and max(body) < "\u0180"):
-        return None
-    return low[: len(low) - len(rest)].encode(), body.encode(), rest[len(body) :].encode()
-
-
 class WordIds(WordCache):
     """word -> its token ids as little-endian unsigned 32-bit integers.
 
     The vocabulary's pre-tokenizer drops white space, so a text's ids are the ids of its words one after another; it also
     lowers case and parts letters from punctuation, so few distinct words remain to be encoded. Those of Latin letters are
-    encoded many at a time by a copy without normalizer: each ends with its own end-of-word token."""
+    encoded many at a time by a copy without normalizer: each ends with its own end-of-word token. Words with an added token
+    of the vocabulary in them are left whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,21 +37,35 @@ class WordIds(WordCache):
 
         super().__init__(WordIds.encoded)
         self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.added = [token.content.lower() for token in self.whole.get_added_tokens_decoder().values()]
+        self.added_letters = any(x.isalpha() for x in self.added)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, suffix = self.plain.get_vocab(), getattr(self.plain.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
+    def parts_of(self, word: bytes) -> tuple[bytes, bytes, bytes] | None:
+        """Marks, lower-case Latin letters, marks of a word that consists of these; else None. The pre-tokenizer parts them,
+        and its normalizer changes no such letters."""
+        if word.isalpha() and word.islower() and not self.added_letters:  # as bytes: ASCII letters alone
+            return b"", word, b""
+        low = word.decode("utf-8", "replace").lower()
+        rest = low.lstrip(MARKS)
+        body = rest.rstrip(MARKS)
+        if not (body.isalpha() and body.islower() and max(body) < "\u0180") or any(x in low for x in self.added):
+            return None
+        return low[: len(low) - len(rest)].encode(), body.encode(), rest[len(body) :].encode()
+
     def encoded(self, word: bytes) -> bytes:
-        parts = parts_of(word)
+        parts = self.parts_of(word)
         if parts is not None and parts[1] != word:
             return b"".join(self[x] for x in parts if x)
         return array("I", self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Encode what words are unknown and have such letters, WORDS_AT_ONCE at a time."""
-        found = [(word, parts) for word in words if word not in self and word not in self.aside and (parts := parts_of(word)) is not None]
+        found = [(word, parts) for word in words if word not in self and word not in self.aside and (parts := self.parts_of(word)) is not None]
         unknown = [x for x in {parts[1] for _, parts in found} if x not in self and x not in self.aside]
         for at in range(0, len(unknown), WORDS_AT_ONCE):
             own = unknown[at : at + WORDS_AT_ONCE]
