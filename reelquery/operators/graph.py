@@ -175,28 +175,6 @@ def nested_subsets(groups: DataFrame, id_col: str, seed: int, fractions: list[fl
     return rows.where(F.col("rank") < F.ceil(F.col("fraction") * F.col("size"))).select(id_col, *by, "fraction")
 
 
-def assign_groups(groups: DataFrame, seed: int, ratios: dict[str, float], trials: int = 256) -> DataFrame:
-    """group_id, split: of `trials` seeded shuffles, the one whose splits are closest to their share of both classes and
-    hold both where that can be. groups has group_id, pos, neg: a row per source group, each trial orders them on its own."""
-    names = list(ratios)
-    rows = groups.select("group_id", "pos", "neg", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    rows = rows.withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.col("trial").cast("string"), F.lit(":"), F.col("group_id").cast("string")).cast("binary")))
-    over = W.partitionBy("trial")
-    share = (F.sum(F.col("pos") + F.col("neg")).over(over.orderBy("mark", "group_id").rowsBetween(W.unboundedPreceding, 0)) - (F.col("pos") + F.col("neg")) / 2) / F.sum(F.col("pos") + F.col("neg")).over(over)
-    split, edge = F.lit(names[-1]), 1.0
-    for name in reversed(names[:-1]):
-        edge -= ratios[names[names.index(name) + 1]]
-        split = F.when(share < edge, name).otherwise(split)
-    rows = rows.withColumn("split", split).withColumn("all_pos", F.sum("pos").over(over)).withColumn("all_neg", F.sum("neg").over(over))
-    counts = rows.groupBy("trial", "split").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.first("all_pos").alias("ap"), F.first("all_neg").alias("an"))
-    want = F.element_at(F.create_map(*[F.lit(x) for k, v in ratios.items() for x in (k, v)]), F.col("split"))
-    error = F.pow(F.col("p") - want * F.col("ap"), 2) + F.pow(F.col("n") - want * F.col("an"), 2)
-    missing = F.when((F.col("p") == 0) | (F.col("n") == 0), 1).otherwise(0)
-    scored = counts.groupBy("trial").agg(F.sum(missing + F.lit(0)).alias("missing"), F.count("*").alias("splits"), F.sum(error).alias("error"))
-    best = scored.orderBy(F.col("splits").desc(), "missing", "error", "trial").limit(1)
-    return rows.join(F.broadcast(best.select("trial")), "trial").select("group_id", "split")
-
-
 def leakage(df: DataFrame, source: str, split: str) -> DataFrame:
     """source, splits: sources in more than one split."""
     return df.groupBy(source).agg(F.sort_array(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)

@@ -39,8 +39,16 @@ def frame_labels(videos: DataFrame, intervals: DataFrame, frames: str, fps: str,
 
 
 def project_scores(videos: DataFrame, frames: str, scores: str, mode: str = "repeat", key: str = "video_id") -> DataFrame:
-    """key, frame, score: an array of segment scores stretched over the frames, by repetition or linear interpolation
-    between segment centers (flat beyond the outer ones)."""
+    """key, frame, score: an array of segment scores stretched over the frames, by repetition, by linear interpolation
+    between segment centers (flat beyond the outer ones), or by the whole units of 16 frames that each segment was read from
+    (c3d_units), where segments of a short video that share their frames give these their mean."""
+    if mode == "c3d_units":
+        rows = videos.select(key, F.col(frames).cast("long").alias("_n"), F.posexplode(scores).alias("_i", "_x"), F.size(scores).cast("long").alias("_s"))
+        units, i = F.ceil(F.col("_n") / 16).cast("long"), F.col("_i").cast("long")
+        first = F.floor(i * units / F.col("_s")).cast("long")
+        last = F.when(units < F.col("_s"), first + 1).otherwise(F.floor((i + 1) * units / F.col("_s")).cast("long"))
+        ranges = rows.withColumn("_low", first * 16).withColumn("_high", F.least(last * 16, F.col("_n"))).groupBy(key, "_low", "_high").agg(F.avg("_x").alias("score"))
+        return ranges.select(key, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("frame"), "score")
     n, s = F.col(frames).cast("long"), F.size(scores)
     grid = videos.select(key, scores, n.alias("_n"), s.alias("_s"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("frame"))
     at = lambda i: F.element_at(scores, (i + 1).cast("int"))
@@ -56,7 +64,7 @@ def project_scores(videos: DataFrame, frames: str, scores: str, mode: str = "rep
         share = F.greatest(F.least(x - low, F.lit(1.0)), F.lit(0.0))
         value = F.when(s == 1, at(F.lit(0))).otherwise(at(low) + (at(F.least(low + 1, s - 1)) - at(low)) * share)
     else:
-        raise ValueError("mode must be repeat or interpolate")
+        raise ValueError("mode must be repeat, interpolate or c3d_units")
     return grid.select(key, "frame", value.alias("score"))
 
 

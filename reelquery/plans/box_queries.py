@@ -36,11 +36,6 @@ def bootstrap(s, d):
     return r.cluster_bootstrap(view(s, d, "v_scored"), "source_video_id", F.when((F.col("score") >= 0.5) & (F.col("label") == 1), 1).otherwise(0), F.col("label"), 200, 7)
 
 
-def paired(s, d):
-    rows = r.poisson_weights(view(s, d, "v_scored"), "clip_id", 50, 3)
-    return r.paired_difference(rows, (F.col("score") >= 0.5).cast("double"), F.col("label").cast("double"))
-
-
 QUERIES = {
     "pairwise_iou": lambda s, d: g.pairwise_iou(boxes(s, d)),
     "iou_match": match_totals,
@@ -51,7 +46,6 @@ QUERIES = {
     "canonical_order": lambda s, d: boxes(s, d).select("scene_id", "box_id", F.row_number().over(g.canonical_order()).alias("rank")),
     "box_normalize": lambda s, d: g.scaled(boxes(s, d), 1 / 64, 1 / 32).select("scene_id", "box_id", "x1", "y1", "x2", "y2"),
     "cluster_bootstrap_ci": bootstrap,
-    "paired_bootstrap_difference": paired,
     "canonical_content_hash": lambda s, d: n.content_hash(view(s, d, "v_clips"), ["split", "clip_id", "collection"]).select("clip_id", "content_hash"),
     "population_hash": lambda s, d: n.population_hash(view(s, d, "v_clips"), "sha256"),
 }

@@ -51,6 +51,7 @@ QUERIES = {
     "frame_labels": painted,
     "project_scores_repeat": lambda s, d: t.project_scores(arrays(s, d), "frames", "scores", "repeat"),
     "project_scores_interpolate": lambda s, d: t.project_scores(arrays(s, d), "frames", "scores", "interpolate"),
+    "project_scores_units": lambda s, d: t.project_scores(arrays(s, d), "frames", "scores", "c3d_units"),
     "merge_intervals": lambda s, d: t.merge_intervals(view(s, d, "v_intervals")),
     "interval_overlap_join": lambda s, d: t.overlap_join(view(s, d, "v_intervals"), view(s, d, "v_segments").withColumn("start_s", F.col("start_s") * 50).withColumn("end_s", F.col("end_s") * 50)),
     "temporal_false_alert": false_alert,
@@ -84,6 +85,9 @@ ORACLES = {
         FROM ff LEFT JOIN b ON b.video_id = ff.video_id AND ff.n >= ff.s AND frame >= low AND frame < high"""),
     "project_scores_interpolate": oracle(f""", {ARRAYS}, x AS (SELECT *, (frame + CAST(0.5 AS DOUBLE)) / n * s - CAST(0.5 AS DOUBLE) AS x FROM ff)
         SELECT video_id, frame, CASE WHEN x <= 0 THEN scores[1] WHEN x >= s - 1 THEN scores[s] ELSE scores[CAST(floor(x) AS BIGINT) + 1] + (scores[CAST(floor(x) AS BIGINT) + 2] - scores[CAST(floor(x) AS BIGINT) + 1]) * (x - floor(x)) END AS score FROM x"""),
+    "project_scores_units": oracle(f""", {ARRAYS}, cu AS (SELECT video_id, i, scores[i + 1] AS score, (n + 15) // 16 AS units, n, s FROM ar, unnest(range(0, s)) u(i)),
+        cr AS (SELECT video_id, n, i * units // s * 16 AS low, CASE WHEN units < s THEN (i * units // s + 1) * 16 ELSE (i + 1) * units // s * 16 END AS high, score FROM cu)
+        SELECT ff.video_id, frame, avg(score) AS score FROM ff JOIN cr ON cr.video_id = ff.video_id AND frame >= low AND frame < high GROUP BY 1, 2"""),
     "merge_intervals": oracle(f", {MERGED.format(out='m', rows='v_intervals')} SELECT * FROM m"),
     "interval_overlap_join": oracle(""" SELECT a.video_id, a.start_s AS a_start, a.end_s AS a_end, b.start_s * 50 AS b_start, b.end_s * 50 AS b_end, least(a.end_s, b.end_s * 50) - greatest(a.start_s, b.start_s * 50) AS overlap
         FROM v_intervals a JOIN v_segments b ON a.video_id = b.video_id AND a.start_s < b.end_s * 50 AND b.start_s * 50 < a.end_s"""),
