@@ -112,6 +112,17 @@ def linear_head(vector: Column, weights: list[float], bias: float) -> Column:
     return 1 / (1 + F.exp(-(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) + bias)))
 
 
+def layered_head(vector: Column, layers: list[tuple[list[list[float]], list[float], bool]]) -> Column:
+    """Sigmoid of the single output of stacked layers (weights by output, biases, whether its outputs pass through a ReLU)."""
+    out = vector
+    for weights, biases, relu in layers:
+        units = F.array(*[F.struct(F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b")) for w, b in zip(weights, biases, strict=True)])
+        below = out
+        out = F.transform(units, lambda u: F.aggregate(F.zip_with(below, u["w"], lambda x, w: x * w), u["b"], lambda a, x: a + x))  # noqa: B023
+        out = F.transform(out, lambda x: F.greatest(x, F.lit(0.0))) if relu else out
+    return 1 / (1 + F.exp(-out[0]))
+
+
 def softmax(values: list[Column]) -> list[Column]:
     top = F.greatest(*values)
     parts = [F.exp(v - top) for v in values]

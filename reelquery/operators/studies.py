@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reelquery.functions.lineage import checkpoint
 from reelquery.functions.prefix import ratio
 from reelquery.operators.geometry import match_boxes
 from reelquery.operators.intervals import evenly
@@ -31,6 +32,15 @@ def guard_group(dataset: Column, supplied: Column, verified: Column, tour: Colum
     )
 
 
+def family_hint(dataset: Column, verified: Column, stem: Column) -> Column:
+    """The family that a clip's file name suggests, in collections that number their clips; null for verified recordings and
+    names without one. A hint is no proof of one incident."""
+    numbered = stem.rlike(r"^(?:s_)?\d+(?:_\d+)?$")
+    snatch = F.when(numbered, F.when(stem.startswith("s_"), stem).otherwise(F.regexp_replace(stem, r"_\d+$", "")))
+    series = F.when(stem.rlike(r"^krishna-clip-\d+$"), "krishna-clip-series")
+    return F.when(F.lower(verified).eqNullSafe("true"), F.lit(None)).when(dataset == "Snatch-1.0", snatch).when(dataset == "HCI-User-Collection", series)
+
+
 def recording_key(collection: Column, stem: Column) -> Column:
     """A key that clips of one recording share by the naming of their collection; null without one."""
     scene = F.regexp_extract(stem, r"^(.+-Scene-\d+)-", 1)
@@ -85,13 +95,17 @@ def learning_curve(df: DataFrame, fraction: str, value: str) -> DataFrame:
     return df.groupBy(fraction).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("seeds"))
 
 
-def demo_examples(df: DataFrame, classes: int, key: str = "clip_id") -> DataFrame:
-    """key, role: the first covered clip of each class by id, and the most confident mistake that is none of them. df has
-    truth, prediction, confidence and covered."""
-    first = df.where("covered").where(F.col("truth") < classes).groupBy("truth").agg(F.min(key).alias(key))
-    chosen = first.select(key, F.lit("first_covered_example_for_label").alias("role"))
+def demo_examples(df: DataFrame, classes: int, key: str = "clip_id", least_seconds: float = 2.0) -> DataFrame:
+    """key, role: the first covered clip of each class by id that is long enough to read, and the most confident mistake that
+    is none of them. df has truth, prediction, confidence, covered and seconds. A class without such a clip raises, as does a
+    table without a further mistake."""
+    readable = df.where(F.col("covered") & (F.col("seconds") >= least_seconds) & F.col("truth").between(0, classes - 1))
+    first = readable.groupBy("truth").agg(F.min(key).alias(key))
+    chosen = checkpoint(first.select(key, F.lit("first_covered_example_for_label").alias("role")))
     wrong = df.where((F.col("truth") != F.col("prediction")) & F.col("confidence").isNotNull()).join(chosen.select(key), key, "left_anti")
-    mistake = wrong.orderBy(F.col("confidence").desc(), key).limit(1).select(key, F.lit("known_behavior_baseline_mistake").alias("role"))
+    mistake = checkpoint(wrong.orderBy(F.col("confidence").desc(), key).limit(1).select(key, F.lit("known_behavior_baseline_mistake").alias("role")))
+    if chosen.count() < classes or mistake.isEmpty():
+        raise ValueError("a class has no covered clip of readable length, or there is no further mistake")
     return chosen.unionByName(mistake)
 
 
@@ -117,6 +131,19 @@ def ordered_matches(a: Column, b: Column, most: int) -> Column:
     return length(a, b)
 
 
+def fingerprint_evidence(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """a, b, matching (i, j and distance of every pair of samples within `most` bits, as an array), ordered (their longest
+    common subsequence), distinct (the lesser number of distinct hashes), observation. pairs: a, b, ha, hb (arrays of 64-bit
+    hashes). Three ordered matches of three distinct hashes make a temporal candidate; neither proves one source."""
+    distance = lambda i, j: F.bit_count(F.get("ha", i).bitwiseXOR(F.get("hb", j)))
+    places = lambda h: F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+    grid = F.flatten(F.transform(places("ha"), lambda i: F.transform(places("hb"), lambda j: F.struct(i.alias("i"), j.alias("j"), distance(i, j).alias("distance")))))
+    rows = pairs.withColumn("matching", F.filter(grid, lambda e: e["distance"] <= most)).withColumn("ordered", ordered_matches(F.col("ha"), F.col("hb"), most))
+    rows = rows.withColumn("distinct", F.least(F.size(F.array_distinct("ha")), F.size(F.array_distinct("hb"))))
+    temporal = (F.col("ordered") >= 3) & (F.col("distinct") >= 3)
+    return rows.select("a", "b", "matching", "ordered", "distinct", F.when(temporal, "temporal_visual_candidate").otherwise("ambiguous_visual_similarity").alias("observation"))
+
+
 def frame_range(start: Column, end: Column, fps: Column, frames: Column) -> Column:
     """struct(first, last): the frames of an interval, first inclusive, last exclusive, within [0, frames]."""
     return F.struct(F.greatest(F.floor(start * fps + F.lit(1e-8)), F.lit(0)).cast("long").alias("first"), F.least(F.ceil(end * fps - F.lit(1e-8)), frames).cast("long").alias("last"))

@@ -34,13 +34,21 @@ def arms(s, d):
 
 def examples(s, d):
     rows = view(s, d, "v_multiclass")
-    return e.demo_examples(rows.select("clip_id", "truth", "prediction", ((F.col("clip_id") * 37 % 1009) / 1009).alias("confidence"), (F.col("clip_id") % 4 != 0).alias("covered")), 5)
+    return e.demo_examples(rows.select("clip_id", "truth", "prediction", ((F.col("clip_id") * 37 % 1009) / 1009).alias("confidence"), (F.col("clip_id") % 4 != 0).alias("covered"), (F.col("clip_id") % 5 + 0.5).alias("seconds")), 5)
 
 
-def alignments(s, d):
+def evidence(s, d):
+    rows = e.fingerprint_evidence(fingerprints(s, d).withColumn("b", F.col("a") + 1), 26)
+    return rows.select("a", F.size("matching").alias("matching"), F.aggregate("matching", F.lit(0), lambda t, m: t + m["i"] * 10 + m["j"]).alias("places"), "ordered", "distinct", "observation")
+
+
+def fingerprints(s, d):
     rows = view(s, d, "v_hash").groupBy(F.expr("vec_id div 8").alias("clip_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"]).alias("hashes"))
-    pairs = rows.select(F.col("clip_id").alias("a"), F.col("hashes").alias("ha")).join(rows.select((F.col("clip_id") - 1).alias("a"), F.col("hashes").alias("hb")), "a")
-    return pairs.select("a", e.ordered_matches(F.col("ha"), F.col("hb"), 26).cast("long").alias("ordered"))
+    return rows.select(F.col("clip_id").alias("a"), F.col("hashes").alias("ha")).join(rows.select((F.col("clip_id") - 1).alias("a"), F.col("hashes").alias("hb")), "a")
+
+
+def alignments(s, d):
+    return fingerprints(s, d).select("a", e.ordered_matches(F.col("ha"), F.col("hb"), 26).cast("long").alias("ordered"))
 
 
 def plan(s, d):
@@ -57,6 +65,8 @@ def tuned(s, d):
     return e.tune_threshold(view(s, d, "v_boxes"), [0.1, 0.25, 0.45, 0.75], 0.05, 0.3)
 
 
+LAYERS = [([[2.0, -0.5], [-1.0, 0.75], [0.5, 0.0]], [0.0, 0.25, -0.125], True), ([[1.0, -2.0, 0.5], [0.25, 0.5, 1.0]], [0.5, -0.25], False), ([[1.5, -1.0]], [0.125], False)]
+
 QUERIES = {
     "behavior_class": lambda s, d: categories(s, d).select("clip_id", e.behavior_class(F.col("category"), F.col("binary"), CLASSES, EXCLUDED).alias("class")),
     "subset_metrics": lambda s, d: e.subset_metrics(view(s, d, "v_scored"), subsets(), 0.5),
@@ -67,6 +77,9 @@ QUERIES = {
     "learning_curve": lambda s, d: e.learning_curve(view(s, d, "v_scored").withColumn("fraction", F.col("clip_id") % 4), "fraction", "score"),
     "demo_examples": examples,
     "ordered_fingerprint_matches": alignments,
+    "fingerprint_evidence": evidence,
+    "layered_head_score": lambda s, d: view(s, d, "v_segments").select("video_id", "seg", c.layered_head(F.array("score", F.lit(1.0)), LAYERS).alias("probability")),
+    "family_hints": lambda s, d: view(s, d, "v_clips").select("clip_id", e.family_hint(F.expr("CASE WHEN clip_id % 2 = 0 THEN 'Snatch-1.0' ELSE 'HCI-User-Collection' END"), F.expr("CASE WHEN clip_id % 7 = 0 THEN 'True' END"), F.expr("CASE clip_id % 3 WHEN 0 THEN concat('s_', CAST(clip_id AS STRING), '_1') WHEN 1 THEN concat(CAST(clip_id AS STRING), '_2') ELSE concat('krishna-clip-', CAST(clip_id AS STRING)) END")).alias("family")),
     "interval_frame_ranges": lambda s, d: view(s, d, "v_intervals").select("video_id", "start_s", "end_s", e.frame_range(F.col("start_s"), F.col("end_s"), F.lit(29.97), F.lit(100_000)).alias("r"), e.window_frames(F.lit(12.5), 5.0).alias("window"), e.clock_text(F.col("end_s")).alias("clock")).select("video_id", "start_s", "end_s", "r.first", "r.last", "window", "clock"),
     "clip_plan": plan,
     "masked_max": lambda s, d: e.masked_max(actors(s, d)),
@@ -93,7 +106,7 @@ ORACLES = {
     "dense_split_counts": oracle(""" SELECT collection, split, (SELECT count(*) FROM v_clips c WHERE c.collection = a.collection AND c.split = b.split) AS n
         FROM (SELECT unnest(['en', 'de', 'fr', 'es', 'none']) AS collection) a, (SELECT unnest(['train', 'val', 'test']) AS split) b"""),
     "learning_curve": oracle(" SELECT clip_id % 4 AS fraction, avg(score) AS mean, stddev_pop(score) AS std, count(score) AS seeds FROM v_scored GROUP BY 1"),
-    "demo_examples": oracle(""", f AS (SELECT truth, min(clip_id) AS clip_id FROM v_multiclass WHERE clip_id % 4 <> 0 GROUP BY truth),
+    "demo_examples": oracle(""", f AS (SELECT truth, min(clip_id) AS clip_id FROM v_multiclass WHERE clip_id % 4 <> 0 AND clip_id % 5 >= 2 GROUP BY truth),
         w AS (SELECT clip_id FROM v_multiclass WHERE truth <> prediction AND clip_id NOT IN (SELECT clip_id FROM f) ORDER BY clip_id * 37 % 1009 DESC, clip_id LIMIT 1)
         SELECT clip_id, 'first_covered_example_for_label' AS role FROM f UNION ALL SELECT clip_id, 'known_behavior_baseline_mistake' FROM w"""),
     "interval_frame_ranges": oracle(""" SELECT video_id, start_s, end_s, CAST(greatest(floor(start_s * CAST(29.97 AS DOUBLE) + 1e-8), 0) AS BIGINT) AS first, CAST(least(ceil(end_s * CAST(29.97 AS DOUBLE) - 1e-8), 100000) AS BIGINT) AS last,
@@ -114,6 +127,16 @@ ORACLES = {
         mt AS (SELECT a.clip AS a, a.i, b.i AS j FROM f a JOIN f b ON b.clip = a.clip + 1 AND bit_count(xor(a.h, b.h)) <= 26),
         ch AS (SELECT a, i, j, 1 AS n FROM mt UNION SELECT mt.a, mt.i, mt.j, ch.n + 1 FROM ch JOIN mt ON mt.a = ch.a AND mt.i > ch.i AND mt.j > ch.j)
         SELECT pr.a, coalesce(max(n), 0) AS ordered FROM pr LEFT JOIN ch ON ch.a = pr.a GROUP BY pr.a"""),
+    "fingerprint_evidence": oracle(""", f AS (SELECT vec_id // 8 AS clip, vec_id % 8 AS i, h FROM v_hash), pr AS (SELECT DISTINCT a.clip AS a FROM f a JOIN f b ON b.clip = a.clip + 1),
+        mt AS (SELECT a.clip AS a, a.i, b.i AS j FROM f a JOIN f b ON b.clip = a.clip + 1 AND bit_count(xor(a.h, b.h)) <= 26),
+        ch AS (SELECT a, i, j, 1 AS n FROM mt UNION SELECT mt.a, mt.i, mt.j, ch.n + 1 FROM ch JOIN mt ON mt.a = ch.a AND mt.i > ch.i AND mt.j > ch.j),
+        ds AS (SELECT clip, count(DISTINCT h) AS n FROM f GROUP BY clip), lc AS (SELECT a, max(n) AS n FROM ch GROUP BY a), ms AS (SELECT a, count(*) AS n, sum(i * 10 + j) AS places FROM mt GROUP BY a),
+        z AS (SELECT pr.a, coalesce(ms.n, 0) AS matching, CAST(coalesce(places, 0) AS BIGINT) AS places, coalesce(lc.n, 0) AS ordered, least(x.n, y.n) AS dist FROM pr LEFT JOIN ms ON ms.a = pr.a LEFT JOIN lc ON lc.a = pr.a JOIN ds x ON x.clip = pr.a JOIN ds y ON y.clip = pr.a + 1)
+        SELECT a, matching, places, ordered, dist AS "distinct", CASE WHEN ordered >= 3 AND dist >= 3 THEN 'temporal_visual_candidate' ELSE 'ambiguous_visual_similarity' END AS observation FROM z"""),
+    "layered_head_score": oracle(""", l1 AS (SELECT video_id, seg, greatest(2 * score - CAST(0.5 AS DOUBLE), 0) AS a, greatest(CAST(1 AS DOUBLE) - score, 0) AS b, greatest(score / 2 - CAST(0.125 AS DOUBLE), 0) AS c FROM v_segments),
+        l2 AS (SELECT video_id, seg, a - 2 * b + c / 2 + CAST(0.5 AS DOUBLE) AS p, a / 4 + b / 2 + c - CAST(0.25 AS DOUBLE) AS q FROM l1) SELECT video_id, seg, 1 / (1 + exp(-(CAST(1.5 AS DOUBLE) * p - q + CAST(0.125 AS DOUBLE)))) AS probability FROM l2"""),
+    "family_hints": oracle(""" SELECT clip_id, CASE WHEN clip_id % 7 = 0 THEN NULL WHEN clip_id % 2 = 0 THEN CASE clip_id % 3 WHEN 0 THEN 's_' || CAST(clip_id AS VARCHAR) || '_1' WHEN 1 THEN CAST(clip_id AS VARCHAR) END
+        WHEN clip_id % 3 = 2 THEN 'krishna-clip-series' END AS family FROM v_clips"""),
     "clip_plan": oracle(f""", {PAINTED}, gs AS (SELECT video_id, frame // 5 * 5 AS start, min(label) AS least FROM lab GROUP BY 1, 2 HAVING count(*) = 5),
         gn AS (SELECT gs.*, (SELECT max(label) FROM lab WHERE lab.video_id = gs.video_id AND frame >= start - 2 AND frame < start + 7) AS near FROM gs),
         gk AS (SELECT video_id, start, CASE WHEN least = 1 THEN 'violent' ELSE 'normal' END AS kind FROM gn WHERE least = 1 OR near = 0),
