@@ -29,35 +29,39 @@ MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 CANDIDATE = "archive string, offset long, successor long, archive_end long, page_id long, record_type string, payload_bytes long, payload_digest string, digest_ok boolean, refers_to long, uri string"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of a binary column in bare upper-case base32: every five hex digits are four letters."""
-    digest, letters = F.sha1(payload), []
+def base32(hexed: Column) -> Column:
+    """Forty hex digits in bare upper-case base32: every five of them are four letters."""
+    letters = []
     for at in range(0, 40, 5):
-        number = F.conv(F.substring(digest, at + 1, 5), 16, 10).cast("int")
+        number = F.conv(F.substring(hexed, at + 1, 5), 16, 10).cast("int")
         letters += [F.substr(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
     return F.concat(*letters)
 
 
-def revisits(digests: DataFrame) -> tuple[DataFrame, int]:
-    """of_digest, of_page, first: the pages (page_id, digest) that repeat the payload of the page with the smallest id, first; and
-    how many there are. Bodies take no part, so a payload that many pages share is only many small rows."""
-    firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 AND first IS NOT NULL")
-    again = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
-    return settled(again.select(F.col("digest").alias("of_digest"), F.col("page_id").alias("of_page"), "first").distinct())
+def payload_of(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (the html in UTF-8; empty if null), bytes and sha1 (in hex digits)."""
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    return rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """A WARC record per page as one text column, without the line end that the text sink adds.
+def revisits(pages: DataFrame, least_bytes: int) -> tuple[DataFrame, int, int]:
+    """of_sha1, of_page, first: the pages that repeat the payload, of at least least_bytes bytes, of the page with the smallest
+    id, first; how many there are; and the bytes of the largest payload of all. Bodies take no part, so a payload that many
+    pages share is only many small rows."""
+    digests = checkpoint(payload_of(pages).select("page_id", "sha1", "bytes"))  # so that the bodies are read once for all of this
+    rows = digests.where(F.col("bytes") >= least_bytes)
+    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 AND first IS NOT NULL")
+    again = rows.join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    found, n = settled(again.select(F.col("sha1").alias("of_sha1"), F.col("page_id").alias("of_page"), "first").distinct())
+    return found, n, digests.agg(F.max("bytes")).first()[0] or 0
 
-    Of pages with equal payloads of at least least_bytes bytes, that with the smallest page_id is a response and the others
-    revisit it. A null html is an empty payload; a page without id is a revisit if an equal page has one. Control
-    characters and spaces in a URL are percent-encoded, so they can't break a header."""
-    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    again, n = revisits(rows.where(F.col("bytes") >= least_bytes).select("page_id", "digest"))
-    again = F.broadcast(again) if n <= BROADCAST_REVISITS else again
-    rows = rows.join(again, (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left")
+
+def records(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """A WARC record per row of payload_of() as one text column, without the line end that the text sink adds.
+
+    Rows in again (of_sha1, of_page, first) are revisits, all others responses. Control characters and spaces in a URL are
+    percent-encoded, so they can't break a header."""
+    rows = rows.join(again, (F.col("sha1") == F.col("of_sha1")) & F.col("page_id").eqNullSafe(F.col("of_page")), "left")
     again = F.col("first").isNotNull()
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
@@ -65,7 +69,7 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: "), page(F.col("page_id")), F.lit("\r\nWARC-Target-URI: "), uri,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha1")), F.lit("\r\nX-Payload-Length: "), F.col("bytes").cast("string"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), page(F.col("first")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n" + HTTP_HEAD),
     )
@@ -75,10 +79,16 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, large_bytes: int = LARGE_BYTES, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
     """Write pages as gzip-compressed WARC files under folder: of at most records_per_archive records, or of one record for
-    payloads of large_bytes or more. Equal payloads are of equal size, so each kind has its revisits to itself."""
-    large = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) >= large_bytes
-    for kind, rows, most in (("small", ~large, records_per_archive), ("large", large, 1)):
-        records(pages.where(rows), least_bytes).write.option("maxRecordsPerFile", most).option("lineSep", "\r\n").option("compression", "gzip").text(f"{folder}/{kind}")
+    payloads of large_bytes or more.
+
+    Of pages with equal payloads of at least least_bytes bytes, that with the smallest page_id is a response and the others
+    revisit it. A null html is an empty payload; a page without id is a revisit if an equal page has one."""
+    again, n, most_bytes = revisits(pages, least_bytes)
+    again = F.broadcast(again) if n <= BROADCAST_REVISITS else again
+    rows, large = payload_of(pages), F.col("bytes") >= large_bytes
+    for kind, own, most in (("small", ~large, records_per_archive), ("large", large, 1)):
+        if kind == "small" or most_bytes >= large_bytes:
+            records(rows.where(own), again).write.option("maxRecordsPerFile", most).option("lineSep", "\r\n").option("compression", "gzip").text(f"{folder}/{kind}")
 
 
 def page_of(field: bytes | None) -> int | None:
