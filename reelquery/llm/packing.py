@@ -35,8 +35,12 @@ def word_ids(path: str) -> WordCache:
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    added = [token.content.lower().encode() for token in whole.get_added_tokens_decoder().values()]
+
     def make(cache: WordCache, word: bytes) -> bytes:
         lower = word.lower()
+        if any(token in lower for token in added):  # found before case is lowered and marks are parted: such words stay whole
+            return array("I", whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         if lower != word:
             return cache[lower]
         if len(word) > 1 and word[-1:] in b".,!?;:" and 97 <= word[-2] <= 122:
