@@ -234,3 +234,30 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r[0] for r in after.select("doc_id").collect()} == {root for _, root in brute_groups(rows).values()}
         before = after
     assert before.agg(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null, empty, short and very long texts, null sources, extra columns with clashing names, no rows."""
+    import corpus_pipeline as p
+
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars BETWEEN 600 AND 3000").limit(40)
+    odd = [(None, None, None, None, 0), (None, "", "en", "s", 0), (1, None, "xx", None, 0), (2, " ", None, "s", 1), (3, "word " * 30_000, "en", "s", 1), (3, "other text", "en", "t", 1), (3, "other text", "en", "t", 1), (None, "the same text without an id", "en", "s", 1)]
+    docs = good.unionByName(spark.createDataFrame(odd, good.schema)).unionByName(good.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    extra = ("row", "size", "label", "kept", "key", "n", "id", "score", "_row_of_mix_", "length", "h")
+    docs = docs.withColumns({name: F.lit(i) for i, name in enumerate(extra)})
+    for name, stage in p.STAGES:
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.count() == 0
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if name == "packing":
+            assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.where("piece = 0").count() == docs.count()
+        else:
+            assert out.columns == docs.columns
+            if name != "mixing":
+                assert out.exceptAll(docs).count() == 0
+        if name == "near_duplicates":
+            assert out.where("doc_id = 3").count() == 1 and out.where("doc_id IS NULL").count() == docs.where("doc_id IS NULL").count()
+        if name == "quality":
+            assert out.where("text IS NULL").count() == 0
