@@ -89,7 +89,7 @@ QUERIES = {
 ORACLES = {
     "op7_extendible_hashing": """
         WITH d AS (
-            SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS bytes FROM documents),
+            SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS bytes FROM documents),
         x AS (
             SELECT d.*, CAST(depth AS INTEGER) AS depth, h >> CAST(60 - depth AS BIGINT) AS prefix FROM d, range(0, 61) r(depth)),
         s AS (

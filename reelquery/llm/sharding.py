@@ -30,8 +30,9 @@ def shards_of(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> Da
     2**step entries a bucket. Documents with one hash can't be parted: rows that repeat an id, or a document above the limit,
     are one shard as soon as they are alone, even above the limit.
 
-    Null texts have 0 bytes; rows without doc_id hash alike. An empty table gives no rows; extra columns are ignored."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    Null texts have 0 bytes; rows without doc_id are hashed by their text. Texts may be of any length. An empty table gives no rows; extra columns are ignored."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    h = F.conv(F.substring(F.md5(named.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
     rows = checkpoint(docs.select(F.col("doc_id").cast("long"), h.alias("h"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes")))
     done, depth = [], 0
     open_rows = rows

@@ -273,3 +273,5 @@ def test_shards_of_rows_that_cannot_be_parted(spark):
     rows = sharding.shards_of(df, 10).collect()
     assert len(rows) == 8 and {r["shard_bytes"] for r in rows if r["doc_id"] == 1} == {500}
     assert sharding.shards_of(df.limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, f"{i:03d}" * 10) for i in range(100)], df.schema)
+    assert max(r["shard_bytes"] for r in sharding.shards_of(nameless, 300).collect()) <= 300
