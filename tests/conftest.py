@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,7 +6,9 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-SF = "/root/testdata/sf0.01"
+#: The test tables; REELQUERY_TABLES names another folder of them.
+TABLES = os.environ.get("REELQUERY_TABLES", "/root/testdata")
+SF = f"{TABLES}/sf0.01"
 
 
 @pytest.fixture(scope="session")
