@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF
+from conftest import SF, TABLES
 from pyspark.sql import functions as F
 
 from reelquery.llm import langid, quality, toxicity
@@ -264,7 +264,7 @@ def test_long_clean_text_has_a_score():
 
 
 def test_toxicity_of_held_out_documents(spark):
-    table, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    table, labels = spark.read.parquet(f"{TABLES}/sf0.1/documents.parquet"), spark.read.parquet(f"{TABLES}/sf0.1/labels.parquet")
     model = toxicity.fit(table.where(fold("doc_id") != 0), labels)
     found = toxicity.score_toxicity(table.where(fold("doc_id") == 0), model).join(labels, "doc_id").toPandas()
     assert (found["predicted"] == found["toxic"]).mean() > 0.97
