@@ -11,6 +11,7 @@ from reelquery.functions.prefix import ratio
 from reelquery.operators.intervals import top_windows
 from reelquery.operators.metrics import count_if
 
+#: Names of states, of the suggestion and (in outcomes) of tags.
 REVIEW, GENERIC, NONE = "behavior_review", "generic_anomaly", "no_anomaly"
 SUGGESTED = "covered_suggestion_requires_human_review"
 

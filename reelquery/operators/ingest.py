@@ -37,7 +37,7 @@ def assess(df: DataFrame) -> DataFrame:
     a, b = annotation_seconds(start), annotation_seconds(end)
     given = (start != "") | (end != "")
     known = a.isNotNull() & b.isNotNull()
-    cases = [
+    cases = [  # fixed values: the issue codes, in their order
         (label == "not_sure", "uncertain_label"),
         (text("label") == "", "missing_label"),
         (label.isNull() & (text("label") != ""), "unsupported_label"),

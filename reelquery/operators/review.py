@@ -22,7 +22,7 @@ def review_queue(records: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = records.join(ids.withColumn("_pair", F.lit(True)), "clip_id", "left").withColumn("_pair", F.coalesce("_pair", F.lit(False)))
     hold = (F.size("issues") > 0) | ~F.col("readable")
     second = ~hold & F.coalesce(F.col("normalized_label") == "violence", F.lit(False))
-    cases = [
+    cases = [  # fixed values: the names of the flags
         (F.lit(True), "unverified_source_incident_and_overlap"),
         (~F.col("readable"), "strict_loader_media_hold"),
         (second, "candidate_positive_second_look"),

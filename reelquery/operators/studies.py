@@ -24,7 +24,7 @@ def behavior_class(category: Column, binary: Column, classes: list[str], exclude
 def guard_group(dataset: Column, supplied: Column, verified: Column, tour: Column) -> Column:
     """The group that must not be split: the verified recording, else the tour it is known to belong to, else the whole
     collection."""
-    return (
+    return (  # fixed values: names of collections and groups
         F.when(F.lower(verified).eqNullSafe("true") & supplied.isNotNull(), F.concat(F.lit("recording:"), supplied))
         .when((dataset == "WalkIndia-50") & tour.contains("tour-"), tour)
         .when(dataset == "WalkIndia-50", "walkindia-entire-release-unresolved")
