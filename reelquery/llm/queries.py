@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelquery.llm.common import fold, table
+from reelquery.llm.encoding import decode, encode
 from reelquery.llm.langid import identify
 from reelquery.llm.licenses import scan
 from reelquery.llm.mixing import taken_words
 from reelquery.llm.packing import pack
 from reelquery.llm.quality import judge
+from reelquery.llm.runs import periodic_runs, with_repeats
 from reelquery.llm.sharding import shards_of
 from reelquery.llm.shinglejoin import near_duplicates
 from reelquery.llm.topk import top_k
@@ -70,6 +72,27 @@ def op10_maximum_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(), "score", "predicted", F.size("segments").alias("n_passages"), F.col("segments").alias("passages"))
 
 
+def op11_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", with_repeats(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.get(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["period"] - b["period"]).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"longest.{name}").alias(name) for name in ("start", "length", "period")],
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +106,8 @@ QUERIES = {
         op8_exact_topk,
         op9_count_vector_rtree,
         op10_maximum_segments,
+        op11_distinct_word_table,
+        op13_lyndon_runs,
     )
 }
 
