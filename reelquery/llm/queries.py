@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import fold, table
+from reelquery.llm.alignment import align, group_digests, link_scores
+from reelquery.llm.common import checkpoint, checkpoint_dir, fold, remove, table
 from reelquery.llm.encoding import decode, encode
 from reelquery.llm.langid import identify
 from reelquery.llm.licenses import scan
@@ -78,6 +81,16 @@ def op11_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_byte_owner_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/aligned-{uuid.uuid4().hex}"
+    group_digests(align(table(spark, sf_dir, "documents").select("doc_id", "text"))).write.parquet(folder, compression="zstd")
+    aligned = spark.read.parquet(folder)
+    texts = aligned.where("slot IS NULL").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
+    found = checkpoint(link_scores(texts, aligned.where("slot IS NOT NULL").select("chunk", "slot", "a", "b", "n")))
+    remove(spark, folder)
+    return found
+
+
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = periodic_runs(docs.select("doc_id", with_repeats(F.col("doc_id"), F.col("text")).alias("text")))
@@ -107,6 +120,7 @@ QUERIES = {
         op9_count_vector_rtree,
         op10_maximum_segments,
         op11_distinct_word_table,
+        op12_byte_owner_arrays,
         op13_lyndon_runs,
     )
 }

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from reelquery.llm import encoding, queries, runs
+from reelquery.llm import alignment, encoding, queries, runs
 
 WORD_BPE = "word_bpe_49k.json"
 ODD = [None, "", " \n\t", "Hello, world! It's 12,5 don't.", "ÉCOLE  naïve x ǆ İ ß", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "a b    x\x1cy\x85z", "á e ́x", "中文 🙂🙂 � ▁x", "w" * 3_000, "word Word WORD, " * 4_000, "\x00 \x0b\x0c\r\n", "ΣΑΣ σας"]
@@ -25,6 +27,7 @@ def documents(spark, texts, **extra):
     return df.withColumns({name: F.lit(1) for name in extra or ("chunk", "ids", "part", "mark", "runs", "words", "collapsed")})
 
 
+@lru_cache
 def library(name=WORD_BPE):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -159,3 +162,101 @@ def test_op13_on_documents(spark):
         r = found[doc_id]
         assert tuple(r[c] for c in ("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")) == want
     assert repeated > 50
+
+
+def naive_alignment(text):
+    """(ids of A, ids of B, groups) token by token, with the libraries themselves."""
+    first, second = library("byte_bpe_50k.json"), sentence_pieces()
+    first.encode_special_tokens = True
+    if not text:
+        return [], [], []
+    letter = {c: k for k, c in enumerate(alignment.byte_letters())}
+    a_ids, b_ids = first.encode(" " + text, add_special_tokens=False).ids, second.encode(text)
+    a_bytes = [bytes(letter[c] for c in first.id_to_token(k)) for k in a_ids]
+    b_bytes = [bytes([int(second.id_to_piece(k)[3:5], 16)]) if second.is_byte(k) else second.id_to_piece(k).replace("▁", " ").encode() for k in b_ids]
+    if {b"".join(a_bytes), b"".join(b_bytes)} != {b" " + text.encode()}:
+        return [], [], []
+    groups, i, j, x, y, own = [], 0, 0, 0, 0, ([], [])
+    while i < len(a_ids) or j < len(b_ids):
+        if x <= y:
+            x, i = x + len(a_bytes[i]), i + 1
+            own[0].append(a_ids[i - 1])
+        else:
+            y, j = y + len(b_bytes[j]), j + 1
+            own[1].append(b_ids[j - 1])
+        if x == y:
+            groups.append(own)
+            own = ([], [])
+    return a_ids, b_ids, groups
+
+
+@lru_cache
+def sentence_pieces():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def expected_alignment(texts):
+    """The rows of op12 for texts by number."""
+    own = [naive_alignment(text) for text in texts]
+    links = [[(a[-1], b[-1]) for a, b in groups] for _, _, groups in own]
+    counts = Counter(pair for x in links for pair in x)
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(best.get(b, 0), n)
+    for (a_ids, b_ids, groups), pairs in zip(own, links, strict=True):
+        line = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        yield len(a_ids), len(b_ids), len(groups), len(pairs), sum(counts[p] == best[p[1]] for p in pairs), sum(counts[p] for p in pairs), sha(line) if groups else ""
+
+
+ALIGNED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+STRANGE = [*ODD, "a" + " " * 400 + "b", "\n\n\n  x\n \n", "x<s></s><unk><0x41>", "xy" * 12_000, "don't 12,345 naïve▁", " leading", "trailing  "]
+
+
+def scored(spark, df, **options):
+    aligned = alignment.group_digests(alignment.align(df, **options))
+    texts = aligned.where("slot IS NULL").select("chunk", "doc_id", *[c for c in ALIGNED if c not in ("n_best", "count_sum")], "links")
+    return alignment.link_scores(texts, aligned.where("slot IS NOT NULL").select("chunk", "slot", "a", "b", "n"))
+
+
+@pytest.mark.parametrize("chunk_bytes", [16_000_000, 10])
+def test_alignment_against_token_by_token(spark, chunk_bytes):
+    df = documents(spark, STRANGE, chunk=1, links=1, slot=1, a=1, b=1, n=1)
+    found = {r["doc_id"]: tuple(r[c] for c in ALIGNED) for r in scored(spark, df, chunk_bytes=chunk_bytes).collect()}
+    assert [found[i] for i in range(len(STRANGE))] == list(expected_alignment(STRANGE))
+
+
+def test_alignment_of_repeated_rows_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "same words"), (1, "same words"), (None, "other"), (2, None)], "doc_id long, text string")
+    rows = sorted(((r["doc_id"] or 0), r["n_links"], r["count_sum"]) for r in scored(spark, df).collect())
+    want = {x[3]: x[5] for x in expected_alignment(["same words", "same words", "other", None])}
+    assert rows == sorted([(0, rows[0][1], want[rows[0][1]]), (1, rows[1][1], want[rows[1][1]]), (1, rows[1][1], want[rows[1][1]]), (2, 0, 0)])
+    assert scored(spark, df.limit(0)).count() == 0
+
+
+def test_owners_give_overlaps_and_cuts():
+    rng = random.Random(4)
+    for _ in range(300):
+        total = rng.randint(0, 30)
+        a, b = (np.diff(sorted({0, total, *rng.sample(range(total + 1), rng.randint(0, total // 2))})).astype(np.int64) for _ in range(2))
+        spans = [[(int(e - s), int(e)) for s, e in zip(x, np.cumsum(x), strict=True)] for x in (a, b)]
+        shared = [(i, j) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if max(s, t) < min(e, f)]
+        assert [tuple(x) for x in alignment.overlaps(a, b).tolist()] == shared
+        ends = [(i, j) for i, j in shared if spans[0][i][1] == spans[1][j][1]]
+        assert [tuple(x) for x in np.stack(alignment.cuts(a, b), axis=1).tolist()] == ends
+
+
+def test_aligned_groups_hold_all_tokens(spark):
+    rows = alignment.align(documents(spark, STRANGE)).where("slot IS NULL").orderBy("doc_id").collect()
+    for text, r in zip(STRANGE, rows, strict=True):
+        a_ids, b_ids, groups = naive_alignment(text)
+        assert (r["a_ids"], r["b_ids"]) == (a_ids, b_ids)
+        assert [(a, b) for a, b in zip(r["a_sizes"], r["b_sizes"], strict=True)] == [(len(a), len(b)) for a, b in groups]
+
+
+def test_op12_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    found = {r["doc_id"]: tuple(r[c] for c in ALIGNED) for r in queries.op12_byte_owner_arrays(spark, SF).collect()}
+    assert found == {r["doc_id"]: want for r, want in zip(docs, expected_alignment([r["text"] for r in docs]), strict=True)}
