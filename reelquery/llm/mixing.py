@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,6 @@ BLOCK = 512
 RANKED_AT_ONCE = 512
 #: Cells of the unit interval in which slots look for their source; a source lies in as many cells as it covers.
 CELLS = 1_024
-#: The column by which keep_mixed tells its rows apart.
-ROW = "_row_of_mix"
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 
@@ -98,17 +98,17 @@ def positions(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("inside", inside).join(prefix(rows, ["sid", "chunk"], F.col("size")), ["sid", "chunk"]).select("row", "doc_id", "size", "sid", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, block: int = BLOCK, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, placed documents, mix). The mix has slot, sid, pass, row, doc_id, start, size, from_word, n_words: read in
     order of slot, then start, it is the mixed stream. Words are [^\\x20\\x09-\\x0D]+; a null text has none.
 
-    row is a key of each row of docs: its column ROW, or else a number given here.
+    row is a key of each row of docs: the column that `row` names, or else a number given here.
 
     A null source is a source of its own, after all others. Documents without words are in no slot. Repeated rows are
     documents of their own. Empty tables give empty results; extra columns are ignored."""
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    key = F.col(row) if row else F.monotonically_increasing_id()
     digest = F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("string").cast("binary")))
-    sized = checkpoint(docs.select(row.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), digest.alias("digest"), n_words(F.col("text").cast("string")).alias("size")))
+    sized = checkpoint(docs.select(key.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), digest.alias("digest"), n_words(F.col("text").cast("string")).alias("size")))
     sources = checkpoint(sources_of(sized, weights, share, passes, block))
     totals = sources.agg(F.count("*").alias("n"), F.sum("slots").alias("slots")).first()
     placed = checkpoint(positions(sized, sources, seed))
@@ -124,7 +124,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted."""
+    """doc_id, size, source_size, target, taken: how many of each document's words the mix takes, repeats counted.
+
+    A row per row of docs, in no order: null and empty texts have size 0 and are not taken from; rows with null or repeated
+    doc_id are documents of their own; a null source is a source of its own. A text of any length is counted whole. An empty
+    table gives no rows; extra columns, whatever their names, are ignored."""
     sources, placed, spans = mix(docs, **settings)
     taken = spans.groupBy("sid", "start").agg(F.sum("n_words").alias("taken"))  # a document with words has its start alone
     rows = placed.where("size > 0").join(taken, ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -138,10 +142,11 @@ def keep_mixed(docs: DataFrame, **settings) -> DataFrame:
     no more than half of one document. Rows without words are kept once, as no weight concerns them. Rows without doc_id and
     rows of equal doc_id are documents of their own. An empty table gives no rows; all columns are kept."""
     # kept with their keys, which must not change between uses
-    rows = checkpoint(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    _, placed, spans = mix(rows, **settings)
+    key = next(name for name in (f"_row_{k}" for k in count()) if name not in {c.lower() for c in docs.columns})
+    rows = checkpoint(docs.withColumn(key, F.monotonically_increasing_id()))
+    _, placed, spans = mix(rows, row=key, **settings)
     per_pass = spans.groupBy("row", "pass").agg(F.sum("n_words").alias("n"), F.first("size").alias("size"))
     copies = per_pass.where("2 * n >= size").groupBy("row").agg(F.count("*").alias("copies"))
     copies = copies.unionByName(placed.where("size = 0").select("row", F.lit(1).cast("long").alias("copies")))
     of = checkpoint(copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row"))
-    return rows.alias("d").join(of.alias("c"), F.col(f"d.{ROW}") == F.col("c.row")).select("d.*").drop(ROW)
+    return rows.alias("d").join(of.alias("c"), F.col(f"d.{key}") == F.col("c.row")).select("d.*").drop(key)

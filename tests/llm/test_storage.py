@@ -58,8 +58,9 @@ def test_mix_edge_tables(spark):
     df, _ = sample(spark)
     assert mixing.taken_words(df.limit(0)).count() == 0
     assert mixing.taken_words(spark.createDataFrame([(1, None, None), (1, None, None)], DOCS)).select("taken").distinct().collect()[0][0] == 0
-    kept = mixing.keep_mixed(df.withColumn("copies", F.lit(1)).withColumn("of", F.lit(2)))
-    assert kept.columns == [*df.columns, "copies", "of"]
+    extra = ["copies", "of", "_row_of_mix", "_row_0", "_ROW_1", "row", "key"]
+    kept = mixing.keep_mixed(df.withColumns({name: F.lit(1) for name in extra}))
+    assert kept.columns == [*df.columns, *extra]
     counts = Counter(r[0] for r in kept.select("doc_id").collect())
     assert max(counts.values()) <= 2 and counts[7_000] == 1
 
