@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,17 +16,32 @@ VECTORS = "vec_id long, embedding array<float>, label int"
 
 
 def brute_top(rows, k=5):
-    kept = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            own = [float(np.floor(256 * float(np.float32(x)))) for x in v]
-            kept[i] = min(kept.get(i, own), own)
-    out = {}
-    for q in kept:
+    """Row by row: how often each (query id, its best) comes."""
+    kept = [(i, [float(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for at, (q, own) in enumerate(kept):
         if q % 50 == 0:
-            scores = sorted((-int(np.dot(kept[q], v)), i) for i, v in kept.items() if i != q and len(v) == len(kept[q]))
-            out[q] = [(i, -s) for s, i in scores[:k]]
-    return {q: v for q, v in out.items() if v}
+            scores = sorted((-int(np.dot(own, v)), i) for other, (i, v) in enumerate(kept) if other != at and len(v) == len(own))
+            if scores:
+                out[q, tuple((i, -s) for s, i in scores[:k])] += 1
+    return out
+
+
+def found_top(df):
+    """The same of top_k: rows of equal queries can be dealt to them in any order."""
+    ranks = {}
+    for r in topk.top_k(df.where("vec_id % 50 = 0"), df).collect():
+        ranks.setdefault(r["query_id"], {}).setdefault(r["rank"], []).append((r["vec_id"], r["score"]))
+    return ranks
+
+
+def assert_top(df, rows):
+    want = {}
+    for (q, best), times in brute_top(rows).items():
+        for rank, hit in enumerate(best, 1):
+            want.setdefault(q, {}).setdefault(rank, []).extend([hit] * times)
+    found = found_top(df)
+    assert {q: {k: sorted(v) for k, v in x.items()} for q, x in found.items()} == {q: {k: sorted(v) for k, v in x.items()} for q, x in want.items()}
 
 
 @pytest.mark.parametrize("n", [3, 700])
@@ -33,24 +49,24 @@ def test_top_k_against_all_pairs(spark, n):
     rng = random.Random(n)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, rng.random()]) for _ in range(6)]) for i in range(n)]
     rows += [(900, None), (950, []), (1_000, [float("nan")] * 6), (1_001, [float("inf")] * 6), (1_050, [None] * 6), (None, [1.0] * 6), (50, [0.0] * 6), (1_100, [1.0, 2.0])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).withColumn("id", F.lit(1)).withColumn("shard", F.lit(1))
-    found = {}
-    for r in topk.top_k(df.where("vec_id % 50 = 0"), df).orderBy("query_id", "rank").collect():
-        assert r["rank"] == len(found.setdefault(r["query_id"], [])) + 1
-        found[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert found == brute_top(rows)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).withColumns({name: F.lit(1) for name in ("id", "shard", "times", "number")})
+    assert_top(df, rows)
+
+
+def test_top_k_takes_every_row_of_repeated_ids(spark):
+    rows = [(0, [2.0, 0.0]), (1, [1.0, 0.0]), (1, [1.5, 0.0]), (2, [0.75, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(df.where("vec_id = 0"), df).orderBy("rank").collect()] == [(1, 196_608), (1, 131_072), (2, 98_304)]
+    rng = random.Random(5)
+    rows = [(rng.randrange(0, 120, 10), [rng.choice([0.0, 0.5, 1.0]) for _ in range(3)]) for _ in range(150)] + [(100, [1.0, 1.0, 1.0])] * 80
+    assert_top(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), rows)
 
 
 def test_top_k_merges_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 4)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 4 * 8 * 3)
     rng = random.Random(9)
-    rows = [(i, [rng.random() for _ in range(3)]) for i in range(400)]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)
-    found = {}
-    for r in topk.top_k(df.where("vec_id % 50 = 0"), df).orderBy("query_id", "rank").collect():
-        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert found == brute_top(rows)
+    rows = [(i, [rng.random() for _ in range(3)]) for i in range(400)] + [(50, [0.9, 0.9, 0.9])] * 3
+    assert_top(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS), rows)
 
 
 def test_top_k_of_huge_components_and_nothing(spark):
@@ -243,7 +259,7 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     good = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars BETWEEN 600 AND 3000").limit(40)
     odd = [(None, None, None, None, 0), (None, "", "en", "s", 0), (1, None, "xx", None, 0), (2, " ", None, "s", 1), (3, "word " * 30_000, "en", "s", 1), (3, "other text", "en", "t", 1), (3, "other text", "en", "t", 1), (None, "the same text without an id", "en", "s", 1)]
     docs = good.unionByName(spark.createDataFrame(odd, good.schema)).unionByName(good.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
-    extra = ("row", "size", "label", "kept", "key", "n", "id", "score", "_row_of_mix_", "length", "h")
+    extra = ("row", "size", "label", "kept", "key", "n", "id", "score", "_row_of_mix", "_row_0", "_row_1", "length", "h")
     docs = docs.withColumns({name: F.lit(i) for i, name in enumerate(extra)})
     for name, stage in p.STAGES:
         empty = stage(spark, docs.limit(0), SF)
