@@ -211,13 +211,15 @@ def spelled(ids: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(ends, ids.cast(pa.string())), ",")
 
 
-def group_digests(aligned: DataFrame) -> DataFrame:
-    """aligned with each text's ids and groups reduced to their numbers and the hash of `a1,a2|b1;a3|b2,b3`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
             texts, pairs = batch.filter(pc.is_null(batch["slot"])), batch.filter(pc.is_valid(batch["slot"]))
-            yield rows_of(DIGESTS, {name: pairs[name] for name in ("chunk", *PAIRS)}, pairs.num_rows)
+            if pairs.num_rows:
+                yield rows_of(DIGESTS, {name: pairs[name] for name in ("chunk", *PAIRS)}, pairs.num_rows)
+            if not texts.num_rows:
+                continue
             a_sizes, b_sizes = (texts[name].flatten().to_numpy(zero_copy_only=False) for name in ("a_sizes", "b_sizes"))
             groups = pc.binary_join_element_wise(spelled(texts["a_ids"].flatten(), a_sizes), spelled(texts["b_ids"].flatten(), b_sizes), "|")
             many = [pc.list_value_length(texts[name]).to_numpy(zero_copy_only=False) for name in ("a_ids", "b_ids", "a_sizes", "links")]
@@ -225,7 +227,12 @@ def group_digests(aligned: DataFrame) -> DataFrame:
             marks = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in lines.to_pylist()]
             yield rows_of(DIGESTS, {"chunk": texts["chunk"], "doc_id": texts["doc_id"], "groups_sha256": marks, "links": texts["links"]} | dict(zip(COUNTS, many, strict=True)), texts.num_rows)
 
-    return aligned.mapInArrow(run, from_arrow_schema(DIGESTS))
+
+def group_digests(docs: DataFrame, a: str = A, b: str = B, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of align, with each text's ids and groups reduced to their numbers and the hash of `a1,a2|b1;a3|b2,b3` in the
+    task that has aligned it: ids and groups, several times as long as the text, go nowhere."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(lambda batches: digest_rows(aligned_rows(a, b, chunk_bytes, batches)), from_arrow_schema(DIGESTS))
 
 
 def link_counts(pairs: DataFrame) -> DataFrame:

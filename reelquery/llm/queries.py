@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.alignment import align, group_digests, link_scores
+from reelquery.llm.alignment import group_digests, link_scores
 from reelquery.llm.common import checkpoint, checkpoint_dir, fold, remove, table
 from reelquery.llm.encoding import decode, encode
 from reelquery.llm.langid import identify
@@ -83,7 +83,7 @@ def op11_distinct_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_byte_owner_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/aligned-{uuid.uuid4().hex}"
-    group_digests(align(table(spark, sf_dir, "documents").select("doc_id", "text"))).write.parquet(folder, compression="zstd")
+    group_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).write.parquet(folder, compression="zstd")
     aligned = spark.read.parquet(folder)
     texts = aligned.where("slot IS NULL").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
     found = checkpoint(link_scores(texts, aligned.where("slot IS NOT NULL").select("chunk", "slot", "a", "b", "n")))

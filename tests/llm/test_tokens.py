@@ -216,7 +216,7 @@ STRANGE = [*ODD, "a" + " " * 400 + "b", "\n\n\n  x\n \n", "x<s></s><unk><0x41>",
 
 
 def scored(spark, df, **options):
-    aligned = alignment.group_digests(alignment.align(df, **options))
+    aligned = alignment.group_digests(df, **options)
     texts = aligned.where("slot IS NULL").select("chunk", "doc_id", *[c for c in ALIGNED if c not in ("n_best", "count_sum")], "links")
     return alignment.link_scores(texts, aligned.where("slot IS NOT NULL").select("chunk", "slot", "a", "b", "n"))
 
