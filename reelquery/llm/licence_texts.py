@@ -26,6 +26,7 @@ NAMES = {
         "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "Creative Commons Attribution Non-Commercial licence",
         "CC BY-NC", "CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0", "CC BY-NC-ND 4.0", "CC BY-NC 3.0",
     ),
+    "gfdl": ("GNU Free Documentation License", "GNU Free Documentation License, Version 1.3", "GNU FDL", "GFDL", "GFDL-1.3", "FDL 1.2", "Free Documentation License"),
     "public-domain": ("CC0 1.0 Universal", "CC0", "CC0-1.0", "Creative Commons Zero", "CC0 public domain dedication", "Unlicense", "The Unlicense"),
 }
 #: Families whose names are never shown to the fit: what they hold is unknown, and calibration learns from that.
@@ -37,9 +38,12 @@ WORDINGS = (
     "Licensed under the {}.", "Licensed under {}", "licensed under {}, see the file LICENSE", "Released under the {}.", "Released under {}.", "This project is released under the {}.", "Distributed under the {}.",
     "distributed under {}", "This work is licensed under a {}.", "This work is licensed under the {}.", "This software is licensed under the {}.", "SPDX-License-Identifier: {}", "License: {}", "Available under {}.",
     "Use of this source code is governed by a {} that can be found in the LICENSE file.", "Published under the {}.", "You can use it under the terms of the {}.", "Dual licensed under {} or a commercial license",
-    "The program is free software under the {}.", "{} applies to all files here.",
+    "The program is free software under the {}.", "{} applies to all files here.", "This project is {} licensed.", "{} licensed software", "Copyright (c) 2015 the authors. {}.", "{} licence covers the files.",
+    "The {} license applies.", "Lizenziert nach der {}.", "Dieses Programm steht unter der {} Lizenz.", "Publié sous licence {}.", "Publicado bajo licencia {}.",
+    "The library is {} licensed.", "everything here is {} licensed", "Unter der {}-Lizenz veröffentlicht.", "Lizenz: {}", "lizenziert unter der {}", "(c) 2010 Example Inc. {}", "(c) 1999 by the team. {}.", "{} licence applies to this.",
+    "Our code is {} licensed.", "{} licensed.", "is {} licensed", "(c) 2003 Jane. {}.", "(c) 2020 Corp. {}.", "(c) Smith. {}",
 )
-CALIBRATION_WORDINGS = ("All code here is made available under the {}.", "licensed {}", "This package is covered by the {}.", "Source files carry the {}.", "The contents of this file are subject to the {}", "It is offered under {}.")
+CALIBRATION_WORDINGS = ("All code here is made available under the {}.", "licensed {}", "This package is covered by the {}.", "Source files carry the {}.", "The contents of this file are subject to the {}", "It is offered under {}.", "Our library is {} licensed", "(c) 2012 Jane Roe. {}.", "Das Paket ist unter der {} lizenziert.")
 #: Family -> what its licences or their notices say, paragraph by paragraph.
 TEXTS = {
     "apache": (
@@ -97,6 +101,10 @@ TEXTS = {
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
         "You are free to share and adapt the material, but you may not use the material for commercial purposes.",
     ),
+    "gfdl": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
+        'A copy of the license is included in the section entitled "GNU Free Documentation License".',
+    ),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
@@ -121,6 +129,17 @@ AROUND = (
 #: Places where things can be "under", so that the words around a grant say nothing alone.
 PLACES = ("the bridge", "the name of his wife", "the table", "a new title", "the old law", "the trees", "pressure", "the direction of the mayor", "contract", "the moon")
 UNDER = ("The report was released under {}.", "Food was distributed under {}.", "It was published under {}.", "The boat is available under {}.", "The project was governed under {}.", "They worked under {}.")
+#: Sentences that speak of what stands in {} without granting anything: those of the fit, and those that calibration keeps.
+SPEAKING = (
+    "{} is a bad choice for us.", "The history of {} is long and odd.", "Many people dislike {}.", "An article about {} appeared in the paper.", "They argued about {} all evening.", "What is {}, she asked.",
+    "{} was discussed at the conference.", "The {} level is 9.", "Some say that {} will win.", "The {} crew landed in the valley.", "He wrote a book on {} in 2004.", "We moved away from {} last year.", "Is {} older than the web?", "Many companies prefer the {}.", "The {} is shorter than that one.",
+)
+CALIBRATION_SPEAKING = ("Nobody understood {} at first.", "{} is a good idea, others think.", "The {} setting has no effect.", "A talk on {} was given in Paris.", "The {} team walked over the hill.")
+#: Words of which a paragraph holds one where it grants what it names; a name alone confirms nothing.
+GRANTING = (
+    "applies", "available", "bajo", "c", "copyright", "covered", "covers", "distributed", "distribution", "governed", "grant", "granted", "licence", "licences", "license", "licensed", "licenses", "licencia", "lizenz",
+    "lizenziert", "offered", "permission", "published", "released", "sous", "spdx", "terms",
+)
 #: Paragraphs that share words with licences without granting one, and plain prose.
 OTHERS = (
     "The general said the public would be informed about the version of events.", "Permission to enter the building is granted by the office.", "The warranty on this car covers three years.",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,9 @@ if TYPE_CHECKING:
 
 UNKNOWN = "unknown"
 FAMILIES = list(given.TEXTS)
-#: Longest n-gram; L1 regularization, which keeps few n-grams; every how many-th pair of a name and a wording is an example; words of a text's windows.
-NGRAM, PENALTY, EVERY, WINDOW = 2, 0.0003, 2, 24
+#: Longest n-gram; penalty of weights, and its L1 part, which keeps few n-grams; steps of the fit at most (it needs some 100); every
+#: how many-th pair of a name and a wording that grants it, or a sentence that speaks of it, is an example; words of a text's windows.
+NGRAM, PENALTY, L1, STEPS, EVERY, SPOKEN, WINDOW = 2, 2e-5, 0.5, 400, 2, 5, 24
 #: Least probability of a reported paragraph; least share of a template's words that confirms a family, and that lets
 #: another family's template overturn it.
 LEAST_PROBABILITY, LEAST_SIMILARITY, OVERTURNING = 0.5, 0.5, 0.9
@@ -42,19 +44,23 @@ def windows(text: str) -> list[str]:
 
 
 def examples() -> list[tuple[str, str, float]]:
-    """(family, paragraph, weight) for the fit. Known families and the unknown class weigh the same in sum."""
-    known = [(family, text) for family, texts in given.TEXTS.items() for whole in texts for text in windows(whole)]
-    known += [(family, w.format(name)) for family, names in given.NAMES.items() for i, name in enumerate(names) for j, w in enumerate(given.WORDINGS) if (i + j) % EVERY == 0]
+    """(family, paragraph, weight) for the fit. Known families and the unknown class weigh the same in sum, and within a family
+    its texts and the wordings with its names do."""
+    texts = [(family, text) for family, texts in given.TEXTS.items() for whole in texts for text in windows(whole)]
+    named = [(family, w.format(name)) for family, names in given.NAMES.items() for i, name in enumerate(names) for j, w in enumerate(given.WORDINGS) if (i + j) % EVERY == 0]
     other = [*given.OTHERS, *(a.format(t) for a in given.AROUND for t in given.THINGS), *(u.format(p) for u in given.UNDER for p in given.PLACES)]
     other += [w.format(name) for i, name in enumerate(given.INVENTED) for j, w in enumerate(given.WORDINGS) if (i + j) % EVERY == 0]
-    sizes = {f: sum(family == f for family, _ in known) for f in FAMILIES}
-    return [(f, text, 1 / sizes[f]) for f, text in known] + [(UNKNOWN, text, len(FAMILIES) / len(other)) for text in other]
+    other += [w.format(name) for i, name in enumerate(x for names in given.NAMES.values() for x in names) for j, w in enumerate(given.SPEAKING) if (i + j) % SPOKEN == 0]
+    known = [(f, text, 1 / sum(f == x for x, _ in own)) for own in (texts, named) for f, text in own]
+    shares = {f: sum(weight for x, _, weight in known if x == f) for f in FAMILIES}
+    return [(f, text, weight / shares[f]) for f, text, weight in known] + [(UNKNOWN, text, len(FAMILIES) / len(other)) for text in other]
 
 
 def calibration_examples() -> list[tuple[str, str, float]]:
     """The same for calibration, from wordings, licences and sentences that the fit has not seen."""
     known = [(family, w.format(name)) for family, names in given.NAMES.items() for name in names for w in given.CALIBRATION_WORDINGS]
     other = [*given.CALIBRATION_OTHERS, *(w.format(name) for name in given.UNSEEN for w in (*given.WORDINGS, *given.CALIBRATION_WORDINGS))]
+    other += [w.format(name) for i, name in enumerate(x for names in given.NAMES.values() for x in names) for j, w in enumerate(given.CALIBRATION_SPEAKING) if (i + j) % SPOKEN == 0]
     return [(f, text, 1 / len(known)) for f, text in known] + [(UNKNOWN, text, 1 / len(other)) for text in other]
 
 
@@ -130,7 +136,7 @@ def train(spark: SparkSession) -> Model:
     empty = f"^(?:(?:{'|'.join(given.FUNCTION_WORDS)}|[0-9]+)(?: |$))+$"
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True).fit(rows.withColumn("grams", F.filter("grams", lambda g: ~g.rlike(empty))))
     settings = {"labelCol": "label", "weightCol": "weight", "standardization": False}
-    fitted = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=60, family="multinomial", **settings).fit(counter.transform(rows)).setProbabilityCol("")
+    fitted = LogisticRegression(regParam=PENALTY, elasticNetParam=L1, maxIter=STEPS, family="multinomial", **settings).fit(counter.transform(rows)).setProbabilityCol("")
     model = Model(counter, fitted)
     held = scored(table_of(spark, calibration_examples()).select(F.col("family").alias("truth"), "weight", tokens(F.col("text")).alias("words")), model)
     held = held.select((F.col("family") == F.col("truth")).cast("double").alias("label"), "weight", "margin")
@@ -139,11 +145,17 @@ def train(spark: SparkSession) -> Model:
     return Model(counter, fitted, float(step.coefficients[0]), float(step.intercept))
 
 
+@lru_cache(maxsize=1)
+def trained(spark: SparkSession, application: str) -> Model:
+    """The model, fitted once an application: the examples are always the same."""
+    return train(spark)
+
+
 def templates() -> Column:
     """Names and texts of all families as sorted distinct words, in an array: a constant."""
-    rows = [(family, text) for table in (given.NAMES, given.TEXTS) for family, texts in table.items() for text in texts]
-    raw = F.from_json(F.lit(json.dumps([{"family": f, "text": t} for f, t in rows])), "array<struct<family: string, text: string>>")
-    return F.transform(raw, lambda t: F.struct(t["family"].alias("family"), F.array_distinct(tokens(t["text"])).alias("words")))
+    rows = [{"family": family, "text": text, "name": table is given.NAMES} for table in (given.NAMES, given.TEXTS) for family, texts in table.items() for text in texts]
+    raw = F.from_json(F.lit(json.dumps(rows)), "array<struct<family: string, text: string, name: boolean>>")
+    return F.transform(raw, lambda t: F.struct(t["family"].alias("family"), F.array_distinct(tokens(t["text"])).alias("words"), t["name"].alias("name")))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -181,24 +193,27 @@ def scan(docs: DataFrame, least_probability: float = LEAST_PROBABILITY, least_si
     family, so only paragraphs with such a word are taken apart further. Paragraphs whose calibrated probability is below least_probability are of
     unknown licence and left out. The predicted family is then compared with the templates (names and texts of all
     families): similarity is the largest share of a template of the family whose words the paragraph has, and confirmed says
-    that it reaches least_similarity. A template of another family overturns the prediction if the paragraph has nearly
+    that it reaches least_similarity. A name counts only as a whole, and only in a paragraph with a word of granting. A template of another family overturns the prediction if the paragraph has nearly
     all its words and these are more than any such template of the predicted family has.
 
     Null and empty texts have no paragraphs; a text of any length is scanned whole; rows without doc_id and repeated rows
     are scanned each; ties go to the family first in FAMILIES; an empty table gives no rows; extra columns are ignored."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     units = paragraphs(texts).withColumn("words", tokens(F.col("line"))).drop("line")
-    model = train(docs.sparkSession)
+    model = trained(docs.sparkSession, docs.sparkSession.sparkContext.applicationId)
     telling = telling_words(model, least_probability)
     found = scored(units.where(F.arrays_overlap("words", F.array(*map(F.lit, telling)))) if telling else units, model).where(F.col("probability") >= least_probability)
     hit = lambda t: F.size(F.array_intersect(t["words"], F.col("words")))
-    compared = F.transform(templates(), lambda t: F.struct((hit(t) / F.size(t["words"])).alias("share"), hit(t).alias("hits"), (t["family"] == F.col("family")).alias("own"), t["family"].alias("family")))
+    found = found.withColumn("_grants", F.arrays_overlap("words", F.array(*map(F.lit, given.GRANTING))))
+    whole = lambda t: (hit(t) == F.size(t["words"])) & F.col("_grants")
+    share = lambda t: F.when(t["name"], whole(t).cast("double")).otherwise(hit(t) / F.size(t["words"]))
+    compared = F.transform(templates(), lambda t: F.struct(share(t).alias("share"), hit(t).alias("hits"), (t["family"] == F.col("family")).alias("own"), t["family"].alias("family")))
     found = found.withColumn("_all", compared)
     best = lambda rows: F.array_max(F.transform(rows, lambda t: F.struct(t["hits"], t["own"], -F.array_position(F.array(*map(F.lit, FAMILIES)), t["family"]), t["family"].alias("family"))))
     found = found.withColumn("_best", best(F.filter("_all", lambda t: t["share"] >= OVERTURNING)))
     family = F.coalesce("_best.family", "family")
-    share = F.array_max(F.transform(F.filter("_all", lambda t: t["family"] == family), lambda t: F.struct(t["share"], t["hits"])))
-    found = found.select("text_id", "run", "doc_id", "paragraph", "n_lines", family.alias("family"), "probability", share["share"].alias("similarity"), F.coalesce("_best.hits", share["hits"]).alias("hits"))
+    nearest = F.array_max(F.transform(F.filter("_all", lambda t: t["family"] == family), lambda t: F.struct(t["share"], t["hits"])))
+    found = found.select("text_id", "run", "doc_id", "paragraph", "n_lines", family.alias("family"), "probability", nearest["share"].alias("similarity"), F.coalesce("_best.hits", nearest["hits"]).alias("hits"))
     run = W.partitionBy("text_id", "run")
     alone, together = (F.max(F.when(x, F.struct("similarity", "hits"))).over(run) for x in (F.col("n_lines") == 1, F.col("n_lines") > 1))
     better = F.coalesce(together > alone, together.isNotNull())

@@ -191,6 +191,19 @@ def test_short_forms(spark, line, families):
     assert len(got) == 1 and got[0][0] in families and got[0][1:] == (1, True)
 
 
+#: Lines that no example is made of: what grants a licence, and what only speaks of one.
+GRANTS = {"This code is MIT licensed": "mit", "MIT licence applies.": "mit", "Lizenziert unter der MIT-Lizenz.": "mit", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2.": "gfdl"}
+SPEAKS = ("The zlib compression level is 6.", "GPL is a bad idea, some people say.", "The Apache helicopter flew over the village.", "BSD sockets are old.", "We use Apache Kafka and zlib.", "Eclipse is an IDE", "The Apache License is popular among companies.")
+
+
+def test_names_alone_confirm_nothing(spark):
+    seen = {text for _, text, _ in licenses.examples() + licenses.calibration_examples()}
+    assert not seen & {*GRANTS, *SPEAKS}
+    got = found_in(spark, [*GRANTS, *SPEAKS])
+    assert got[: len(GRANTS)] == [[(family, 0, True)] for family in GRANTS.values()]
+    assert not any(confirmed for x in got[len(GRANTS) :] for _, _, confirmed in x)
+
+
 def test_template_overturns_a_prediction(spark):
     text = "GPL GPL-3.0 GPLv3 free software: GNU Lesser General Public License, published by the Free Software Foundation"
     assert [x[0] for x in found_in(spark, [text])[0]] == ["lgpl"]
