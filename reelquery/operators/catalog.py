@@ -91,17 +91,6 @@ def append_versions(existing: DataFrame, proposals: DataFrame) -> DataFrame:
     return rows.select("clip_id", "seq", "expected_version", accepted.alias("accepted"), F.when(accepted, F.col("_latest") + 1).alias("version"))
 
 
-def import_outcomes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """clip_id, outcome of an import: new, duplicate (same id and content), identity_conflict (same id, other content) or
-    split_conflict (its source has another assignment already)."""
-    known = existing.select("clip_id", F.col("sha256").alias("_sha"))
-    held = existing.groupBy("source_video_id").agg(F.min("split").alias("_low"), F.max("split").alias("_high"))
-    rows = incoming.join(known, "clip_id", "left").join(held, "source_video_id", "left")
-    outcome = F.when(F.col("_sha") == F.col("sha256"), "duplicate").when(F.col("_sha").isNotNull(), "identity_conflict")
-    crossing = (F.col("_low") != F.col("split")) | (F.col("_high") != F.col("split"))
-    return rows.select("clip_id", outcome.when(crossing, "split_conflict").otherwise("new").alias("outcome"))
-
-
 def retention(uploads: DataFrame, now: str, days: int) -> DataFrame:
     """Uploads imported more than `days` days before now."""
     return uploads.where(F.col("imported_at") < F.to_timestamp_ntz(F.lit(now)) - F.make_interval(days=F.lit(days)))

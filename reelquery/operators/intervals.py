@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Seconds of a time bin; intervals meet in the bins that they touch, so an overlap join is an equi-join.
-BIN_SECONDS = 64.0
+from reelquery.functions.prefix import prefix_max, previous
+
+#: Seconds of a cell of the tree in which intervals meet.
+CELL_SECONDS = 8.0
+#: Seconds, and segments, of a chunk of a video that one task orders; results are the same for any.
+CHUNK_SECONDS, CHUNK_SEGMENTS = 3_600.0, 4_096
 
 
 def segment_bounds(df: DataFrame, length: str, segments: int) -> DataFrame:
@@ -68,26 +72,54 @@ def project_scores(videos: DataFrame, frames: str, scores: str, mode: str = "rep
     return grid.select(key, "frame", value.alias("score"))
 
 
-def merge_intervals(df: DataFrame, key: str = "video_id") -> DataFrame:
-    """key, start_s, end_s: the union of each key's intervals; touching ones merge."""
-    order = W.partitionBy(key).orderBy("start_s", "end_s")
-    reach = F.max("end_s").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.select(key, "start_s", "end_s").withColumn("_reach", reach)
-    # an island is named by its first start; equal starts are peers, so ties can't part it
+def merge_intervals(df: DataFrame, key: str = "video_id", chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
+    """key, start_s, end_s: the union of each key's intervals; touching ones merge. A key's time is cut into chunks, whose
+    running maxima start from the maxima of the chunks before, so a long video is many tasks; the result is the same for
+    any chunk_seconds."""
+    rows = df.select(key, "start_s", "end_s").withColumn("_chunk", F.floor(F.col("start_s") / chunk_seconds))
+    rows = prefix_max(rows, F.col("end_s"), "_reach", [key], "_chunk", ["start_s", "end_s"], before=True)
+    # an island is named by its first start
     fresh = F.when(F.col("_reach").isNull() | (F.col("start_s") > F.col("_reach")), F.col("start_s"))
-    rows = rows.withColumn("_island", F.max(fresh).over(W.partitionBy(key).orderBy("start_s").rangeBetween(W.unboundedPreceding, 0)))
+    rows = prefix_max(rows.withColumn("_fresh", fresh), F.col("_fresh"), "_island", [key], "_chunk", ["start_s"])
     return rows.groupBy(key, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_island")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", bin_seconds: float = BIN_SECONDS) -> DataFrame:
-    """Overlapping pairs of half-open intervals of one key: key, a_start, a_end, b_start, b_end, overlap. Both sides are
-    exploded to the time bins that they touch; a pair counts in the bin where its overlap begins, so it comes once."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_seconds), F.floor(F.col(b) / bin_seconds))).alias("_bin")
-    a = left.select(key, F.col("start_s").alias("a_start"), F.col("end_s").alias("a_end"), bins("start_s", "end_s"))
-    b = right.select(key, F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end"), bins("start_s", "end_s"))
-    start = F.greatest("a_start", "b_start")
-    pairs = a.join(b, [key, "_bin"]).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.floor(start / bin_seconds) == F.col("_bin")))
-    return pairs.select(key, "a_start", "a_end", "b_start", "b_end", (F.least("a_end", "b_end") - start).alias("overlap"))
+def cover(first: Column, last: Column, levels: int) -> Column:
+    """The nodes (level, node) of a binary tree over whole numbers that cover first .. last, each number once: two a level at
+    most, so an interval has some 2 * levels nodes. It has fewer than 2**levels numbers."""
+    level = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    low, high = lambda k: F.ceil(first / level(k)), lambda k: F.floor((last + 1) / level(k))
+    at = lambda k: F.filter(
+        F.array(F.struct(k.alias("level"), F.when((low(k) < high(k)) & (low(k) % 2 != 0), low(k)).alias("node")), F.struct(k.alias("level"), F.when((low(k) < high(k)) & (high(k) % 2 != 0), high(k) - 1).alias("node"))),
+        lambda x: x["node"].isNotNull(),
+    )
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def ancestors(point: Column, levels: int) -> Column:
+    """The nodes (level, node) up to a level that hold a whole number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(point / F.call_function("shiftleft", F.lit(1).cast("long"), k)).alias("node")))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
+    """Overlapping pairs of half-open intervals of one key: key, a_start, a_end, b_start, b_end, overlap.
+
+    Of two that overlap, one begins in the other (of equal starts, the right one in the left one), so a pair is found once: as
+    a start that lies in an interval. Intervals are covered by nodes of a binary tree over cells of cell_seconds, and a start
+    by the nodes above its cell, up to the level of the longest interval. So the join is by equal nodes, an interval has rows
+    as the logarithm of its length, and what is joined in vain shares a cell."""
+    cell = lambda x: F.floor(F.col(x) / cell_seconds)
+    a = left.select(key, F.col("start_s").alias("a_start"), F.col("end_s").alias("a_end")).where("a_start < a_end")
+    b = right.select(key, F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end")).where("b_start < b_end")
+    longest = lambda df, x, y: df.agg(F.max(cell(y) - cell(x))).first()[0] or 0
+    levels = max(longest(a, "a_start", "a_end"), longest(b, "b_start", "b_end")).bit_length()
+    covered = lambda df, x, y: df.select("*", F.inline(cover(cell(x), cell(y), levels)))
+    raised = lambda df, x: df.select("*", F.inline(ancestors(cell(x), levels)))
+    nodes = [key, "level", "node"]
+    right_in_left = covered(a, "a_start", "a_end").join(raised(b, "b_start"), nodes).where("a_start <= b_start AND b_start < a_end")
+    left_in_right = raised(a, "a_start").join(covered(b, "b_start", "b_end"), nodes).where("b_start < a_start AND a_start < b_end")
+    pairs = right_in_left.unionByName(left_in_right)
+    return pairs.select(key, "a_start", "a_end", "b_start", "b_end", (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("overlap"))
 
 
 def temporal_false_alert(alerts: DataFrame, events: DataFrame, videos: DataFrame, key: str = "video_id") -> DataFrame:
@@ -100,13 +132,14 @@ def temporal_false_alert(alerts: DataFrame, events: DataFrame, videos: DataFrame
     return rows.select(key, (F.col("alerted") - F.col("shared")).alias("false_seconds"), F.greatest(F.col("duration") - F.col("event"), F.lit(0.0)).alias("negative_seconds"))
 
 
-def suspicious_runs(segments: DataFrame, threshold: float, key: str = "video_id") -> DataFrame:
+def suspicious_runs(segments: DataFrame, threshold: float, key: str = "video_id", chunk_segments: int = CHUNK_SEGMENTS) -> DataFrame:
     """key, start_s, end_s, top: runs of segments at or above threshold, merged in segment order where one starts no later
-    than the one before it ends."""
-    good = segments.where(F.col("score") >= threshold)
-    order = W.partitionBy(key).orderBy("seg")
-    fresh = F.lag("end_s").over(order).isNull() | (F.col("start_s") > F.lag("end_s").over(order))
-    rows = good.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    than the one before it ends. A key is cut into chunks of segments; what crosses their borders is carried, so a long
+    video is many tasks."""
+    good = segments.where(F.col("score") >= threshold).withColumn("_chunk", F.floor(F.col("seg") / chunk_segments))
+    rows = previous(good, "end_s", "_before", [key], "_chunk", "seg")
+    fresh = F.when(F.col("_before").isNull() | (F.col("start_s") > F.col("_before")), F.col("seg"))
+    rows = prefix_max(rows.withColumn("_fresh", fresh), F.col("_fresh"), "_run", [key], "_chunk", ["seg"])
     return rows.groupBy(key, "_run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("score").alias("top")).drop("_run")
 
 

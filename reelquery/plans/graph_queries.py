@@ -22,10 +22,10 @@ def components(s, d):
     return g.connected_components(view(s, d, "v_clips").select(F.col("clip_id").alias("id")), clip_edges(s, d))
 
 
-def frames(s, d):
-    """Five frames a clip; of every third clip, the frames of the clip before it with one bit turned."""
+def frames(s, d, turned=64):
+    """Five frames a clip; of every third clip, all but one of its frames again as another clip, with some bits turned."""
     own = view(s, d, "v_hash").select(F.expr("vec_id div 5").alias("clip_id"), F.expr("CAST(vec_id % 5 AS INT)").alias("frame"), "h")
-    again = own.where("clip_id % 3 = 0 AND frame <> clip_id % 4").select((F.col("clip_id") + 1_000_000).alias("clip_id"), "frame", F.col("h").bitwiseXOR(F.lit(64)).alias("h"))
+    again = own.where("clip_id % 3 = 0 AND frame <> clip_id % 4").select((F.col("clip_id") + 1_000_000).alias("clip_id"), "frame", F.col("h").bitwiseXOR(F.lit(turned)).alias("h"))
     return own.unionByName(again)
 
 
@@ -87,7 +87,7 @@ QUERIES = {
     "remove_training_duplicates": lambda s, d: g.remove_training_duplicates(view(s, d, "v_clips"), "clip_id", "sha256", "split").select("clip_id", "split"),
     "hamming_pairs": lambda s, d: g.hamming_pairs(hashes(s, d), nudged(s, d), 4, 62).where("a < b"),
     "near_duplicate_pairs": lambda s, d: g.near_duplicates(frames(s, d), 4, 62),
-    "reference_link_counts": lambda s, d: g.frame_matches(frames(s, d), 4, 62).where("matches >= 1"),
+    "reference_link_counts": lambda s, d: g.frame_matches(frames(s, d, 0b1011001101011), 8, 62, agreeing=2).where("matches >= 2"),
     "adjacent_time_links": lambda s, d: g.adjacent_links(view(s, d, "v_jobs").withColumn("kind", F.col("cancel_requested")), "job_id", "created_at", "kind", 86400.0),
     "connected_components": components,
     "split_inheritance": inheritance,
@@ -116,8 +116,8 @@ ASSESS = f"""x AS (SELECT *, {NORMAL} AS nl, CASE WHEN {SECONDS.format(x='durati
         lambda z: z IS NOT NULL) AS issues, CASE WHEN given AND a IS NOT NULL AND b IS NOT NULL THEN a END AS start_s, CASE WHEN given AND a IS NOT NULL AND b IS NOT NULL THEN b END AS end_s FROM x)"""
 HASHED = """n AS (SELECT vec_id + 1000000 AS id, xor(h, (CAST(31 AS BIGINT) << (vec_id % 50)) & (CAST(vec_id % 31 AS BIGINT) << (vec_id % 50))) AS h FROM v_hash),
     p AS (SELECT a.vec_id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM v_hash a JOIN n b ON bit_count(xor(a.h, b.h)) <= 4)"""
-MATCHES = """o AS (SELECT vec_id // 5 AS clip, vec_id % 5 AS frame, h FROM v_hash), fr AS (SELECT * FROM o UNION ALL SELECT clip + 1000000, frame, xor(h, 64) FROM o WHERE clip % 3 = 0 AND frame <> clip % 4),
-    m AS (SELECT a.clip AS a, b.clip AS b, count(*) AS matches, count(DISTINCT a.frame) AS frames_a, count(DISTINCT b.frame) AS frames_b FROM fr a JOIN fr b ON a.clip < b.clip AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY 1, 2)"""
+MATCHES = """o AS (SELECT vec_id // 5 AS clip, vec_id % 5 AS frame, h FROM v_hash), fr AS (SELECT * FROM o UNION ALL SELECT clip + 1000000, frame, xor(h, {turned}) FROM o WHERE clip % 3 = 0 AND frame <> clip % 4),
+    m AS (SELECT a.clip AS a, b.clip AS b, count(*) AS matches, count(DISTINCT a.frame) AS frames_a, count(DISTINCT b.frame) AS frames_b FROM fr a JOIN fr b ON a.clip < b.clip AND bit_count(xor(a.h, b.h)) <= {most} GROUP BY 1, 2)"""
 SPLIT = """k AS (SELECT *, row_number() OVER ({w} ORDER BY md5('7:' || source_video_id), source_video_id) - 1 AS rank, count(*) OVER ({w}) AS n FROM u),
     c AS (SELECT *, CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS f0, CAST(floor(n * CAST(0.15 AS DOUBLE)) AS BIGINT) AS f1, n * CAST(0.7 AS DOUBLE) AS t0, n * CAST(0.15 AS DOUBLE) AS t1 FROM k),
     r AS (SELECT *, n - f0 - 2 * f1 AS rest FROM c),
@@ -128,8 +128,8 @@ ORACLES = {
     "remove_training_duplicates": oracle(""", m AS (SELECT *, max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) OVER (PARTITION BY sha256) AS held, min(clip_id) OVER (PARTITION BY sha256) AS first FROM v_clips)
         SELECT clip_id, split FROM m WHERE CASE WHEN held = 1 THEN split = 'test' ELSE clip_id = first END"""),
     "hamming_pairs": oracle(f", {HASHED} SELECT * FROM p WHERE a < b"),
-    "near_duplicate_pairs": oracle(f", {MATCHES} SELECT a, b FROM m WHERE frames_a >= 2 AND frames_b >= 2"),
-    "reference_link_counts": oracle(f", {MATCHES} SELECT * FROM m"),
+    "near_duplicate_pairs": oracle(f", {MATCHES.format(turned=64, most=4)} SELECT a, b FROM m WHERE frames_a >= 2 AND frames_b >= 2"),
+    "reference_link_counts": oracle(f", {MATCHES.format(turned=0b1011001101011, most=8)} SELECT * FROM m WHERE matches >= 2"),
     "adjacent_time_links": oracle(""", l AS (SELECT job_id AS b, lag(job_id) OVER w AS a, epoch_us(created_at) / CAST(1000000 AS DOUBLE) - epoch_us(lag(created_at) OVER w) / CAST(1000000 AS DOUBLE) AS gap,
         cancel_requested = lag(cancel_requested) OVER w AS same FROM v_jobs WINDOW w AS (ORDER BY created_at, job_id)) SELECT a, b, gap FROM l WHERE same AND gap <= 86400"""),
     "connected_components": oracle(""", e0 AS (SELECT a.clip_id AS a, b.clip_id AS b FROM v_clips a JOIN v_clips b ON a.sha256 = b.sha256 AND a.clip_id <> b.clip_id

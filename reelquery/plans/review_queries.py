@@ -72,12 +72,6 @@ def submissions(s, d):
     return k.submit(existing, rows)
 
 
-def imports(s, d):
-    rows = view(s, d, "v_clips").select("clip_id", "sha256", "source_video_id", "split")
-    incoming = rows.where("source_video_id <> 'src4'").select("clip_id", F.expr("CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END").alias("sha256"), "source_video_id", F.expr("CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END").alias("split"))
-    return k.import_outcomes(rows.where("source_video_id < 'src2'"), incoming)
-
-
 def proposals(s, d):
     rows = clips(s, d).select("clip_id", F.expr("explode(sequence(0, 3))").alias("seq")).withColumn("expected_version", F.expr("CAST((clip_id + seq) % 4 AS INT)"))
     return k.append_versions(references(s, d), rows)
@@ -110,7 +104,6 @@ QUERIES = {
     "cancel_transition": lambda s, d: k.cancel(items(s, d), view(s, d, "v_jobs").where("cancel_requested = 1")).groupBy("job_id", "status").agg(F.count("*").alias("n")),
     "retry_requests": lambda s, d: k.retry_requests(items(s, d)),
     "submit_outcomes": submissions,
-    "import_outcomes": imports,
     "append_versions": proposals,
     "retention_cutoff": lambda s, d: k.retention(view(s, d, "v_jobs").withColumnRenamed("created_at", "imported_at"), "1998-01-01 00:00:00", 365).select("job_id", "imported_at"),
     "jobs_page": lambda s, d: k.page(view(s, d, "v_jobs"), [F.col("created_at").desc(), F.col("job_id").desc()], 40, 20),
@@ -176,10 +169,6 @@ ORACLES = {
     "submit_outcomes": oracle(""", q AS (SELECT job_id // 3 AS key, CAST(clip_id % 2 AS VARCHAR) AS request_hash, job_id * 100 + item_seq AS seq FROM v_items), e AS (SELECT DISTINCT job_id // 3 AS key FROM v_jobs WHERE cancel_requested = 1),
         f AS (SELECT q.*, e.key IS NOT NULL AS known, CASE WHEN e.key IS NOT NULL THEN '0' ELSE first_value(request_hash) OVER (PARTITION BY q.key ORDER BY seq) END AS owner, row_number() OVER (PARTITION BY q.key ORDER BY seq) AS turn FROM q LEFT JOIN e ON e.key = q.key)
         SELECT key, request_hash, seq, CASE WHEN request_hash <> owner THEN 'conflict' WHEN NOT known AND turn = 1 THEN 'created' ELSE 'replayed' END AS outcome FROM f"""),
-    "import_outcomes": oracle(""", e AS (SELECT * FROM v_clips WHERE source_video_id < 'src2'), h AS (SELECT source_video_id, min(split) AS low, max(split) AS high FROM e GROUP BY 1),
-        n AS (SELECT clip_id, CASE WHEN clip_id % 10 = 1 THEN 'other' ELSE sha256 END AS sha256, source_video_id, CASE WHEN clip_id % 8 = 0 THEN 'test' ELSE split END AS split FROM v_clips WHERE source_video_id <> 'src4')
-        SELECT n.clip_id, CASE WHEN e.sha256 = n.sha256 THEN 'duplicate' WHEN e.sha256 IS NOT NULL THEN 'identity_conflict' WHEN low <> n.split OR high <> n.split THEN 'split_conflict' ELSE 'new' END AS outcome
-        FROM n LEFT JOIN e ON e.clip_id = n.clip_id LEFT JOIN h ON h.source_video_id = n.source_video_id"""),
     "append_versions": oracle(""", cl AS (SELECT DISTINCT clip_id FROM v_items), p AS (SELECT clip_id, CAST(s AS INTEGER) AS seq, CAST((clip_id + s) % 4 AS INTEGER) AS expected_version, CASE WHEN clip_id % 3 <> 0 THEN CAST(1 + clip_id % 3 AS INTEGER) ELSE 0 END AS latest FROM cl, range(0, 4) r(s)),
         t AS (SELECT *, expected_version = latest AND row_number() OVER (PARTITION BY clip_id, expected_version = latest ORDER BY seq) = 1 AS accepted FROM p)
         SELECT clip_id, seq, expected_version, accepted, CASE WHEN accepted THEN latest + 1 END AS version FROM t"""),

@@ -88,3 +88,55 @@ def test_projection_with_fewer_frames_than_segments(spark):
 def test_bad_settings(spark):
     with pytest.raises(ValueError):
         t.hysteresis_alerts(scored(spark, []), on=0.2, off=0.5)
+
+
+def brute_merged(rows):
+    out = []
+    for low, high in sorted(rows):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [0.5, 7.0, 3_600.0])
+def test_merged_intervals_do_not_depend_on_chunks(spark, chunk):
+    rng = random.Random(int(chunk))
+    rows = [(k, float(a), float(a + rng.choice([0, 1, 3, 40]))) for k in range(3) for a in (rng.randint(-20, 200) for _ in range(40))]
+    found = t.merge_intervals(spark.createDataFrame(rows, "video_id long, start_s double, end_s double"), chunk_seconds=chunk).collect()
+    assert sorted(map(tuple, found)) == sorted((k, a, b) for k in range(3) for a, b in brute_merged([r[1:] for r in rows if r[0] == k]))
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4_096])
+def test_suspicious_runs_do_not_depend_on_chunks(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(k, i, float(i), float(i + rng.choice([1, 1, 2])), rng.random()) for k in range(2) for i in range(60)]
+    found = t.suspicious_runs(spark.createDataFrame(rows, "video_id long, seg long, start_s double, end_s double, score double"), 0.4, chunk_segments=chunk).collect()
+    want = []
+    for k in range(2):
+        last = None
+        for _, _, a, b, x in (r for r in rows if r[0] == k and r[4] >= 0.4):
+            if last is None or a > last:
+                want.append([k, a, b, x])
+            else:
+                want[-1][2:] = [max(want[-1][2], b), max(want[-1][3], x)]
+            last = b
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("cell", [0.5, 8.0, 1_000.0])
+def test_overlaps_of_short_and_very_long_intervals(spark, cell):
+    rng = random.Random(int(cell))
+    make = lambda n: [(rng.randrange(2), float(a), a + rng.choice([0.0, 0.5, 3.0, 80.0])) for a in (rng.randint(-50, 300) for _ in range(n))]
+    left, right = [*make(40), (0, -10.0, 31_536_000.0), (1, 5.0, 5.0)], [*make(40), (0, 20.0, 40_000_000.0), (1, -1.0, 900_000.0)]
+    schema = "video_id long, start_s double, end_s double"
+    found = t.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), cell_seconds=cell).collect()
+    want = [(k, a, b, c, d, min(b, d) - max(a, c)) for k, a, b in left for q, c, d in right if k == q and a < d and c < b and a < b and c < d]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_an_interval_of_a_year_has_few_nodes(spark):
+    row = spark.range(1).select(t.cover(F.lit(3), F.lit(31_536_003), 25).alias("nodes")).first()
+    held = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in row["nodes"])
+    assert len(held) <= 50 and held[0][0] == 3 and held[-1][1] == 31_536_004 and all(a[1] == b[0] for a, b in zip(held, held[1:]))
