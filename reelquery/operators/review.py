@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reelquery.functions.prefix import running_totals
 from reelquery.operators.metrics import count_if
 
 
@@ -14,7 +15,11 @@ def review_queue(records: DataFrame, candidates: DataFrame) -> DataFrame:
 
     records: clip_id, collection, normalized_label, issues (array), readable, conflict (its annotation and catalog differ),
     reserved, reviewed_at (text). candidates: a, b (pairs of possible duplicates). Quality holds, duplicate candidates, positives
-    that need a second look and conflicts come first; then all by collection and clip. A pair with an unknown clip raises."""
+    that need a second look and conflicts come first; then all by collection and clip. A pair with an unknown clip raises, and
+    so does a clip with several records."""
+    repeated = records.groupBy("clip_id").count().where("count > 1").head(5)
+    if repeated:
+        raise ValueError(f"clips with several records: {repeated}")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("clip_id")).distinct()
     unknown = ids.join(records, "clip_id", "left_anti").head(5)
     if unknown:
@@ -38,7 +43,7 @@ def review_queue(records: DataFrame, candidates: DataFrame) -> DataFrame:
     part = rows.groupBy("priority", "collection").agg(F.count("*").alias("_n"))
     before = part.select("priority", "collection", (F.sum("_n").over(W.orderBy("priority", "collection")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(W.partitionBy("priority", "collection").orderBy("clip_id"))
-    return rows.withColumn("_inside", inside).join(F.broadcast(before), ["priority", "collection"]).withColumn("turn", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    return rows.withColumn("_inside", inside).join(before, ["priority", "collection"]).withColumn("turn", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
 def screening_counts(queue: DataFrame, records: DataFrame) -> DataFrame:
@@ -68,16 +73,20 @@ def ranked_examples(df: DataFrame, threshold: float, each: int = 5, key: str = "
     }
     out = None
     for role, parts in cases.items():
-        order = None
-        for when, stage, by in parts:
-            own = F.struct(F.lit(stage).alias("stage"), by.alias("by"), F.col(key).alias("key"))
-            order = F.when(when, own) if order is None else order.when(when, own)
-        rows = df.withColumn("_order", order).where("_order IS NOT NULL")
-        main = rows.where("_order.stage = 0")
-        kept = main.orderBy("_order").limit(each) if role == "correct" else main
-        rest = rows.where("_order.stage = 1").orderBy("_order").limit(each)
-        picked = kept.unionByName(rest).withColumn("turn", F.row_number().over(W.orderBy("_order")))
-        picked = picked.where((F.col("_order.stage") == 0) | (F.col("turn") <= each)).select(F.lit(role).alias("role"), "turn", key)
+        (main, _, by), (other, _, calm) = parts
+        own = df.where(main).select(key, by.alias("_by"))
+        rest = df.where(other).select(key, calm.alias("_by")).orderBy("_by", key).limit(each)
+        if role == "correct":
+            own = own.orderBy("_by", key).limit(each)
+            shown = own.withColumn("turn", F.row_number().over(W.orderBy("_by", key)))
+        else:
+            # every missed positive is shown: its turn is the number of those with a higher score, and its place among equals
+            counts = running_totals(own.groupBy("_by").agg(F.count("*").alias("_n")), "_by", ["_n"]).select("_by", (F.col("cum__n") - F.col("_n")).alias("_before"))
+            shown = own.join(counts, "_by").withColumn("turn", F.col("_before") + F.row_number().over(W.partitionBy("_by").orderBy(key)))
+        filled = rest.withColumn("turn", F.row_number().over(W.orderBy("_by", key))).join(own.agg(F.count("*").alias("_mine")))
+        filled = filled.withColumn("turn", F.col("turn") + F.col("_mine")).where(F.col("turn") <= each)
+        picked = shown.select(key, F.col("turn").cast("int").alias("turn")).unionByName(filled.select(key, F.col("turn").cast("int").alias("turn")))
+        picked = picked.select(F.lit(role).alias("role"), "turn", key)
         out = picked if out is None else out.unionByName(picked)
     return out
 

@@ -82,6 +82,17 @@ def best_arm(df: DataFrame, arm: str, seed: str, value: str) -> DataFrame:
     return arms.join(F.broadcast(same)).where("kinds = 1").orderBy(F.col("mean").desc(), arm).limit(1).select(arm, "mean", "n")
 
 
+def controlled_choice(runs: DataFrame, field: str, baseline: str, value: str) -> DataFrame:
+    """The run that a controlled comparison selects: the one with a strictly higher value than all others and the baseline, which
+    is kept on a tie. runs: a row per run with the varied field, config (a map of all settings) and value. Raises unless
+    the runs have different values of the field, one of them the baseline, and agree in every other setting."""
+    others = F.to_json(F.array_sort(F.map_entries(F.map_filter("config", lambda k, v: k != field))))
+    facts = runs.agg(F.count("*").alias("n"), F.count_distinct(field).alias("kinds"), F.count_if(F.col(field) == baseline).alias("base"), F.count_distinct(F.coalesce(others, F.lit(""))).alias("configs")).first()
+    if facts["kinds"] != facts["n"] or facts["base"] != 1 or facts["configs"] != 1:
+        raise ValueError("controlled runs must differ in one setting only, and one of them must be the baseline")
+    return runs.orderBy(F.col(value).desc_nulls_last(), (F.col(field) != baseline).cast("int"), field).limit(1)
+
+
 def dense_counts(df: DataFrame, dims: dict[str, list]) -> DataFrame:
     """Counts of all combinations of the given values, also those that do not occur."""
     grid = df.sparkSession.range(1)

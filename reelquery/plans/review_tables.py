@@ -13,7 +13,7 @@ from reelquery.plans.review_queries import REASON, TAGGED, WINDOWS, judged
 from reelquery.plans.views import oracle, view
 
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
-TRIALS, STRATIFIED_TRIALS, REPLICATES = 200, 40, 50
+TRIALS, STRATIFIED_TRIALS, REPLICATES = 2048, 40, 50
 
 
 def proposed(s, d):
