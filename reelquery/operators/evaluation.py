@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelquery.functions.prefix import ratio
 from reelquery.operators.intervals import frame_labels, project_scores
 from reelquery.operators.metrics import binary_metrics, classification_summary, count_if
+from reelquery.sources.manifests import require_none
 
 
 def evaluate_bags(segments: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -81,3 +82,46 @@ def historical_inventory(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
 def mean_std_text(mean: str, std: str, n: str):
     """`mean ± std (n=..)` with four digits."""
     return F.format_string("%.4f ± %.4f (n=%d)", F.col(mean), F.col(std), F.col(n))
+
+
+def paired_audit(scenes: DataFrame, high: float = 0.8, low: float = 0.5) -> DataFrame:
+    """clip_id, categories, coverage, mean_iou of scenes that were classified once with annotated and once with detected actors.
+
+    scenes: clip_id, truth, gt_prediction, gt_confidence, gt_actors, det_prediction, det_confidence, det_status, det_actors, ious (of
+    matched actors; null if the scene was not matched). Categories describe what was predicted, not why: a detection without
+    a partner may be a person whom nobody annotated. Missing predictions are wrong but never confident. Repeated scenes, and a
+    no_actors_detected status beside actors or a prediction, raise."""
+    require_none(scenes.groupBy("clip_id").count().where("count > 1"), "repeated scenes")
+    none = F.coalesce(F.col("det_status") == "no_actors_detected", F.lit(False))
+    require_none(scenes.where(none & ((F.col("det_actors") > 0) | F.col("det_prediction").isNotNull())).select("clip_id"), "no-actor scenes have no actors and no prediction")
+    right = lambda name: F.coalesce(F.col(name) == F.col("truth"), F.lit(False))
+    sure = lambda name: F.coalesce(F.col(name) >= high, F.lit(False))
+    gt, det = right("gt_prediction"), right("det_prediction")
+    coverage = F.when(F.col("gt_actors") > 0, F.size("ious") / F.col("gt_actors"))
+    rows = scenes.withColumn("coverage", F.when(F.col("ious").isNotNull(), coverage))
+    cases = [  # fixed values: the names of the categories
+        (gt, "GT_correct"),
+        (~gt, "GT_group_wrong"),
+        (~gt & sure("gt_confidence"), "GT_high_confidence_wrong"),
+        (gt & ~det, "GT_correct_detected_failed"),
+        (~gt & ~det, "both_failed"),
+        (det, "detected_correct"),
+        (none, "no_actors_detected"),
+        (~none & ~det, "detected_group_wrong"),
+        (~det & sure("det_confidence"), "detected_high_confidence_wrong"),
+        (F.coalesce(F.col("coverage") < low, F.lit(False)), "low_coverage"),
+    ]
+    categories = F.array_compact(F.array(*[F.when(when, name) for when, name in cases]))
+    mean = F.when(F.size("ious") > 0, F.aggregate("ious", F.lit(0.0), lambda a, x: a + x) / F.size("ious"))
+    return rows.select("clip_id", categories.alias("categories"), "coverage", mean.alias("mean_iou"))
+
+
+def category_counts(audited: DataFrame) -> DataFrame:
+    """category, n: how many scenes are in each category of a paired audit."""
+    return audited.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def actor_histogram(scenes: DataFrame, boxes: DataFrame, key: str = "scene_id") -> DataFrame:
+    """actors, scenes: how many scenes have so many boxes; scenes without any count as 0."""
+    per = scenes.select(key).distinct().join(boxes.groupBy(key).agg(F.count("*").alias("actors")), key, "left").fillna(0, ["actors"])
+    return per.groupBy("actors").agg(F.count("*").alias("scenes"))
