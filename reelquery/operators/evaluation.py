@@ -125,3 +125,25 @@ def actor_histogram(scenes: DataFrame, boxes: DataFrame, key: str = "scene_id")
     """actors, scenes: how many scenes have so many boxes; scenes without any count as 0."""
     per = scenes.select(key).distinct().join(boxes.groupBy(key).agg(F.count("*").alias("actors")), key, "left").fillna(0, ["actors"])
     return per.groupBy("actors").agg(F.count("*").alias("scenes"))
+
+
+def validation_violations(rows: DataFrame, assigned: DataFrame, anomaly: DataFrame) -> DataFrame:
+    """code, subject of what forbids evaluating on the validation clips: rows has clip_id, source_video_id, sha256, split, selected;
+    assigned and anomaly (source_video_id, assigned) are the assignments of the two models that are compared."""
+    own = rows.where("selected")
+    of = lambda df, code, column: df.select(F.lit(code).alias("code"), F.col(column).cast("string").alias("subject"))
+    moved = own.join(assigned, "source_video_id", "left").where("NOT (assigned <=> split)")
+    crossing = own.groupBy("sha256").agg(F.min("split").alias("_low"), F.max("split").alias("_high")).where("_low <> _high")
+    foreign = own.where("split = 'val'").join(anomaly, "source_video_id", "left").where("NOT (assigned <=> 'val')")
+    repeated = rows.groupBy("clip_id").count().where("count > 1")
+    found = of(repeated, "repeated_clip", "clip_id").unionByName(of(moved, "source_moved", "source_video_id")).unionByName(of(crossing, "content_crosses_splits", "sha256"))
+    return found.unionByName(of(foreign, "not_validation_of_both", "source_video_id")).distinct()
+
+
+def eligible_validation(rows: DataFrame, assigned: DataFrame, anomaly: DataFrame) -> DataFrame:
+    """The selected validation clips; raises on validation_violations, and if there are none."""
+    require_none(validation_violations(rows, assigned, anomaly), "validation clips are not independent of both models")
+    found = rows.where("selected AND split = 'val'")
+    if found.isEmpty():
+        raise ValueError("there are no validation clips")
+    return found

@@ -90,6 +90,41 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+#: Suffixes of video files, in any case.
+VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv")
+
+
+def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = VIDEO_SUFFIXES) -> DataFrame:
+    """name (the path below root), size of all files with one of the suffixes. Raises if there are none; nothing is read but names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise ManifestError(f"no such folder: {root}")
+    lower = F.lower("path")
+    files = inventory(spark, root).where(reduce(lambda a, b: a | b, [lower.endswith(x) for x in suffixes]))
+    if files.isEmpty():
+        raise ManifestError(f"no files with {', '.join(suffixes)} below {root}")
+    top = f"/{root.rstrip('/').rsplit('/', 1)[-1]}/"
+    return files.select(F.substring_index("path", top, -1).alias("name"), "size")
+
+
+def source_map(text: DataFrame) -> DataFrame:
+    """name, source of a JSON object (in a column value, one whole text) that maps file names to recordings. Raises unless it
+    is an object of non-empty strings."""
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    require_none(text.where(~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).select(F.substring("value", 1, 40).alias("value")), "a source map is a JSON object")
+    node = F.parse_json("value").alias("node")
+    rows = text.select(node)
+    pairs = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("node").outer())).select(F.col("key").alias("name"), F.expr("CASE WHEN schema_of_variant(value) = 'STRING' THEN CAST(value AS STRING) END").alias("source"))
+    require_none(pairs.where("source IS NULL OR source = ''").select("name"), "source ids are non-empty strings")
+    return pairs
+
+
+def mapped_sources(files: DataFrame, mapping: DataFrame) -> DataFrame:
+    """name, source of files: the mapped recording, or else the name without its suffix."""
+    own = F.regexp_replace("name", "[.][^./]*$", "")
+    return files.select("name").join(mapping, "name", "left").select("name", F.coalesce("source", own).alias("source"))
+
+
 def inventory_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, change: added, removed or changed between two inventories."""
     old = before.select("path", F.struct("size", "modified").alias("_old"))

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelquery.operators import freezing, review, studies
-from reelquery.sources import bags
+from reelquery.operators import evaluation, freezing, review, studies
+from reelquery.sources import bags, manifests
 
 RECORDS = "clip_id long, collection string, label string, issues array<string>, readable boolean, reserved boolean, sha256 string, guard_group string, family_hint string"
 
@@ -137,3 +137,48 @@ def test_every_missed_positive_has_its_turn(spark):
     by = {role: [r["clip_id"] for r in found.where(F.col("role") == role).orderBy("turn").collect()] for role in ("correct", "failure")}
     assert by["correct"] == [200, 100, 101]
     assert by["failure"] == [i for i, _, _ in sorted(rows[:30], key=lambda r: (-r[2], r[0]))]
+
+
+def test_files_are_discovered_and_mapped(spark, tmp_path):
+    root = tmp_path / "clips"
+    for name in ("a/one.mp4", "a/two.MKV", "b.mov", "b.txt", "a/three.mp4.part"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * 3)
+    files = manifests.discover(spark, str(root))
+    assert sorted(map(tuple, files.collect())) == [("a/one.mp4", 3), ("a/two.MKV", 3), ("b.mov", 3)]
+    text = lambda x: spark.createDataFrame([(x,)], "value string")
+    mapping = manifests.source_map(text('{"a/one.mp4": "cam 1", "other.mp4": "cam 2"}'))
+    assert dict(map(tuple, manifests.mapped_sources(files, mapping).collect())) == {"a/one.mp4": "cam 1", "a/two.MKV": "a/two", "b.mov": "b"}
+    for bad in ('["a"]', '{"a": 1}', '{"a": ""}', "no json"):
+        with pytest.raises(manifests.ManifestError):
+            manifests.source_map(text(bad)).collect()
+    for missing in (str(tmp_path / "none"), str(tmp_path)):
+        with pytest.raises(manifests.ManifestError):
+            manifests.discover(spark, missing, (".none",))
+
+
+def test_validation_must_be_of_both_models(spark):
+    rows = spark.createDataFrame([(1, "s1", "h1", "val", True), (2, "s2", "h2", "train", True), (3, "s3", "h1", "test", False)], "clip_id long, source_video_id string, sha256 string, split string, selected boolean")
+    own = spark.createDataFrame([("s1", "val"), ("s2", "train")], "source_video_id string, assigned string")
+    assert [r["clip_id"] for r in evaluation.eligible_validation(rows, own, own).collect()] == [1]
+    with pytest.raises(ValueError, match="not_validation_of_both"):
+        evaluation.eligible_validation(rows, own, own.where("assigned = 'train'"))
+    with pytest.raises(ValueError, match="source_moved"):
+        evaluation.eligible_validation(rows, own.where("assigned = 'val'"), own)
+    with pytest.raises(ValueError, match="content_crosses"):
+        evaluation.eligible_validation(rows.withColumn("selected", F.lit(True)), own, own)
+    with pytest.raises(ValueError, match="no validation clips"):
+        evaluation.eligible_validation(rows.where("clip_id = 2"), own, own)
+
+
+def test_categories_of_a_paired_audit(spark):
+    schema = "clip_id long, truth int, gt_prediction int, gt_confidence double, gt_actors int, det_prediction int, det_confidence double, det_status string, det_actors int, ious array<double>"
+    rows = [(1, 0, 0, 0.9, 4, 1, 0.9, "ok", 4, [0.6]), (2, 0, 1, 0.9, 2, None, None, "no_actors_detected", 0, []), (3, 0, None, None, 0, 0, 0.1, "ok", 1, []), (4, 0, 0, 0.5, 1, 0, 0.5, "ok", 1, None)]
+    found = {r["clip_id"]: r for r in evaluation.paired_audit(spark.createDataFrame(rows, schema)).collect()}
+    assert found[1]["categories"] == ["GT_correct", "GT_correct_detected_failed", "detected_group_wrong", "detected_high_confidence_wrong", "low_coverage"] and found[1]["mean_iou"] == 0.6
+    assert found[2]["categories"] == ["GT_group_wrong", "GT_high_confidence_wrong", "both_failed", "no_actors_detected", "low_coverage"]
+    assert (found[3]["categories"], found[3]["coverage"]) == (["GT_group_wrong", "detected_correct"], None)
+    assert (found[4]["categories"], found[4]["coverage"], found[4]["mean_iou"]) == (["GT_correct", "detected_correct"], None, None)
+    for bad in ([rows[0], rows[0]], [(5, 0, 0, 0.5, 1, 0, 0.5, "no_actors_detected", 0, [])]):
+        with pytest.raises(ValueError):
+            evaluation.paired_audit(spark.createDataFrame(bad, schema))

@@ -22,7 +22,7 @@ def plain(x):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for name in ("documents", "labels", "events", "orders", "lineitem", "embeddings"):
+    for name in ("documents", "labels", "events", "orders", "lineitem", "embeddings", "customer"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
     return c
 
