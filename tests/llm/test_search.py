@@ -1,5 +1,6 @@
 """Exact top-k search, near-duplicate groups, licence scans and the pipeline."""
 
+import hashlib
 import random
 import textwrap
 from collections import Counter
@@ -290,3 +291,59 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
             assert out.where("doc_id = 3").count() == 1 and out.where("doc_id IS NULL").count() == docs.where("doc_id IS NULL").count()
         if name == "quality":
             assert out.where("text IS NULL").count() == 0
+
+
+def naive_copies(rows):
+    """How often each row (doc_id, source, words) is kept by the mix: its source's stream in the order of md5, cut at the target."""
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, level = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 0.0
+    low, high = 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * sizes[s], level * weight[s]) for s in order) < 1.5 * sum(sizes.values()) else (low, level)
+    kept = Counter()
+    for s in order:
+        words, start = min(round(min(2 * sizes[s], high * weight[s])), 2 * sizes[s]), 0
+        for doc_id, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"7:{r[0]}".encode()).hexdigest()):
+            if n == 0:
+                kept[doc_id] += 1
+                continue
+            for turn in range(2):
+                taken = max(0, min(start + n, words - turn * sizes[s]) - start)
+                kept[doc_id] += 2 * taken >= n
+            start += n
+    return kept
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage's decisions on documents: the quality and toxicity verdicts that are tested against Python elsewhere, copies of
+    the mix from its definition, and pieces from the tokenizer itself."""
+    import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from reelquery.llm.common import fold
+    from reelquery.llm.quality import judge
+    from reelquery.llm.toxicity import fit, score_toxicity
+
+    docs, stage = spark.read.parquet(f"{SF}/documents.parquet"), dict(p.STAGES)
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(stage["quality"](spark, docs, SF)) == ids(judge(docs.select("doc_id", "lang", "text")).where("kept"))
+    model = fit(docs.where(fold("doc_id") != 0), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic"))
+    assert ids(stage["toxicity"](spark, docs, SF)) == ids(score_toxicity(docs.select("doc_id", "text"), model).where("predicted = 0"))
+    rows = [(r["doc_id"], r["source"], len((r["text"] or "").split(" ")) and len((r["text"] or "").encode().split())) for r in docs.select("doc_id", "source", "text").collect()]
+    assert Counter(ids(stage["mixing"](spark, docs, SF))) == +naive_copies(rows)
+    few = docs.where("doc_id % 10 = 1")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r["doc_id"]: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in few.collect()}
+    pieces = stage["packing"](spark, few, SF).collect()
+    held, seats = Counter(), {}
+    for r in pieces:
+        held[r["doc_id"]] += r["length"]
+        seats.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert held == want and len(seats) <= sum(want.values()) / 2048 * 1.02 + 1
+    for own in seats.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
