@@ -22,6 +22,8 @@ from reelquery.llm.packing import TOKENIZER, tokenizer_path
 
 #: Bytes of text after which a task begins a new chunk. A chunk's texts meet its words' ids in one task, so this bounds it.
 CHUNK_BYTES = 16_000_000
+#: Words whose ids are put in place at once, and texts that are decoded at once.
+PLACED_AT_ONCE, DECODED_AT_ONCE = 400_000, 512
 #: Parts of the table of distinct words; all words of a part have the same hash, and are encoded by one task.
 WORD_PARTS = 4096
 TEXTS = pa.schema({"chunk": pa.int64(), "mark": pa.int64(), "entries": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "numbers": pa.binary()})
@@ -149,13 +151,16 @@ def join_by_position(texts: pa.Table, found: pa.Table) -> pa.Table:
         first, many = np.zeros(entries, np.int64), np.zeros(entries, np.int64)
         many[slots] = counts
         first[slots] = np.cumsum(counts, dtype=np.int64) - counts
-        numbers = spread(row["numbers"])
-        each = many[numbers]
-        ends = np.append(0, np.cumsum(each))
-        values = flat[np.repeat(first[numbers] - ends[:-1], each) + np.arange(ends[-1])].astype(np.int32)
+        numbers, placed = spread(row["numbers"]), [np.zeros(0, np.int32)]
+        for at in range(0, len(numbers), PLACED_AT_ONCE):
+            part = numbers[at : at + PLACED_AT_ONCE]
+            each = many[part]
+            ends = np.cumsum(each)
+            placed.append(flat[np.repeat(first[part] - ends + each, each) + np.arange(ends[-1])].astype(np.int32))
+        ends = np.append(0, np.cumsum(many[numbers]))
         edges = ends[np.append(0, np.cumsum(row["lengths"], dtype=np.int64))]
         doc_ids += row["doc_ids"]
-        ids.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values)))
+        ids.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(placed))))
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.chunked_array(ids, pa.list_(pa.int32()))})
 
 
@@ -197,15 +202,17 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(tokenizer_path(tokenizer))
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.flatten()
-            named = table.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None))
-            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
-            if named.null_count:
-                there = np.append(0, np.cumsum(named.is_valid().to_numpy(zero_copy_only=False)))
-                ends, named = there[ends], named.drop_null()
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), named), " ")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, text], names=["doc_id", "ids", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED_AT_ONCE):
+                batch = whole.slice(at, DECODED_AT_ONCE)
+                ids = batch.column("ids")
+                flat = ids.flatten()
+                named = table.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None))
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
+                if named.null_count:
+                    there = np.append(0, np.cumsum(named.is_valid().to_numpy(zero_copy_only=False)))
+                    ends, named = there[ends], named.drop_null()
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), named), " ")
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, text], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
