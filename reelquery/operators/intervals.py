@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from reelquery.functions.lineage import checkpoint
 from reelquery.functions.prefix import prefix_max, previous
 
 #: Seconds of a cell of the tree in which intervals meet.
@@ -111,8 +112,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", cell_
     cell = lambda x: F.floor(F.col(x) / cell_seconds)
     a = left.select(key, F.col("start_s").alias("a_start"), F.col("end_s").alias("a_end")).where("a_start < a_end")
     b = right.select(key, F.col("start_s").alias("b_start"), F.col("end_s").alias("b_end")).where("b_start < b_end")
-    longest = lambda df, x, y: df.agg(F.max(cell(y) - cell(x))).first()[0] or 0
-    levels = max(longest(a, "a_start", "a_end"), longest(b, "b_start", "b_end")).bit_length()
+    spans = a.select((cell("a_end") - cell("a_start")).alias("cells")).unionByName(b.select((cell("b_end") - cell("b_start")).alias("cells")))
+    levels = (spans.agg(F.max("cells")).first()[0] or 0).bit_length()
     covered = lambda df, x, y: df.select("*", F.inline(cover(cell(x), cell(y), levels)))
     raised = lambda df, x: df.select("*", F.inline(ancestors(cell(x), levels)))
     nodes = [key, "level", "node"]
@@ -124,8 +125,8 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", cell_
 
 def temporal_false_alert(alerts: DataFrame, events: DataFrame, videos: DataFrame, key: str = "video_id") -> DataFrame:
     """key, false_seconds (alerted outside events), negative_seconds (duration outside events, at least 0). videos has key
-    and duration; alerts and events are merged first."""
-    alerts, events = merge_intervals(alerts, key), merge_intervals(events, key)
+    and duration; alerts and events are merged first, once each."""
+    alerts, events = checkpoint(merge_intervals(alerts, key)), checkpoint(merge_intervals(events, key))
     seconds = lambda df, name: df.groupBy(key).agg(F.sum(F.col("end_s") - F.col("start_s")).alias(name))
     shared = overlap_join(alerts, events, key).groupBy(key).agg(F.sum("overlap").alias("shared"))
     rows = videos.join(seconds(alerts, "alerted"), key, "left").join(seconds(events, "event"), key, "left").join(shared, key, "left").fillna(0.0, ["alerted", "event", "shared"])
@@ -194,7 +195,8 @@ def moving_average(rows: DataFrame, alpha: float, keys: list[str], at: str, scor
     then folded on their own: no array holds a long stretch."""
     cut, first = [*keys, "_piece"], F.col("_piece") == 0
     step = lambda level, x: alpha * x + (1 - alpha) * level
-    pieces = rows.withColumn("_piece", F.expr(f"{at} div {piece}")).groupBy(*cut).agg(F.array_sort(F.collect_list(F.struct(at, score))).alias("_own"))
+    carried = [at, *[c for c in rows.columns if c not in (*keys, at)]]  # in order of at, which is never repeated
+    pieces = rows.withColumn("_piece", F.expr(f"{at} div {piece}")).groupBy(*cut).agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_own"))
     scores = F.transform("_own", lambda x: x[score])
     # the first piece begins with its own first score, as if that had been the level already
     start = F.when(first, F.get(scores, F.lit(0))).otherwise(0.0)
@@ -203,8 +205,8 @@ def moving_average(rows: DataFrame, alpha: float, keys: list[str], at: str, scor
     begins = maps.select(*keys, F.posexplode(levels(F.col("_maps"), F.lit(0.0), lambda level, m: m["scale"] * level + m["shift"])).alias("_n", "_begin"))
     begun = pieces.join(begins.select(*keys, F.col("_n").cast("long").alias("_piece"), "_begin"), cut)
     found = F.slice(levels(scores, F.when(first, F.get(scores, F.lit(0))).otherwise(F.col("_begin")), step), 2, piece)
-    back = begun.select(*keys, F.inline(F.arrays_zip(F.transform("_own", lambda x: x[at]).alias(at), found.alias("level"))))
-    return rows.join(back, [*keys, at])
+    joined = F.zip_with("_own", found, lambda own, level: F.struct(*[own[c].alias(c) for c in carried], level.alias("level")))
+    return begun.select(*keys, F.inline(joined)).select(*rows.columns, "level")
 
 
 def hysteresis_alerts(segments: DataFrame, on: float = 0.5, off: float = 0.5, min_duration: float = 0.0, alpha: float = 1.0, key: str = "video_id") -> DataFrame:
