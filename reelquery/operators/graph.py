@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reelquery.functions.lineage import checkpoint, settled
+from reelquery.functions.prefix import previous
 from reelquery.sources.manifests import require_none
 
 #: Edges of a graph that one task solves at once (16 bytes each).
@@ -126,17 +127,15 @@ def near_duplicates(frames: DataFrame, most: int, bits: int = 64) -> DataFrame:
     return frame_matches(frames, most, bits).where("frames_a >= 2 AND frames_b >= 2").select("a", "b")
 
 
-def adjacent_links(df: DataFrame, id_col: str, time: str, collection: str, seconds: float) -> DataFrame:
+def adjacent_links(df: DataFrame, id_col: str, time: str, collection: str, seconds: float, chunk_seconds: float = 3_600.0) -> DataFrame:
     """a, b, gap: rows next to each other in the order (time, id) of all rows, if both are of one collection and at most
-    `seconds` apart. Days are ordered on their own; a day's first row follows the last of the day before it."""
-    rows = df.select(F.col(id_col).alias("b"), F.col(time).alias("_t"), F.col(collection).alias("_c"), F.to_date(time).alias("_day")).where("_t IS NOT NULL")
-    before = F.lag(F.struct("b", "_t", "_c")).over(W.partitionBy("_day").orderBy("_t", "b"))
-    last = rows.groupBy("_day").agg(F.max(F.struct("_t", "b", "_c")).alias("_last"))
-    carried = last.select("_day", F.lag("_last").over(W.orderBy("_day")).alias("_last"))
-    rows = rows.withColumn("_before", before).join(carried, "_day")
-    of = lambda name: F.coalesce(F.col(f"_before.{name}"), F.col(f"_last.{name}"))
-    gap = F.unix_micros(F.col("_t").cast("timestamp")) / 1e6 - F.unix_micros(of("_t").cast("timestamp")) / 1e6
-    return rows.where((of("_c") == F.col("_c")) & (gap <= seconds)).select(of("b").alias("a"), "b", gap.alias("gap"))
+    `seconds` apart. Rows without a time have no neighbours. Chunks of time are ordered on their own; a chunk's first row follows
+    the last of the chunk before it, so all that is ordered as a whole is one row a chunk."""
+    rows = df.select(F.col(time).cast("timestamp").alias("_t"), F.col(id_col).alias("b"), F.col(collection).alias("_c")).where("_t IS NOT NULL")
+    rows = rows.select("b", "_c", (F.unix_micros("_t") / 1e6).alias("_s"), F.struct("_t", "b", "_c").alias("_own")).withColumn("_chunk", F.floor(F.col("_s") / chunk_seconds))
+    rows = previous(rows, "_own", "_before", [], "_chunk", "_own")
+    gap = F.col("_s") - F.unix_micros("_before._t") / 1e6
+    return rows.where((F.col("_before._c") == F.col("_c")) & (gap <= seconds)).select(F.col("_before.b").alias("a"), "b", gap.alias("gap"))
 
 
 def inherited_split(sources: DataFrame, links: DataFrame, splits: DataFrame) -> DataFrame:

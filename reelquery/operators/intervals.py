@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reelquery.functions.lineage import checkpoint
-from reelquery.functions.prefix import prefix_max, previous
+from reelquery.functions.prefix import prefix_max, previous, running_totals
 
 #: Seconds of a cell of the tree in which intervals meet.
 CELL_SECONDS = 8.0
@@ -145,23 +145,33 @@ def suspicious_runs(segments: DataFrame, threshold: float, key: str = "video_id"
 
 
 def grid_windows(frames: DataFrame, width: int, margin: int, key: str = "video_id") -> DataFrame:
-    """key, start, kind: tumbling windows of whole width whose frames are all labelled 1 (violent), or without a label 1 in
-    them or within margin frames of them (normal). frames has key, frame, label from frame 0 without gaps."""
-    start = F.floor(F.col("frame") / width) * width
-    near = F.max("label").over(W.partitionBy(key).orderBy("frame").rangeBetween(-margin, width - 1 + margin))
-    rows = frames.select(key, "frame", "label", start.cast("long").alias("start"), near.alias("_near"))
-    at = F.col("frame") == F.col("start")
-    grouped = rows.groupBy(key, "start").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max(F.when(at, F.col("_near"))).alias("near")).where(F.col("n") == width)
-    kind = F.when(F.col("least") == 1, "violent").when(F.col("near") == 0, "normal")
-    return grouped.withColumn("kind", kind).where("kind IS NOT NULL").select(key, "start", "kind")
-
-
-def evenly(df: DataFrame, k: int, key: str, order: str) -> DataFrame:
-    """k evenly spaced rows of each key in the given order (the middles of k equal stretches); all if there are fewer."""
-    w = W.partitionBy(key)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor((i + F.lit(0.5)) * F.col("_n") / k).cast("int"))
-    return rows.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
+    """key, start, kind: tumbling windows of whole width whose frames are all labelled 1 (violent), or all 0 without a label 1
+    within margin frames of them (normal). frames has key, frame, label from frame 0 without gaps.
+
+    Frames are aggregated to windows; a window with a label 1 marks the windows that its first and last such frame are near
+    to, and the marks meet the windows in a second aggregate, so no task orders a video."""
+    at = lambda x: F.floor(x / width).cast("long") * width
+    positive = F.when(F.col("label") == 1, F.col("frame").cast("long"))
+    grouped = frames.groupBy(key, at(F.col("frame")).alias("start")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ones"), F.count_if(F.col("label") == 0).alias("zeros"), F.min(positive).alias("_low"), F.max(positive).alias("_high"))
+    near = F.sequence(at(F.col("_low") - width - margin) + width, at(F.col("_high") + margin), F.lit(width).cast("long"))
+    own = F.struct("start", "n", "ones", "zeros", F.lit(0).alias("marked"))
+    none = F.lit(0).cast("long")
+    marks = F.transform(F.coalesce(near, F.array().cast("array<bigint>")), lambda s: F.struct(s.alias("start"), none.alias("n"), none.alias("ones"), none.alias("zeros"), F.lit(1).alias("marked")))
+    met = grouped.select(key, F.inline(F.concat(F.array(own), marks))).groupBy(key, "start").agg(*[F.max(c).alias(c) for c in ("n", "ones", "zeros", "marked")])
+    kind = F.when(F.col("ones") == width, "violent").when((F.col("zeros") == width) & (F.col("marked") == 0), "normal")
+    return met.where(F.col("n") == width).withColumn("kind", kind).where("kind IS NOT NULL").select(key, "start", "kind")
+
+
+def evenly(df: DataFrame, k: int | Column, key: str | list[str], order: str) -> DataFrame:
+    """k evenly spaced rows of each key in the given order (the middles of k equal stretches); all if there are fewer. order is
+    numeric; k may be a column that is constant within a key. Positions are running counts over ranges of the order, so no
+    task orders a key."""
+    by = [key] if isinstance(key, str) else key
+    most = F.lit(k) if isinstance(k, int) else k
+    rows = running_totals(df.withColumn("_one", F.lit(1).cast("long")), order, ["_one"], by)
+    rows = rows.join(df.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    wanted = F.transform(F.sequence(F.lit(0), most - 1), lambda i: F.floor((i + F.lit(0.5)) * F.col("_n") / most).cast("long"))
+    return rows.where((F.col("_n") <= most) | F.array_contains(wanted, F.col("cum__one") - 1)).select(*df.columns)
 
 
 def centered_frames(center: Column, first: Column, last: Column, before: int = 5, after: int = 4) -> Column:

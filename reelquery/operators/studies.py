@@ -173,11 +173,9 @@ def clock_text(seconds: Column) -> Column:
 
 def plan_clips(windows: DataFrame, caps: dict[str, int], key: str = "video_id") -> DataFrame:
     """key, start, kind, label: of each video's windows (start, kind) at most caps[kind] evenly spaced ones."""
-    parts = [evenly(windows.where(F.col("kind") == kind), most, key, "start").select(key, "start", "kind", F.lit(int(kind == "violent")).alias("label")) for kind, most in caps.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    most = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(n)) for kind, n in caps.items()])
+    chosen = evenly(windows.where(F.col("kind").isin(*caps)).select(key, "start", "kind"), most, [key, "kind"], "start")
+    return chosen.withColumn("label", (F.col("kind") == "violent").cast("int"))
 
 
 def masked_max(actors: DataFrame, key: str = "scene_id") -> DataFrame:

@@ -140,3 +140,35 @@ def test_an_interval_of_a_year_has_few_nodes(spark):
     row = spark.range(1).select(t.cover(F.lit(3), F.lit(31_536_003), 25).alias("nodes")).first()
     held = sorted((x["node"] << x["level"], (x["node"] + 1) << x["level"]) for x in row["nodes"])
     assert len(held) <= 50 and held[0][0] == 3 and held[-1][1] == 31_536_004 and all(a[1] == b[0] for a, b in zip(held, held[1:]))
+
+
+@pytest.mark.parametrize(("width", "margin"), [(1, 0), (3, 0), (5, 7), (4, 40)])
+def test_grid_windows_by_brute_force(spark, width, margin):
+    rng = random.Random(width)
+    videos = {v: [int(rng.random() < p) for _ in range(rng.randint(1, 90))] for v, p in enumerate((0.0, 0.02, 0.1, 0.9, 1.0))} | {9: [0] * 30 + [1] * 30 + [0] * 30}
+    frames = spark.createDataFrame([(v, f, x) for v, labels in videos.items() for f, x in enumerate(labels)], "video_id long, frame long, label int")
+    want = []
+    for v, labels in videos.items():
+        for s in range(0, len(labels) - width + 1, width):
+            if all(labels[s : s + width]):
+                want.append((v, s, "violent"))
+            elif not any(labels[max(0, s - margin) : s + width + margin]):
+                want.append((v, s, "normal"))
+    assert sorted(tuple(r) for r in t.grid_windows(frames, width, margin).collect()) == want
+    unknown = spark.createDataFrame([(1, f, None if f == 2 else 0) for f in range(8)], "video_id long, frame long, label int")
+    assert sorted(tuple(r) for r in t.grid_windows(unknown, 4, 1).collect()) == [(1, 4, "normal")]
+    assert t.grid_windows(frames.limit(0), width, margin).count() == 0
+
+
+def test_even_spacing_by_brute_force(spark):
+    rng = random.Random(3)
+    sizes = {("a", "x"): 1, ("a", "y"): 4, ("b", "x"): 5, ("b", "y"): 6, (None, "x"): 90}
+    rows = [(v, kind, at) for (v, kind), n in sizes.items() for at in rng.sample(range(1000), n)]
+    df = spark.createDataFrame(rows, "v string, kind string, at long").where("v IS NOT NULL")
+    got = t.evenly(df, F.when(F.col("kind") == "x", 2).otherwise(5), ["v", "kind"], "at").collect()
+    want = []
+    for (v, kind), n in sizes.items():
+        k, order = 2 if kind == "x" else 5, sorted(a for x, y, a in rows if (x, y) == (v, kind))
+        want += [(v, kind, a) for i, a in enumerate(order) if v and (n <= k or i in {int((j + 0.5) * n / k) for j in range(k)})]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert t.evenly(df.limit(0), 3, "v", "at").count() == 0
