@@ -61,6 +61,65 @@ def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) for r, c in pairs) if flip else sorted(pairs)
 
 
+#: Boxes on the smaller side of a scene up to which scenes are solved stacked; larger ones are solved one by one.
+STACKED_AT_MOST = 8
+
+
+def places(scene: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's box within its scene (by box), and the boxes of each scene; scene counts from 0, without gaps."""
+    code = np.unique(box, return_inverse=True)[1]
+    each, at = np.unique(scene * (code.max() + 1) + code, return_inverse=True)
+    counts = np.bincount(each // (code.max() + 1))
+    return at - (np.cumsum(counts) - counts)[scene], counts
+
+
+def stacked_assignments(gain: np.ndarray) -> np.ndarray:
+    """For each of the stacked matrices (scenes, rows, columns): which pairs of the highest total gain are chosen; gains of 0 are no
+    pairs. best[mask] is the most that the rows so far gain with the columns of mask; all scenes take a step at once."""
+    scenes, rows, columns = gain.shape
+    masks, best = np.arange(1 << columns), np.zeros((scenes, 1 << columns))
+    picks = np.full((rows, scenes, 1 << columns), -1, np.int8)
+    for row in range(rows):
+        after = best.copy()
+        for column in range(columns):
+            having = masks[masks >> column & 1 == 1]
+            total = best[:, having ^ (1 << column)] + gain[:, row, column, None]
+            better = total > after[:, having]
+            after[:, having] = np.where(better, total, after[:, having])
+            picks[row][:, having] = np.where(better, column, picks[row][:, having])
+        best = after
+    chosen, mask, every = np.zeros(gain.shape, bool), np.full(scenes, (1 << columns) - 1), np.arange(scenes)
+    for row in range(rows - 1, -1, -1):
+        pick = picks[row, every, mask].astype(int)
+        at = np.flatnonzero(pick >= 0)
+        chosen[at, row, pick[at]] = True
+        mask[at] ^= 1 << pick[at]
+    return chosen
+
+
+def kept_pairs(scene: np.ndarray, gt: np.ndarray, det: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Which pairs an optimal matching of their scene keeps: the most pairs, then the highest total iou. Scenes whose smaller side
+    has up to STACKED_AT_MOST boxes are solved together with those of like size, the others one by one."""
+    (row, rows), (column, columns) = places(scene, gt), places(scene, det)
+    flip = (rows < columns)[scene]  # the smaller side becomes the columns
+    row, column = np.where(flip, column, row), np.where(flip, row, column)
+    long, short = np.maximum(rows, columns), np.minimum(rows, columns)
+    size = np.where(short <= STACKED_AT_MOST, short * 64 + np.ceil(np.log2(long)).astype(int), -1 - np.arange(len(short)))
+    kept = np.zeros(len(scene), bool)
+    by_size = np.argsort(size[scene], kind="stable")
+    for at in np.split(by_size, np.flatnonzero(np.diff(size[scene][by_size])) + 1):
+        own, number = np.unique(scene[at], return_inverse=True)
+        gain = np.zeros((len(own), long[own].max(), short[own].max()))
+        gain[number, row[at], column[at]] = short[own][number] + 1 + iou[at]
+        if gain.shape[2] <= STACKED_AT_MOST:
+            chosen = stacked_assignments(gain)
+        else:
+            chosen = np.zeros(gain.shape, bool)
+            chosen[(0, *zip(*assignment(gain[0]), strict=True))] = True
+        kept[at] = chosen[number, row[at], column[at]]
+    return kept
+
+
 def match_boxes(boxes: DataFrame, threshold: float = 0.5, key: str = "scene_id") -> DataFrame:
     """key, gt_id, det_id, iou of an optimal one-to-one matching per scene: the most pairs with iou at or above the threshold,
     then the highest total iou. Scenes without such a pair have no row."""
@@ -70,15 +129,6 @@ def match_boxes(boxes: DataFrame, threshold: float = 0.5, key: str = "scene_id")
     rivals = pairs.groupBy(key).agg((F.count("*") > F.least(F.countDistinct("gt_id"), F.countDistinct("det_id"))).alias("_rivals"))
     pairs = pairs.join(rivals, key)
 
-    def keep(gt: np.ndarray, det: np.ndarray, iou: np.ndarray) -> np.ndarray:
-        gt, row = np.unique(gt, return_inverse=True)
-        det, column = np.unique(det, return_inverse=True)
-        gain = np.zeros((len(gt), len(det)))
-        gain[row, column] = min(gain.shape) + 1 + iou
-        chosen = np.zeros(gain.shape, bool)
-        chosen[tuple(zip(*assignment(gain), strict=True))] = True
-        return chosen[row, column]
-
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the last scene of a batch may go on in the next one
         for batch in chain(batches, [None]):
@@ -86,12 +136,12 @@ def match_boxes(boxes: DataFrame, threshold: float = 0.5, key: str = "scene_id")
             if rows is None or not len(rows):
                 continue
             scene, gt, det, iou = (rows[x].to_numpy() for x in (key, "gt_id", "det_id", "iou"))
-            cuts = [0, *(np.flatnonzero(scene[1:] != scene[:-1]) + 1).tolist(), len(rows)]
-            ends = cuts if batch is None else cuts[:-1]
-            kept = [keep(gt[i:j], det[i:j], iou[i:j]) for i, j in zip(ends, ends[1:])]
-            held = None if batch is None else rows.iloc[ends[-1] :]
-            if kept:
-                yield rows.iloc[: ends[-1]][np.concatenate(kept)]
+            starts = np.flatnonzero(np.r_[True, scene[1:] != scene[:-1]])
+            whole = len(rows) if batch is None else starts[-1]
+            held = None if batch is None else rows.iloc[whole:]
+            if whole:
+                number = np.cumsum(np.r_[True, scene[1:whole] != scene[: whole - 1]]) - 1
+                yield rows.iloc[:whole][kept_pairs(number, gt[:whole], det[:whole], iou[:whole])]
 
     # a scene whose boxes have one partner each is matched already
     alone, contested = pairs.where(~F.col("_rivals")).drop("_rivals"), pairs.where("_rivals").drop("_rivals")

@@ -31,6 +31,26 @@ def test_assignment_is_optimal(seed):
     assert sum(gain[p] for p in g.assignment(gain)) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_stacked_scenes_match_as_well_as_single_ones(seed):
+    rng = np.random.default_rng(seed)
+    rows, scenes = [], []
+    for scene in range(60):
+        gts, dets = rng.integers(1, 16 if scene % 7 == 0 else 6, 2)
+        iou = np.where(rng.random((gts, dets)) < 0.5, np.round(rng.uniform(0.3, 1.0, (gts, dets)), 1), 0)
+        iou[rng.integers(gts), rng.integers(dets)] = 0.5
+        scenes.append(iou)
+        rows += [(scene, 100 - a, b * 3, iou[a, b]) for a, b in zip(*np.nonzero(iou), strict=True)]
+    scene, gt, det, iou = (np.array(x) for x in zip(*rows, strict=True))
+    kept = g.kept_pairs(scene, gt, det, iou)
+    for number, all_iou in enumerate(scenes):
+        own = kept & (scene == number)
+        assert len(set(gt[own])) == own.sum() == len(set(det[own]))
+        gain = np.where(all_iou > 0, min(all_iou.shape) + 1 + all_iou, 0)
+        best = [p for p in g.assignment(gain) if gain[p] > 0]
+        assert own.sum() == len(best) and iou[own].sum() == pytest.approx(sum(all_iou[p] for p in best))
+
+
 def test_matching_takes_most_pairs_first(spark):
     df = boxes(spark, [("gt", (0, 0, 10, 10)), ("gt", (0, 0, 10, 6)), ("det", (0, 0, 10, 9)), ("det", (0, 0, 10, 14))])
     found = {(x["gt_id"], x["det_id"]) for x in g.match_boxes(df, 0.5).collect()}
