@@ -26,17 +26,6 @@ def running_totals(rows: DataFrame, key: str, sums: list[str], by: list[str] = [
     return joined.select(*rows.drop("_part").columns, *[(F.sum(x).over(inside) + F.col(f"_{x}")).alias(f"cum_{x}") for x in sums])
 
 
-def prefix_max(rows: DataFrame, value: Column, name: str, by: list[str], chunk: str, order: list[str], before: bool = False) -> DataFrame:
-    """rows and name: the maximum of value up to each row in the order of (chunk, order) within by, rows that are
-    equal in it included, or of the rows before it alone if before; null while there is none. A window holds one chunk of one group; chunks start from the maxima of those before
-    them, one row a chunk."""
-    inside = W.partitionBy(*by, chunk).orderBy(*order)
-    inside = inside.rowsBetween(W.unboundedPreceding, -1) if before else inside.rangeBetween(W.unboundedPreceding, W.currentRow)
-    tops = rows.groupBy(*by, chunk).agg(F.max(value).alias("_top"))
-    carried = tops.select(*by, chunk, F.max("_top").over(W.partitionBy(*by).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
-    return rows.withColumn("_inside", F.max(value).over(inside)).join(carried, [*by, chunk]).withColumn(name, F.greatest("_inside", "_carried")).drop("_inside", "_carried")
-
-
 def previous(rows: DataFrame, value: str, name: str, by: list[str], chunk: str, order: str) -> DataFrame:
     """rows and name: value of the row before each one in the order of (chunk, order) within by; null for the first. A window
     holds one chunk of one group, and takes the last row of the chunk before it from one row a chunk."""

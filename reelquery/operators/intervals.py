@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from reelquery.functions.lineage import checkpoint
-from reelquery.functions.prefix import prefix_max, previous, running_totals
+from reelquery.functions.prefix import running_totals
 
 #: Seconds of a cell of the tree in which intervals meet.
 CELL_SECONDS = 8.0
@@ -73,16 +73,29 @@ def project_scores(videos: DataFrame, frames: str, scores: str, mode: str = "rep
     return grid.select(key, "frame", value.alias("score"))
 
 
+def islands(rows: DataFrame, joins: Column, key: str, order: list[str], of: dict[str, Column]) -> DataFrame:
+    """key, _chunk, _n (from 1), of: stretches of the rows of each (key, _chunk), in order, and what `of` aggregates of them; joins (null: no) says
+    that a row goes on with what is before it. One shuffle and sort by (key, _chunk)."""
+    inside = W.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = rows.withColumn("_goes_on", F.coalesce(joins, F.lit(False))).withColumn("_n", F.count_if(~F.col("_goes_on")).over(inside))
+    return numbered.groupBy(key, "_chunk", "_n").agg(*[c.alias(name) for name, c in of.items()])
+
+
 def merge_intervals(df: DataFrame, key: str = "video_id", chunk_seconds: float = CHUNK_SECONDS) -> DataFrame:
-    """key, start_s, end_s: the union of each key's intervals; touching ones merge. A key's time is cut into chunks, whose
-    running maxima start from the maxima of the chunks before, so a long video is many tasks; the result is the same for
-    any chunk_seconds."""
+    """key, start_s, end_s: the union of each key's intervals; touching ones merge. A key's time is cut into chunks, which are
+    merged on their own; so a long video is many tasks, and the result is the same for any chunk_seconds.
+
+    What an earlier chunk reaches takes in the first islands of a chunk: they belong to the last island that begins, in
+    whatever chunk, without being reached. Both are running maxima over one row a chunk."""
     rows = df.select(key, "start_s", "end_s").withColumn("_chunk", F.floor(F.col("start_s") / chunk_seconds))
-    rows = prefix_max(rows, F.col("end_s"), "_reach", [key], "_chunk", ["start_s", "end_s"], before=True)
-    # an island is named by its first start
-    fresh = F.when(F.col("_reach").isNull() | (F.col("start_s") > F.col("_reach")), F.col("start_s"))
-    rows = prefix_max(rows.withColumn("_fresh", fresh), F.col("_fresh"), "_island", [key], "_chunk", ["start_s"])
-    return rows.groupBy(key, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_island")
+    before = W.partitionBy(key, "_chunk").orderBy("start_s", "end_s").rowsBetween(W.unboundedPreceding, -1)
+    own = islands(rows, F.col("start_s") <= F.max("end_s").over(before), key, ["start_s", "end_s"], {"start_s": F.min("start_s"), "end_s": F.max("end_s")})
+    earlier = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = own.groupBy(key, "_chunk").agg(F.max("end_s").alias("_top"), F.max("start_s").alias("_last")).withColumn("_reach", F.max("_top").over(earlier))
+    begun = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    chunks = chunks.withColumn("_begun", begun).select(key, "_chunk", "_reach", F.max("_begun").over(earlier).alias("_from"))
+    name = F.when(F.col("start_s") <= F.col("_reach"), F.col("_from")).otherwise(F.col("start_s"))
+    return own.join(chunks, [key, "_chunk"]).groupBy(key, name.alias("_island")).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_island")
 
 
 def cover(first: Column, last: Column, levels: int) -> Column:
@@ -138,10 +151,16 @@ def suspicious_runs(segments: DataFrame, threshold: float, key: str = "video_id"
     than the one before it ends. A key is cut into chunks of segments; what crosses their borders is carried, so a long
     video is many tasks."""
     good = segments.where(F.col("score") >= threshold).withColumn("_chunk", F.floor(F.col("seg") / chunk_segments))
-    rows = previous(good, "end_s", "_before", [key], "_chunk", "seg")
-    fresh = F.when(F.col("_before").isNull() | (F.col("start_s") > F.col("_before")), F.col("seg"))
-    rows = prefix_max(rows.withColumn("_fresh", fresh), F.col("_fresh"), "_run", [key], "_chunk", ["seg"])
-    return rows.groupBy(key, "_run").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("score").alias("top")).drop("_run")
+    before = F.lag("end_s").over(W.partitionBy(key, "_chunk").orderBy("seg"))
+    of = {"seg": F.min("seg"), "_first": F.min_by("start_s", "seg"), "_end": F.max_by("end_s", "seg"), "start_s": F.min("start_s"), "end_s": F.max("end_s"), "top": F.max("score")}
+    own = islands(good, F.col("start_s") <= before, key, ["seg"], of)
+    earlier = W.partitionBy(key).orderBy("_chunk")
+    chunks = own.groupBy(key, "_chunk").agg(F.min_by("_first", "seg").alias("_first"), F.max_by("_end", "seg").alias("_end"), F.max("seg").alias("_last"), F.count("*").alias("_runs"))
+    chunks = chunks.withColumn("_carried", F.coalesce(F.col("_first") <= F.lag("_end").over(earlier), F.lit(False)))
+    begun = F.when((F.col("_runs") > 1) | ~F.col("_carried"), F.col("_last"))
+    chunks = chunks.withColumn("_begun", begun).select(key, "_chunk", "_carried", F.max("_begun").over(earlier.rowsBetween(W.unboundedPreceding, -1)).alias("_from"))
+    name = F.when(F.col("_carried") & (F.col("_n") == 1), F.col("_from")).otherwise(F.col("seg"))
+    return own.join(chunks, [key, "_chunk"]).groupBy(key, name.alias("_run")).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("top").alias("top")).drop("_run")
 
 
 def grid_windows(frames: DataFrame, width: int, margin: int, key: str = "video_id") -> DataFrame:
