@@ -17,7 +17,7 @@ FILES = f"""SELECT clip_id, concat(CASE clip_id % 7 WHEN 0 THEN 'Abuse/' WHEN 1
 MAPPING = f"SELECT name, concat('SRC', CAST(clip_id % 9 AS {TEXT})) AS source FROM ({FILES}) f WHERE clip_id % 8 = 3"
 LABELS = f"""SELECT name, CAST(CASE WHEN clip_id % 23 = 0 THEN 2 WHEN clip_id % 23 = 1 THEN NULL ELSE clip_id % 2 END AS INT) AS label, CASE clip_id % 3 WHEN 0 THEN 'Fighting' WHEN 1 THEN ' ' END AS category, CASE clip_id % 5 WHEN 0 THEN concat('Rec', {ID}) WHEN 1 THEN '' END AS source FROM ({FILES}) f WHERE clip_id % 13 <> 0
     UNION ALL SELECT concat('Lost/', {ID}), 1, 'Abuse', 'rec' FROM {{v_clips}} WHERE clip_id % 17 = 0 UNION ALL SELECT name, 1, 'Zero', 'zero' FROM ({FILES}) f WHERE clip_id % 19 = 4"""
-EACH = "SELECT video_id AS sequence, row_number() OVER (PARTITION BY video_id ORDER BY clip_id) AS frame, clip_id AS event FROM {v_annotations}"
+EACH = "SELECT video_id AS sequence, CAST(row_number() OVER (PARTITION BY video_id ORDER BY clip_id) AS BIGINT) AS frame, clip_id AS event FROM {v_annotations}"
 FRAMES = f"SELECT sequence, frame FROM ({EACH}) e WHERE NOT (sequence % 7 = 0 AND frame % 5 = 3) AND NOT (sequence % 31 = 9 AND frame > 20) AND sequence % 37 <> 8 UNION ALL SELECT sequence, frame FROM ({EACH}) e WHERE sequence % 11 = 0 AND frame = 2"
 BOXES = f"""SELECT sequence, frame * 3 + k AS line, CASE WHEN event % 401 = 7 THEN 0 ELSE frame END AS frame, event % 100 - 5 AS x, CASE WHEN event % 97 = 0 THEN -300 ELSE event % 60 END + CASE WHEN event % 89 = 1 THEN 0 ELSE k END AS y, CASE WHEN event % 83 = 2 THEN 0 ELSE 10 + event % 7 END AS w, 20 AS h, CASE WHEN event % 211 = 5 THEN 9 WHEN event % 307 = 6 THEN NULL WHEN sequence % 10 = 3 AND frame % 20 = 11 THEN 1 ELSE 1 + (event + k) % 6 END AS action
     FROM ({EACH}) e, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE NOT (sequence % 41 = 6 AND frame % 10 = 1)"""

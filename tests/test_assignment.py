@@ -53,6 +53,17 @@ def test_stratified_assignment_pins_and_balances(spark):
         a.assign_stratified(df, 9, RATIOS, {"need": 999}, 5)
 
 
+def test_stratified_trials_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"g{i}", i in (3, 4), {s: rng.randint(1, 2) for s in "abc" if rng.random() < 0.7} or {"a": 1}, {}) for i in range(25)]  # few sizes: many ties
+    df = spark.createDataFrame(rows, "group_id string, pinned boolean, strata map<string, int>, having map<string, int>")
+    found = []
+    for block in (1, 7, 64):
+        monkeypatch.setattr(a, "TRIALS_AT_ONCE", block)
+        found.append(sorted(tuple(x) for x in a.assign_stratified(df, 2, RATIOS, None, 15).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 25
+
+
 def test_ranked_examples_fill_up(spark):
     df = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.3), (3, 0, 0.1), (4, 0, 0.95), (5, 0, 0.5)], "clip_id long, label int, score double")
     got = {(x["role"], x["turn"]): x["clip_id"] for x in v.ranked_examples(df, 0.8, 2).collect()}
