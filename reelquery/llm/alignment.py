@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window as W
 
-from reelquery.llm.common import text_bytes
+from reelquery.llm.common import byte_letters, text_bytes
 from reelquery.llm.packing import tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -66,13 +66,6 @@ class ByteLevel:
         return [self.library.encode(" " + x, add_special_tokens=False).ids if self.LONG.search(x) else self.ranks.encode_ordinary(" " + x) for x in texts]
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(k) if k in plain else chr(next(rest)) for k in range(256)]
-
-
 class Pieces:
     """The sentence-piece vocabulary: ids of texts, which it begins with a space, and the bytes of ids."""
 

@@ -2,54 +2,121 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from array import array
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
+from unicodedata import category, normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window as W
 
-from reelquery.llm.common import WordCache, checkpoint, map_texts
+from reelquery.llm.common import byte_letters, checkpoint
 
 LENGTH, TOKENIZER, END = 2048, "word_bpe_49k.json", b"\0\0\0\0"
 #: Pieces of one length that one task ranks, on average; a length with more pieces is dealt over several tasks.
 RANKED_AT_ONCE = 256
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Bytes of text whose distinct words are encoded together, words that are encoded at once, and characters above which a word is
+#: left to the vocabulary's library.
+TEXT_BYTES, WORDS_AT_ONCE, LONG_WORD = 16_000_000, 10_000, 200
+PIECES = pa.schema({"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()})
+#: How the vocabulary parts a word, and the end of its suffixed pieces.
+PARTS, SUFFIX = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
+def plain_characters() -> tuple[str, str]:
+    """Letters, and marks other than letters and digits, that normalizing keeps and lowering turns into one character each."""
+    found = [x for x in map(chr, [*range(0x21, 0x500), *range(0x2010, 0x2028)]) if normalize("NFC", x) == x]
+    letters = [x for x in found if category(x)[0] == "L" and len(x.lower()) == 1 and x.lower() < "\u0500" and x != "\u03a3"]  # sigma: lowered by its place
+    return "".join(letters), "".join(x for x in found if category(x)[0] in "PS")
+
+
+class WordIds:
+    """The ids of words, many at a time.
+
+    Such a vocabulary drops white space, so a text's ids are the ids of its words one after another. It also lowers case and
+    parts letters, digits and marks. Plain words go through the ranks of the same vocabulary, in which byte 0 stands for
+    the end of a part: a piece has one merge and encodes as itself, so merging by rank and merging by list agree. Words with
+    other characters, with added tokens (found before case is lowered) or above LONG_WORD characters go through the library, and
+    so do all words of a vocabulary of another kind."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [token.content for token in added]
+        letters, marks = map(re.escape, plain_characters())
+        self.other = re.compile(f"[^0-9\n{letters}{marks}]")
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[{marks}]+|\n")
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        normal = [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        parted = json.dumps(PARTS) in json.dumps(kind["pre_tokenizer"]) and kind["model"].get("end_of_word_suffix") == SUFFIX
+        self.ranks = None
+        if normal and parted and not any(token.normalized for token in added):
+            byte = {letter: k for k, letter in enumerate(byte_letters())}
+            ranks = {bytes(byte[x] for x in piece.removesuffix(SUFFIX)) + b"\0" * piece.endswith(SUFFIX): number for piece, number in kind["model"]["vocab"].items()}
+            self.ranks = tiktoken.Encoding("parts", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
+            self.line = ranks[b"\n\0"]
+
+    def strange(self, text: str) -> bool:
+        return self.ranks is None or self.other.search(text) is not None or any(token in text for token in self.added)
+
+    def some(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids one after another."""
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")
+        text = str(whole[0].as_buffer(), "utf-8", "replace")
+        own = {}
+        if self.strange(text) or pc.max(pc.binary_length(words)).as_py() > LONG_WORD:
+            lines = text.split("\n")
+            odd = [k for k, line in enumerate(lines) if len(line) > LONG_WORD or self.strange(line)]
+            own = dict(zip(odd, [x.ids for x in self.library.encode_batch_fast([lines[k] for k in odd], add_special_tokens=False)], strict=True))
+            text = "\n".join("" if k in own else line for k, line in enumerate(lines))
+        if self.ranks is None:
+            ids, counts = np.zeros(0, np.uint32), np.zeros(len(words), np.int64)
+        else:
+            ids = self.ranks.encode_to_numpy("\0".join([*self.parts.findall(text.lower()), "\n\0"]))
+            ends = np.flatnonzero(ids == self.line)
+            ids, counts = np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        if own:
+            at, many = np.array(list(own)), np.array(list(map(len, own.values())))
+            ids = np.insert(ids, np.repeat((np.cumsum(counts) - counts)[at], many), [x for found in own.values() for x in found])
+            counts[at] = many
+        return counts, ids.astype("<u4", copy=False)
+
+    def encode(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each word, given as bytes."""
+        found = [self.some(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)]
+        counts, ids = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.uint32()))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin, with the end of the last. Of equal words, one
+        is encoded."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # empty words at the edges of a text have no ids
+        words = split.flatten().dictionary_encode()
+        placed = self.encode(words.dictionary.cast(pa.binary())).take(words.indices)
+        return placed.flatten().to_numpy(), placed.offsets.to_numpy()[split.offsets.to_numpy()]
+
+    def __getitem__(self, word: bytes) -> bytes:
+        """The ids of a word as little-endian unsigned 32-bit integers."""
+        return self.some(pa.array([word], pa.binary()))[1].tobytes()
 
 
 @lru_cache(maxsize=1)  # a Python worker keeps it from task to task
-def word_ids(path: str) -> WordCache:
-    """word -> its token ids as little-endian unsigned 32-bit integers.
-
-    The vocabulary's pre-tokenizer drops white space, so a text's ids are the ids of its words one after another; it also
-    lowers case and parts letters from punctuation, so few distinct words remain to be encoded. For words of lower-case
-    Latin letters its normalizer and its splitting change nothing, so a copy without them encodes those."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.normalizer = normalizers.Sequence([])
-    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    added = [token.content.lower().encode() for token in whole.get_added_tokens_decoder().values()]
-
-    def make(cache: WordCache, word: bytes) -> bytes:
-        lower = word.lower()
-        if any(token in lower for token in added):  # found before case is lowered and marks are parted: such words stay whole
-            return array("I", whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-        if lower != word:
-            return cache[lower]
-        if len(word) > 1 and word[-1:] in b".,!?;:" and 97 <= word[-2] <= 122:
-            return cache[word[:-1]] + cache[word[-1:]]
-        text = word.decode("utf-8", "replace")
-        simple = text.isalpha() and text.islower() and max(text) < "\u0180" and text.lower() == text
-        return array("I", (plain if simple else whole).encode(text, add_special_tokens=False).ids).tobytes()
-
-    return WordCache(make)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,25 +125,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def tokenized_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row per piece: a document's token ids and an end id 0, cut every length ids. A null text counts as empty."""
+def parts_by_bytes(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of (id, text) that hold about limit bytes of text at most; a longer text may stand with others."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    total = int(size[-1]) if len(size) else 0
+    share = np.maximum(size - 1, 0) * -(-total // limit) // max(1, total)
+    edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(size)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(low, high - low)
 
-    def one():
-        cache = word_ids(tokenizer_path(tokenizer))
 
-        def work(ids, texts):
+def cut_texts(length: int, tokenizer: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of (id, text)."""
+    words = word_ids(tokenizer_path(tokenizer))
+    for batch in batches:
+        for part in parts_by_bytes(batch, TEXT_BYTES):
+            ids, edges = words.of_texts(part.column(1))
             rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                packed = b"".join(map(cache.__getitem__, (text or b"").split())) + END
-                cache.trim()
+            for doc_id, low, high in zip(part.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                packed = ids[low:high].tobytes() + END
                 for piece, at in enumerate(range(0, len(packed), 4 * length)):
-                    part = packed[at : at + 4 * length]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), map(list, zip(*rows)) if rows else [[]] * 5, strict=True))
+                    own = packed[at : at + 4 * length]
+                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+            yield pa.RecordBatch.from_pydict(dict(zip(PIECES.names, map(list, zip(*rows, strict=True)) if rows else [[]] * len(PIECES), strict=True)), schema=PIECES)
 
-        return work
 
-    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), one, PIECES)
+def tokenized_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
+    """A row per piece: a document's token ids and an end id 0, cut every length ids. A null text counts as empty."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(partial(cut_texts, length, tokenizer), from_arrow_schema(PIECES))
 
 
 def best_two(counts: np.ndarray, room: int, above: int) -> tuple[int, int] | None:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -154,6 +155,64 @@ def test_ids_of_odd_words():
         assert np.frombuffer(cache[word.encode()], "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, word
 
 
+def library_ids(words):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return [x.ids for x in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+
+def test_plain_words_take_ranks_and_others_the_library():
+    ids = packing.WordIds(packing.tokenizer_path(packing.TOKENIZER))
+    letters, marks = packing.plain_characters()
+    assert {x.lower() for x in letters} <= set(letters) and not set(letters) & set(marks)
+    rng = random.Random(5)
+    alphabet = [*"aabcdeeghilmnorst0129ABÉ", *letters, *marks, "'s", "'LL", "n't", "tion", "The"]
+    plain = [x + y for x in "a1'Я" for y in letters + marks] + ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(30_000)]
+    plain = [w.encode() for w in plain if not any(token in w for token in ids.added)]
+    library, ids.library = ids.library, None  # so none of these needs it
+    assert ids.encode(pa.array(plain, pa.binary())).to_pylist() == library_ids(plain)
+
+    ids.library = library
+    odd = [f"x{chr(k)}y".encode() for k in range(0x21, 0x3100) if chr(k) not in "\u0085\u00a0"] + [b"\xff\xfe", b"ab\xe2", b"\x00", b"a\x00", b"", b"w" * 999, b"<|endoftext|>", b"the"]
+    assert ids.encode(pa.array(odd, pa.binary())).to_pylist() == library_ids(odd)
+    few = odd[::97] + odd[-8:]
+    ids.ranks = None  # as for a vocabulary of another kind
+    assert ids.encode(pa.array(few, pa.binary())).to_pylist() == library_ids(few)
+
+
+def test_every_piece_encodes_as_itself():
+    """What ranks rest on: with one merge a piece, each after those of its parts, and no piece that merges otherwise."""
+    import json
+
+    from tokenizers import Tokenizer, models
+
+    path = packing.tokenizer_path(packing.TOKENIZER)
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocab, merges = model["vocab"], [tuple(x) for x in model["merges"]]
+    assert [vocab[a + b] for a, b in merges] == list(range(512, 512 + len(merges))) and len(vocab) == 512 + len(merges)
+    assert all(max(vocab[a], vocab[b]) < vocab[a + b] for a, b in merges)
+    for suffix in ({"end_of_word_suffix": "</w>"}, {}):
+        bare = Tokenizer(models.BPE(vocab, merges, **suffix))
+        pieces = [x for x in vocab if x.endswith("</w>") == bool(suffix)]
+        assert [x.ids for x in bare.encode_batch([x.removesuffix("</w>") for x in pieces])] == [[vocab[x]] for x in pieces]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_texts_by_white_space(kind):
+    ids = packing.word_ids(packing.tokenizer_path(packing.TOKENIZER))
+    texts = [None, "", " ", *[f"ab{chr(k)}cd" for k in range(128)], " \t a\u00a0b  \x0b\x0c\r\n", "c\u2028d e\u0085f", "same same\nsame"]
+    flat, edges = ids.of_texts(pa.array(texts, kind))
+    assert [flat[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == library_ids([(x or "").encode() for x in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], names=["doc_id", "text"])
+    for limit in (1, 40, 10**6):
+        parts = list(packing.parts_by_bytes(batch, limit))
+        assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(len(texts)))
+        assert all(sum(len((x or "").encode()) for x in p.column(1).to_pylist()[:-1]) <= limit for p in parts)
+    assert [p.num_rows for p in packing.parts_by_bytes(batch.slice(0, 0), 9)] in ([], [0])
+
+
 def test_two_replace_the_smallest():
     counts = np.zeros(11, np.int64)
     counts[[3, 4]] = 1
