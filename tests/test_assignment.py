@@ -37,6 +37,23 @@ def test_assignment_against_all_trials(spark):
         a.assign_groups(df.where("pos = 0 OR group_id IN ('g1', 'g2')"), 5, RATIOS, 5)
 
 
+def test_trials_of_many_groups_are_not_ranked_whole(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 3), rng.randint(0, 3)) for i in range(1500)]  # some six a part
+    pos, neg = sum(x[1] for x in rows), sum(x[2] for x in rows)
+    costs = {}
+    for trial in range(70):
+        order = sorted(rows, key=lambda x: mark(4, trial, x[0]))
+        cut = {"train": order[:900], "val": order[900:1200], "test": order[1200:]}
+        cost = sum((sum(x[1] for x in own) / pos - RATIOS[s]) ** 2 + (sum(x[2] for x in own) / neg - RATIOS[s]) ** 2 for s, own in cut.items())
+        costs[round(cost, 12), trial] = {x[0]: s for s, own in cut.items() for x in own}
+    ranked, rank = [], a.shuffled_rank
+    monkeypatch.setattr(a, "shuffled_rank", lambda df, *more: (ranked.append(df.count()), rank(df, *more))[1])
+    df = spark.createDataFrame(rows, "group_id long, pos long, neg long")
+    assert {x["group_id"]: x["split"] for x in a.assign_groups(df, 4, RATIOS, 70).collect()} == costs[min(costs)]
+    assert ranked == [1500]
+
+
 def test_stratified_assignment_pins_and_balances(spark):
     rng = random.Random(4)
     rows = [(f"g{i}", i == 2, {s: rng.randint(1, 5) for s in "ab" if rng.random() < 0.8} or {"a": 1}, {"need": i % 3}) for i in range(30)]
