@@ -149,6 +149,89 @@ def match_boxes(boxes: DataFrame, threshold: float = 0.5, key: str = "scene_id")
     return alone.unionByName(solved)
 
 
+#: Rows of whole scenes that a task takes together, and pairs of their boxes that it compares at once.
+ROWS_TOGETHER, PAIRS_AT_ONCE = 200_000, 2_000_000
+
+
+def near_pairs(scene: np.ndarray, truth: np.ndarray, sides: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (ground truth, detection) of the pairs of one scene with iou at or above the threshold. A row is a box: its scene, in
+    order; whether it is ground truth; and its x1, y1, x2, y2. As in Spark, NaN is above any number."""
+    gt, det = np.flatnonzero(truth), np.flatnonzero(~truth)
+    first = np.searchsorted(scene[det], scene[gt])
+    counts = np.searchsorted(scene[det], scene[gt], side="right") - first
+    found = [(gt[:0], det[:0])]
+    for own in np.split(np.arange(len(gt)), np.flatnonzero(np.diff(np.cumsum(counts) // PAIRS_AT_ONCE)) + 1):
+        each = counts[own]
+        a, b = np.repeat(gt[own], each), det[np.repeat(first[own] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        p, q = sides[a].T, sides[b].T
+        with np.errstate(all="ignore"):
+            shared = np.maximum(np.fmin(p[2], q[2]) - np.maximum(p[0], q[0]), 0.0) * np.maximum(np.fmin(p[3], q[3]) - np.maximum(p[1], q[1]), 0.0)
+            total = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - shared
+            near = ~(shared / total < threshold) & (total != 0)
+        found.append((a[near], b[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def most_pairs(scene: np.ndarray, gt: np.ndarray, det: np.ndarray, scenes: int) -> np.ndarray:
+    """For each of the scenes the most of its pairs that share no box."""
+    pairs = np.bincount(scene, minlength=scenes)
+    once = lambda box: np.bincount(scene[np.unique(box, return_index=True)[1]], minlength=scenes)
+    rivals = (pairs > np.minimum(once(gt), once(det)))[scene]  # else every box has one partner
+    if rivals.any():
+        own, number = np.unique(scene[rivals], return_inverse=True)
+        kept = kept_pairs(number, gt[rivals], det[rivals], np.zeros(len(number)))
+        pairs[own] = np.bincount(number[kept], minlength=len(own))
+    return pairs
+
+
+def matched_by_level(boxes: DataFrame, threshold: float, kept: Column, levels: int, key: str = "scene_id") -> DataFrame:
+    """level, tp: for each level from 0 the size of the optimal matchings (see match_boxes) of ground truth and of the detections
+    with kept > level, over all scenes. A row is a box; it is shuffled once, with its scene, for all levels.
+
+    A scene is solved again only at levels that lose a pair."""
+    if threshold <= 0:
+        raise ValueError("expected a threshold above 0")
+    above = F.when(F.col("side") == "gt", -1).when(F.col("side") == "det", kept)
+    whole = F.col(key).isNotNull() & F.coalesce(above != 0, F.lit(False))
+    for s in SIDES:
+        whole = whole & F.col(s).isNotNull()
+    rows = boxes.where(whole).select(key, above.cast("short").alias("_above"), *[F.col(s).cast("double").alias(s) for s in SIDES])
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        scene = np.cumsum(np.r_[True, (rows[key].to_numpy()[1:] != rows[key].to_numpy()[:-1])]) - 1
+        above, n = rows["_above"].to_numpy(), scene[-1] + 1
+        gt, det = near_pairs(scene, above < 0, rows[list(SIDES)].to_numpy(), threshold)
+        before, size, totals = np.zeros(n, int), np.zeros(n, int), []
+        for level in range(levels):
+            there = above[det] > level
+            pairs = np.bincount(scene[det[there]], minlength=n)
+            anew = pairs != before
+            own = there & anew[scene[det]]
+            size = np.where(anew, most_pairs(scene[det[own]], gt[own], det[own], n), size)
+            before = pairs
+            totals.append(int(size.sum()))
+        return pd.DataFrame({"level": np.arange(levels, dtype=np.int32), "tp": np.array(totals, np.int64)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= ROWS_TOGETHER:
+                rows = pd.concat(held, ignore_index=True)
+                scene = rows[key].to_numpy()
+                last = int(np.flatnonzero(np.r_[True, scene[1:] != scene[:-1]])[-1])  # this scene may go on
+                if last:
+                    yield solve(rows.iloc[:last])
+                held = [rows.iloc[last:]]
+                n = len(held[0])
+        if n:
+            yield solve(pd.concat(held, ignore_index=True))
+
+    parts = rows.repartition(key).sortWithinPartitions(key).mapInPandas(run, "level int, tp long")
+    return parts.groupBy("level").agg(F.sum("tp").alias("tp"))
+
+
 def transferred_labels(boxes: DataFrame, matches: DataFrame, labels: DataFrame, key: str = "scene_id") -> DataFrame:
     """key, det_id, label: the label of the matched ground truth (labels: key, gt_id, label), -100 without one."""
     detections = boxes.where("side = 'det'").select(key, F.col("box_id").alias("det_id"))

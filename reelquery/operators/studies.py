@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from reelquery.functions.lineage import checkpoint
 from reelquery.functions.prefix import ratio
-from reelquery.operators.geometry import match_boxes
+from reelquery.operators.geometry import matched_by_level
 from reelquery.operators.intervals import evenly
 from reelquery.operators.metrics import count_if, rates
 
@@ -192,19 +192,14 @@ def tune_threshold(boxes: DataFrame, candidates: list[float], min_recall: float,
     """The confidence with the best f1 among those that reach min_recall; ties go to higher recall, then confidence. boxes:
     scene_id, box_id, side, x1 .. y2, score.
 
-    Every candidate has its own optimal matching of what it keeps. Most candidates keep the same detections of a scene, so a
-    scene is matched once for each number of kept detections that occurs."""
-    levels = F.array(*[F.lit(float(t)) for t in sorted(set(candidates))])
-    scenes = boxes.select(key).distinct().select(key, F.explode(levels).alias("threshold"))
-    detections = boxes.where("side = 'det'")
-    kept = detections.select(key, F.explode(F.filter(levels, lambda t: t <= F.col("score"))).alias("threshold")).groupBy(key, "threshold").agg(F.count("*").alias("det"))
-    cuts = kept.groupBy(key, "det").agg(F.min("threshold").alias("_least"))
-    named = F.struct(key, "det").alias("_cut")
-    own = boxes.join(cuts, key).where((F.col("side") == "gt") | (F.col("score") >= F.col("_least"))).select(named, "box_id", "side", "x1", "y1", "x2", "y2")
-    matched = match_boxes(own, iou, "_cut").groupBy("_cut").agg(F.count("*").alias("tp")).select(f"_cut.{key}", "_cut.det", "tp")
-    rows = scenes.join(kept, [key, "threshold"], "left").join(matched, [key, "det"], "left").groupBy("threshold").agg(F.coalesce(F.sum("det"), F.lit(0)).alias("det"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
-    truth = boxes.where("side = 'gt'").agg(F.count("*").alias("gt"))
-    rows = rows.join(F.broadcast(truth))
+    Every candidate has its own optimal matching of what it keeps. Boxes are counted where they are, and shuffled once, with
+    their scene, for all candidates (see matched_by_level)."""
+    levels = sorted({float(t) for t in candidates})
+    kept = F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col("score")))
+    det = F.array(*[F.count_if((F.col("side") == "det") & (kept > i)) for i in range(len(levels))])
+    counts = boxes.agg(count_if(F.col("side") == "gt").alias("gt"), det.alias("_det")).select("gt", F.posexplode("_det").alias("level", "det"))
+    rows = counts.join(matched_by_level(boxes, iou, kept, len(levels), key), "level", "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    rows = rows.withColumn("threshold", F.element_at(F.array(*map(F.lit, levels)), F.col("level") + 1))
     rows = rates(rows.select("threshold", "tp", (F.col("det") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"), F.lit(0).cast("long").alias("tn")))
     return rows.where(F.col("recall") >= min_recall).orderBy(F.col("f1").desc(), F.col("recall").desc(), F.col("threshold").desc()).limit(1).select("threshold", "tp", "fp", "fn", "precision", "recall", "f1")
 

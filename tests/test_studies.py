@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelquery.operators import geometry
 from reelquery.operators import studies as e
 
 
@@ -56,3 +58,58 @@ def test_threshold_rematches_what_it_keeps(spark):
     assert (row["threshold"], row["tp"], row["fp"], row["fn"]) == (0.5, 2, 1, 0)
     assert e.tune_threshold(df, [0.87, 0.95], 0.4, 0.5).first()["threshold"] == 0.87
     assert e.tune_threshold(df, [0.95], 0.1, 0.5).count() == 0
+
+
+def test_tuning_shuffles_boxes_once_and_matches_every_level(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(scene, i, rng.choice(["gt", "det"]), x, y, x + rng.randint(2, 6), y + 5.0, rng.choice([0.05, 0.3, 0.5, 0.9, None])) for scene in range(40) for i in range(rng.choice([1, 3, 9])) for x, y in [(float(rng.randint(0, 6)), float(rng.randint(0, 3)))]]
+    rows += [(None, 0, "gt", 0.0, 0.0, 9.0, 9.0, 0.0), (None, 1, "det", 0.0, 0.0, 9.0, 9.0, 0.9), (40, 0, "gt", None, 0.0, 9.0, 9.0, 0.0), (40, 1, "det", 0.0, 0.0, 9.0, 9.0, 0.9)]
+    levels = [0.1, 0.3, 0.4, 0.6, 0.95]
+
+    def near(p, q):
+        shared = max(min(p[5], q[5]) - max(p[3], q[3]), 0) * max(min(p[6], q[6]) - max(p[4], q[4]), 0)
+        return shared / ((p[5] - p[3]) * (p[6] - p[4]) + (q[5] - q[3]) * (q[6] - q[4]) - shared) >= 0.3
+
+    def matched(level):
+        total = 0
+        for scene in range(40):
+            gt, det = ([r for r in rows if r[0] == scene and r[2] == side] for side in ("gt", "det"))
+            owner = {}
+
+            def place(d, tried):
+                for g in gt:
+                    if g[1] not in tried and near(g, d):
+                        tried.add(g[1])
+                        if g[1] not in owner or place(owner[g[1]], tried):
+                            owner[g[1]] = d
+                            return True
+                return False
+
+            total += sum(place(d, set()) for d in det if d[7] is not None and d[7] >= level)
+        return total
+
+    df = spark.createDataFrame(rows, "scene_id long, box_id int, side string, x1 double, y1 double, x2 double, y2 double, score double")
+    kept = F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col("score")))
+    for together in (1, 17, geometry.ROWS_TOGETHER):
+        monkeypatch.setattr(geometry, "ROWS_TOGETHER", together)
+        found = dict(map(tuple, geometry.matched_by_level(df, 0.3, kept, len(levels)).collect()))
+        assert found == {i: matched(t) for i, t in enumerate(levels)}
+    tuned = e.tune_threshold(df, [0.4], 0.0, 0.3)
+    row, gt, det = tuned.first(), sum(r[2] == "gt" for r in rows), sum(r[2] == "det" and (r[7] or 0) >= 0.4 for r in rows)
+    assert (row["tp"], row["fp"], row["fn"]) == (matched(0.4), det - matched(0.4), gt - matched(0.4))
+    assert tuned._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(scene_id") == 1
+
+
+def test_near_pairs_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    scene, truth = np.sort(rng.integers(0, 6, 60)), rng.random(60) < 0.5
+    low = rng.integers(0, 5, (60, 2))
+    sides = np.hstack([low, low + 4]).astype(float)
+    sides[5, 0] = np.nan
+    found = []
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(geometry, "PAIRS_AT_ONCE", most)
+        found.append(sorted(zip(*map(list, geometry.near_pairs(scene, truth, sides, 0.4)), strict=True)))
+    assert found[0] == found[1] == found[2] and all(truth[a] and not truth[b] and scene[a] == scene[b] for a, b in found[0])
+    none = geometry.near_pairs(scene, np.zeros(60, bool), sides, 0.4)
+    assert len(none[0]) == len(none[1]) == 0
